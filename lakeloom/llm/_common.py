@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -44,6 +45,18 @@ def drop_cut(df: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextmanager
+def arrow_batches(spark: SparkSession, size: str = "8m") -> Iterator[None]:
+    """Hold the batches that go to Python to so many bytes while jobs run inside."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def small_enough(rows: int, bytes_per_row: int, limit_mb: int = 32) -> bool:
     """Whether a side with so many rows of at most that width may be broadcast."""
     return rows * bytes_per_row <= limit_mb << 20

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
 
-from lakeloom.llm._common import Words, chunks, cut, drop_cut, maybe_broadcast, mix, table
+from lakeloom.llm._common import Words, arrow_batches, chunks, cut, drop_cut, maybe_broadcast, mix, table
 
 #: 40 bands of 7 minima: two sets at similarity 0.8 share a bucket with probability 1 - (1 - 0.8^7)^40 > 0.9999.
 BANDS, ROWS = 40, 7
@@ -147,10 +147,15 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
 
     Words are `[^\\x20\\x09-\\x0D]+` with A-Z lower-cased. Two documents are linked if
     100 * |intersection| >= percent * |union| of their distinct shingles. Null, empty or blank texts have no shingles,
-    are linked with nothing and kept. Rows that repeat a doc_id are returned as often as they come. A null doc_id is
-    returned with null component_id unless its group holds another id, and isn't kept inside such a group; alone it is
-    kept. Other columns of docs are ignored. An empty table gives an empty result.
+    are linked with nothing and kept. Rows that repeat a doc_id are returned as often as they come. A null doc_id
+    shares in the group of an equal set; otherwise it is linked with nothing, returned with null component_id and kept.
+    Other columns of docs are ignored. An empty table gives an empty result.
     """
+    with arrow_batches(docs.sparkSession):
+        return _near_duplicates(docs, shingle_words, percent, id_col, text_col)
+
+
+def _near_duplicates(docs: DataFrame, shingle_words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     run, schema = _profile(shingle_words)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     profile = cut(source.mapInArrow(run, schema))

@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakeloom.llm import line_dedup, minhash_dedup, source_mix, token_count, url_filter
+from lakeloom.llm import line_dedup, minhash_dedup, quality, source_mix, token_count, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": minhash_dedup.op1_minhash_dedup,
     "op3_token_count": token_count.op3_token_count,
     "op4_line_dedup": line_dedup.op4_line_dedup,
     "op6_url_filter": url_filter.op6_url_filter,
+    "op7_toxicity": toxicity.op7_toxicity,
     "op8_source_mix": source_mix.op8_source_mix,
+    "op9_quality": quality.op9_quality,
 }
 
 ORACLE_SQL: dict[str, str] = {

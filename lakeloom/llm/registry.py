@@ -6,16 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakeloom.llm import line_dedup, minhash_dedup, quality, source_mix, token_count, toxicity, url_filter
+from lakeloom.llm import decontaminate, line_dedup, lm_score, minhash_dedup, quality, source_mix, token_count, toxicity, url_filter, vector_search
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": minhash_dedup.op1_minhash_dedup,
+    "op2_decontaminate": decontaminate.op2_decontaminate,
     "op3_token_count": token_count.op3_token_count,
     "op4_line_dedup": line_dedup.op4_line_dedup,
+    "op5_vector_search": vector_search.op5_vector_search,
     "op6_url_filter": url_filter.op6_url_filter,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_source_mix": source_mix.op8_source_mix,
     "op9_quality": quality.op9_quality,
+    "op10_lm_score": lm_score.op10_lm_score,
 }
 
 ORACLE_SQL: dict[str, str] = {

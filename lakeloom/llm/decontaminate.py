@@ -5,8 +5,8 @@ at each step the symbol under the pointer is put out and a random function of st
 moves on. Sequences few edits apart give outputs that agree in many places, so bit sampling, a few output places hashed
 together and the draw repeated, makes similar windows and items collide. Exact edit distance confirms.
 
-Symbols are words. A window can only be within k edits of an item of n words if n - k of its words are words of items
-of that length; windows below that are left out before walking, which loses nothing.
+Symbols are words. Of k + 1 pieces of an item one is whole in every stretch within k edits of it. So only windows that
+begin at most k words from where such a piece would place them are walked, which loses nothing.
 """
 
 from __future__ import annotations
@@ -36,34 +36,35 @@ def symbols(texts: list[bytes]) -> Words:
     return Words([t.translate(_SIGNS.tobytes()) for t in texts])
 
 
-def walk(windows: np.ndarray, seed: int) -> np.ndarray:
-    """The outputs, three times as long as a window, of one random walk over each row of symbols."""
+def walk(windows: np.ndarray, steps: int) -> np.ndarray:
+    """The outputs (walk, row, step) of WALKS random walks over each row of symbols; 0 past a row's end."""
     rows, n = windows.shape
-    padded = np.concatenate((windows, np.zeros((rows, 1), np.uint64)), axis=1)
-    at, every = np.zeros(rows, np.int64), np.arange(rows)
-    out = np.empty((rows, 3 * n), np.uint64)
-    for step in range(3 * n):
-        now = padded[every, at]
-        out[:, step] = now
-        move = mix(now + np.uint64(seed * 1_000_003 + step) * _ODD) >> np.uint64(63)
+    padded = np.concatenate((windows, np.zeros((rows, 1), np.uint64)), axis=1).ravel()
+    begin = np.tile(np.arange(rows) * (n + 1), WALKS)
+    seed = np.repeat(mix(np.arange(1, WALKS + 1, dtype=np.uint64) * _ODD), rows)
+    at = np.zeros(rows * WALKS, np.int64)
+    out = np.empty((steps, rows * WALKS), np.uint64)
+    for step in range(steps):
+        out[step] = now = padded[begin + at]
+        move = mix((now ^ seed) + np.uint64(step) * _ODD) >> np.uint64(63)
         at = np.minimum(at + move.astype(np.int64), n)
-    return out
+    return out.reshape(steps, WALKS, rows).transpose(1, 2, 0)
 
 
 def keys(windows: np.ndarray) -> np.ndarray:
     """WALKS * SAMPLES bucket keys of each window, each telling its draw apart from the others."""
-    n = windows.shape[1]
-    out = np.empty((len(windows), WALKS * SAMPLES), np.uint64)
+    rows, n = windows.shape
+    # places are drawn from the first two thirds, where most walks are still inside the window
+    walked = walk(windows, 2 * n)
+    out = np.empty((rows, WALKS, SAMPLES), np.uint64)
     for w in range(WALKS):
-        walked = walk(windows, w)
         rng = np.random.default_rng((n, w))
-        for s in range(SAMPLES):
-            key = np.full(len(windows), np.uint64(w * SAMPLES + s))
-            # places are drawn from the first two thirds, where most walks are still inside the window
-            for place in np.sort(rng.choice(max(1, 2 * n), min(PLACES, max(1, 2 * n)), replace=False)):
-                key = mix(key * _ODD + walked[:, place])
-            out[:, w * SAMPLES + s] = key
-    return out
+        places = np.stack([np.sort(rng.choice(2 * n, PLACES, replace=False)) for _ in range(SAMPLES)])
+        key = np.broadcast_to(np.arange(w * SAMPLES, (w + 1) * SAMPLES, dtype=np.uint64), (rows, SAMPLES))
+        for place in places.T:
+            key = mix(key * _ODD + walked[w][:, place])
+        out[:, w] = key
+    return out.reshape(rows, -1)
 
 
 def edits_within(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
@@ -77,8 +78,39 @@ def edits_within(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
     return int(row[end]), end
 
 
+def grams(hashes: np.ndarray, size: int) -> np.ndarray:
+    """A hash of each run of so many symbols, by the place where it begins."""
+    if len(hashes) < size:
+        return np.empty(0, np.uint64)
+    out = hashes[: len(hashes) - size + 1]
+    for k in range(1, size):
+        out = mix(out * _ODD + hashes[k : len(hashes) - size + 1 + k])
+    return out
+
+
+class Seeds:
+    """The pieces of items that begin with the same number of words: sorted gram hashes, item groups and places."""
+
+    def __init__(self, size: int, found: list[tuple[int, int, int]]) -> None:
+        self.size = size
+        rows = sorted(set(found))
+        self.hash = np.array([r[0] for r in rows], np.uint64)
+        self.group, self.place = np.array([r[1:] for r in rows], np.int64).T
+        self.maybe = np.zeros(1 << 20, bool)
+        self.maybe[self.hash >> np.uint64(44)] = True
+
+    def hits(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where each seed begins in the symbols, its group and its place in the item."""
+        g = grams(hashes, self.size)
+        at = np.flatnonzero(self.maybe[g >> np.uint64(44)])
+        low, high = np.searchsorted(self.hash, g[at], "left"), np.searchsorted(self.hash, g[at], "right")
+        n = high - low
+        seed = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
+        return np.repeat(at, n), self.group[seed], self.place[seed]
+
+
 class Items:
-    """Benchmark items by length, their words and their bucket keys."""
+    """Benchmark items by length, their words, their seeds and their bucket keys."""
 
     def __init__(self, ids: list[int], texts: list[bytes], rate: float, least_words: int) -> None:
         words = symbols(texts)
@@ -86,53 +118,55 @@ class Items:
         for i, a, b in zip(ids, words.first[:-1], words.first[1:]):
             if b - a >= least_words:
                 by_length.setdefault(int(b - a), []).append((i, words.hash[a:b]))
-        self.groups = []
+        self.groups, seeds = [], {}
         for n, items in sorted(by_length.items()):
-            rows = np.stack([x for _, x in items])
+            rows, k = np.stack([x for _, x in items]), int(rate * n)
             key = keys(rows)
             order = np.argsort(key.ravel(), kind="stable")
-            self.groups.append((n, int(rate * n), [i for i, _ in items], rows, np.unique(rows), key.ravel()[order], order // key.shape[1]))
-        self.words = np.unique(np.concatenate([g[4] for g in self.groups])) if self.groups else np.empty(0, np.uint64)
+            size = n // (k + 1)
+            for row in rows:
+                for place in (n * np.arange(k + 1)) // (k + 1):
+                    seeds.setdefault(size, []).append((int(grams(row[place : place + size], size)[0]), len(self.groups), int(place)))
+            self.groups.append((n, k, [i for i, _ in items], rows, key.ravel()[order], order // key.shape[1]))
+        self.seeds = [Seeds(size, found) for size, found in sorted(seeds.items())]
+
+    def starts(self, words: Words, text_of: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """For each group with seeds in the texts, the words at which windows begin."""
+        found = []
+        for s in self.seeds:
+            at, group, place = s.hits(words.hash)
+            inside = at + s.size <= words.first[1:][text_of[at]]
+            found.append((at[inside], group[inside], place[inside]))
+        at, group, place = (np.concatenate(x) for x in zip(*found))
+        for g in np.unique(group):
+            k, mine = self.groups[g][1], group == g
+            begin = (at[mine] - place[mine])[:, None] + np.arange(-k, k + 1)
+            t = text_of[at[mine]][:, None]
+            yield g, np.unique(np.clip(begin, words.first[t], words.first[t + 1] - 1))
 
     def find(self, words: Words) -> Iterator[tuple[int, int, int, int]]:
         """(text, item id, edits, word at which the nearest stretch ends) of each item found in each text."""
-        if not len(self.words) or not len(words.hash):
+        if not self.seeds or not len(words.hash):
             return
-        at = np.minimum(np.searchsorted(self.words, words.hash), len(self.words) - 1)
-        known = self.words[at] == words.hash
-        total = np.concatenate(([0], np.cumsum(known)))
         size = np.diff(words.first)
         text_of = np.repeat(np.arange(len(size)), size)
-        for n, k, ids, rows, vocabulary, key, owner in self.groups:
-            if len(words.hash) < n - k:
-                continue
-            # windows begin at each word of a text and end with it at the latest
-            begin = np.arange(len(words.hash))
-            end = np.minimum(begin + n, words.first[1:][text_of])
-            maybe = np.flatnonzero(total[end] - total[begin] >= n - k)
-            if not len(maybe):
-                continue
-            own = np.zeros(len(words.hash), np.int64)
-            near = np.unique((maybe[:, None] + np.arange(n)).ravel())
-            near = near[near < len(own)]
-            own[near] = np.isin(words.hash[near], vocabulary)
-            count = np.concatenate(([0], np.cumsum(own)))
-            maybe = maybe[count[end[maybe]] - count[maybe] >= n - k]
-            if not len(maybe):
-                continue
+        for g, starts in self.starts(words, text_of):
+            n, k, ids, rows, key, owner = self.groups[g]
+            end = np.minimum(starts + n, words.first[1:][text_of[starts]])
             found: dict[tuple[int, int], list[int]] = {}
-            for some in np.array_split(maybe, max(1, len(maybe) * n // 500_000)):
+            for a in range(0, len(starts), max(1, 100_000 // n)):
+                some, stop = starts[a : a + max(1, 100_000 // n)], end[a : a + max(1, 100_000 // n)]
                 place = some[:, None] + np.arange(n)
-                windows = np.where(place < end[some][:, None], words.hash[np.minimum(place, len(words.hash) - 1)], np.uint64(0))
+                windows = np.where(place < stop[:, None], words.hash[np.minimum(place, len(words.hash) - 1)], np.uint64(0))
                 mine = keys(windows)
                 low, high = np.searchsorted(key, mine.ravel(), "left"), np.searchsorted(key, mine.ravel(), "right")
                 for j in np.flatnonzero(high > low):
                     start = int(some[j // mine.shape[1]])
                     for o in set(owner[low[j] : high[j]].tolist()):
                         found.setdefault((int(text_of[start]), o), []).append(start)
-            for (t, o), starts in found.items():
+            for (t, o), at in found.items():
                 best = None
-                for start in sorted(set(starts)):
+                for start in sorted(set(at)):
                     a, b = max(int(words.first[t]), start - k), min(int(words.first[t + 1]), start + n + k)
                     edits, stop = edits_within(rows[o], words.hash[a:b])
                     if edits <= k and (best is None or edits < best[0]):

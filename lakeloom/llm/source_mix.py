@@ -33,7 +33,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     s = s.withColumn("open", F.sum("w").over(order.rowsBetween(0, Window.unboundedFollowing)))
     level = (F.sum("source_size").over(Window.partitionBy()) * share - F.col("before")) / F.col("open")
     s = s.withColumn("level", level)
-    s = s.withColumn("level", F.min(F.when(F.col("level") <= F.col("top") / F.col("w"), F.col("level"))).over(Window.partitionBy()))
+    s = s.withColumn("level", F.max(F.when(F.col("level") <= F.col("top") / F.col("w"), F.col("level"))).over(Window.partitionBy()))
     return s.select("ordinal", "source", "source_size", F.least("top", F.coalesce(F.col("level") * F.col("w"), F.col("top"))).alias("target"))
 
 
@@ -104,7 +104,7 @@ named AS (SELECT *, row_number() OVER (ORDER BY source ASC NULLS LAST) AS ordina
 weighed AS (SELECT n.*, weight, (source_size * {MOST})::DOUBLE AS top FROM named n JOIN w ON (ordinal - 1) % 3 = k),
 filled AS (SELECT *, coalesce(sum(top) OVER (ORDER BY top / weight, ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
     sum(weight) OVER (ORDER BY top / weight, ordinal ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open, sum(source_size) OVER () AS everything FROM weighed),
-level_ AS (SELECT min((everything * {SHARE}::DOUBLE - before) / open) AS level FROM filled WHERE (everything * {SHARE}::DOUBLE - before) / open <= top / weight),
+level_ AS (SELECT max((everything * {SHARE}::DOUBLE - before) / open) AS level FROM filled WHERE (everything * {SHARE}::DOUBLE - before) / open <= top / weight),
 sources AS (SELECT ordinal, source, source_size, least(top, coalesce(level * weight, top)) AS target, greatest(1, least({LONGEST_BLOCK}, source_size // {BLOCKS}))::BIGINT AS length FROM filled, level_),
 sized AS (SELECT *, ceil(source_size / length)::BIGINT AS blocks, CASE WHEN source_size > 0 THEN round(target / length)::BIGINT ELSE 0 END AS slots FROM sources),
 bounds AS (SELECT *, sum(slots) OVER (ORDER BY ordinal)::BIGINT AS upto, sum(slots) OVER ()::BIGINT AS total FROM sized),

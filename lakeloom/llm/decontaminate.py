@@ -12,6 +12,7 @@ begin at most k words from where such a piece would place them are walked, which
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -46,22 +47,26 @@ def walk(windows: np.ndarray, steps: int) -> np.ndarray:
     out = np.empty((steps, rows * WALKS), np.uint64)
     for step in range(steps):
         out[step] = now = padded[begin + at]
-        move = mix((now ^ seed) + np.uint64(step) * _ODD) >> np.uint64(63)
+        move = mix((now ^ seed) + np.uint64(step * int(_ODD) % (1 << 64))) >> np.uint64(63)
         at = np.minimum(at + move.astype(np.int64), n)
     return out.reshape(steps, WALKS, rows).transpose(1, 2, 0)
 
 
+@cache
+def sampled_places(n: int) -> np.ndarray:
+    """(walk, sample, place): from the first 2 n outputs, where most walks are still inside a window of n symbols."""
+    rng = np.random.default_rng(n)
+    return np.sort(np.argsort(rng.random((WALKS, SAMPLES, 2 * n)), axis=2)[:, :, :PLACES], axis=2)
+
+
 def keys(windows: np.ndarray) -> np.ndarray:
     """WALKS * SAMPLES bucket keys of each window, each telling its draw apart from the others."""
     rows, n = windows.shape
-    # places are drawn from the first two thirds, where most walks are still inside the window
     walked = walk(windows, 2 * n)
     out = np.empty((rows, WALKS, SAMPLES), np.uint64)
     for w in range(WALKS):
-        rng = np.random.default_rng((n, w))
-        places = np.stack([np.sort(rng.choice(2 * n, PLACES, replace=False)) for _ in range(SAMPLES)])
         key = np.broadcast_to(np.arange(w * SAMPLES, (w + 1) * SAMPLES, dtype=np.uint64), (rows, SAMPLES))
-        for place in places.T:
+        for place in sampled_places(n)[w].T:
             key = mix(key * _ODD + walked[w][:, place])
         out[:, w] = key
     return out.reshape(rows, -1)
@@ -165,14 +170,12 @@ class Items:
                     for o in set(owner[low[j] : high[j]].tolist()):
                         found.setdefault((int(text_of[start]), o), []).append(start)
             for (t, o), at in found.items():
-                best = None
-                for start in sorted(set(at)):
-                    a, b = max(int(words.first[t]), start - k), min(int(words.first[t + 1]), start + n + k)
+                best, at = None, np.unique(at)
+                for run in np.split(at, np.flatnonzero(np.diff(at) > n) + 1):  # stretches that overlap, taken as one
+                    a, b = max(int(words.first[t]), int(run[0]) - k), min(int(words.first[t + 1]), int(run[-1]) + n + k)
                     edits, stop = edits_within(rows[o], words.hash[a:b])
                     if edits <= k and (best is None or edits < best[0]):
                         best = edits, a + stop - int(words.first[t])
-                        if not edits:
-                            break
                 if best:
                     yield t, ids[o], *best
 

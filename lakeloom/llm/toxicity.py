@@ -20,9 +20,9 @@ from lakeloom.llm._common import Words, arrow_batches, chunks, table
 from lakeloom.llm._labels import held_out, labelled_sample, logistic, sigmoid
 
 #: Letters (bytes) of an n-gram, its end included.
-ORDER = 6
+ORDER = 8
 #: Labelled documents of each class that the models learn from, at most.
-PER_CLASS = 3000
+PER_CLASS = 2000
 PARTS, PART, THRESHOLD = 3, 1, 0.7
 #: Folds of the sample, and numbers that sum up a document.
 FOLDS, EVIDENCE = 5, 4
@@ -161,9 +161,10 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", parts: int =
                 yield pa.record_batch([pa.array(keys.view(np.int64)), *map(pa.array, n)], names=["gram", *columns])
 
     with arrow_batches(spark):
-        counted = sample.mapInArrow(count, "gram long, " + ", ".join(f"{c} long" for c in columns)).groupBy("gram").agg(*[F.sum(c).alias(c) for c in columns]).orderBy("gram").toArrow()
+        counted = sample.mapInArrow(count, "gram long, " + ", ".join(f"{c} long" for c in columns)).groupBy("gram").agg(*[F.sum(c).cast("int").alias(c) for c in columns]).toArrow()
     grams = counted["gram"].to_numpy().view(np.uint64)
-    n = np.array([counted[c].to_numpy() for c in columns]).reshape(FOLDS, 2, len(grams))
+    order = np.argsort(grams)
+    grams, n = grams[order], np.array([counted[c].to_numpy()[order] for c in columns]).reshape(FOLDS, 2, len(grams))
 
     def without(fold: int | None) -> Model:
         kept = n.sum(axis=0) - (n[fold] if fold is not None else 0)

@@ -26,6 +26,9 @@ from lakeloom.llm._common import Words, arrow_batches, chunks, cut, drop_cut, ma
 BANDS, ROWS = 40, 7
 #: Share of equal one-byte minima below which a pair isn't compared in full: over six deviations under 0.8.
 SCREEN = 0.66
+#: Bands that a pair shares before it is compared beyond the first hub: at similarity 0.8 a pair shares 8 on average and
+#: fewer than 2 with probability 0.001; and rounds with a few hubs from each side of a bucket.
+SHARED, SPREADS = 2, 3
 
 
 def shingle_sets(words: Words, size: int) -> Iterator[np.ndarray]:
@@ -159,7 +162,7 @@ def _near_duplicates(docs: DataFrame, shingle_words: int, percent: int, id_col:
     run, schema = _profile(shingle_words)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     profile = cut(source.mapInArrow(run, schema))
-    nodes = profile.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("lowest"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
+    nodes = profile.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("lowest"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
     nodes = cut(nodes)
     rows = nodes.select(F.explode("bands").alias("bucket"), "node")
     shared = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("hub")).where("n > 1")
@@ -175,7 +178,7 @@ def _near_duplicates(docs: DataFrame, shingle_words: int, percent: int, id_col:
         texts = source.join(maybe_broadcast(first, n_wanted, 40), "doc_id").select("node", "text")
         # a doc_id that repeats with other texts brings sets of other nodes: only the set with the node's own fingerprint counts
         sets = cut(texts.mapInArrow(own, own_schema).where(_owns("node", "members")).dropDuplicates(["node"]) if _repeats(profile, n_wanted) else texts.mapInArrow(own, own_schema))
-        comp = _grow(members, sig, sets, percent)
+        comp = _grow(members, sig, nodes.select("node", "n", "bands"), sets, percent)
     else:
         comp = docs.sparkSession.createDataFrame([], "node long, comp long")
     named = nodes.select("node", "lowest").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
@@ -200,9 +203,8 @@ def _repeats(profile: DataFrame, n: int) -> bool:
     return bool(profile.groupBy("doc_id").count().where("count > 1 or doc_id is null").limit(1).count())
 
 
-def _grow(members: DataFrame, sig: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Components over the links found in the buckets (bucket, node, hub)."""
-    spark = members.sparkSession
+def _grow(members: DataFrame, sig: DataFrame, profile: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Components over the links found in the buckets (bucket, node, hub); profile has node, n and bands."""
     linked = _linked(percent)
 
     def confirm(pairs: DataFrame) -> DataFrame:
@@ -215,32 +217,41 @@ def _grow(members: DataFrame, sig: DataFrame, sets: DataFrame, percent: int) ->
     links = cut(confirm(start))
     comp = components(links)
     tested = cut(start)
-    width = 4
+    fits = (F.least("n", "hn") * 100 >= F.greatest("n", "hn") * percent) & (F.size(F.array_intersect("bands", "hbands")) >= SHARED)
+    width, spread = 4, 0
     while True:
-        # buckets whose members lie in several components; all but the largest of them give hubs
+        # buckets whose members lie in several components
         placed = members.select("bucket", "node").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         counts = placed.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
         largest = counts.groupBy("bucket").agg(F.max_by("comp", F.struct("n", "comp")).alias("top"), F.count("*").alias("parts")).where("parts > 1")
-        mixed = cut(placed.join(largest, "bucket").select("bucket", "node", "comp", "top"))
+        mixed = cut(placed.join(largest, "bucket").select("bucket", "node", "comp", (F.col("comp") == F.col("top")).alias("top")).join(profile, "node"))
         if mixed.isEmpty():
             return comp
-        rank = F.row_number().over(Window.partitionBy("bucket").orderBy("node"))
-        hubs = mixed.where("comp <> top").withColumn("rank", rank).where(F.col("rank") <= width).select("bucket", F.col("node").alias("h"), F.col("comp").alias("hc"))
-        pairs = hubs.join(mixed.select("bucket", "node", "comp"), "bucket").where("hc <> comp").select(F.greatest("h", "node").alias("a"), F.least("h", "node").alias("b")).distinct()
+        few = spread < SPREADS
+        if few:  # a few hubs from the largest component and a few from the others, drawn anew for each bucket and round
+            by = Window.partitionBy("bucket", "top").orderBy(F.xxhash64("node", "bucket", F.lit(spread)))
+            hubs, others = mixed, mixed.where("not top")
+        else:  # all but the largest component give hubs, which meet all members
+            by = Window.partitionBy("bucket").orderBy("node")
+            hubs, others = mixed.where("not top"), mixed
+        hubs = hubs.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= (4 if few else width))
+        hubs = hubs.select("bucket", F.col("node").alias("h"), F.col("comp").alias("hc"), F.col("n").alias("hn"), F.col("bands").alias("hbands"))
+        pairs = hubs.join(others, "bucket").where((F.col("hc") != F.col("comp")) & fits).select(F.greatest("h", "node").alias("a"), F.least("h", "node").alias("b")).distinct()
         pairs = cut(pairs.join(tested.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti"))
-        left = mixed.where("comp <> top").groupBy("bucket").count().where(F.col("count") > width).limit(1).count()
-        if pairs.isEmpty():
-            if not left:
-                return comp
-            width *= 4
-            continue
-        fresh = cut(confirm(pairs))
-        if fresh.isEmpty() and not left:
+        left = few or mixed.where("not top").groupBy("bucket").count().where(F.col("count") > width).limit(1).count()
+        fresh = cut(confirm(pairs)) if not pairs.isEmpty() else None
+        found = fresh is not None and not fresh.isEmpty()
+        if not found and not left:
             return comp
-        tested = tested.unionByName(pairs)
-        links = links.unionByName(fresh)
-        comp = components(links)
-        width *= 4
+        if few:
+            spread = spread + 1 if found else SPREADS
+        else:
+            width *= 4
+        if fresh is not None:
+            tested = tested.unionByName(pairs)
+        if found:
+            links = links.unionByName(fresh)
+            comp = components(links)
 
 
 def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,11 +35,11 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, that of the smallest doc_id; of repeated rows, one."""
+    """One document of each group of near copies stays, that of the smallest doc_id; of rows that repeat id and text, one."""
     kept = cut(near_duplicates(docs).where("kept").select("doc_id"))
     out = _only(docs, kept.where("doc_id is not null").distinct())
     if kept.groupBy("doc_id").count().where("count > 1 and doc_id is not null").limit(1).count():
-        out = out.dropDuplicates(["doc_id"])
+        out = out.dropDuplicates(["doc_id", "text"])
     nameless = docs.where("doc_id is null")
     return out.unionByName(nameless)
 

@@ -5,68 +5,55 @@ one vocabulary, the orders, the smoothing and, after scaling, the size. A docume
 of the background loss minus the target loss. Documents are dealt into two folds by their texts, and each fold is
 scored by counts of the other one, so that no document and no copy of it speaks for itself.
 
-The vocabulary is the most frequent words of all documents; other words are one symbol. Pairs of words are counted in a
-table of fixed size by hash, whatever the corpus; what the tasks count is summed by slot, and no text is shuffled.
+All words and all pairs of words are counted, in tables that grow with the corpus: tasks sum what they read, a shuffle
+sums the rest. The loss of a word after its history is a part of the word, a part of the history and, where the other
+fold has the pair, a part of the pair. The parts of words and pairs frequent enough to be few go to the tasks that
+read the texts; a text's other words and pairs are joined to the tables, once for each text, and summed by text.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeloom.llm._common import Words, arrow_batches, chunks, maybe_broadcast, mix, table
+from lakeloom.llm._common import Words, arrow_batches, chunks, cut, maybe_broadcast, mix, table
 
-#: Words of the vocabulary, bits of the table of pairs, and weight of the unigram behind a history.
-WORDS, BITS, PRIOR = 65_536, 21, 50.0
+#: Words and pairs with more than 2^-BITS of all occurrences are frequent, so at most 2^BITS are; words that a task
+#: counts before it hands them on; weight of the unigram behind a history.
+BITS, RUN, PRIOR = 20, 1 << 21, 50.0
+#: The history where a text begins.
+BEGIN = np.uint64(0)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def pair_slots(ids: np.ndarray, first: np.ndarray, words: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each word of some texts, its history (words + 1 where a text begins) and the slot of both."""
-    history = np.concatenate(([words + 1], ids[:-1])) if len(ids) else ids
-    history[first[:-1][first[:-1] < len(ids)]] = words + 1
-    slot = mix(history.astype(np.uint64) * np.uint64(words + 2) * _ODD + ids.astype(np.uint64) + np.uint64(1)) >> np.uint64(64 - bits)
-    return history, slot.astype(np.int64)
+def histories(words: Words) -> np.ndarray:
+    """For each word of some texts, the one before it, or BEGIN."""
+    h = np.concatenate(([BEGIN], words.hash[:-1])) if len(words.hash) else words.hash.copy()
+    h[words.first[:-1][words.first[:-1] < len(h)]] = BEGIN
+    return h
 
 
-@dataclass
-class Vocabulary:
-    """Hashes of the words, sorted; a word's id is its place and that of any other word their number."""
+def pair_hash(history: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return mix(mix(history) * _ODD + word)
 
-    hashes: np.ndarray
 
-    def ids(self, words: Words) -> np.ndarray:
-        if not len(self.hashes):
-            return np.zeros(len(words.hash), np.int64)
-        at = np.minimum(np.searchsorted(self.hashes, words.hash), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == words.hash, at, len(self.hashes))
-
-
-@dataclass
-class Model:
-    """Counts of pairs (slot) and words, for target and background, of the fold that isn't scored with it."""
-
-    pairs: np.ndarray  # 2 x 2^bits
-    words: np.ndarray  # 2 x (words + 2): as words; the last two for other words and beginnings
-    histories: np.ndarray  # likewise, as histories
+class Frequent:
+    """Values (4 x n) of some hashes, sorted; rows: fold 0 target, background, fold 1 target, background."""
 
-    @staticmethod
-    def of(pairs: np.ndarray, words: np.ndarray, histories: np.ndarray) -> Model:
-        """Scales the background to the size of the target; rows: target, background."""
-        total = words.sum(axis=1)
-        scale = np.array([1.0, total[0] / total[1] if total[1] else 1.0])[:, None]
-        return Model((pairs * scale).astype(np.float32), (words * scale).astype(np.float32), (histories * scale).astype(np.float32))
+    def __init__(self, hashes: np.ndarray, *values: np.ndarray) -> None:
+        by = np.argsort(hashes)
+        self.hashes, self.values = hashes[by], [v[:, by] for v in values]
 
-    def losses(self, ids: np.ndarray, history: np.ndarray, slot: np.ndarray) -> np.ndarray:
-        """Of each word under target and background: minus the log of its probability after its history."""
-        size = self.words.shape[1]
-        alone = (self.words[:, ids] + 0.5) / (self.words.sum(axis=1, keepdims=True, dtype=np.float64) + 0.5 * size)
-        return -np.log((self.pairs[:, slot] + PRIOR * alone) / (self.histories[:, history] + PRIOR))
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in the values, and whether the hash is there."""
+        if not len(self.hashes):
+            return np.zeros(len(hashes), np.int64), np.zeros(len(hashes), bool)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return at, self.hashes[at] == hashes
 
 
 def fold(text):
@@ -74,83 +61,141 @@ def fold(text):
     return F.pmod(F.xxhash64(F.coalesce(text, F.lit("")), F.lit("fold")), F.lit(2)).cast("int")
 
 
-def score_documents(docs: DataFrame, target: DataFrame, words: int = WORDS, bits: int = BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_documents(docs: DataFrame, target: DataFrame, bits: int = BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, target_loss, background_loss, score for each row of docs.
 
     target has the doc_id of documents that the target model learns from; repeated and null ids in it don't matter.
     Losses are means over a text's words, in nats; score is background_loss - target_loss, higher for documents nearer
     to the target. Null, empty and blank texts have no words, null losses and score 0. Rows that repeat count and stay
     as often as they come; a null doc_id stays null; other columns are ignored; an empty table gives an empty result.
-    Without target documents both models are as flat as their smoothing allows.
+    Without target documents both models are as flat as their smoothing allows. bits only moves work between tasks and
+    joins; the losses are the same.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     known = target.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct().withColumn("wanted", F.lit(1))
     known = maybe_broadcast(known, target.count(), 24)
-    rows_in = rows.join(known, "doc_id", "left").select("text", fold(F.col("text")).alias("fold"), F.coalesce("wanted", F.lit(0)).alias("wanted"))
-
-    def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, part in chunks(batch.column(0).to_pylist()):
-                found, n = np.unique(Words(part).hash, return_counts=True)
-                yield pa.record_batch([pa.array(found.view(np.int64)), pa.array(n)], names=["word", "n"])
-
-    with arrow_batches(spark):
-        top = rows.select("text").mapInArrow(count_words, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(words).toArrow()
-    vocabulary = Vocabulary(np.sort(top["word"].to_numpy().view(np.uint64)))
-    size = len(vocabulary.hashes) + 2
+    rows_in = rows.join(known, "doc_id", "left").select("text", (2 * fold(F.col("text")) + F.coalesce("wanted", F.lit(0))).alias("kind"))
 
     def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # kind: 2 fold + target; slots of pairs, then words, then histories
-        total = np.zeros((4, (1 << bits) + 2 * size), np.int64)
+        def summed(parts: list) -> pa.RecordBatch:
+            h, w, kind = (np.concatenate(x) for x in zip(*parts))
+            _, one, of = np.unique(pair_hash(h, w), return_index=True, return_inverse=True)
+            n = [np.bincount(of[kind == k], minlength=len(one)) for k in range(4)]
+            values = (h[one].view(np.int64), w[one].view(np.int64), n[1], n[0] + n[1], n[3], n[2] + n[3])
+            return pa.record_batch([pa.array(v) for v in values], names=["h", "w", "t0", "a0", "t1", "a1"])
+
+        parts, size = [], 0
         for batch in batches:
-            kind = 2 * batch.column(1).to_numpy(zero_copy_only=False) + batch.column(2).to_numpy(zero_copy_only=False)
+            kinds = batch.column(1).to_numpy(zero_copy_only=False)
             for at, part in chunks(batch.column(0).to_pylist()):
                 w = Words(part)
-                ids = vocabulary.ids(w)
-                history, slot = pair_slots(ids, w.first, size - 2, bits)
-                of = np.repeat(kind[at : at + len(part)], np.diff(w.first))
-                for k in np.unique(of):
-                    mine = of == k
-                    np.add.at(total[k], slot[mine], 1)
-                    np.add.at(total[k], (1 << bits) + ids[mine], 1)
-                    np.add.at(total[k], (1 << bits) + size + history[mine], 1)
-        some = np.flatnonzero(total.any(axis=0))
-        for a in range(0, len(some), 1 << 16):
-            s = some[a : a + (1 << 16)]
-            yield pa.record_batch([pa.array(s.astype(np.int32)), *(pa.array(t[s]) for t in total)], names=["slot", "n0", "n1", "n2", "n3"])
-
+                parts.append((histories(w), w.hash, np.repeat(kinds[at : at + len(part)], np.diff(w.first))))
+                size += len(w.hash)
+                if size >= RUN:
+                    yield summed(parts)
+                    parts, size = [], 0
+        if size:
+            yield summed(parts)
+
+    counts = [F.sum(c).alias(c) for c in ("t0", "a0", "t1", "a1")]
     with arrow_batches(spark):
-        counted = rows_in.mapInArrow(count_pairs, "slot int, n0 long, n1 long, n2 long, n3 long").groupBy("slot").agg(*(F.sum(f"n{k}").alias(f"n{k}") for k in range(4)))
-        counted = counted.toArrow()  # 2^bits + 2 (words + 2) rows at most, whatever the corpus
-    total = np.zeros((4, (1 << bits) + 2 * size))
-    total[:, counted["slot"].to_numpy()] = [counted[f"n{k}"].to_numpy() for k in range(4)]
+        pairs = cut(rows_in.mapInArrow(count_pairs, "h long, w long, t0 long, a0 long, t1 long, a1 long").groupBy("h", "w").agg(*counts))
+        before = pairs.groupBy("h").agg(*(F.sum(c).alias("h" + c) for c in ("t0", "a0", "t1", "a1"))).withColumnRenamed("h", "w")
+        words = pairs.groupBy("w").agg(*counts).join(before, "w", "full")
+        words = cut(words.na.fill(0))
+    begin, word = F.col("w") == int(BEGIN), F.col("a0") + F.col("a1") > 0
+    sums = words.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("t0", "a0", "t1", "a1")), F.count_if(word).alias("size"), *(F.coalesce(F.sum(F.when(begin, F.col("h" + c))), F.lit(0)).alias("h" + c) for c in ("t0", "a0", "t1", "a1"))).first()
+    size, total = sums["size"] + 2, sums["a0"] + sums["a1"]
+
+    # each fold is scored by the other one, its background scaled to the size of the target
     models = []
-    for f in (0, 1):
-        rest, wanted = total[2 * (1 - f)], total[2 * (1 - f) + 1]
-        models.append(Model.of(*np.split(np.stack((wanted, rest + wanted)), [1 << bits, (1 << bits) + size], axis=1)))
+    for o in (1, 0):
+        scale = sums[f"t{o}"] / sums[f"a{o}"] if sums[f"a{o}"] else 1.0
+        models += [(f"t{o}", 1.0, sums[f"t{o}"] + 0.5 * size), (f"a{o}", scale, sums[f"t{o}"] + 0.5 * size)]
+
+    def behind(n, scale: float, whole: float):
+        """PRIOR times a word's own probability, from its count."""
+        return (n * scale + 0.5) * (PRIOR / whole)
+
+    often = total / (1 << bits)
+    top = words.where(word & (F.col("a0") + F.col("a1") > often)).toArrow()  # 2^bits rows at most, whatever the corpus
+    count = {c: top[c].to_numpy().astype(float) for c in top.column_names if c != "w"}
+    alone = np.array([behind(count[c], scale, whole) for c, scale, whole in models])
+    after = np.array([np.log(count["h" + c] * scale + PRIOR) for c, scale, _ in models])
+    common = Frequent(top["w"].to_numpy().view(np.uint64), -np.log(alone), after, alone)
+    first = np.array([np.log(sums["h" + c] * scale + PRIOR) for c, scale, _ in models])
+    both = pairs.where("a0 > 0 and a1 > 0")  # a pair that one fold lacks has no part of its own in the other's losses
+    top = both.where(F.col("a0") + F.col("a1") > often).toArrow()  # 2^bits rows at most; their words are frequent too
+    ends = top["w"].to_numpy().view(np.uint64)
+    alone = common.values[2][:, common.find(ends)[0]]
+    found = np.array([top[c].to_numpy() * scale for c, scale, _ in models])
+    common_pairs = Frequent(pair_hash(top["h"].to_numpy().view(np.uint64), ends), -np.log1p(found / alone))
+    common.values.pop()
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # a row for each text, with what the frequent words and pairs give, and one for each of its other words and pairs
         for batch in batches:
-            folds = batch.column(2).to_numpy(zero_copy_only=False)
-            for at, part in chunks(batch.column(1).to_pylist()):
-                w = Words(part)
-                ids = vocabulary.ids(w)
-                history, slot = pair_slots(ids, w.first, size - 2, bits)
-                n = np.diff(w.first)
-                of = np.repeat(folds[at : at + len(part)], n)
-                loss = np.zeros((2, len(ids)))
-                for f in (0, 1):
-                    mine = np.flatnonzero(of == f)
-                    if len(mine):
-                        loss[:, mine] = models[f].losses(ids[mine], history[mine], slot[mine])
-                some = np.flatnonzero(n)
-                mean = np.full((2, len(n)), np.nan)
-                if len(some):
-                    mean[:, some] = np.add.reduceat(loss, w.first[:-1][some], axis=1) / n[some]
-                yield pa.record_batch([batch.column(0).slice(at, len(part)), pa.array(n, pa.int64()), pa.array(mean[0], from_pandas=True), pa.array(mean[1], from_pandas=True)], names=["doc_id", "n_words", "target_loss", "background_loss"])
-
-    scored = rows.select("doc_id", "text", fold(F.col("text")).alias("fold")).mapInArrow(score, "doc_id long, n_words long, target_loss double, background_loss double")
+            keys = batch.column(1).to_numpy(zero_copy_only=False)
+            for at, part in chunks(batch.column(0).to_pylist()):
+                key, w = keys[at : at + len(part)], Words(part)
+                h, n = histories(w), np.diff(w.first)
+                of = np.repeat(np.arange(len(part)), n)
+                model = 2 * (key[of] & 1)
+                place, mine = common.find(w.hash)
+                pair = pair_hash(h, w.hash)
+                pair_place, pair_mine = common_pairs.find(pair)
+                inner = np.ones(len(of), bool)  # words that are the history of another one
+                inner[w.first[1:][n > 0] - 1] = False
+                sides = []
+                for k in (0, 1):
+                    loss = np.zeros(len(of))
+                    loss[mine] = common.values[0][model[mine] + k, place[mine]]
+                    as_history = mine & inner
+                    loss[as_history] += common.values[1][model[as_history] + k, place[as_history]]
+                    loss[pair_mine] += common_pairs.values[0][model[pair_mine] + k, pair_place[pair_mine]]
+                    sides.append(np.bincount(of, loss, len(part)) + np.where(n > 0, first[2 * (key & 1) + k], 0.0))
+                none = np.zeros(len(part), np.int64)
+                yield record(key, key, none, none, none, n, *sides)
+                rare = np.flatnonzero(~mine)
+                _, one, same = np.unique(mix(w.hash[rare] + mix(of[rare].astype(np.uint64) * _ODD)), return_index=True, return_inverse=True)
+                yield record(key[of[rare[one]]], w.hash[rare[one]].view(np.int64), none, np.bincount(same, minlength=len(one)), np.bincount(same[inner[rare]], minlength=len(one)))
+                rare = np.flatnonzero(~pair_mine)
+                _, one, n = np.unique(mix(pair[rare] + mix(of[rare].astype(np.uint64) * _ODD)), return_index=True, return_counts=True)
+                yield record(key[of[rare[one]]], w.hash[rare[one]].view(np.int64), h[rare[one]].view(np.int64), n, None)
+
+    def record(key, w, h, n, n_history, n_words=None, target=None, background=None) -> pa.RecordBatch:
+        size = len(key)
+        is_pair = pa.array(np.full(size, n_history is None))
+        n_history = np.zeros(size, np.int64) if n_history is None else n_history
+        values = [pa.array(x) for x in (key, w, h[:size] if len(h) >= size else np.zeros(size, np.int64))]
+        values += [is_pair, pa.array(n.astype(np.int32)), pa.array(n_history.astype(np.int32))]
+        values += [pa.nulls(size, kind) if x is None else pa.array(x, kind) for x, kind in ((n_words, pa.int64()), (target, pa.float64()), (background, pa.float64()))]
+        return pa.record_batch(values, names=["key", "w", "h", "is_pair", "n", "n_history", "n_words", "target", "background"])
+
+    # of equal texts the keys are equal, and so are the means; the last bit is the fold
+    text = F.coalesce("text", F.lit(""))
+    key = F.xxhash64(text).bitwiseAND(F.lit(-2)).bitwiseOR(fold(F.col("text")).cast("long"))
+    schema = "key long, w long, h long, is_pair boolean, n int, n_history int, n_words long, target double, background double"
+    parts = rows.select("text", key.alias("key")).mapInArrow(score, schema)
+    parts = parts.select("key", F.when(F.col("is_pair"), F.xxhash64("h", "w")).otherwise(F.xxhash64("w")).alias("item"), "n", "n_history", "n_words", "target", "background")
+    rare_words = words.where(word & (F.col("a0") + F.col("a1") <= often))
+    values = [F.struct((-F.log(behind(F.col(f"{c}"), scale, whole))).alias("own"), F.log(F.col("h" + c) * scale + PRIOR).alias("after")) for c, scale, whole in models]
+    rare_words = rare_words.select(F.xxhash64("w").alias("item"), *(v["own"].alias(f"v{k}") for k, v in enumerate(values)), *(v["after"].alias(f"h{k}") for k, v in enumerate(values)))
+    of_word = words.where(word).select("w", *(behind(F.col(c), scale, whole).alias(f"b{k}") for k, (c, scale, whole) in enumerate(models)))
+    rare_pairs = both.where(F.col("a0") + F.col("a1") <= often).join(of_word, "w")
+    rare_pairs = rare_pairs.select(F.xxhash64("h", "w").alias("item"), *((-F.log1p(F.col(c) * scale / F.col(f"b{k}"))).alias(f"v{k}") for k, (c, scale, _) in enumerate(models)), *(F.lit(0.0).alias(f"h{k}") for k in range(4)))
+    joined = parts.join(rare_words.unionByName(rare_pairs), "item", "left")
+
+    def side(k: int, base: str):
+        odd = F.col("key").bitwiseAND(F.lit(1)) == 1
+        v, a = (F.when(odd, F.col(f"{x}{k + 2}")).otherwise(F.col(f"{x}{k}")) for x in "vh")
+        return F.sum(F.coalesce(F.col(base), F.col("n") * v + F.col("n_history") * a, F.lit(0.0)))
+
+    with arrow_batches(spark):
+        by_text = cut(joined.groupBy("key").agg(F.sum("n_words").alias("all_words"), F.count("n_words").alias("copies"), side(0, "target").alias("target"), side(1, "background").alias("background")))
+    by_text = by_text.select("key", (F.col("all_words") / F.col("copies")).cast("long").alias("n_words"), *((F.when(F.col("all_words") > 0, F.col(c) / F.col("all_words"))).alias(f"{c}_loss") for c in ("target", "background")))
+    scored = rows.select("doc_id", key.alias("key")).join(by_text, "key", "left").drop("key")
     return scored.withColumn("score", F.coalesce(F.col("background_loss") - F.col("target_loss"), F.lit(0.0)))
 
 

@@ -1,5 +1,7 @@
 import itertools
+import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -10,7 +12,7 @@ from lakeloom.llm import registry
 from lakeloom.llm._common import Words
 from lakeloom.llm.decontaminate import find_leaks
 from lakeloom.llm.line_dedup import drop_boilerplate
-from lakeloom.llm.lm_score import BITS, score_documents
+from lakeloom.llm.lm_score import BITS, fold, score_documents
 from lakeloom.llm.minhash_dedup import near_duplicates
 from lakeloom.llm.quality import score_quality
 from lakeloom.llm.source_mix import mix_sources
@@ -136,6 +138,36 @@ def test_language_model_scores_against_plain_counts(spark):
     assert 1 << BITS > 1_000_000 and score_documents(documents(spark, [])  , target).count() == 0
 
 
+def test_language_model_counts_every_word_and_pair(spark):
+    rng = random.Random(14)
+    words = [f"w{i}" for i in range(70)]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(1, 40))) for _ in range(120)] + ["", None, "w1 w1 w1"]
+    texts += [texts[3], texts[3], " ".join(f"long{i}" for i in range(70_000)), " ".join(f"long{i}" for i in range(0, 70_000, 2))]
+    docs, wanted = documents(spark, texts, [(None, texts[5], None, None, None)]), set(range(0, 120, 3)) | {125}
+    rows = [(r.doc_id, (r.text or "").split(), r.f) for r in docs.withColumn("f", fold(F.col("text"))).collect()]
+    pair, word, history = ({(f, k): Counter() for f in (0, 1) for k in (0, 1)} for _ in range(3))
+    for i, w, f in rows:
+        for k in (0, 1) if i in wanted else (1,):
+            word[f, k].update(w)
+            history[f, k].update([""] + w[:-1] if w else [])
+            pair[f, k].update(zip([""] + w[:-1], w))
+    size, want = len({x for _, w, _ in rows for x in w}) + 2, []
+    for i, w, f in rows:
+        means = []
+        for k in (0, 1):
+            o, target = (1 - f, k), word[1 - f, 0].total()
+            scale = target / word[o].total() if k else 1
+            alone = [50 * (word[o][x] * scale + 0.5) / (target + 0.5 * size) for x in w]
+            loss = [-math.log((pair[o][a, b] * scale + p) / (history[o][a] * scale + 50)) for a, b, p in zip([""] + w[:-1], w, alone)]
+            means.append(sum(loss) / len(w) if w else None)
+        want.append((str(i), len(w), means))
+    for bits in (BITS, 6, 0):
+        got = sorted((str(r.doc_id), r.n_words, r.target_loss, r.background_loss) for r in score_documents(docs, spark.createDataFrame([(i,) for i in wanted], "doc_id long"), bits=bits).collect())
+        assert [g[:2] for g in got] == sorted(x[:2] for x in want)
+        for g, x in zip(got, sorted(want, key=lambda x: x[:2])):
+            assert g[2:] == (None, None) if x[2][0] is None else g[2:] == pytest.approx(x[2], abs=1e-6)
+
+
 def test_classifiers_tell_held_out_documents_apart(spark):
     rng = random.Random(6)
     nice, rude = ["alpha", "beta", "gamma", "delta"], ["grubble", "snark"]

@@ -26,9 +26,11 @@ from lakeloom.llm._common import Words, arrow_batches, chunks, cut, drop_cut, ma
 BANDS, ROWS = 40, 7
 #: Share of equal one-byte minima below which a pair isn't compared in full: over six deviations under 0.8.
 SCREEN = 0.66
-#: Bands that a pair shares before it is compared beyond the first hub: at similarity 0.8 a pair shares 8 on average and
-#: fewer than 2 with probability 0.001; and rounds with a few hubs from each side of a bucket.
-SHARED, SPREADS = 2, 3
+#: Last bits of minima that may differ before a pair from a bucket is joined to its signatures: 28 do on average at
+#: similarity 0.8, and this is over six deviations more.
+DIFFER = 59
+#: Rounds with a few hubs from each side of a bucket.
+SPREADS = 3
 
 
 def shingle_sets(words: Words, size: int) -> Iterator[np.ndarray]:
@@ -67,27 +69,28 @@ def _fingerprint(s: np.ndarray) -> int:
 
 
 def _profile(size: int):
-    schema = "doc_id long, n_shingles long, node long, bands array<long>, sig binary"
+    schema = "doc_id long, n_shingles long, node long, bands array<long>, bits array<long>, sig binary"
     a, b = _coefficients(1)
     salt = mix(np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    fields = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("bands", pa.list_(pa.int64())), ("sig", pa.binary())])
+    fields = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("bands", pa.list_(pa.int64())), ("bits", pa.list_(pa.int64())), ("sig", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1).to_pylist()
             for at, part in chunks(texts):
-                n, node, bands, sig = [], [], [], []
+                n, node, bands, bits, sig = [], [], [], [], []
                 for s in shingle_sets(Words(part), size):
                     n.append(len(s))
                     if not len(s):
-                        node.append(None), bands.append(None), sig.append(None)
+                        node.append(None), bands.append(None), bits.append(None), sig.append(None)
                         continue
                     m = signature(s, a, b)
                     key = salt.copy()
                     for column in m.reshape(BANDS, ROWS).T:
                         key = mix(key * np.uint64(0x9E3779B97F4A7C15) + column)
+                    bits.append(np.packbits(np.pad((m & np.uint64(1)).astype(np.uint8), (0, -len(m) % 64))).view(np.int64))
                     node.append(_fingerprint(s)), bands.append(key.view(np.int64)), sig.append((m & np.uint64(255)).astype(np.uint8).tobytes())
-                yield pa.record_batch([ids.slice(at, len(part)), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sig, pa.binary())], schema=fields)
+                yield pa.record_batch([ids.slice(at, len(part)), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64())), pa.array(sig, pa.binary())], schema=fields)
 
     return run, schema
 
@@ -162,7 +165,7 @@ def _near_duplicates(docs: DataFrame, shingle_words: int, percent: int, id_col:
     run, schema = _profile(shingle_words)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     profile = cut(source.mapInArrow(run, schema))
-    nodes = profile.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("lowest"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
+    nodes = profile.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("lowest"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("bits").alias("bits"), F.first("sig").alias("sig"))
     nodes = cut(nodes)
     rows = nodes.select(F.explode("bands").alias("bucket"), "node")
     shared = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("hub")).where("n > 1")
@@ -178,7 +181,7 @@ def _near_duplicates(docs: DataFrame, shingle_words: int, percent: int, id_col:
         texts = source.join(maybe_broadcast(first, n_wanted, 40), "doc_id").select("node", "text")
         # a doc_id that repeats with other texts brings sets of other nodes: only the set with the node's own fingerprint counts
         sets = cut(texts.mapInArrow(own, own_schema).where(_owns("node", "members")).dropDuplicates(["node"]) if _repeats(profile, n_wanted) else texts.mapInArrow(own, own_schema))
-        comp = _grow(members, sig, nodes.select("node", "n", "bands"), sets, percent)
+        comp = _grow(members, sig, nodes.select("node", "n", "bits"), sets, percent)
     else:
         comp = docs.sparkSession.createDataFrame([], "node long, comp long")
     named = nodes.select("node", "lowest").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
@@ -204,7 +207,7 @@ def _repeats(profile: DataFrame, n: int) -> bool:
 
 
 def _grow(members: DataFrame, sig: DataFrame, profile: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Components over the links found in the buckets (bucket, node, hub); profile has node, n and bands."""
+    """Components over the links found in the buckets (bucket, node, hub); profile has node, n and bits."""
     linked = _linked(percent)
 
     def confirm(pairs: DataFrame) -> DataFrame:
@@ -217,7 +220,8 @@ def _grow(members: DataFrame, sig: DataFrame, profile: DataFrame, sets: DataFram
     links = cut(confirm(start))
     comp = components(links)
     tested = cut(start)
-    fits = (F.least("n", "hn") * 100 >= F.greatest("n", "hn") * percent) & (F.size(F.array_intersect("bands", "hbands")) >= SHARED)
+    differ = sum(F.bit_count(F.col("bits")[k].bitwiseXOR(F.col("hbits")[k])) for k in range(-(-BANDS * ROWS // 64)))
+    fits = (F.least("n", "hn") * 100 >= F.greatest("n", "hn") * percent) & (differ <= DIFFER)
     width, spread = 4, 0
     while True:
         # buckets whose members lie in several components
@@ -235,7 +239,7 @@ def _grow(members: DataFrame, sig: DataFrame, profile: DataFrame, sets: DataFram
             by = Window.partitionBy("bucket").orderBy("node")
             hubs, others = mixed.where("not top"), mixed
         hubs = hubs.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= (4 if few else width))
-        hubs = hubs.select("bucket", F.col("node").alias("h"), F.col("comp").alias("hc"), F.col("n").alias("hn"), F.col("bands").alias("hbands"))
+        hubs = hubs.select("bucket", F.col("node").alias("h"), F.col("comp").alias("hc"), F.col("n").alias("hn"), F.col("bits").alias("hbits"))
         pairs = hubs.join(others, "bucket").where((F.col("hc") != F.col("comp")) & fits).select(F.greatest("h", "node").alias("a"), F.least("h", "node").alias("b")).distinct()
         pairs = cut(pairs.join(tested.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti"))
         left = few or mixed.where("not top").groupBy("bucket").count().where(F.col("count") > width).limit(1).count()

@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -13,7 +14,7 @@ from lakeloom.llm._common import Words
 from lakeloom.llm.decontaminate import find_leaks
 from lakeloom.llm.line_dedup import drop_boilerplate
 from lakeloom.llm.lm_score import BITS, fold, score_documents
-from lakeloom.llm.minhash_dedup import near_duplicates
+from lakeloom.llm.minhash_dedup import _profile, near_duplicates
 from lakeloom.llm.quality import score_quality
 from lakeloom.llm.source_mix import mix_sources
 from lakeloom.llm.token_count import count_tokens
@@ -76,6 +77,32 @@ def test_near_duplicates_against_brute_force(spark):
         assert all(got[i].kept == (i == comp[i]) for i in got)
 
 
+def test_near_duplicates_that_share_one_band(spark):
+    rng = random.Random(11)
+    words, (run, _) = [f"w{i}" for i in range(5000)], _profile(1)
+
+    def profiles(texts):
+        batch = pa.record_batch([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+        return [r for b in run([batch]) for r in b.to_pylist()]
+
+    def edited(text, n):
+        w = text.split()
+        for i, new in zip(rng.sample(range(len(w)), n), rng.sample([f"n{i}" for i in range(5000)], n)):
+            w[i] = new
+        return " ".join(w)
+
+    # 84 words, 12 others: similarity 72/96; the pair meets in one bucket only, and its larger node has a smaller hub elsewhere
+    base = [" ".join(rng.sample(words, 84)) for _ in range(600)]
+    copies = [edited(t, 12) for t in base]
+    x, y = next((a, b) if p["node"] > q["node"] else (b, a) for a, b, p, q in zip(base, copies, profiles(base), profiles(copies)) if len(set(p["bands"]) & set(q["bands"])) == 1 and min(p["node"], q["node"]) > 0)
+    px, py = profiles([x, y])
+    near = [edited(x, 16) for _ in range(200)]
+    z = next(t for t, p in zip(near, profiles(near)) if set(p["bands"]) & set(px["bands"]) and not set(p["bands"]) & set(py["bands"]) and p["node"] < py["node"])
+    _, comp = brute_components([x, y, z], 1, 75)
+    assert comp == [0, 0, 2]
+    assert [r.component_id for r in near_duplicates(documents(spark, [x, y, z]), 1, 75).orderBy("doc_id").collect()] == comp
+
+
 def test_leaks_are_found_within_edits(spark):
     rng = random.Random(2)
     words = [f"v{i}" for i in range(900)]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lakeloom.llm._common import cut, table
@@ -17,15 +17,20 @@ LEAST_QUALITY = 0.5
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
-def _only(docs: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
-    """The rows of docs whose doc_id ids has (or hasn't: left_anti)."""
-    return docs.join(ids, "doc_id", how).select(*docs.columns)
+def _text_key(docs: DataFrame) -> DataFrame:
+    """docs with _key, the same for equal texts; null counts as empty."""
+    return docs.withColumn("_key", F.xxhash64(F.coalesce("text", F.lit(""))))
+
+
+def _row_key(docs: DataFrame) -> DataFrame:
+    """docs with _row, the same for rows that are equal in all columns."""
+    return docs.withColumn("_row", F.xxhash64(*docs.columns, *(F.col(c).isNull() for c in docs.columns)))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents that the classifier doesn't reject; rows with a null doc_id stay."""
-    scored = score_quality(docs, table(spark, sf_dir, "labels"))
-    return _only(docs, scored.where((F.col("score") < LEAST_QUALITY) & F.col("doc_id").isNotNull()).select("doc_id").distinct(), "left_anti")
+    """Keeps the rows that the classifier doesn't reject, each by its own text."""
+    scored = score_quality(docs, table(spark, sf_dir, "labels"), keep=tuple(docs.columns))
+    return scored.where(F.col("score") >= LEAST_QUALITY).select(*(F.col("_" + c).alias(c) for c in docs.columns))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,25 +40,39 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, that of the smallest doc_id; of rows that repeat id and text, one."""
-    kept = cut(near_duplicates(docs).where("kept").select("doc_id"))
-    out = _only(docs, kept.where("doc_id is not null").distinct())
-    if kept.groupBy("doc_id").count().where("count > 1 and doc_id is not null").limit(1).count():
-        out = out.dropDuplicates(["doc_id", "text"])
-    nameless = docs.where("doc_id is null")
-    return out.unionByName(nameless)
+    """One row of each group of near copies stays, that of the smallest doc_id (null last); rows without words all stay.
+
+    Groups are found among texts; of rows that repeat id and text, one stays.
+    """
+    keyed = _text_key(docs)
+    groups = cut(near_duplicates(keyed, id_col="_key").where("n_shingles > 0").select(F.col("doc_id").alias("_key"), "component_id").distinct())
+    rows = keyed.select("_key", "doc_id").join(groups, "_key")
+    least = rows.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "_key")).alias("least"))
+    least = cut(least.select(F.col("least._key").alias("_key"), F.col("least.doc_id").alias("_doc_id")))
+    out = keyed.join(least, "_key").where(F.col("doc_id").eqNullSafe(F.col("_doc_id")))
+    if keyed.groupBy("_key", "doc_id").count().where("count > 1").limit(1).count():
+        out = out.dropDuplicates(["_key", "doc_id"])
+    blank = ~F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    return out.select(*docs.columns).unionByName(docs.where(blank))
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
-    leaks = find_leaks(docs, table(spark, sf_dir, "benchmark"))
-    return _only(docs, cut(leaks.where("doc_id is not null").select("doc_id").distinct()), "left_anti")
+    """Rows whose text holds a benchmark item go."""
+    keyed = _text_key(docs)
+    leaks = cut(find_leaks(keyed, table(spark, sf_dir, "benchmark"), id_col="_key").select(F.col("doc_id").alias("_key")).distinct())
+    return keyed.join(leaks, "_key", "left_anti").select(*docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the mix takes, with the number of their words that it takes."""
-    taken = mix_sources(docs).where("taken > 0")
-    return docs.join(taken, "doc_id").select(*docs.columns, "size", "source_size", "target", "taken")
+    """Rows that the mix takes, each with the number of its own words that it takes."""
+    keyed, on = _row_key(docs), ["_row"]
+    taken = cut(mix_sources(keyed, keep=("_row",)))
+    if taken.groupBy("_row").count().where("count > 1").limit(1).count():  # equal rows are numbered on both sides
+        copy = F.row_number().over(Window.partitionBy("_row").orderBy("doc_id"))
+        keyed, on = keyed.withColumn("_copy", copy), ["_row", "_copy"]
+        taken = taken.withColumn("_copy", copy)
+    taken = taken.where("taken > 0").select(*on, "size", "source_size", "target", "taken")
+    return keyed.join(taken, on).select(*docs.columns, "size", "source_size", "target", "taken")
 
 
 STAGES = [

@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lakeloom.llm._common import Words, arrow_batches, chunks, mix, table
 from lakeloom.llm._labels import held_out, labelled_sample, logistic, sigmoid
@@ -139,27 +140,30 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", parts: int
     return fit([found[int(i)].values.to_numpy().astype(np.int64) for i in order], y[order].astype(np.int64))
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", parts: int = PARTS, part: int = PART, threshold: float = THRESHOLD, per_class: int = PER_CLASS) -> DataFrame:
+def score_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", parts: int = PARTS, part: int = PART, threshold: float = THRESHOLD, per_class: int = PER_CLASS, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, held_out, score, predicted (score >= threshold) for each row of docs.
 
     Labels are learnt only from documents whose crc32(doc_id as text) mod parts isn't part, from at most per_class
     of each label, whole texts, chosen by hash. Null texts count as empty; an empty text gets the score of no features.
-    Without labels of both kinds all scores are the same. Rows that repeat stay; other columns are ignored; a null
-    doc_id stays null and isn't held out; an empty table gives an empty result.
+    Without labels of both kinds all scores are the same. Rows that repeat stay; other columns are ignored, but for
+    those of keep, given back last as `_` and their name; a null doc_id stays null and isn't held out; an empty table
+    gives an empty result.
     """
     model = train(docs, labels, label, parts, part, per_class)
     model.weight, model.ratio = model.weight.astype(np.float32), model.ratio.astype(np.float32)  # 2^BITS values each, whatever the input
 
+    kept = ["_" + c for c in keep]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(1 << BITS, bool)
         for batch in batches:
             for at, part_ in chunks(batch.column(1).to_pylist()):
                 score = [model.score(f) for f in features(part_, seen)]
-                yield pa.record_batch([batch.column(0).slice(at, len(part_)), pa.array(score, pa.float64())], names=["doc_id", "score"])
+                yield pa.record_batch([batch.column(0).slice(at, len(part_)), pa.array(score, pa.float64()), *(c.slice(at, len(part_)) for c in batch.columns[2:])], names=["doc_id", "score", *kept])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    scored = rows.mapInArrow(run, "doc_id long, score double")
-    return scored.select("doc_id", held_out(F.col("doc_id"), parts, part).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(F.col(c).alias("_" + c) for c in keep))
+    scored = rows.mapInArrow(run, T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("score", T.DoubleType()), *rows.schema.fields[2:]]))
+    return scored.select("doc_id", held_out(F.col("doc_id"), parts, part).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *kept)
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

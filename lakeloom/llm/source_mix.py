@@ -56,15 +56,16 @@ def schedule(sources: DataFrame) -> DataFrame:
     return ranked.where(F.col("rank") < MOST * F.col("blocks")).select("slot", "ordinal", "rank", (F.col("rank") % F.col("blocks")).alias("block"))
 
 
-def mix_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
+def mix_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, size, source_size, target, taken for each row of docs.
 
     size: number of `[^\\x20\\x09-\\x0D]+` in the text (null or blank: 0). Documents of a source stand in the order of the
     md5 of their ids (ties: id, then size; a null id last). taken counts repeats; it is at most twice the size. Sources
     of no words have target 0. A null source is a source of its own. Rows that repeat take part one by one. Reruns
-    agree. An empty table gives an empty result; other columns are ignored.
+    agree. An empty table gives an empty result; other columns are ignored, but for those of keep, which break further
+    ties and are given back last.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), *keep)
     rows = cut(rows)
     sources = cut(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"))))
     sources = sources.withColumn("length", F.expr(f"greatest(1L, least({LONGEST_BLOCK}L, source_size div {BLOCKS}))"))
@@ -77,9 +78,9 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sour
     buckets = placed.groupBy("ordinal", "_bucket").agg(F.sum("size").alias("n"))
     before = Window.partitionBy("ordinal").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     buckets = buckets.select("ordinal", "_bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_offset"))
-    within = Window.partitionBy("ordinal", "_bucket").orderBy("_md5", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    within = Window.partitionBy("ordinal", "_bucket").orderBy("_md5", "doc_id", "size", *keep).rowsBetween(Window.unboundedPreceding, 0)
     placed = placed.withColumn("_end", F.sum("size").over(within)).join(buckets, ["ordinal", "_bucket"])
-    placed = placed.select("doc_id", "ordinal", "size", "source_size", "target", "length", (F.col("_offset") + F.col("_end") - F.col("size")).alias("start"), (F.col("_offset") + F.col("_end")).alias("end"))
+    placed = placed.select("doc_id", "ordinal", "size", "source_size", "target", "length", (F.col("_offset") + F.col("_end") - F.col("size")).alias("start"), (F.col("_offset") + F.col("_end")).alias("end"), *keep)
     placed = cut(placed)
 
     pieces = placed.where("size > 0").select("doc_id", "ordinal", "start", "end", "length", F.explode(F.expr("sequence(start div length, (end - 1) div length)")).alias("block"))
@@ -89,7 +90,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sour
     # start tells apart all documents of a source that have words
     keyed = placed.withColumn("_key", F.when(F.col("size") > 0, F.col("start")))
     out = keyed.join(taken.select("ordinal", F.col("start").alias("_key"), "taken"), ["ordinal", "_key"], "left")
-    return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
+    return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"), *keep)
 
 
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -239,6 +239,33 @@ def test_pipeline_stages(spark):
     assert len(set(kept)) == len(kept)
 
 
+def test_pipeline_stages_decide_by_row(spark, tmp_path):
+    rng = random.Random(8)
+    good = [" ".join(rng.choice(["the", "river", "Bank", "stone", "of", "light"]) + str(i * k) for k in range(30)) for i in range(1, 9)]
+    junk, item = "@@@ ### !!! 000 " * 12, " ".join(f"q{i}" for i in range(20))
+    spark.createDataFrame([(i, i % 2, 0) for i in range(100, 160)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    base = [(i, good[i % 8] + f" extra{i}" if i % 2 else junk + str(i), "en", "s", 9) for i in range(100, 160)]
+
+    def through(stage, texts):
+        rows = [(i, t, "en", "s", len(t or "")) for i, t in texts]
+        return Counter((r.doc_id, r.text) for r in stage(spark, spark.createDataFrame(rows, DOC), str(tmp_path)).collect())
+
+    labelled = [r[:2] for r in base]
+    got = through(corpus_pipeline.quality, [*labelled, (1, good[0]), (1, junk), (None, junk), (None, good[1]), (None, good[1])])
+    assert got[1, good[0]] == 1 and got[None, good[1]] == 2 and not got[1, junk] and not got[None, junk]
+    got = through(corpus_pipeline.near_copies, [(3, good[0]), (2, good[0]), (2, good[1]), (1, good[1]), (None, good[2]), (None, good[2]), (None, good[0]), (None, ""), (None, None), (5, " "), (4, good[3]), (4, good[3])])
+    assert got == Counter([(2, good[0]), (1, good[1]), (None, good[2]), (None, ""), (None, None), (5, " "), (4, good[3])])
+    got = through(corpus_pipeline.benchmark_free, [(1, good[0]), (1, item), (None, item), (None, good[1]), (2, None)])
+    assert got == Counter([(1, good[0]), (None, good[1]), (2, None)])
+    rows = [(1, good[0], "en", "a", 9), (1, good[0] + " more", "en", "a", 9), (1, "", "en", "a", 0), (None, good[1], "en", "a", 9), (None, good[2], None, None, 9), (2, good[3], "en", "b", 9), (2, good[3], "en", "b", 9)]
+    docs = spark.createDataFrame(rows, DOC)
+    got = corpus_pipeline.mixed(spark, docs, str(tmp_path)).collect()
+    taken = [r for r in mix_sources(docs).collect() if r.taken]
+    assert sorted((str(r.doc_id), r.size, r.source_size, r.taken) for r in got) == sorted((str(r.doc_id), r.size, r.source_size, r.taken) for r in taken)
+    assert all(r["size"] == len(r.text.split()) for r in got) and sum(r.doc_id is None for r in got) == 2
+
+
 def test_words(spark):
     w = Words(["Ab  c".encode(), b"", " \n".encode(), "ż".encode()])
     assert list(w.first) == [0, 2, 2, 2, 3]

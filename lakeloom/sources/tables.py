@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 #: Kinds that a knowledge chunk may name as its source_type (fixed values).
 SOURCE_TYPES = ("global_documentation", "global_video", "client_documentation")
-CHUNK_SCHEMA = "id string, source string, text string, summary string, source_type string, start double, end double, module string, topic string, tags array<string>"
+#: Fields of a knowledge chunk that hold arrays of strings.
+ARRAYS = ("keywords", "concepts", "plugin_names", "form_names", "business_objects", "datasets", "tables", "packages", "shortcuts", "frames")
+STRINGS = ("id", "source", "text", "summary", "module", "topic", "teta_version", "training_date", "knowledge_version")
+CHUNK_SCHEMA = ", ".join([*(f"{c} string" for c in STRINGS), "source_type string, start double, end double", *(f"{c} array<string>" for c in ARRAYS)])
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,17 +18,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:
-    """Chunks of JSON-lines files, each with its problem (null: valid). Blank lines and those that begin with # are left out."""
+    """Chunks of JSON-lines files, each with its problem (null: valid). Blank lines and those that begin with # are left out.
+
+    Strings and members of arrays are trimmed, and empty members left out; a field that should hold an array of strings
+    and doesn't is a problem.
+    """
     lines = spark.read.text(path).where((F.trim("value") != "") & ~F.ltrim("value").startswith("#"))
     parsed = lines.select("value", F.from_json("value", CHUNK_SCHEMA).alias("c"))
-    missing = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
+    parsed = parsed.withColumn("v", F.try_parse_json("value"))
+    trimmed = lambda c: F.regexp_replace(c, r"^[\s\u00a0\ufeff]+|[\s\u00a0\ufeff]+$", "")
+    missing = lambda c: F.coalesce(trimmed(c), F.lit("")) == ""
+
+    def odd(field: str) -> Column:
+        held = F.try_variant_get("v", f"$.{field}", "variant")
+        strings = F.schema_of_variant(held).isin("ARRAY<STRING>", "ARRAY<VOID>") & ~F.exists(F.try_variant_get("v", f"$.{field}", "array<string>"), lambda x: x.isNull())
+        return held.isNotNull() & ~F.coalesce(strings, F.lit(False))
+
     problem = (
-        F.when(F.try_parse_json("value").isNull(), "not JSON")
+        F.when(F.col("v").isNull(), "not JSON")
         .when(missing(F.col("c.source")), "no source")
         .when(missing(F.col("c.text")), "no text")
         .when(F.col("c.source_type").isNotNull() & ~F.col("c.source_type").isin(*SOURCE_TYPES), "unknown source_type")
     )
-    return parsed.select("c.*", problem.alias("problem"))
+    for c in ARRAYS:
+        problem = problem.when(odd(c), f"{c} isn't an array of strings")
+    strings = {c: trimmed(F.col(f"c.{c}")) for c in STRINGS}
+    arrays = {c: F.filter(F.transform(f"c.{c}", trimmed), lambda x: x != "") for c in ARRAYS}
+    return parsed.select("c.*", "v", "c", problem.alias("problem")).withColumns(strings | arrays).drop("v", "c")
 
 
 def numbered(chunks: DataFrame) -> DataFrame:

@@ -21,6 +21,19 @@ def test_chunk_files(spark, tmp_path):
     assert sorted((r.problem or "") for r in found) == ["", "no text", "not JSON", "unknown source_type"]
 
 
+def test_chunks_keep_their_arrays(spark, tmp_path):
+    whole = {c: [f" {c} ", "", " \t", "b"] for c in tables.ARRAYS} | {"source": "s", "text": " t ", "teta_version": " 1 ", "training_date": "d", "knowledge_version": "k"}
+    odd = [[1, "a"], [None], ["a", None], "a", None, [["a"]]]
+    lines = [whole, whole | {"keywords": []}, {"source": "s", "text": "t"}, *({"source": "s", "text": "t", "frames": x} for x in odd)]
+    (tmp_path / "a.jsonl").write_text("\n".join(map(json.dumps, lines)))
+    found = tables.read_chunks(spark, str(tmp_path / "a.jsonl")).collect()
+    assert all(found[0][c] == [c, "b"] for c in tables.ARRAYS) and found[1].keywords == [] and found[2].keywords is None
+    assert (found[0].text, found[0].teta_version, found[0].training_date, found[0].knowledge_version) == ("t", "1", "d", "k")
+    assert [r.problem for r in found] == [None] * 3 + ["frames isn't an array of strings"] * len(odd)
+    tables.write_pack(tables.read_chunks(spark, str(tmp_path / "a.jsonl")), str(tmp_path / "p"))
+    assert spark.read.json(str(tmp_path / "p/chunks")).where("size(keywords) = 2").count() == 1
+
+
 def test_pack_and_merge(spark, tmp_path):
     rows = spark.createDataFrame([("a", "global_video", "x"), ("b", "global_video", "y"), ("a", None, "z")], "source string, source_type string, text string")
     manifest = {r.source_type: (r.chunks, r.sources) for r in tables.write_pack(rows, str(tmp_path / "p")).collect()}

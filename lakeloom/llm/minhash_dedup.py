@@ -1,10 +1,15 @@
 """Near-duplicate groups by MinHash: universal hash minima, banding, verified links, connected components.
 
 Documents are compared by their sets of distinct word shingles. Equal sets collapse to one node first, so copies cost
-one row each. Bands of minima propose candidates; inside a bucket each node is compared with a hub, never with every
-other member; signatures screen and the full sets decide. Buckets whose members still lie in several components after
-that get more hubs, always from their smaller components, until no untested pair of different components is left.
-Components come from alternating large-star and small-star steps over the verified links.
+one row each. Bands of minima put nodes into buckets; the last bits of the minima screen the pairs of a bucket, and the
+whole sets, made anew from the texts, decide. Components come from alternating large-star and small-star steps.
+
+A bucket's pairs are never joined as rows. Rounds first give each node the likeliest partner of another component among
+a few hubs of each of its buckets, drawn anew each round, which is linear in the bucket; groups of copies fall together
+in them. What then still lies apart in a bucket meets in the last round: members outside its largest component, dealt
+into blocks, against blocks of all its members, compared inside tasks. A longer sketch, made for these nodes alone,
+screens once more, and a pair counts only in the first bucket that it shares. So every pair that shares a bucket, passes
+the screens and isn't connected already is verified.
 """
 
 from __future__ import annotations
@@ -24,13 +29,18 @@ from lakeloom.llm._common import Words, arrow_batches, chunks, cut, drop_cut, ma
 
 #: 40 bands of 7 minima: two sets at similarity 0.8 share a bucket with probability 1 - (1 - 0.8^7)^40 > 0.9999.
 BANDS, ROWS = 40, 7
-#: Share of equal one-byte minima below which a pair isn't compared in full: over six deviations under 0.8.
-SCREEN = 0.66
-#: Last bits of minima that may differ before a pair from a bucket is joined to its signatures: 28 do on average at
-#: similarity 0.8, and this is over six deviations more.
-DIFFER = 59
-#: Rounds with a few hubs from each side of a bucket.
-SPREADS = 3
+#: Bits of minima that may differ in a pair that is compared in full: of 280, 28 do on average at similarity 0.8, with
+#: a deviation of 5.02; this is 4.2 deviations more (1.3 in 100,000 such pairs have more).
+DIFFER = 49
+#: Hubs of a bucket in a round, rounds with hubs at most, and members of a bucket in a block.
+HUBS, ROUNDS, BLOCK = 32, 2, 2048
+#: Bits of the sketch of the last round, and how many may differ: 204.8 do on average at similarity 0.8, with a deviation
+#: of 13.6, so this too is over 4.2 deviations more.
+SKETCH, SKETCH_DIFFER = 2048, 262
+#: Longs that hold the bits, and pairs compared at once.
+LONGS, AT_ONCE = -(-BANDS * ROWS // 64), 1 << 18
+_BITS = [f"b{k}" for k in range(LONGS)]
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def shingle_sets(words: Words, size: int) -> Iterator[np.ndarray]:
@@ -43,95 +53,98 @@ def shingle_sets(words: Words, size: int) -> Iterator[np.ndarray]:
         w = min(size, b - a)
         acc = h[a : b - w + 1].copy()
         for k in range(1, w):
-            acc = mix(acc * np.uint64(0x9E3779B97F4A7C15) + h[a + k : b - w + 1 + k])
+            acc = mix(acc * _ODD + h[a + k : b - w + 1 + k])
         yield np.unique(mix(acc + np.uint64(w)))
 
 
-def _coefficients(seed: int) -> tuple[np.ndarray, np.ndarray]:
-    rng = np.random.default_rng(seed)
-    a, b = rng.integers(1, 1 << 63, (2, BANDS * ROWS), dtype=np.uint64)
-    return a | np.uint64(1), b
+def _coefficients(seed: int, n: int = BANDS * ROWS) -> tuple[np.ndarray, np.ndarray]:
+    a, b = np.random.default_rng(seed).integers(0, 1 << 32, (2, n), dtype=np.uint64).astype(np.uint32)
+    return a | np.uint32(1), b
 
 
 def signature(shingles: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The minima of (a x + b) mod 2^64 over 32-bit shingles x, their upper halves (multiply-shift)."""
-    x, low = shingles >> np.uint64(32), None
+    """The minima of (a x + b) mod 2^32 over 32-bit shingles x."""
+    x, low = (shingles >> np.uint64(32)).astype(np.uint32), None
     for k in range(0, len(x), 256):
         block = x[k : k + 256, None] * a
         block += b
         m = block.min(axis=0)
         low = m if low is None else np.minimum(low, m)
-    return low >> np.uint64(32)
+    return low.astype(np.uint64)
 
 
-def _fingerprint(s: np.ndarray) -> int:
-    return int.from_bytes(hashlib.md5(s.tobytes()).digest()[:8], "little", signed=True)
+def band_keys(minima: np.ndarray) -> np.ndarray:
+    key = mix(np.arange(1, BANDS + 1, dtype=np.uint64) * _ODD)
+    for column in minima.reshape(BANDS, ROWS).T:
+        key = mix(key * _ODD + column)
+    return key.view(np.int64)
+
+
+def last_bits(minima: np.ndarray) -> np.ndarray:
+    """A bit of each minimum, packed into longs."""
+    return np.packbits(np.pad((mix(minima) & np.uint64(1)).astype(np.uint8), (0, -len(minima) % 64))).view(np.int64)
 
 
 def _profile(size: int):
-    schema = "doc_id long, n_shingles long, node long, bands array<long>, bits array<long>, sig binary"
+    """doc_id, text, k1, k2 and more columns in; for each row n_shingles, node and check (128 bits of its set), bands
+    and a bit of each minimum out, and the columns but for the text."""
     a, b = _coefficients(1)
-    salt = mix(np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    fields = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("bands", pa.list_(pa.int64())), ("bits", pa.list_(pa.int64())), ("sig", pa.binary())])
+    own = {"n_shingles": pa.int64(), "node": pa.int64(), "check": pa.int64(), "bands": pa.list_(pa.int64())} | dict.fromkeys(_BITS, pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
+            texts = batch.column(1).to_pylist()
             for at, part in chunks(texts):
-                n, node, bands, bits, sig = [], [], [], [], []
+                n, ids, bands, bits = [], [], [], []
                 for s in shingle_sets(Words(part), size):
                     n.append(len(s))
                     if not len(s):
-                        node.append(None), bands.append(None), bits.append(None), sig.append(None)
+                        ids.append((None, None)), bands.append(None), bits.append((None,) * LONGS)
                         continue
                     m = signature(s, a, b)
-                    key = salt.copy()
-                    for column in m.reshape(BANDS, ROWS).T:
-                        key = mix(key * np.uint64(0x9E3779B97F4A7C15) + column)
-                    bits.append(np.packbits(np.pad((m & np.uint64(1)).astype(np.uint8), (0, -len(m) % 64))).view(np.int64))
-                    node.append(_fingerprint(s)), bands.append(key.view(np.int64)), sig.append((m & np.uint64(255)).astype(np.uint8).tobytes())
-                yield pa.record_batch([ids.slice(at, len(part)), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64())), pa.array(sig, pa.binary())], schema=fields)
+                    ids.append(tuple(np.frombuffer(hashlib.md5(s.tobytes()).digest(), np.int64).tolist()))
+                    bands.append(band_keys(m)), bits.append(tuple(last_bits(m).tolist()))
+                values = [n, *zip(*ids), bands, *zip(*bits)]
+                kept = [c.slice(at, len(part)) for i, c in enumerate(batch.columns) if i != 1]
+                names = [x for i, x in enumerate(batch.schema.names) if i != 1]
+                yield pa.record_batch([*kept, *(pa.array(v, kind) for v, kind in zip(values, own.values()))], names=[*names, *own])
+
+    return run, [T.StructField(x, T.ArrayType(T.LongType()) if x == "bands" else T.LongType()) for x in own]
 
-    return run, schema
 
+def _sketches(size: int):
+    """node, text in; node and its longer sketch followed by its band keys out."""
+    (a, b), (c, d) = _coefficients(1), _coefficients(2, SKETCH)
 
-def _sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for at, part in chunks(texts):
-                found = [s.tobytes() for s in shingle_sets(Words(part), size)]
-                yield pa.record_batch([batch.column(0).slice(at, len(part)), pa.array(found, pa.binary())], names=["node", "members"])
-
-    return run, "node long, members binary"
+            for at, part in chunks(batch.column(1).to_pylist()):
+                out = [np.concatenate((last_bits(signature(s, c, d)), band_keys(signature(s, a, b)))).tobytes() for s in shingle_sets(Words(part), size)]
+                yield pa.record_batch([batch.column(0).slice(at, len(part)), pa.array(out, pa.binary())], names=["node", "sketch"])
 
+    return run, "node long, sketch binary"
 
-@F.pandas_udf(T.FloatType())
-def _agreement(x: pd.Series, y: pd.Series) -> pd.Series:
-    return pd.Series([float((np.frombuffer(p, np.uint8) == np.frombuffer(q, np.uint8)).mean()) for p, q in zip(x, y)], dtype="float32")
 
-
-def _linked(percent: int):
+def _linked(size: int, percent: int):
     @F.pandas_udf(T.BooleanType())
     def linked(x: pd.Series, y: pd.Series) -> pd.Series:
         out = []
-        for p, q in zip(x, y):
-            p, q = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
-            both = len(np.intersect1d(p, q, assume_unique=True))
-            out.append(100 * both >= percent * (len(p) + len(q) - both))
-        return pd.Series(out, dtype=bool)
+        for at, part in chunks([t for pair in zip(x, y) for t in pair]):
+            out.extend(shingle_sets(Words(part), size))
+        both = [len(np.intersect1d(p, q, assume_unique=True)) for p, q in zip(out[::2], out[1::2])]
+        return pd.Series([100 * n >= percent * (len(p) + len(q) - n) for n, p, q in zip(both, out[::2], out[1::2])], dtype=bool)
 
     return linked
 
 
-def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """Smallest node reachable from each node of links (a, b), by alternating large-star and small-star.
 
     Returns node, comp. Stops when a round leaves the set of links as it was; each round is written to the shared folder.
     """
     edges = cut(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     before = None
-    for _ in range(most_rounds):
+    while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -145,119 +158,183 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         if now == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("comp"))
         before = now
-    raise RuntimeError("components did not settle")
 
 
-def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for each row of docs.
+def _screen(percent: int, best: bool):
+    """Rows (bucket, i, j, side, node, comp, n, bits), sorted by the first four; pairs of a left (side 0) and a right
+    node of the same bucket, i and j out that pass the screen, as a, b, differ; with best, one for each right row.
+    Where sketches follow the bits, they screen too, and a pair is given out by the first bucket that it shares."""
+    longs = 7 + LONGS
+    fields = ("a", "b", "differ")
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        """Whole runs of equal (bucket, i, j), about AT_ONCE / 32 rows at a time."""
+        held: list[np.ndarray] = []
+        for batch in batches:
+            own = [c.to_numpy() for c in batch.columns[:longs]]
+            own += [np.frombuffer(b"".join(c.to_pylist()), np.int64).reshape(batch.num_rows, -1) for c in batch.columns[longs:]]
+            held.append(np.column_stack(own))
+            if sum(map(len, held)) >= AT_ONCE // 32:
+                rows = np.concatenate(held)
+                last = np.flatnonzero((rows[1:, :3] != rows[:-1, :3]).any(axis=1))
+                if len(last):
+                    yield rows[: last[-1] + 1]
+                    rows = rows[last[-1] + 1 :]
+                held = [rows]
+        if held and sum(map(len, held)):
+            yield np.concatenate(held)
+
+    def compared(rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        change = np.concatenate(([True], (rows[1:, :3] != rows[:-1, :3]).any(axis=1)))
+        first = np.append(np.flatnonzero(change), len(rows))
+        lefts = np.add.reduceat((rows[:, 3] == 0).astype(np.int64), first[:-1])
+        rights = np.diff(first) - lefts
+        upto = np.concatenate(([0], np.cumsum(lefts * rights)))
+        comp, n, bits, sketch, bands = rows[:, 5], rows[:, 6], rows[:, 7:longs].astype(np.uint64), rows[:, longs:][:, : SKETCH // 64].astype(np.uint64), rows[:, longs:][:, SKETCH // 64 :]
+        for at in range(0, int(upto[-1]), AT_ONCE):
+            t = np.arange(at, min(at + AT_ONCE, int(upto[-1])))
+            run = np.searchsorted(upto, t, "right") - 1
+            x, y = np.divmod(t - upto[run], rights[run])
+            x, y = x + first[run], y + first[run] + lefts[run]
+            apart = (comp[x] != comp[y]) & (np.minimum(n[x], n[y]) * 100 >= np.maximum(n[x], n[y]) * percent)
+            x, y = x[apart], y[apart]
+            differ = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64)
+            near = differ <= DIFFER
+            x, y, differ = x[near], y[near], differ[near]
+            if bands.shape[1] and len(x):
+                near = np.bitwise_count(sketch[x] ^ sketch[y]).sum(axis=1, dtype=np.int64) <= SKETCH_DIFFER
+                x, y, differ = x[near], y[near], differ[near]
+                same = bands[x] == bands[y]
+                first_shared = bands[x, same.argmax(axis=1)] == rows[x, 0]
+                x, y, differ = x[first_shared], y[first_shared], differ[first_shared]
+            yield x, y, differ
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in runs(batches):
+            node = rows[:, 4]
+            for x, y, differ in compared(rows):
+                if best:
+                    order = np.lexsort((node[x], differ, node[y]))
+                    x, y, differ = x[order], y[order], differ[order]
+                    keep = np.concatenate(([True], node[y][1:] != node[y][:-1])) if len(y) else np.empty(0, bool)
+                    x, y, differ = x[keep], y[keep], differ[keep]
+                yield pa.record_batch([pa.array(node[y]), pa.array(node[x]), pa.array(differ)], names=fields)
+
+    return run, "a long, b long, differ long"
+
+
+def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept, group for each row of docs.
 
     Words are `[^\\x20\\x09-\\x0D]+` with A-Z lower-cased. Two documents are linked if
-    100 * |intersection| >= percent * |union| of their distinct shingles. Null, empty or blank texts have no shingles,
-    are linked with nothing and kept. Rows that repeat a doc_id are returned as often as they come. A null doc_id
-    shares in the group of an equal set; otherwise it is linked with nothing, returned with null component_id and kept.
-    Other columns of docs are ignored. An empty table gives an empty result.
+    100 * |intersection| >= percent * |union| of their distinct shingles. group tells the components apart, and
+    component_id is the smallest doc_id of one. Null, empty or blank texts have no shingles, are linked with nothing,
+    have a null group and are kept. Rows that repeat are returned as often as they come. Rows with a null doc_id share
+    in their component; where no row of it has a doc_id, component_id is null and all its rows are kept. Other columns
+    of docs are ignored, whatever their names, but for those of keep, given back last as `_` and their name. Texts of
+    any length are read whole. An empty table gives an empty result.
     """
     with arrow_batches(docs.sparkSession):
-        return _near_duplicates(docs, shingle_words, percent, id_col, text_col)
+        return _near_duplicates(docs, shingle_words, percent, id_col, text_col, keep)
 
 
-def _near_duplicates(docs: DataFrame, shingle_words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    run, schema = _profile(shingle_words)
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    profile = cut(source.mapInArrow(run, schema))
-    nodes = profile.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("lowest"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("bits").alias("bits"), F.first("sig").alias("sig"))
-    nodes = cut(nodes)
+def _near_duplicates(docs: DataFrame, size: int, percent: int, id_col: str, text_col: str, keep: tuple[str, ...]) -> DataFrame:
+    text = F.col(text_col).cast("string")
+    keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("k1"), F.xxhash64(F.lit("again"), text).alias("k2"), *(F.col(c).alias("_" + c) for c in keep))
+    run, added = _profile(size)
+    profile = cut(keyed.mapInArrow(run, T.StructType([f for f in keyed.schema.fields if f.name != "text"] + added)))
+    while True:
+        one = [F.first(c).alias(c) for c in ("n_shingles", "bands", *_BITS)]
+        nodes = cut(profile.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("lowest"), F.min(F.struct("k1", "k2")).alias("key"), F.min("check").alias("c1"), F.max("check").alias("c2"), *one))
+        if nodes.where("c1 <> c2").isEmpty():
+            break
+        drop_cut(nodes)  # two sets share 64 bits: all nodes are named anew from 128
+        profile = profile.withColumn("node", F.xxhash64("node", "check"))
     rows = nodes.select(F.explode("bands").alias("bucket"), "node")
-    shared = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("hub")).where("n > 1")
-    members = cut(rows.join(shared.select("bucket", "hub"), "bucket"))
-    sig = nodes.select("node", "sig")
-
-    wanted = cut(members.select("node").distinct())
+    shared = cut(rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket"))
+    members = rows.join(maybe_broadcast(shared, shared.count(), 16), "bucket")
+    members = cut(members.join(nodes.select("node", F.col("n_shingles").alias("n"), *_BITS), "node").select("bucket", "node", "n", *_BITS))
+    wanted = cut(members.select("node").distinct().join(nodes.select("node", "key.*"), "node"))
     n_wanted = wanted.count()
+    found = [nodes, shared, members, wanted]
     if n_wanted:
-        first = profile.join(maybe_broadcast(wanted, n_wanted, 24), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-        first = cut(first)
-        own, own_schema = _sets(shingle_words)
-        texts = source.join(maybe_broadcast(first, n_wanted, 40), "doc_id").select("node", "text")
-        # a doc_id that repeats with other texts brings sets of other nodes: only the set with the node's own fingerprint counts
-        sets = cut(texts.mapInArrow(own, own_schema).where(_owns("node", "members")).dropDuplicates(["node"]) if _repeats(profile, n_wanted) else texts.mapInArrow(own, own_schema))
-        comp = _grow(members, sig, nodes.select("node", "n", "bits"), sets, percent)
+        # the whole texts of nodes that share a bucket with others, by 128 bits of the text; copies fall together first
+        texts = keyed.select("text", "k1", "k2").join(maybe_broadcast(wanted, n_wanted, 32), ["k1", "k2"])
+        texts = cut(texts.groupBy("node").agg(F.first("text").alias("text")))
+        comp, more = _grow(members, texts, size, percent)
+        found += [texts, comp, *more]
     else:
         comp = docs.sparkSession.createDataFrame([], "node long, comp long")
     named = nodes.select("node", "lowest").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    least = named.groupBy("comp").agg(F.min("lowest").alias("component_id"), F.count("*").alias("size"))
-    by_node = named.join(least, "comp").select("node", "component_id")
-    out = profile.select("doc_id", "n_shingles", "node").join(by_node, "node", "left")
-    out = out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"))
-
-
-@F.pandas_udf(T.BooleanType())
-def _owned(node: pd.Series, members: pd.Series) -> pd.Series:
-    return pd.Series([n == _fingerprint(np.frombuffer(m, np.uint64)) for n, m in zip(node, members)], dtype=bool)
-
-
-def _owns(node: str, members: str):
-    return _owned(F.col(node), F.col(members))
-
-
-def _repeats(profile: DataFrame, n: int) -> bool:
-    """Whether some doc_id is null or comes more than once."""
-    return bool(profile.groupBy("doc_id").count().where("count > 1 or doc_id is null").limit(1).count())
-
-
-def _grow(members: DataFrame, sig: DataFrame, profile: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Components over the links found in the buckets (bucket, node, hub); profile has node, n and bits."""
-    linked = _linked(percent)
+    # few nodes are linked: the others are components of their own, and need no grouping
+    least = named.join(comp.select("comp").distinct(), "comp", "left_semi").groupBy("comp").agg(F.min("lowest").alias("least"))
+    by_node = cut(named.join(least, "comp", "left").select("node", F.coalesce("least", "lowest").alias("component_id"), F.col("comp").alias("group")))
+    for x in found:
+        drop_cut(x)
+    kept = ["_" + c for c in keep]
+    some = profile.where("node is not null").select("doc_id", "n_shingles", "node", *kept).join(by_node, "node").drop("node")
+    none = profile.where("node is null").select("doc_id", "n_shingles", *kept, F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("group"))
+    stays = F.col("component_id").isNull() | F.col("doc_id").eqNullSafe(F.col("component_id"))
+    return some.unionByName(none).select("doc_id", "n_shingles", "component_id", stays.alias("kept"), "group", *kept)
+
+
+def _grow(members: DataFrame, texts: DataFrame, size: int, percent: int) -> tuple[DataFrame, list[DataFrame]]:
+    """node, comp over the links among members of the buckets (bucket, node, n, bits), and the tables behind it."""
+    spark, linked = members.sparkSession, _linked(size, percent)
+    columns = ["bucket", "i", "j", "side", "node", "comp", "n", *_BITS]
+
+    def screened(left: DataFrame, right: DataFrame, best: bool) -> DataFrame:
+        run, schema = _screen(percent, best)
+        both = left.withColumn("side", F.lit(0)).unionByName(right.withColumn("side", F.lit(1)), allowMissingColumns=True)
+        both = both.select(*(F.col(c).cast("long").alias(c) for c in columns), *(() if best else ("sketch",)))
+        return both.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "side").mapInArrow(run, schema)
+
+    def block(salt: str, n):
+        return F.pmod(F.xxhash64("node", F.lit(salt)), n)
 
     def confirm(pairs: DataFrame) -> DataFrame:
-        near = pairs.join(sig.select(F.col("node").alias("a"), F.col("sig").alias("sa")), "a").join(sig.select(F.col("node").alias("b"), F.col("sig").alias("sb")), "b")
-        near = near.where(_agreement("sa", "sb") >= SCREEN).select("a", "b")
-        full = near.join(sets.select(F.col("node").alias("b"), F.col("members").alias("mb")), "b").join(sets.select(F.col("node").alias("a"), F.col("members").alias("ma")), "a")
-        return full.where(linked("ma", "mb")).select("a", "b")
-
-    start = members.where("node <> hub").groupBy("node").agg(F.min("hub").alias("b")).select(F.col("node").alias("a"), "b")
-    links = cut(confirm(start))
-    comp = components(links)
-    tested = cut(start)
-    differ = sum(F.bit_count(F.col("bits")[k].bitwiseXOR(F.col("hbits")[k])) for k in range(-(-BANDS * ROWS // 64)))
-    fits = (F.least("n", "hn") * 100 >= F.greatest("n", "hn") * percent) & (differ <= DIFFER)
-    width, spread = 4, 0
-    while True:
-        # buckets whose members lie in several components
-        placed = members.select("bucket", "node").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        counts = placed.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
-        largest = counts.groupBy("bucket").agg(F.max_by("comp", F.struct("n", "comp")).alias("top"), F.count("*").alias("parts")).where("parts > 1")
-        mixed = cut(placed.join(largest, "bucket").select("bucket", "node", "comp", (F.col("comp") == F.col("top")).alias("top")).join(profile, "node"))
-        if mixed.isEmpty():
-            return comp
-        few = spread < SPREADS
-        if few:  # a few hubs from the largest component and a few from the others, drawn anew for each bucket and round
-            by = Window.partitionBy("bucket", "top").orderBy(F.xxhash64("node", "bucket", F.lit(spread)))
-            hubs, others = mixed, mixed.where("not top")
-        else:  # all but the largest component give hubs, which meet all members
-            by = Window.partitionBy("bucket").orderBy("node")
-            hubs, others = mixed.where("not top"), mixed
-        hubs = hubs.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= (4 if few else width))
-        hubs = hubs.select("bucket", F.col("node").alias("h"), F.col("comp").alias("hc"), F.col("n").alias("hn"), F.col("bits").alias("hbits"))
-        pairs = hubs.join(others, "bucket").where((F.col("hc") != F.col("comp")) & fits).select(F.greatest("h", "node").alias("a"), F.least("h", "node").alias("b")).distinct()
-        pairs = cut(pairs.join(tested.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti"))
-        left = few or mixed.where("not top").groupBy("bucket").count().where(F.col("count") > width).limit(1).count()
-        fresh = cut(confirm(pairs)) if not pairs.isEmpty() else None
-        found = fresh is not None and not fresh.isEmpty()
-        if not found and not left:
-            return comp
-        if few:
-            spread = spread + 1 if found else SPREADS
+        near = pairs.select("a", "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a")
+        near = near.join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
+        return near.where(linked("x", "y")).select("a", "b")
+
+    links, comp, tested, made, turn, last = None, None, None, [], 0, False
+    while not last:
+        last = turn == ROUNDS
+        placed = members.withColumn("comp", F.col("node")) if comp is None else members.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        apart = placed.groupBy("bucket").agg(F.count("*").alias("m"), F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 <> c2").select("bucket", "m")
+        mixed = cut(placed.join(apart, "bucket").withColumn("blocks", F.ceil(F.col("m") / BLOCK)))
+        if not last:
+            order = Window.partitionBy("bucket").orderBy(F.xxhash64("node", F.lit(turn)), "node")
+            hubs = mixed.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= HUBS)
+            hubs = hubs.withColumn("i", F.lit(0)).withColumn("j", F.explode(F.expr("sequence(0L, blocks - 1)")))
+            pairs = screened(hubs, mixed.withColumns({"i": F.lit(0), "j": block("j", F.col("blocks"))}), True)
+            pairs = pairs.groupBy("a").agg(F.min(F.struct("differ", "b")).alias("best")).select("a", "best.b")
         else:
-            width *= 4
-        if fresh is not None:
-            tested = tested.unionByName(pairs)
-        if found:
-            links = links.unionByName(fresh)
-            comp = components(links)
+            sizes = mixed.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
+            top = sizes.groupBy("bucket").agg(F.max(F.struct("n", "comp"))["comp"].alias("top"), F.sum("n").alias("all"), F.max("n").alias("most"))
+            top = top.select("bucket", "top", F.ceil((F.col("all") - F.col("most")) / BLOCK).alias("others"))
+            apart = cut(texts.join(mixed.select("node").distinct(), "node", "left_semi").select("node", "text").mapInArrow(*_sketches(size)))
+            made.append(apart)
+            dealt = mixed.join(top, "bucket").join(apart, "node")
+            left = dealt.where("comp <> top").withColumn("i", block("i", F.col("others"))).withColumn("j", F.explode(F.expr("sequence(0L, blocks - 1)")))
+            right = dealt.withColumn("j", block("j", F.col("blocks"))).withColumn("i", F.explode(F.expr("sequence(0L, others - 1)")))
+            pairs = screened(left, right, False)
+        pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        pairs = cut(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
+        fresh = cut(confirm(pairs))
+        drop_cut(mixed)
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        made += [pairs, fresh]
+        if fresh.isEmpty():
+            turn = ROUNDS
+            continue
+        turn += 1
+        links = fresh if links is None else links.unionByName(fresh)
+        comp = components(links)
+        made.append(comp)
+    return (spark.createDataFrame([], "node long, comp long") if comp is None else comp), made
 
 
 def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of documents over two-word shingles at a similarity of 0.8."""
-    return near_duplicates(table(spark, sf_dir, "documents"), shingle_words=2, percent=80)
+    return near_duplicates(table(spark, sf_dir, "documents"), shingle_words=2, percent=80).drop("group")

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lakeloom.llm._common import cut, table
-from lakeloom.llm.decontaminate import find_leaks
+from lakeloom.llm._common import cut, maybe_broadcast, table
+from lakeloom.llm.decontaminate import drop_leaks
 from lakeloom.llm.line_dedup import drop_boilerplate
 from lakeloom.llm.minhash_dedup import near_duplicates
 from lakeloom.llm.quality import score_quality
@@ -17,14 +17,9 @@ LEAST_QUALITY = 0.5
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
-def _text_key(docs: DataFrame) -> DataFrame:
-    """docs with _key, the same for equal texts; null counts as empty."""
-    return docs.withColumn("_key", F.xxhash64(F.coalesce("text", F.lit(""))))
-
-
 def _row_key(docs: DataFrame) -> DataFrame:
-    """docs with _row, the same for rows that are equal in all columns."""
-    return docs.withColumn("_row", F.xxhash64(*docs.columns, *(F.col(c).isNull() for c in docs.columns)))
+    """docs with _row, the same for rows that are equal in all columns: 128 bits of them."""
+    return docs.withColumn("_row", F.md5(F.to_json(F.struct(*docs.columns))))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,27 +35,27 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near copies stays, that of the smallest doc_id (null last); rows without words all stay.
-
-    Groups are found among texts; of rows that repeat id and text, one stays.
-    """
-    keyed = _text_key(docs)
-    groups = cut(near_duplicates(keyed, id_col="_key").where("n_shingles > 0").select(F.col("doc_id").alias("_key"), "component_id").distinct())
-    rows = keyed.select("_key", "doc_id").join(groups, "_key")
-    least = rows.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "_key")).alias("least"))
-    least = cut(least.select(F.col("least._key").alias("_key"), F.col("least.doc_id").alias("_doc_id")))
-    out = keyed.join(least, "_key").where(F.col("doc_id").eqNullSafe(F.col("_doc_id")))
-    if keyed.groupBy("_key", "doc_id").count().where("count > 1").limit(1).count():
-        out = out.dropDuplicates(["_key", "doc_id"])
-    blank = ~F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    return out.select(*docs.columns).unionByName(docs.where(blank))
+    """One row of each group of near copies stays, that of the smallest doc_id (null last, ties by text); rows that repeat
+    id and text are one. Rows without words all stay. Null ids and null texts are no error."""
+    keyed = docs.withColumn("_text", F.md5(F.coalesce("text", F.lit(""))))
+    groups = cut(near_duplicates(keyed, keep=("_text",)).where("group is not null").groupBy("group", "doc_id", F.col("__text").alias("_text")).agg(F.count("*").alias("rows")))
+    best = groups.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "_text")).alias("best"), F.sum("rows").alias("of")).where("of > 1")
+    # only rows of groups of several are touched: of the best one's rows one stays, the others go
+    several = cut(groups.join(best, "group").select("doc_id", "_text", (F.col("best.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("best._text") == F.col("_text"))).alias("stays"), "rows"))
+    n = several.count()
+    gone = several.where("not stays or rows > 1").select(F.col("doc_id").alias("_id"), "_text", F.col("stays").alias("_stays"))
+    gone = maybe_broadcast(gone, n, 64)
+    marked = keyed.withColumnRenamed("_text", "_key").join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_text")), "left")
+    out = marked.where("_stays is null").select(*docs.columns)
+    if several.where("stays and rows > 1").limit(1).count():
+        again = marked.where("_stays").dropDuplicates(["_id", "_key"]).select(*docs.columns)
+        out = out.unionByName(again)
+    return out
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose text holds a benchmark item go."""
-    keyed = _text_key(docs)
-    leaks = cut(find_leaks(keyed, table(spark, sf_dir, "benchmark"), id_col="_key").select(F.col("doc_id").alias("_key")).distinct())
-    return keyed.join(leaks, "_key", "left_anti").select(*docs.columns)
+    """Rows whose text holds a benchmark item go, each judged by its own text; null and blank texts stay."""
+    return drop_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

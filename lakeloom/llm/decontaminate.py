@@ -6,7 +6,8 @@ moves on. Sequences few edits apart give outputs that agree in many places, so b
 together and the draw repeated, makes similar windows and items collide. Exact edit distance confirms.
 
 Symbols are words. Of k + 1 pieces of an item one is whole in every stretch within k edits of it. So only windows that
-begin at most k words from where such a piece would place them are walked, which loses nothing.
+begin at most k words from where such a piece would place them are walked, which loses nothing: to walk every window of
+every item length would take over a hundred times the time. Items too short for an edit are found as they stand.
 """
 
 from __future__ import annotations
@@ -21,13 +22,16 @@ from pyspark.sql import functions as F
 
 from lakeloom.llm._common import Words, chunks, mix, table
 
-#: Edits allowed, as a share of an item's words, and the fewest words of an item that is looked for.
-RATE, LEAST_WORDS = 0.2, 5
+#: Edits allowed, as a share of an item's words, and the fewest words of an item that is looked for: all are.
+RATE, LEAST_WORDS = 0.2, 1
 #: Walks, samples of each walk's output and places in a sample: pairs at the allowed distance collide with probability
 #: over 0.99 (tests measure it).
 WALKS, SAMPLES, PLACES = 12, 16, 2
-#: Text of the items that one pass over the documents looks for, in bytes.
-SLICE_BYTES = 16 << 20
+#: What the tasks hold of the items that one pass over the documents looks for, in bytes, and what an item takes there
+#: besides its text: its bucket keys, their owners and the seeds.
+SLICE_BYTES, ITEM_BYTES = 64 << 20, 4096
+#: Hits of seeds that are expanded at once.
+AT_ONCE = 1 << 20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _SIGNS = np.frombuffer(bytes(32 if c < 128 and not chr(c).isalnum() else c for c in range(256)), np.uint8)
 
@@ -104,50 +108,56 @@ class Seeds:
         self.maybe = np.zeros(1 << 20, bool)
         self.maybe[self.hash >> np.uint64(44)] = True
 
-    def hits(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Where each seed begins in the symbols, its group and its place in the item."""
+    def hits(self, hashes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Where each seed begins in the symbols, its group and its place in the item, in bounded runs."""
         g = grams(hashes, self.size)
         at = np.flatnonzero(self.maybe[g >> np.uint64(44)])
         low, high = np.searchsorted(self.hash, g[at], "left"), np.searchsorted(self.hash, g[at], "right")
-        n = high - low
-        seed = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
-        return np.repeat(at, n), self.group[seed], self.place[seed]
+        at, low, n = at[high > low], low[high > low], (high - low)[high > low]
+        run = np.cumsum(n) // AT_ONCE
+        for k in np.unique(run):
+            mine, a, m = at[run == k], low[run == k], n[run == k]
+            seed = np.repeat(a - np.cumsum(m) + m, m) + np.arange(m.sum())
+            yield np.repeat(mine, m), self.group[seed], self.place[seed]
 
 
 class Items:
-    """Benchmark items by length, their words, their seeds and their bucket keys."""
+    """Distinct benchmark items by length, their words, their seeds and their bucket keys."""
 
     def __init__(self, ids: list[int], texts: list[bytes], rate: float, least_words: int) -> None:
         words = symbols(texts)
-        by_length: dict[int, list[tuple[int, np.ndarray]]] = {}
+        by_length: dict[int, dict[bytes, list[int]]] = {}
         for i, a, b in zip(ids, words.first[:-1], words.first[1:]):
-            if b - a >= least_words:
-                by_length.setdefault(int(b - a), []).append((i, words.hash[a:b]))
+            if b - a >= least_words and b > a:
+                by_length.setdefault(int(b - a), {}).setdefault(words.hash[a:b].tobytes(), []).append(i)
         self.groups, seeds = [], {}
         for n, items in sorted(by_length.items()):
-            rows, k = np.stack([x for _, x in items]), int(rate * n)
-            key = keys(rows)
+            rows, k = np.frombuffer(b"".join(items), np.uint64).reshape(-1, n), int(rate * n)
+            key = keys(rows) if k else whole_keys(rows)
             order = np.argsort(key.ravel(), kind="stable")
             size = n // (k + 1)
             for row in rows:
                 for place in (n * np.arange(k + 1)) // (k + 1):
                     seeds.setdefault(size, []).append((int(grams(row[place : place + size], size)[0]), len(self.groups), int(place)))
-            self.groups.append((n, k, [i for i, _ in items], rows, key.ravel()[order], order // key.shape[1]))
+            self.groups.append((n, k, list(items.values()), rows, key.ravel()[order], order // key.shape[1]))
         self.seeds = [Seeds(size, found) for size, found in sorted(seeds.items())]
 
     def starts(self, words: Words, text_of: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         """For each group with seeds in the texts, the words at which windows begin."""
-        found = []
+        opened: dict[int, np.ndarray] = {}
         for s in self.seeds:
-            at, group, place = s.hits(words.hash)
-            inside = at + s.size <= words.first[1:][text_of[at]]
-            found.append((at[inside], group[inside], place[inside]))
-        at, group, place = (np.concatenate(x) for x in zip(*found))
-        for g in np.unique(group):
-            k, mine = self.groups[g][1], group == g
-            begin = (at[mine] - place[mine])[:, None] + np.arange(-k, k + 1)
-            t = text_of[at[mine]][:, None]
-            yield g, np.unique(np.clip(begin, words.first[t], words.first[t + 1] - 1))
+            for at, group, place in s.hits(words.hash):
+                inside = at + s.size <= words.first[1:][text_of[at]]
+                at, group, place = at[inside], group[inside], place[inside]
+                for g in np.unique(group):
+                    k, mine = self.groups[g][1], group == g
+                    begin, t = (at - place)[mine], text_of[at[mine]]
+                    bounds = words.first[t], words.first[t + 1] - 1
+                    change = opened.setdefault(g, np.zeros(len(words.hash) + 1, np.int64))
+                    change += np.bincount(np.clip(begin - k, *bounds), minlength=len(change))
+                    change -= np.bincount(np.clip(begin + k, *bounds) + 1, minlength=len(change))
+        for g in sorted(opened):
+            yield g, np.flatnonzero(np.cumsum(opened[g][:-1]) > 0)
 
     def find(self, words: Words) -> Iterator[tuple[int, int, int, int]]:
         """(text, item id, edits, word at which the nearest stretch ends) of each item found in each text."""
@@ -157,51 +167,70 @@ class Items:
         text_of = np.repeat(np.arange(len(size)), size)
         for g, starts in self.starts(words, text_of):
             n, k, ids, rows, key, owner = self.groups[g]
-            end = np.minimum(starts + n, words.first[1:][text_of[starts]])
-            found: dict[tuple[int, int], list[int]] = {}
-            for a in range(0, len(starts), max(1, 100_000 // n)):
-                some, stop = starts[a : a + max(1, 100_000 // n)], end[a : a + max(1, 100_000 // n)]
+            found = [np.empty((0, 2), np.int64)]  # item, start
+            for some in np.array_split(starts, max(1, len(starts) * n // 100_000)):
                 place = some[:, None] + np.arange(n)
-                windows = np.where(place < stop[:, None], words.hash[np.minimum(place, len(words.hash) - 1)], np.uint64(0))
-                mine = keys(windows)
+                inside = place < words.first[1:][text_of[some]][:, None]
+                windows = np.where(inside, words.hash[np.minimum(place, len(words.hash) - 1)], np.uint64(0))
+                mine = keys(windows) if k else whole_keys(windows)
                 low, high = np.searchsorted(key, mine.ravel(), "left"), np.searchsorted(key, mine.ravel(), "right")
-                for j in np.flatnonzero(high > low):
-                    start = int(some[j // mine.shape[1]])
-                    for o in set(owner[low[j] : high[j]].tolist()):
-                        found.setdefault((int(text_of[start]), o), []).append(start)
-            for (t, o), at in found.items():
-                best, at = None, np.unique(at)
+                hit = np.flatnonzero(high > low)
+                for part in np.array_split(hit, max(1, int((high - low).sum()) // AT_ONCE)):
+                    m = (high - low)[part]
+                    item = owner[np.repeat(low[part] - np.cumsum(m) + m, m) + np.arange(m.sum())]
+                    found.append(np.unique(np.column_stack((item, some[np.repeat(part // mine.shape[1], m)])), axis=0))
+            pairs = np.unique(np.concatenate(found), axis=0)
+            edges = np.flatnonzero((pairs[1:, 0] != pairs[:-1, 0]) | (text_of[pairs[1:, 1]] != text_of[pairs[:-1, 1]])) + 1
+            for own in np.split(pairs, edges) if len(pairs) else ():
+                o, at, best, t = int(own[0, 0]), own[:, 1], None, int(text_of[own[0, 1]])
                 for run in np.split(at, np.flatnonzero(np.diff(at) > n) + 1):  # stretches that overlap, taken as one
                     a, b = max(int(words.first[t]), int(run[0]) - k), min(int(words.first[t + 1]), int(run[-1]) + n + k)
                     edits, stop = edits_within(rows[o], words.hash[a:b])
                     if edits <= k and (best is None or edits < best[0]):
                         best = edits, a + stop - int(words.first[t])
+                        if not edits:
+                            break
                 if best:
-                    yield t, ids[o], *best
+                    yield from ((t, i, *best) for i in ids[o])
 
 
-def slices(benchmark: DataFrame) -> list[str]:
-    """Conditions that cut the benchmark into parts of bounded text."""
-    size = benchmark.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0))).first()[0]
+def whole_keys(rows: np.ndarray) -> np.ndarray:
+    """One hash of each whole row: the key of items that allow no edit."""
+    out = rows[:, 0]
+    for column in rows.T[1:]:
+        out = mix(out * _ODD + column)
+    return out[:, None]
+
+
+def slices(items: DataFrame) -> list[str]:
+    """Conditions that cut the benchmark into parts whose models are of bounded size."""
+    size = items.agg(F.coalesce(F.sum(8 * F.octet_length("text") + ITEM_BYTES), F.lit(0))).first()[0]
     n = -(-int(size) // SLICE_BYTES) or 1
     return [f"pmod(xxhash64(text), {n}) = {k}" for k in range(n)]
 
 
+def _models(benchmark: DataFrame, rate: float, least_words: int) -> Iterator[Items]:
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null").distinct()
+    for condition in slices(items):
+        part = items.where(condition).orderBy("item_id", "text").collect()  # a slice of bounded size
+        yield Items([r.item_id for r in part], [r.text.encode("utf-8", "surrogatepass") for r in part], rate, least_words)
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, least_words: int = LEAST_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, item_id, edits, item_words, end_word: each benchmark item within int(rate * its words) word edits of some
     stretch of a document, with the fewest edits found and where that stretch ends.
 
-    Words are runs of letters, digits and bytes beyond ASCII, A-Z lower-cased. Items of fewer than least_words words
-    can't be told from chance and are left out, as are null and empty items. Null and empty documents hold nothing. Rows
-    of docs that repeat are reported each; items that repeat, once for each item_id; rows with a null item_id are left
-    out. Texts of any length are searched whole. A large benchmark is looked for slice by slice, each of bounded size.
+    Words are runs of letters, digits and bytes beyond ASCII, A-Z lower-cased. Items of under 1 / rate words must stand
+    as they are. Null items, items without words and those under least_words are left out. Null, empty and blank documents
+    hold nothing. Rows of docs that repeat are reported each, rows with a null doc_id too; items that repeat, once for
+    each item_id; rows with a null item_id are left out. Texts of any length are searched whole. Other columns are
+    ignored, whatever their names. Empty tables give an empty result. A large benchmark is looked for slice by slice,
+    each of bounded size.
     """
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null").distinct()
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
-    def search(part: list) -> DataFrame:
-        model = Items([r.item_id for r in part], [r.text.encode("utf-8", "surrogatepass") for r in part], rate, least_words)
-        n_of = {i: g[0] for g in model.groups for i in g[2]}
+    def search(model: Items) -> DataFrame:
+        n_of = {i: g[0] for g in model.groups for ids in g[2] for i in ids}
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -214,12 +243,33 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, least_
         return rows.mapInArrow(run, "doc_id long, item_id long, edits long, item_words long, end_word long")
 
     found = None
-    for condition in slices(items):
-        part = search(items.where(condition).orderBy("item_id", "text").collect())  # at most SLICE_BYTES of text
+    for model in _models(benchmark, rate, least_words):
+        part = search(model)
         found = part if found is None else found.unionByName(part)
     return found
 
 
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, least_words: int = LEAST_WORDS, text_col: str = "text") -> DataFrame:
+    """The rows of docs in whose text find_leaks finds no item, in one pass for each slice of the benchmark and without
+    a shuffle. Each row is judged by its own text, whatever its other columns hold; rows without words stay."""
+    at = docs.columns.index(text_col)
+
+    def without(rows: DataFrame, model: Items) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                clean = np.ones(batch.num_rows, bool)
+                for first, some in chunks(batch.column(at).to_pylist()):
+                    for t, *_ in model.find(symbols(some)):
+                        clean[first + t] = False
+                yield batch.filter(pa.array(clean))
+
+        return rows.mapInArrow(run, docs.schema)
+
+    for model in _models(benchmark, rate, least_words):
+        docs = without(docs, model)
+    return docs
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items found in documents."""
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 
 from lakeloom.llm._common import cut, maybe_broadcast, table
 
-RATIO, MIN_PAGES = 0.1, 5
+#: A line must stand on more than this share of its host's pages, and on two pages at least: a line of one page alone
+#: doesn't repeat.
+RATIO, MIN_PAGES = 0.1, 2
 
 
 def drop_boilerplate(docs: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES, host_col: str = "source", text_col: str = "text") -> DataFrame:
@@ -21,28 +23,32 @@ def drop_boilerplate(docs: DataFrame, ratio: float = RATIO, min_pages: int = MIN
     Lines end at each newline and are compared whole. A line goes if it stands on at least min_pages pages of its host
     and on more than ratio of them; a page that repeats a line counts once, and then loses each repetition. Blank
     lines stay. Rows that repeat count as pages of their own. Pages with a null host form one host. A null text stays
-    null with no lines, an empty one has one blank line; a page that loses all lines stays with an empty text. Columns
-    keep their names and order; n_lines and n_dropped of docs itself are replaced. An empty table gives an empty result.
+    null with no lines, an empty one has one blank line; a page that loses all lines stays with an empty text. Texts of
+    any length are read whole. Columns keep their names, whatever they are, and their order; n_lines and n_dropped of
+    docs itself are replaced. An empty table gives an empty result.
     """
     text, host = F.col(text_col).cast("string"), F.col(host_col).cast("string")
-    lines = F.split(text, "\n", -1)
     shown = lambda x: x.rlike(r"[^ \t\r]")
-    hashes = F.array_distinct(F.transform(F.filter(lines, shown), lambda x: F.xxhash64(x)))
-    on = docs.select(F.coalesce(host, F.lit("")).alias("_host"), host.isNull().alias("_no_host"), hashes.alias("_lines"))
-    pages = on.groupBy("_host", "_no_host").agg(F.count("*").alias("_pages"))
-    counts = on.select("_host", "_no_host", F.explode("_lines").alias("_line")).groupBy("_host", "_no_host", "_line").agg(F.count("*").alias("_n")).where(F.col("_n") >= min_pages)
-    often = counts.join(pages, ["_host", "_no_host"]).where(F.col("_n") > ratio * F.col("_pages"))
-    lists = cut(often.groupBy("_host", "_no_host").agg(F.collect_set("_line").alias("_drop")))
-    n, longest = lists.agg(F.count("*"), F.coalesce(F.max(F.size("_drop")), F.lit(0))).first()
+    kept = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    rows = docs.select(F.coalesce(host, F.lit("")).alias("host"), host.isNull().alias("no_host"), F.split(text, "\n", -1).alias("lines"), F.struct(*(F.col(c) for c in kept)).alias("row"))
+    hashes = F.transform(F.filter("lines", shown), lambda x: F.xxhash64(x))
+    on = rows.select("host", "no_host", F.array_distinct(hashes).alias("on_page"))
+    pages = on.groupBy("host", "no_host").agg(F.count("*").alias("pages"))
+    counts = on.select("host", "no_host", F.explode("on_page").alias("line")).groupBy("host", "no_host", "line").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
+    often = counts.join(pages, ["host", "no_host"]).where(F.col("n") > ratio * F.col("pages"))
+    lists = cut(often.groupBy("host", "no_host").agg(F.collect_set("line").alias("boilerplate")))
+    n, longest = lists.agg(F.count("*"), F.coalesce(F.max(F.size("boilerplate")), F.lit(0))).first()
     lists = maybe_broadcast(lists, n, 64 + 8 * longest)
 
-    kept = docs.drop("n_lines", "n_dropped").withColumns({"_host": F.coalesce(host, F.lit("")), "_no_host": host.isNull()}).join(lists, ["_host", "_no_host"], "left")
-    stays = lambda x: ~(shown(x) & F.array_contains(F.col("_drop"), F.xxhash64(x)))
-    kept = kept.withColumn("_kept", F.when(F.col("_drop").isNull(), lines).otherwise(F.filter(lines, stays)))
-    all_lines = F.coalesce(F.size(lines), F.lit(0))
-    left = F.coalesce(F.size("_kept"), F.lit(0))
-    out = kept.withColumns({"n_lines": F.when(text.isNull(), 0).otherwise(all_lines).cast("long"), "n_dropped": F.when(text.isNull(), 0).otherwise(all_lines - left).cast("long")})
-    return out.withColumn(text_col, F.when(text.isNotNull(), F.array_join("_kept", "\n"))).select(*[c for c in docs.columns if c not in ("n_lines", "n_dropped")], "n_lines", "n_dropped")
+    # a page meets its host's list once, by hashing; its lines are looked up among what both share
+    found = rows.join(lists, ["host", "no_host"], "left").withColumn("hits", F.coalesce(F.array_intersect(hashes, "boilerplate"), F.array().cast("array<bigint>")))
+    stays = lambda x: ~(shown(x) & F.array_contains(F.col("hits"), F.xxhash64(x)))
+    left = F.when(F.size("hits") == 0, F.col("lines")).otherwise(F.filter("lines", stays))
+    found = found.select("row", "lines", left.alias("left"))
+    n_lines = F.coalesce(F.when(F.col("lines").isNotNull(), F.size("lines")), F.lit(0)).cast("long")
+    n_left = F.coalesce(F.when(F.col("left").isNotNull(), F.size("left")), F.lit(0)).cast("long")
+    whole = F.array_join("left", "\n")
+    return found.select(*((whole if c == text_col else F.col("row")[c]).alias(c) for c in kept), n_lines.alias("n_lines"), (n_lines - n_left).alias("n_dropped"))
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

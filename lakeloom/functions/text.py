@@ -45,9 +45,11 @@ def years_between(start: Column, end: Column) -> Column:
 
 
 def point_id(source: Column, index: Column) -> Column:
-    """A name-like identifier of a chunk from the sha256 of `source:index`, cut as 8-4-4-4-12 hex digits."""
+    """A UUID of version 4's shape from the sha256 of `source:index`: 8-4-4-4-12 hex digits, the 13th a 4, the two at 17
+    with the variant's bits."""
     h = F.sha2(F.concat(source, F.lit(":"), index.cast("string")), 256)
-    return F.concat_ws("-", *(h.substr(a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))))
+    variant = F.conv(h.substr(17, 2), 16, 10).cast("int").bitwiseAND(0x3F).bitwiseOR(0x80)
+    return F.concat_ws("-", h.substr(1, 8), h.substr(9, 4), F.concat(F.lit("4"), h.substr(14, 3)), F.concat(F.lower(F.lpad(F.hex(variant), 2, "0")), h.substr(19, 2)), h.substr(21, 12))
 
 
 def formula_lead(c: Column) -> Column:
@@ -55,12 +57,222 @@ def formula_lead(c: Column) -> Column:
     return c.rlike(r"^[=+\-@]")
 
 
+#: What stands between the kept ends of a cut text (fixed value).
+GAP = " … "
+
+
+def trimmed(c: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(c, r"^[\s\u00a0\ufeff]+|[\s\u00a0\ufeff]+$", "")
+
+
 def excerpt(c: Column, limit: int) -> Column:
-    """At most limit characters: three quarters from the head and the rest from the tail."""
-    head = limit * 3 // 4
-    return F.when(F.length(c) <= limit, c).otherwise(F.concat(c.substr(1, head), F.lit("…"), F.right(c, F.lit(limit - head))))
+    """A trimmed text of at most limit characters: three quarters of what GAP leaves from the head, the rest from the tail."""
+    t = trimmed(c)
+    if limit <= len(GAP) + 2:
+        return F.when(F.length(t) <= limit, t).otherwise(F.concat(t.substr(1, limit - 1), F.lit("…")))
+    head = (limit - len(GAP)) * 3 // 4
+    return F.when(F.length(t) <= limit, t).otherwise(F.concat(t.substr(1, head), F.lit(GAP), F.right(t, F.lit(limit - len(GAP) - head))))
+
+
+def centred(c: Column, limit: int, words: list[str]) -> Column:
+    """At most limit characters around the first word (the longest first) of which a stem stands in the text, a quarter
+    of them before it; … marks cut ends. Without such a word, excerpt."""
+    t = trimmed(c)
+    plain = folded(t)
+    out = excerpt(t, limit)
+    for w in sorted(words, key=len):  # the outermost condition is the longest word's longest form
+        for f in reversed([w[: len(w) - k] for k in range(3 if len(w) >= 6 else 2 if len(w) >= 5 else 1)]):
+            at = F.instr(plain, F.lit(f))
+            start = F.greatest(at - 1 - limit // 4, F.lit(0))
+            cut = F.concat(F.when(start > 0, "…").otherwise(""), t.substr(start + 1, F.lit(limit)), F.when(start + limit < F.length(t), "…").otherwise(""))
+            out = F.when(at > 0, cut).otherwise(out)
+    return F.when(F.length(t) <= limit, t).otherwise(out)
 
 
 def like_prefix(c: Column, prefix: str) -> Column:
     """Case-blind match of a literal prefix; %, _ and the escape sign stand for themselves."""
     return F.upper(c).startswith(prefix.upper())
+
+
+def spaced(c: Column) -> Column:
+    return F.trim(F.regexp_replace(c, r"\s+", " "))
+
+
+def plain_words(c: Column) -> Column:
+    """Lower case, quotes out, punctuation as spaces, white space collapsed."""
+    return spaced(F.regexp_replace(F.regexp_replace(F.lower(c), "[„”\"']", ""), r"[.,;:!?\-–—()\[\]{}]", " "))
+
+
+def spoken(c: Column) -> Column:
+    """A question as lexicons compare it: lower case, one kind of quotes and dashes, `nr` for numer and nr., no final sign."""
+    t = F.translate(F.lower(c), "„”«»–—−", '""""---')
+    for pattern, by in ((r"\bnr\.", "nr"), (r"\bnumer\b", "nr"), (r"\bew\.", "ew")):
+        t = F.regexp_replace(spaced(t), pattern, by)
+    return F.trim(F.regexp_replace(t, r"[!?.,;:]+$", ""))
+
+
+def title_key(c: Column) -> Column:
+    """Upper case without marks; everything but letters and digits is one space. (An ł isn't a marked l: it's a space.)"""
+    t = F.translate(F.upper(c), "ĄĆĘŃÓŚŹŻ", "ACENOSZZ")
+    return F.trim(F.regexp_replace(t, r"[^A-Z0-9]+", " "))
+
+
+def graph_term(c: Column) -> Column:
+    """A name as the graph's index has it: trimmed, spaces collapsed, lower case, a GUID without its braces, marks off."""
+    t = F.lower(spaced(c))
+    guid = t.rlike(r"^[{(]?[0-9a-f]{8}-?[0-9a-f]{4}-?[0-9a-f]{4}-?[0-9a-f]{4}-?[0-9a-f]{12}[)}]?$")
+    return F.translate(F.when(guid, F.regexp_replace(t, r"[{}()]", "")).otherwise(t), MARKED, PLAIN)
+
+
+#: Endings that a tag loses, the first that fits, and tags that stand for others (fixed values).
+ENDINGS = ("ow", "ów", "ach", "ami", "om", "em", "ie", "y", "a", "e", "i", "u")
+ALIASES = {"pracownic": "pracownik", "pracownikow": "pracownik", "pracownikach": "pracownik", "pracownikami": "pracownik"}
+
+
+def tag(c: Column) -> Column:
+    """A word as a tag: folded, without signs and its ending, by its alias; empty if under two letters."""
+    t = F.regexp_replace(F.translate(F.lower(F.trim(c)), "ąćęńóśźż", "acenoszz"), "[^a-z0-9_ł]", "")
+    cut = t
+    for e in reversed(ENDINGS):
+        cut = F.when((F.length(t) > len(e) + 2) & t.endswith(e), t.substr(F.lit(1), F.length(t) - len(e))).otherwise(cut)
+    for known, other in ALIASES.items():
+        cut = F.when(cut == known, other).otherwise(cut)
+    return F.when(F.length(t) < 2, "").otherwise(cut)
+
+
+def tags(c: Column, stop: tuple[str, ...] = ()) -> Column:
+    """Distinct tags of at least three letters, in order, without stop words."""
+    words = F.transform(F.split(F.translate(F.lower(c), "ąćęńóśźż", "acenoszz"), "[^a-z0-9_ł]+"), tag)
+    return F.array_distinct(F.filter(words, lambda w: (F.length(w) >= 3) & ~w.isin(*stop)))
+
+
+def label_score(label: Column, column: Column, comment: Column | None = None) -> Column:
+    """How well a label names a column: 100 if equal, 6 if one holds the other, else 3 for each of its words (three letters
+    at least) that a word of the name holds or is held by; 8 more if the column's comment holds the label. Under 5 no match."""
+    a, b = F.trim(folded(label)), F.trim(folded(F.replace(column, F.lit("_"), F.lit(" "))))
+    parts = F.filter(F.split(F.lower(column), "[^a-z0-9]+"), lambda w: F.length(w) >= 2)
+    words = F.filter(F.split(a, r"\s+"), lambda w: F.length(w) >= 3)
+    shared = F.size(F.filter(words, lambda w: F.exists(parts, lambda p: p.contains(w) | w.contains(p))))
+    score = F.when((a == "") | (b == ""), 0).when(a == b, 100).when(b.contains(a) | a.contains(b), 6).otherwise(3 * shared)
+    return score if comment is None else score + F.when((a != "") & F.coalesce(folded(comment).contains(a), F.lit(False)), 8).otherwise(0)
+
+
+def longest_run(x: Column, y: Column) -> Column:
+    """Length of the longest run of equal neighbours that two arrays share: along each diagonal, runs grow and break."""
+    n, m = F.size(x), F.size(y)
+
+    def diagonal(d: Column) -> Column:
+        first, last = F.greatest(F.lit(0), d), F.least(n, m + d) - 1
+
+        def step(s: Column, i: Column) -> Column:
+            run = F.when(F.get(x, i) == F.get(y, i - d), s["run"] + 1).otherwise(0)
+            return F.struct(run.alias("run"), F.greatest(s["best"], run).alias("best"))
+
+        return F.aggregate(F.sequence(first, last), F.struct(F.lit(0).alias("run"), F.lit(0).alias("best")), step)["best"]
+
+    return F.when((n > 0) & (m > 0), F.array_max(F.transform(F.sequence(1 - m, n - 1), diagonal))).otherwise(0)
+
+
+def in_order(c: Column, words: list[str]) -> Column:
+    """Whether the words stand in the text one after the other; each is looked for behind the one before it."""
+    rest = c
+    for w in words:
+        at = F.instr(rest, F.lit(w))
+        rest = F.when(at > 0, F.substring(rest, at + len(w), F.length(rest)))
+    return rest.isNotNull()
+
+
+def lexicon_match(text: Column, mode: str, wanted: str | list[str]) -> Column:
+    """Modes: exact_phrase, contains_phrase, ordered_terms, required_terms (whole words), token_prefixes. The text is
+    compared as spoken() gives it, then without marks."""
+
+    def fits(t: Column, w) -> Column:
+        tokens = F.split(t, r"\s+")
+        match mode:
+            case "exact_phrase":
+                return t == w
+            case "contains_phrase":
+                return t.contains(w)
+            case "ordered_terms":
+                return in_order(t, w)
+            case "required_terms":
+                return F.forall(F.array(*map(F.lit, w)), lambda x: F.array_contains(tokens, x))
+            case "token_prefixes":
+                return F.forall(F.array(*map(F.lit, w)), lambda p: F.exists(tokens, lambda k: k.startswith(p)))
+        raise ValueError(f"unknown mode {mode}")
+
+    plain = str.maketrans(MARKED, PLAIN)
+    t = spoken(text)
+    less = wanted.lower().translate(plain) if isinstance(wanted, str) else [w.lower().translate(plain) for w in wanted]
+    whole = wanted.lower() if isinstance(wanted, str) else [w.lower() for w in wanted]
+    return fits(t, whole) | fits(F.translate(t, MARKED, PLAIN), less)
+
+
+def first_rule(c: Column, rules: list[tuple[str, str]], other: str) -> Column:
+    """The name of the first rule (name, pattern) that is found in the text."""
+    out = F.lit(other)
+    for name, pattern in reversed(rules):
+        out = F.when(c.rlike(pattern), name).otherwise(out)
+    return out
+
+
+def formula_codes(formula: Column, known: tuple[str, ...] = ()) -> tuple[Column, Column]:
+    """What a pay formula refers to: codes of components, m0_<digits> or s('<digits>'), by number; and the names it calls
+    that are neither known functions nor words of CASE."""
+    found = F.concat(F.regexp_extract_all(formula, F.lit(r"(?i)m0_(\d+)"), 1), F.regexp_extract_all(formula, F.lit(r"""(?i)\bs\s*\(\s*['"]?(\d+)['"]?\s*\)"""), 1))
+    codes = F.transform(F.array_sort(F.transform(F.array_distinct(found), lambda x: F.struct(x.cast("long").alias("n"), x.alias("code")))), lambda s: s["code"])
+    calls = F.array_distinct(F.transform(F.regexp_extract_all(formula, F.lit(r"\b([a-zA-Z_][a-zA-Z0-9_]*)\s*\("), 1), F.lower))
+    ignored = ("case", "when", "then", "else", "end", *(k.lower() for k in known))
+    return codes, F.array_sort(F.filter(calls, lambda x: ~x.isin(*ignored) & ~x.startswith("m0_")))
+
+
+def equal_text(c: Column, value: str) -> Column:
+    """Case-blind equality with a text; a value of digits alone must be equal as it stands."""
+    return c == value if value.isdigit() else F.upper(c) == value.upper()
+
+
+def either_order(first: Column, second: Column, a: str, b: str) -> Column:
+    """Two names that may stand in either order."""
+    return (equal_text(first, a) & equal_text(second, b)) | (equal_text(first, b) & equal_text(second, a))
+
+
+def loose_words(c: Column, stop: tuple[str, ...] = ()) -> Column:
+    """Words of at least two letters that may be values: no stop words, in order, distinct."""
+    return F.array_distinct(F.filter(F.split(folded(c), "[^a-z0-9]+"), lambda w: (F.length(w) >= 2) & ~w.isin(*stop)))
+
+
+def filled(template: str, columns: list[str]) -> Column:
+    """A text with {column} places; only the given columns may stand there, a null one leaves its place empty."""
+    import re
+
+    parts, at = [], 0
+    for m in re.finditer(r"\{(\w+)\}", template):
+        if m[1] not in columns:
+            raise ValueError(f"unknown column {m[1]}")
+        parts += [F.lit(template[at : m.start()]), F.coalesce(F.col(m[1]).cast("string"), F.lit(""))]
+        at = m.end()
+    return F.concat(*parts, F.lit(template[at:]))
+
+
+def is_date_name(c: Column) -> Column:
+    """Whether a column's name says that it holds a date."""
+    n = F.upper(F.regexp_replace(F.trim(c), '["`]', ""))
+    return n.startswith("DATA") | n.rlike("_DT$|_DATE$|_DATUM$")
+
+
+def cell(raw: Column, kind: str) -> tuple[Column, Column]:
+    """A text cell as text, number or date, and what is wrong with it (null: nothing). Null cells stay null without fault."""
+    blank = F.trim(raw) == ""
+    match kind:
+        case "text" | "identifier_text":
+            return raw, F.lit(None).cast("string")
+        case "number":
+            value = F.when(~blank, raw.try_cast("double"))
+            odd = F.isnan(value) | (F.abs(value) == float("inf"))
+            fault = F.when(raw.isNull(), None).when(value.isNull(), "unparsable_number_value").when(odd, "non_finite_number")
+            return F.when(~odd, value), fault
+        case "date":
+            value = raw.try_cast("date")
+            return value, F.when(raw.isNotNull() & value.isNull(), "unparsable_date_value")
+    raise ValueError(f"unknown kind {kind}")

@@ -27,6 +27,162 @@ def priority(rules: list[tuple[str, Column, int]]) -> tuple[Column, Column]:
     return score, F.array_join(F.array_sort(names), ",")
 
 
+#: What a decision leaves a task in; others that make records leave it decided (fixed values).
+TASK_STATES = {"defer": "deferred", "request_more_evidence": "requires_more_evidence", "reject": "rejected", "close_gap_as_no_evidence": "rejected"}
+
+
+def task_states(ledger: DataFrame, key: str = "task", order: str = "seq") -> DataFrame:
+    """task, status: what the last event of each task leaves it in."""
+    state = F.coalesce(F.create_map(*(F.lit(x) for kv in TASK_STATES.items() for x in kv))[F.col("kind")], F.lit("decided"))
+    return ledger.groupBy(key).agg(F.max_by(state, order).alias("status"))
+
+
+def approved_records(ledger: DataFrame) -> DataFrame:
+    """record, revision, status, previous of each record of a ledger (seq, kind, record, revision): the fold of its events.
+
+    approve and every other kind that makes a record puts its revision in place, supersede likewise and remembers the one
+    before, revoke marks what stands then; a revoke without a record marks all that stand. Later approvals bring a record
+    back. Events without effect on records are left out. As the last making event decides what stands and a revoke only
+    marks it, no ordered walk is needed: one aggregation for each record and one value for the whole ledger.
+    """
+    effective = ledger.where(~F.col("kind").isin(*TASK_STATES))
+    everywhere = effective.where("kind = 'revoke' and record is null").agg(F.max("seq").alias("all_revoked"))
+    own = effective.where("record is not null")
+    made = own.where("kind <> 'revoke'")
+    before = F.lag("revision").over(Window.partitionBy("record").orderBy("seq"))
+    made = made.withColumn("previous", F.when(F.col("kind") == "supersede", before))
+    stands = made.groupBy("record").agg(F.max("seq").alias("at"), F.max_by(F.struct("revision", "previous"), "seq").alias("r"))
+    revoked = own.where("kind = 'revoke'").groupBy("record").agg(F.max("seq").alias("revoked"))
+    out = stands.join(revoked, "record", "left").join(F.broadcast(everywhere))  # one row
+    gone = F.greatest(F.coalesce("revoked", F.lit(-1)), F.coalesce("all_revoked", F.lit(-1))) > F.col("at")
+    return out.select("record", "r.revision", F.when(gone, "revoked").otherwise("approved").alias("status"), "r.previous")
+
+
+#: Order of the classes of a review queue (fixed values).
+URGENCY = ("critical", "high", "normal", "low")
+
+
+def review_queue(tasks: DataFrame, limit: int | None = None) -> DataFrame:
+    """tasks (task, priority, reasons) in the order of work: by class, then reasons, then task."""
+    rank = F.array_position(F.array(*map(F.lit, URGENCY)), F.col("priority"))
+    out = tasks.orderBy(F.when(rank == 0, len(URGENCY) + 1).otherwise(rank), F.array_join("reasons", "|"), "task")
+    return out if limit is None else out.limit(limit)
+
+
+def capped(rows: DataFrame, limit: int, *order: str) -> DataFrame:
+    """At most limit rows, and limit_reached: whether there were more. One row more than asked is fetched, not counted."""
+    first = rows.orderBy(*order).limit(limit + 1).withColumn("_n", F.row_number().over(Window.orderBy(*order)))
+    return first.withColumn("limit_reached", F.max("_n").over(Window.partitionBy()) > limit).where(F.col("_n") <= limit).drop("_n")
+
+
+def reconciled(rows: DataFrame, created: str, *parts: str) -> DataFrame:
+    """One row: the sums of created and of its parts, and balanced: whether the parts make up the whole."""
+    sums = rows.agg(*(F.coalesce(F.sum(F.col(c).cast("long")), F.lit(0)).alias(c) for c in (created, *parts)))
+    return sums.withColumn("balanced", F.col(created) == sum((F.col(p) for p in parts), F.lit(0)))
+
+
+def accounted(expected: DataFrame, stored: DataFrame, key: str) -> DataFrame:
+    """key, outcome: stored, missing or unexpected for each key of either side; both sides may repeat keys."""
+    e = expected.select(key).distinct().withColumn("_e", F.lit(True))
+    s = stored.select(key).distinct().withColumn("_s", F.lit(True))
+    return e.join(s, key, "full").select(key, F.when(F.col("_s").isNull(), "missing").when(F.col("_e").isNull(), "unexpected").otherwise("stored").alias("outcome"))
+
+
+def exact_groups_by_scope(rows: DataFrame, scope: list[str], text: Column, id_col: str, order: str) -> DataFrame:
+    """kept, occurrences: of rows with the same scope and text the first by order stays, with the ids of all."""
+    keyed = rows.select(F.sha2(F.to_json(F.struct(*scope, text.alias("_text")), {"ignoreNullFields": "false"}), 256).alias("_k"), F.col(id_col).alias("_id"), F.col(order).alias("_o"))
+    return keyed.groupBy("_k").agg(F.min_by("_id", F.struct("_o", "_id")).alias("kept"), F.array_sort(F.collect_list("_id")).alias("occurrences")).select("kept", "occurrences")
+
+
+def inventory(files: DataFrame, key: str, content: str) -> DataFrame:
+    """key, content_sha, revision: the sha256 of each file's content, and of its key and content together."""
+    sha = F.sha2(F.col(content), 256)
+    return files.select(key, sha.alias("content_sha"), F.sha2(F.concat_ws(":", F.col(key).cast("string"), sha), 256).alias("revision"))
+
+
+def staleness(now: DataFrame, then: DataFrame, key: str, hashes: list[str]) -> DataFrame:
+    """key, reasons, stale: the hashes that differ between two states of each key, `missing` where one side lacks it."""
+    old = then.select(key, *(F.col(h).alias("_" + h) for h in hashes), F.lit(True).alias("_t"))
+    both = now.withColumn("_n", F.lit(True)).join(old, key, "full")
+    lost = F.col("_t").isNull() | F.col("_n").isNull()
+    changed = F.array_compact(F.array(*(F.when(~F.col(h).eqNullSafe(F.col("_" + h)), F.lit(h + "_changed")) for h in hashes)))
+    reasons = F.when(lost, F.array(F.lit("missing"))).otherwise(changed)
+    return both.select(key, reasons.alias("reasons"), (F.size(reasons) > 0).alias("stale"))
+
+
+def independent_groups(observations: DataFrame, key: str, lineage: str) -> DataFrame:
+    """key, observations, groups: observations of each key, and how many of them stand on their own: those of one lineage,
+    the source that they were derived from, count once."""
+    return observations.groupBy(key).agg(F.count("*").alias("observations"), F.count_distinct(lineage).alias("groups"))
+
+
+def evidence_verdict(stale: Column, conflicting: Column, inferred: Column, rivals: Column, groups: Column, least_groups: int, strong: Column, least_strong: int) -> tuple[Column, Column]:
+    """The verdict on gathered evidence and the rules that it failed, in order: the first failure decides."""
+    rules = [
+        ("stale", stale),
+        ("conflicting", conflicting),
+        ("inferred_only", inferred),
+        ("ambiguous", rivals > 0),
+        ("insufficient_groups", groups < least_groups),
+        ("insufficient_strength", strong < least_strong),
+    ]
+    verdict = F.lit("supported")
+    for name, failed in reversed(rules):
+        verdict = F.when(failed, name).otherwise(verdict)
+    return verdict, F.array_compact(F.array(*(F.when(failed, F.lit(name)) for name, failed in rules)))
+
+
+def role_status(contradicted: Column, rivals: Column, families: Column, exact: Column) -> Column:
+    """How sure a column's role is, from the families of its evidence: contradicted and ambiguous first, then names or
+    documents alone, then exact, then strong (a semantic family and two technical ones), else weak."""
+    has = lambda *names: F.size(F.array_intersect(families, F.array(*map(F.lit, names))))
+    technical = has("constraint", "join", "usage", "data_type", "index")
+    return (
+        F.when(contradicted, "contradicted")
+        .when(rivals > 0, "ambiguous")
+        .when((F.size(families) > 0) & (F.size(families) == has("documentation")), "documentation_only")
+        .when((F.size(families) > 0) & (F.size(families) == has("name")), "name_only")
+        .when(exact, "exact")
+        .when((has("semantic", "label", "documentation") >= 1) & (technical >= 2), "strong")
+        .otherwise("weak")
+    )
+
+
+def temporal_role(current_flag: Column, valid_from: Column, valid_to: Column, support: Column) -> Column:
+    """How the current row is told: by a flag, else by a range; either only with support beyond names."""
+    return F.when(~support, "requires_support").when(current_flag, "current_flag").when(valid_from & valid_to, "valid_range").when(valid_from, "open_range").otherwise("none")
+
+
+def key_kept(rows: DataFrame, key: list[str], risks: Column | None = None) -> DataFrame:
+    """One row: rows, keys, verdict on whether a key still tells the rows apart: proven if no row shares or lacks it; with
+    risks in the definition (a union, grouping, outer join) supported_partial; otherwise unproven; no rows: not_evaluable."""
+    whole = F.lit(True)
+    for k in key:
+        whole = whole & F.col(k).isNotNull()
+    by_key = rows.groupBy(*key).agg(F.count("*").alias("n"), F.count_if(~whole).alias("lost"))
+    n = by_key.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.count("*").alias("keys"), F.coalesce(F.sum("lost"), F.lit(0)).alias("lost"))
+    risky = F.lit(False) if risks is None else risks
+    verdict = F.when(F.col("rows") == 0, "not_evaluable").when((F.col("rows") != F.col("keys")) | (F.col("lost") > 0), "unproven").when(risky, "supported_partial").otherwise("proven")
+    return n.select("rows", "keys", verdict.alias("verdict"))
+
+
+def upserted_links(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
+    """key, confidence, use_count, source: links with new sightings added: the highest confidence, one use more for each,
+    and the source `seed` for good once it is one."""
+    both = old.select(*key, "confidence", "use_count", "source").unionByName(new.select(*key, "confidence", F.lit(1).cast("long").alias("use_count"), "source"))
+    return both.groupBy(*key).agg(F.max("confidence").alias("confidence"), F.sum("use_count").alias("use_count"), F.when(F.bool_or(F.col("source") == "seed"), "seed").otherwise(F.max("source")).alias("source"))
+
+
+def paired_files(left: DataFrame, right: DataFrame, name: str = "name") -> DataFrame:
+    """stem, left_name, right_name, outcome: files of two kinds whose names without folder and ending are the same; ambiguous
+    where a stem comes more than once on a side."""
+    stem = F.lower(F.regexp_replace(F.regexp_replace(F.col(name), r"^.*[/\\]", ""), r"\.[^.]*$", ""))
+    side = lambda rows, p: rows.groupBy(stem.alias("stem")).agg(F.count("*").alias(f"{p}_n"), F.min(name).alias(f"{p}_name"))
+    both = side(left, "left").join(side(right, "right"), "stem", "full")
+    outcome = F.when((F.coalesce("left_n", F.lit(0)) > 1) | (F.coalesce("right_n", F.lit(0)) > 1), "ambiguous").when(F.col("left_n").isNull(), "right_only").when(F.col("right_n").isNull(), "left_only").otherwise("paired")
+    return both.select("stem", "left_name", "right_name", outcome.alias("outcome"))
+
+
 def current_state(ledger: DataFrame, key: str, decision: str, *order: str) -> DataFrame:
     """The last decision of each key and the number of its events."""
     return ledger.groupBy(key).agg(F.max_by(decision, F.struct(*order)).alias("state"), F.count("*").alias("events"))
@@ -51,3 +207,31 @@ def scored_intents(text: Column, signals: dict[str, list[tuple[str, float]]], le
     scores = F.array_sort(F.array(*(F.struct((-sum((F.when(text.rlike(p), F.lit(w)).otherwise(F.lit(0.0)) for p, w in rules), F.lit(0.0))).alias("s"), F.lit(name).alias("name")) for name, rules in signals.items())))
     best, next_ = scores[0], scores[1]
     return F.when((-best["s"] < least) | (next_["s"] - best["s"] <= margin), "unknown").otherwise(best["name"])
+
+
+def noise(text: Column, matter: list[str], patterns: list[tuple[str, str]], least: int = 4) -> Column:
+    """The kind of noise of a segment: uncertain if it is shorter than least, content if a word of the matter stands in it
+    whatever else does, else that of the first pattern found, else content. Patterns are case-blind."""
+    t = F.trim(text)
+    out = F.lit("content")
+    for name, pattern in reversed(patterns):
+        out = F.when(t.rlike(f"(?i){pattern}"), name).otherwise(out)
+    for word in matter:
+        out = F.when(t.rlike(f"(?i){word}"), "content").otherwise(out)
+    return F.when(F.length(t) < least, "uncertain").otherwise(out)
+
+
+def gate(kind: Column, evidence: Column, statement: Column, least: dict[str, int], least_chars: int) -> tuple[Column, Column]:
+    """Whether a candidate is accepted, downgraded or rejected, and why: none without evidence, those with less than their
+    kind asks (one, if it asks nothing) or a short statement are downgraded."""
+    asked = F.coalesce(F.create_map(*(F.lit(x) for kv in least.items() for x in kv))[kind], F.lit(1))
+    rules = [("no_evidence", evidence == 0), ("too_little_evidence", evidence < asked), ("short_statement", F.length(statement) < least_chars)]
+    outcome = F.when(rules[0][1], "rejected").when(rules[1][1] | rules[2][1], "downgraded").otherwise("accepted")
+    return outcome, F.array_compact(F.array(*(F.when(c, F.lit(n)) for n, c in rules)))
+
+
+def extracted(rows: DataFrame, id_col: str, text: Column, patterns: dict[str, str]) -> DataFrame:
+    """id, kind, value of everything that the patterns of each kind find in a text, in one pass over it."""
+    typed = lambda kind: lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value"))
+    found = [F.transform(F.regexp_extract_all(text, F.lit(p), 0), typed(kind)) for kind, p in patterns.items()]
+    return rows.select(id_col, F.inline(F.concat(*found)))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakeloom.functions import text as fx
@@ -12,12 +14,14 @@ SIZE, SHARED, BOOST = 2000, 200, 0.18
 
 
 def chunked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, shared: int = SHARED) -> DataFrame:
-    """id, chunk_index, chunk: overlapping pieces of every text, trimmed; blank ones are left out, indexes run on."""
+    """id, chunk_index, chunk: overlapping pieces of every text. CRLF becomes LF and the whole text is trimmed first; pieces
+    are trimmed too, blank ones left out, and the others numbered without gaps."""
     step = max(size - shared, 1)
-    n = F.length(text_col)
+    rows = docs.select(F.col(id_col), fx.trimmed(F.replace(F.col(text_col), F.lit("\r\n"), F.lit("\n"))).alias("_t")).where("_t <> ''")
+    n = F.length("_t")
     last = F.greatest(F.ceil((n - size) / step), F.lit(0))
-    parts = docs.where(n > 0).select(F.col(id_col), F.posexplode(F.transform(F.sequence(F.lit(0), last.cast("int")), lambda i: F.trim(F.col(text_col).substr(i * step + 1, F.lit(size))))).alias("chunk_index", "chunk"))
-    return parts.where("chunk <> ''")
+    parts = F.filter(F.transform(F.sequence(F.lit(0), last.cast("int")), lambda i: fx.trimmed(F.col("_t").substr(i * step + 1, F.lit(size)))), lambda x: x != "")
+    return rows.select(id_col, F.posexplode(parts).alias("chunk_index", "chunk"))
 
 
 def cosine(x: Column, y: Column) -> Column:
@@ -34,11 +38,135 @@ def search(vectors: DataFrame, query: list[float], k: int, where: Column | None
 
 
 def word_boost(text: Column, words: list[str], most: float = BOOST) -> Column:
-    """most times the share of words of which a stem stands in the text."""
-    folded = fx.folded(text)
-    forms = [[w] + ([w[:-1]] if len(w) >= 5 else []) + ([w[:-2]] if len(w) >= 6 else []) for w in words]
-    hits = [F.lit(0)] + [F.greatest(F.lit(0), *(folded.contains(f).cast("int") for f in fs)) for fs in forms]
-    return sum(hits[1:], hits[0]) * (most / max(len(words), 1))
+    """most times the share of words of which a stem stands in the text. The text is folded once: one pattern of all stems
+    finds those that stand in it."""
+    words = [w for w in words if w]
+    if not words:
+        return F.lit(0.0)
+    shortest = [w[: len(w) - (2 if len(w) >= 6 else 1 if len(w) >= 5 else 0)] for w in words]  # its longer forms hold it
+    hits = F.transform(F.array(fx.folded(text)), lambda t: F.size(F.filter(F.array(*map(F.lit, shortest)), lambda s: t.contains(s))))
+    return F.coalesce(hits[0], F.lit(0)) * (most / len(words))
+
+
+#: Additions to a hit's score (fixed values): what the folded question must say, the phrases of the chunk, the amount.
+#: Rules of a list exclude each other, the first that holds counts.
+DEFINITION = [
+    (r"dodatkow", ("urlopy dodatkowe", "nastepujacych cech"), 0.24),
+    (r"\b(ktory|ktora|ktore|jaki|jaka|jakie|co to|czym jest|jakie sa|jak rozumiec)\b", ("nastepujacych cech", "rodzaje nieobecnosci"), 0.12),
+]
+FIELD = [(r"\b(kolumn|formularz|etykiet|pole|staz|wyksztalc|czego sluzy|do czego)\b", ("pole ui w teta",), 0.26)]
+SECTION = [
+    (r"zwolni", ("zwolnienie pracownika",), 0.38),
+    (r"zwolni", ("zwolnic tylko i wylacznie",), 0.38),
+    (r"zwolni", ("zwolnic tylko i wylaczenie",), 0.38),
+    (r"zwolni", ("zwolnij pracownika",), 0.38),
+    (r"(?s)(?=.*jak)(?=.*(przyj|zatrudn))", ("przyjecie pracownika", "kartoteki pracownik"), 0.38),
+]
+
+
+def rule_boost(text: Column, question: str, rules: list[tuple[str, tuple[str, ...], float]]) -> Column:
+    """The amount of the first rule whose pattern the question has and whose phrases all stand in the text; else 0."""
+    asked = question.lower().translate(str.maketrans(fx.MARKED, fx.PLAIN))
+    fitting = [(phrases, amount) for pattern, phrases, amount in rules if re.search(pattern, asked)]
+    if not fitting:
+        return F.lit(0.0)
+
+    def judged(t: Column) -> Column:
+        out = F.lit(0.0)
+        for phrases, amount in reversed(fitting):
+            every = F.lit(True)
+            for p in phrases:
+                every = every & t.contains(p)
+            out = F.when(every, amount).otherwise(out)
+        return out
+
+    return F.coalesce(F.transform(F.array(fx.folded(text)), judged)[0], F.lit(0.0))
+
+
+def reranked(hits: DataFrame, question: str, words: list[str], rules: tuple = (DEFINITION, FIELD, SECTION), text_col: str = "text") -> DataFrame:
+    """hits with what words and rules add to their scores. rules: lists as those of rule_boost, each adds its own."""
+    added = sum((rule_boost(F.col(text_col), question, r) for r in rules), word_boost(F.col(text_col), words))
+    return hits.withColumn("score", F.col("score") + added)
+
+
+def embedded_text(summary: Column, text: Column) -> Column:
+    """What is embedded of a chunk: its summary, a blank line and its text; the text alone without a summary."""
+    s = fx.trimmed(F.coalesce(summary, F.lit("")))
+    return F.when(s != "", F.concat(s, F.lit("\n\n"), fx.trimmed(text))).otherwise(fx.trimmed(text))
+
+
+def context(hits: DataFrame, key: list[str], words: list[str], first: int = 1400, others: int = 650) -> DataFrame:
+    """rank, key, passage: hits by score, the best one cut to first characters, the others to fewer, around the words. For
+    the few hits of one question, after merge_hits."""
+    rank = F.row_number().over(Window.orderBy(F.desc("score"), *key))
+    cut = F.when(F.col("rank") == 1, fx.centred(F.col("text"), first, words)).otherwise(fx.centred(F.col("text"), others, words))
+    return hits.withColumn("rank", rank).select("rank", *key, cut.alias("passage"))
+
+
+#: Kinds of knowledge, the best first; each is worth 100 less than the one before (fixed values).
+BUCKETS = ("approved_canonical_exact_subject", "approved_canonical_lexical_alias", "authorized_client_exact", "verified_public_authority_exact", "source_backed_direct", "source_backed_partial", "insufficient")
+
+
+def allowed(user: dict | None, columns: dict[str, str] | None = None) -> Column:
+    """Whether a user (tenant, roles, permissions) may see a row: rows that no client owns always; a client's only with
+    its tenant, one of its roles and permissions, where it names some, and within its audience."""
+    name = {c: c for c in ("ownership", "tenant", "roles", "permissions", "audience")} | (columns or {})
+    c = lambda n: F.col(name[n])
+    if user is None:
+        return ~c("ownership").eqNullSafe("client")
+    own = lambda values: F.array(*map(F.lit, values)).cast("array<string>")
+    roles, rights = user.get("roles", ()), user.get("permissions", ())
+    none = F.array().cast("array<string>")
+    named = lambda n, values: (F.size(F.coalesce(c(n), none)) == 0) | F.coalesce(F.arrays_overlap(c(n), own(values)), F.lit(False))
+    audience = (
+        F.when(c("audience") == "all_client_users", True)
+        .when(c("audience") == "hr_only", bool({"hr", "hr_only"} & set(roles)))
+        .when(c("audience") == "payroll_only", bool({"payroll", "payroll_only"} & set(roles)))
+        .when(c("audience") == "administrators", bool({"admin", "administrators"} & set(roles)))
+        .when(c("audience") == "named_roles", F.coalesce(F.arrays_overlap(c("roles"), own(roles)), F.lit(False)))
+        .otherwise(False)
+    )
+    inside = F.coalesce(c("tenant") == user["tenant"], F.lit(False)) & named("roles", roles) & named("permissions", rights) & audience
+    return ~c("ownership").eqNullSafe("client") | inside
+
+
+def searchable(c: Column) -> Column:
+    """Lower case without marks; everything but letters a-z and digits is one space."""
+    return F.trim(F.regexp_replace(fx.folded(c), r"[^a-z0-9]+", " "))
+
+
+def lexical_search(units: DataFrame, question: str, user: dict | None = None, scope: dict[str, str] | None = None, k: int | None = None) -> DataFrame:
+    """unit_id, bucket, score of the units (unit_id, subject, text, mode, ownership and what allowed() reads) that share
+    words with a question, by score and id.
+
+    A unit of a scope column's array other than asked for is left out (an empty one fits all). Overlap: each word of the
+    unit that the question has, 2 for the question's first two words together, 1 for each of its words of four letters
+    whose beginning stands in the unit. The bucket gives 1000, 900 ..., an exact subject 50 more.
+    """
+    rows = units.where(allowed(user))
+    for column, wanted in (scope or {}).items():
+        rows = rows.where((F.size(F.coalesce(F.col(column), F.array().cast("array<string>"))) == 0) | F.array_contains(column, wanted))
+    asked = " ".join(re.sub(r"[^a-z0-9]+", " ", question.lower().translate(str.maketrans(fx.MARKED, fx.PLAIN))).split())
+    words = sorted(set(asked.split()))
+    rows = rows.withColumns({"_t": searchable(F.concat_ws(" ", "subject", "text")), "_s": searchable(F.col("subject"))})
+    begin, head = " ".join(asked.split()[:2]), " ".join(asked.split()[:3])
+    shared = F.size(F.filter(F.split("_t", " "), lambda w: w.isin(*words))) if words else F.lit(0)
+    stems = [w[: max(4, len(w) - 1)] for w in words if len(w) >= 4]
+    overlap = shared + (F.when(F.col("_t").contains(begin), 2).otherwise(0) if begin else F.lit(0)) + F.size(F.filter(F.array(*map(F.lit, stems)).cast("array<string>"), lambda s: F.col("_t").contains(s)))
+    exact = (F.col("_s") != "") & (F.lit(asked).contains(F.col("_s")) | F.col("_s").contains(head))
+    rows = rows.withColumns({"_o": overlap, "_e": exact}).where("_o > 0 or _e")
+    bucket = (
+        F.when(F.col("mode") == "approved_canonical", F.when(F.col("_e") | (F.col("_o") >= 8), BUCKETS[0]).otherwise(BUCKETS[1]))
+        .when(F.col("ownership") == "client", BUCKETS[2])
+        .when(F.col("ownership") == "public_authority", BUCKETS[3])
+        .when(F.col("mode") == "source_backed_direct", BUCKETS[4])
+        .when(F.col("mode") == "source_backed_partial", BUCKETS[5])
+        .otherwise(BUCKETS[6])
+    )
+    worth = F.lit(1000) - 100 * (F.array_position(F.array(*map(F.lit, BUCKETS)), F.col("bucket")).cast("int") - 1)
+    out = rows.withColumn("bucket", bucket).select("unit_id", "bucket", (worth + F.col("_o") + F.when(F.col("_e"), 50).otherwise(0)).alias("score"))
+    out = out.orderBy(F.desc("score"), "unit_id")
+    return out if k is None else out.limit(k)
 
 
 def merge_hits(hits: DataFrame, key: list[str], least: float, k: int) -> DataFrame:

@@ -74,6 +74,7 @@ class Request:
     any_of: tuple[tuple[Filter, ...], ...] = ()  # groups: all within one, any group
     relations: tuple[Relation, ...] = ()
     valid: tuple[str, str, date] | None = None  # from, to (null: open), day
+    valid_inclusive: tuple[bool, bool] = (True, True)  # whether the first and the last day count
     group_by: tuple[str, ...] = ()
     aggregates: tuple[tuple[str, str, str], ...] = ()  # function, column, name
     having: tuple[Filter, ...] = ()
@@ -100,14 +101,18 @@ class Request:
         if self.any_of:
             anything = F.lit(False)
             for group in self.any_of:
-                every = F.lit(True)
+                every = F.lit(bool(group))  # a group without conditions holds for no row
                 for f in group:
                     every = every & f.condition()
                 anything = anything | every
             rows = rows.where(anything)
         if self.valid:
             start, end, day = self.valid
-            rows = rows.where((F.col(start) <= F.lit(day)) & (F.col(end).isNull() | (F.col(end) > F.lit(day))))
+            begun = F.col(start) <= F.lit(day) if self.valid_inclusive[0] else F.col(start) < F.lit(day)
+            lasts = F.col(end) >= F.lit(day) if self.valid_inclusive[1] else F.col(end) > F.lit(day)
+            rows = rows.where(begun & (F.col(end).isNull() | lasts))
+        if self.group_by and not self.aggregates:
+            rows = rows.select(*self.group_by).distinct()
         if self.aggregates:
             rows = rows.groupBy(*self.group_by).agg(*(AGGREGATES[f](F.col(c) if c != "*" else F.lit(1)).alias(n) for f, c, n in self.aggregates))
             for f in self.having:

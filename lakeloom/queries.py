@@ -101,7 +101,7 @@ def _history(spark, d):
     return table(spark, d, "events").select("user_id", "ts", "event_id", "event_type").withColumn("valid_to", F.lead("ts").over(order))
 
 
-@query(_VALID + " SELECT user_id, event_type, ts FROM v WHERE ts <= DATE '2024-01-15' AND (valid_to IS NULL OR valid_to > DATE '2024-01-15')")
+@query(_VALID + " SELECT user_id, event_type, ts FROM v WHERE ts <= DATE '2024-01-15' AND (valid_to IS NULL OR valid_to >= DATE '2024-01-15')")
 def state_as_of(spark, d):
     """What held for each user on a day."""
     return Request(("user_id", "event_type", "ts"), valid=("ts", "valid_to", date(2024, 1, 15))).answer(_history(spark, d))
@@ -209,9 +209,9 @@ def date_functions(spark, d):
     return table(spark, d, "orders").select("o_orderkey", F.date_format(o, "yyyy-MM-dd").alias("day"), F.trunc(o, "MM").cast("string").alias("month"), F.add_months(F.trunc(o, "MM"), 2).cast("string").alias("later"), F.last_day(o).cast("string").alias("month_end"), (F.datediff(end, o) + 1).cast("long").alias("span"), fx.years_between(o, end).alias("years"), fx.clock(F.col("o_orderkey")).alias("clock"))
 
 
-@query("""WITH h AS (SELECT doc_id, sha256(source || ':' || doc_id) AS h, text FROM documents)
-SELECT doc_id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-' || substr(h, 13, 4) || '-' || substr(h, 17, 4) || '-' || substr(h, 21, 12) AS point_id,
-CASE WHEN length(text) <= 400 THEN text ELSE substr(text, 1, 300) || '…' || right(text, 100) END AS excerpt, ceil(length(text) / 3.5)::BIGINT AS tokens,
+@query("""WITH h AS (SELECT doc_id, sha256(source || ':' || doc_id) AS h, text, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS t FROM documents)
+SELECT doc_id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-4' || substr(h, 14, 3) || '-' || format('{:02x}', (('0x' || substr(h, 17, 2))::INT & 63) | 128) || substr(h, 19, 2) || '-' || substr(h, 21, 12) AS point_id,
+CASE WHEN length(t) <= 400 THEN t ELSE substr(t, 1, 297) || ' … ' || right(t, 100) END AS excerpt, ceil(length(text) / 3.5)::BIGINT AS tokens,
 lower(trim(regexp_replace(text, '[^A-Za-z0-9]+', ' ', 'g'))) AS plain FROM h""")
 def text_functions(spark, d):
     plain = F.lower(F.trim(F.regexp_replace("text", r"[^A-Za-z0-9]+", " ")))
@@ -225,8 +225,9 @@ def search_terms(spark, d):
     return table(spark, d, "part").select("p_partkey", F.array_join(t, " ").alias("terms"), F.size(t).alias("n"))
 
 
-@query("""WITH c AS (SELECT doc_id, i, trim(substr(text, (i * 1800 + 1)::BIGINT, 2000)) AS chunk FROM (SELECT doc_id, text, unnest(range(0, greatest(ceil((length(text) - 2000) / 1800.0), 0)::BIGINT + 1)) AS i FROM documents WHERE length(text) > 0))
-SELECT doc_id, i::INT AS chunk_index, length(chunk)::INT AS chars, md5(chunk) AS digest FROM c WHERE chunk <> ''""")
+@query("""WITH t AS (SELECT doc_id, regexp_replace(replace(text, chr(13) || chr(10), chr(10)), '^\\s+|\\s+$', '', 'g') AS t FROM documents),
+c AS (SELECT doc_id, i, regexp_replace(substr(t, (i * 1800 + 1)::BIGINT, 2000), '^\\s+|\\s+$', '', 'g') AS chunk FROM (SELECT doc_id, t, unnest(range(0, greatest(ceil((length(t) - 2000) / 1800.0), 0)::BIGINT + 1)) AS i FROM t WHERE t <> ''))
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::INT AS chunk_index, length(chunk)::INT AS chars, md5(chunk) AS digest FROM c WHERE chunk <> ''""")
 def document_chunks(spark, d):
     """Overlapping chunks of whole texts."""
     return retrieval.chunked(table(spark, d, "documents")).select("doc_id", "chunk_index", F.length("chunk").alias("chars"), F.md5("chunk").alias("digest"))
@@ -256,9 +257,11 @@ def exact_duplicates(spark, d):
     return curation.exact_groups(table(spark, d, "documents"), [F.col("lang"), F.col("text")], "doc_id")
 
 
-@query("""SELECT page_id, length(t)::INT AS chars, md5(t) AS digest FROM (SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(
-regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\\b[^>]*>.*?</script\\s*>|<style\\b[^>]*>.*?</style\\s*>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g'),
-'&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '[ \\t\\r\\n]+', ' ', 'g')) AS t FROM pages)""")
+@query("""WITH s AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?is)<script\\b[^>]*>.*?</script\\s*>|<style\\b[^>]*>.*?</style\\s*>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g') AS t FROM pages),
+b AS (SELECT page_id, regexp_replace(regexp_replace(t, '(?i)</?(p|div|br|li|ul|ol|tr|table|h[1-6]|section|article|header|footer|blockquote|pre)\\b[^>]*>', chr(8232), 'g'), '(?s)<[^>]*>', ' ', 'g') AS t FROM s),
+e AS (SELECT page_id, replace(replace(replace(replace(replace(t, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&') AS t FROM b),
+l AS (SELECT page_id, array_to_string(list_filter(list_transform(string_split(regexp_replace(t, '[ \\t\\r\\n]+', ' ', 'g'), chr(8232)), lambda x: trim(x)), lambda x: x <> ''), chr(10)) AS t FROM e)
+SELECT page_id, length(t)::INT AS chars, md5(t) AS digest FROM l""")
 def page_text(spark, d):
     """Text of raw pages."""
     t = html_text(F.col("html"))
@@ -293,10 +296,14 @@ def shortest_paths(spark, d):
     return graph.paths(_parts(spark, d), spark.range(1, 2).withColumnRenamed("id", "node"), 3).select("node", "depth", F.array_join("path", ">").alias("path"))
 
 
-@query(f"WITH {_EDGES}, top AS (SELECT max(p_partkey) AS m FROM part) SELECT src, dst, 'missing' AS fault FROM edges, top WHERE dst > m")
+@query(f"""WITH {_EDGES}, e AS (SELECT src, CASE WHEN src % 50 = 0 THEN src ELSE dst END AS dst FROM edges), n AS (SELECT p_partkey AS node, p_partkey % 97 AS place FROM part)
+SELECT DISTINCT src, dst, 'self' AS fault FROM e WHERE src = dst UNION ALL SELECT DISTINCT src, dst, 'missing' FROM e WHERE dst NOT IN (SELECT node FROM n)
+UNION ALL SELECT src, dst, 'repeated' FROM e GROUP BY src, dst HAVING count(*) > 1 UNION ALL SELECT DISTINCT src, dst, 'forward' FROM e JOIN n a ON a.node = src JOIN n b ON b.node = dst WHERE b.place > a.place""")
 def edge_faults(spark, d):
-    """Edges to parts that aren't there, to themselves, or twice."""
-    return graph.edge_faults(_parts(spark, d), table(spark, d, "part").select(F.col("p_partkey").alias("node")))
+    """Edges to parts that aren't there, to themselves, twice, or to a part that comes later in an order."""
+    edges = _parts(spark, d).withColumn("dst", F.when(F.col("src") % 50 == 0, F.col("src")).otherwise(F.col("dst")))
+    nodes = table(spark, d, "part").select(F.col("p_partkey").alias("node"), (F.col("p_partkey") % 97).alias("place"))
+    return graph.edge_faults(edges, nodes, "place")
 
 
 @query("SELECT s_suppkey AS node, min(s_suppkey) OVER (PARTITION BY s_nationkey) AS component FROM supplier WHERE s_nationkey IN (SELECT s_nationkey FROM supplier GROUP BY 1 HAVING count(*) > 1)")

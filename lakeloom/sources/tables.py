@@ -65,13 +65,85 @@ def merge_by(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return old.join(new.select(key).distinct(), key, "left_anti").unionByName(new, allowMissingColumns=True)
 
 
+def without(rows: DataFrame, gone: Column) -> DataFrame:
+    """rows but for those of which a condition holds; where it is null they stay."""
+    return rows.where(~F.coalesce(gone, F.lit(False)))
+
+
+def import_chunks(old: DataFrame, new: DataFrame, key: str = "source", mode: str = "merge") -> DataFrame:
+    """What a collection holds after an import: new alone (replace), or new and what old has under other keys (merge)."""
+    if mode not in ("replace", "merge"):
+        raise ValueError(f"unknown mode {mode}")
+    return new if mode == "replace" else merge_by(old, new, key)
+
+
+def read_pack(spark: SparkSession, path: str, sha256: str | None = None) -> DataFrame:
+    """The chunks of a pack that write_pack wrote; with sha256, checked against the digest that pack_digest gives."""
+    chunks = spark.read.json(f"{path}/chunks")
+    if sha256 is not None and pack_digest(chunks) != sha256:
+        raise ValueError("the pack isn't what its digest says")
+    return chunks
+
+
+def pack_digest(chunks: DataFrame) -> str:
+    """A digest of a pack's chunks that doesn't depend on their order: sums of 64-bit hashes and the number of rows."""
+    row = F.to_json(F.struct(*sorted(chunks.columns)))
+    parts = chunks.agg(F.count("*").alias("n"), *(F.coalesce(F.sum(F.xxhash64(F.lit(k), row).cast("decimal(38,0)")), F.lit(0)).alias(f"h{k}") for k in range(4)))
+    return parts.select(F.sha2(F.concat_ws(":", *parts.columns), 256)).first()[0]
+
+
+def store_assets(files: DataFrame, content: str = "content") -> DataFrame:
+    """asset, content, files: each distinct content once, named by its sha256."""
+    return files.groupBy(F.sha2(F.col(content), 256).alias("asset")).agg(F.first(content).alias("content"), F.count("*").alias("files"))
+
+
+def walk(spark: SparkSession, path: str, endings: tuple[str, ...]) -> DataFrame:
+    """path, length, content of all files below a folder with one of the endings that aren't empty, whatever their case."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    kind = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))
+    return files.where((F.col("length") > 0) & kind.isin(*endings)).select("path", "length", "content")
+
+
+def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes (id, type, name) and edges (id, type, src, dst) of a graph's JSON lines, told apart by `kind`; lines without an
+    id are left out."""
+    rows = spark.read.schema("kind string, id string, type string, name string, `from` string, `to` string").json(path).where("id is not null")
+    return rows.where("kind = 'node'").select("id", "type", "name"), rows.where("kind = 'edge'").select("id", "type", F.col("from").alias("src"), F.col("to").alias("dst"))
+
+
+def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
+    """source, position, start, end, text, problem of each segment of transcript files, one JSON object a file with an array
+    segments. A segment without text, with an end before its start or a start before the one before it is a problem."""
+    from pyspark.sql import Window
+
+    raw = spark.read.schema("segments array<struct<start: double, end: double, text: string>>").option("multiLine", True).json(path)
+    rows = raw.select(F.col("_metadata.file_name").alias("source"), F.posexplode("segments").alias("position", "s")).select("source", "position", "s.*")
+    before = F.lag("start").over(Window.partitionBy("source").orderBy("position"))
+    problem = F.when(F.trim(F.coalesce("text", F.lit(""))) == "", "no text").when(F.col("end") < F.col("start"), "ends before it starts").when(F.col("start") < before, "out of order")
+    return rows.withColumn("problem", problem)
+
+
 def html_text(html: Column) -> Column:
-    """Text of a page: scripts, styles and tags out, common entities resolved, white space collapsed."""
-    text = F.regexp_replace(html, r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>", " ")
-    text = F.regexp_replace(text, r"(?s)<!--.*?-->|<[^>]*>", " ")
-    for name, sign in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")):
+    """Text of a page: scripts, styles and tags out, blocks on lines of their own, entities resolved (numbers below 65536
+    too), white space collapsed within lines."""
+    text = F.regexp_replace(html, r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>|<!--.*?-->", " ")
+    text = F.regexp_replace(text, r"(?i)</?(p|div|br|li|ul|ol|tr|table|h[1-6]|section|article|header|footer|blockquote|pre)\b[^>]*>", "\u2028")
+    text = F.regexp_replace(text, r"(?s)<[^>]*>", " ")
+    for name, sign in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'")):
         text = F.replace(text, F.lit(name), F.lit(sign))
-    return F.trim(F.regexp_replace(text, r"[ \t\r\n]+", " "))
+    number = r"&#(x[0-9A-Fa-f]{1,4}|[0-9]{1,4});"
+    codes = F.array_distinct(F.regexp_extract_all(text, F.lit(number), 1))
+
+    def sign(c: Column) -> Column:
+        value = F.conv(F.when(c.startswith("x"), F.substring(c, F.lit(2), F.length(c))).otherwise(F.conv(c, 10, 16)), 16, 10).cast("int")
+        two = F.when(value < 2048, F.concat(F.hex(F.lit(192) + F.floor(value / 64)), F.hex(F.lit(128) + value % 64)))
+        three = F.concat(F.hex(F.lit(224) + F.floor(value / 4096)), F.hex(F.lit(128) + F.floor(value / 64) % 64), F.hex(F.lit(128) + value % 64))
+        return F.decode(F.unhex(F.when(value < 128, F.lpad(F.hex(value), 2, "0")).otherwise(F.coalesce(two, three))), "UTF-8")
+
+    text = F.aggregate(F.coalesce(codes, F.array().cast("array<string>")), text, lambda t, c: F.replace(t, F.concat(F.lit("&#"), c, F.lit(";")), F.coalesce(sign(c), F.lit(""))))
+    text = F.replace(text, F.lit("&amp;"), F.lit("&"))
+    lines = F.filter(F.transform(F.split(F.regexp_replace(text, r"[ \t\r\n]+", " "), "\u2028"), lambda x: F.trim(x)), lambda x: x != "")
+    return F.array_join(lines, "\n")
 
 
 def subtitle_text(raw: Column) -> Column:

@@ -1,5 +1,5 @@
 import json
-from datetime import datetime
+from datetime import date, datetime
 
 import pytest
 from pyspark.sql import functions as F
@@ -44,7 +44,7 @@ def test_pack_and_merge(spark, tmp_path):
 
 
 def test_text_of_pages_and_subtitles(spark):
-    assert one(spark, tables.html_text(F.col("x")), "<p>a&nbsp;&lt;b</p><script>x<1</script> <!-- c --> d") == "a <b d"
+    assert one(spark, tables.html_text(F.col("x")), "<p>a&nbsp;&lt;b</p><script>x<1</script> <!-- c --> d&#322;&#x41;&#38;amp;<br>e") == "a <b\ndłA&\ne"
     assert one(spark, tables.subtitle_text(F.col("x")), "WEBVTT\n\n1\n00:00 --> 00:01\n<i>Hi</i> there\n") == "Hi there"
     assert one(spark, tables.html_text(F.col("x")), None) is None
 
@@ -61,7 +61,12 @@ def test_text_functions(spark):
 
 def test_empty_groups_hold_nothing_and_unknown_words_fail(spark):
     rows = spark.range(3)
-    assert Request(any_of=((),)).answer(rows).count() == 3
+    assert Request(any_of=((),)).answer(rows).count() == 0 and Request(any_of=()).answer(rows).count() == 3
+    assert Request(group_by=("k",)).answer(rows.selectExpr("id % 2 AS k", "id")).count() == 2
+    day = date(2024, 1, 5)
+    spans = spark.createDataFrame([(1, date(2024, 1, 1), day), (2, day, None), (3, date(2024, 1, 6), None)], "i int, a date, b date")
+    valid = lambda *flags: sorted(r.i for r in Request(valid=("a", "b", day), valid_inclusive=flags).answer(spans).collect())
+    assert (valid(True, True), valid(True, False), valid(False, True)) == ([1, 2], [2], [1])
     with pytest.raises(ValueError):
         Request(relations=(Relation(rows, (), "inner"),)).answer(rows)
 

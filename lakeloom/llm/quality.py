@@ -1,8 +1,8 @@
 """A quality classifier: naive Bayes support vectors.
 
-Features are indicators of hashed n-grams of word shapes. Each is scaled by its log-count ratio between the classes, documents
-are brought to length one, and a linear hinge-loss model is fitted by dual coordinate descent. A logistic curve,
-fitted on documents that the model hasn't seen, turns margins into scores.
+Features are indicators of hashed n-grams of words and of word shapes. Each is scaled by its log-count ratio between the
+classes, documents are brought to length one, and a linear hinge-loss model is fitted by dual coordinate descent. A
+logistic curve, fitted on documents that the model hasn't seen, turns margins into scores.
 """
 
 from __future__ import annotations
@@ -19,8 +19,8 @@ from pyspark.sql import types as T
 from lakeloom.llm._common import Words, arrow_batches, chunks, mix, table
 from lakeloom.llm._labels import held_out, labelled_sample, logistic, sigmoid
 
-#: Bits of the feature space and longest n-gram.
-BITS, LONGEST = 18, 3
+#: Bits of the feature space, longest n-gram of shapes and longest n-gram of words.
+BITS, LONGEST, WORDS = 20, 3, 2
 #: Labelled documents of each class that the model is fitted on, at most.
 PER_CLASS = 1500
 PARTS, PART, THRESHOLD = 4, 2, 0.7
@@ -37,7 +37,8 @@ _AGAIN = np.uint64(0x5851F42D4C957F2D)
 
 
 def features(texts: list[bytes], seen: np.ndarray) -> Iterator[np.ndarray]:
-    """Sorted indexes of each text's n-grams of word shapes. seen: all false, of 2^BITS, and such again afterwards.
+    """Sorted indexes of each text's n-grams of words and of word shapes. seen: all false, of 2^BITS, and such again
+    afterwards.
 
     A word's shape is its run of letter cases, digits and signs without repetitions (`Ab12,` is `Aa0,`), marked if the
     word is the one before it again.
@@ -60,12 +61,13 @@ def features(texts: list[bytes], seen: np.ndarray) -> Iterator[np.ndarray]:
     else:
         shape = words.hash
     for a, b in zip(words.first[:-1], words.first[1:]):
-        gram = np.zeros(b - a, np.uint64)
-        for n in range(1, LONGEST + 1):
-            if b - a < n:
-                break
-            gram = mix(gram[: b - a - n + 1] * _AGAIN + shape[a + n - 1 : b])
-            seen[gram >> np.uint64(64 - BITS)] = True
+        for of, longest, kind in ((shape, LONGEST, 0), (words.hash, WORDS, 1)):
+            gram = np.full(b - a, kind, np.uint64)
+            for n in range(1, longest + 1):
+                if b - a < n:
+                    break
+                gram = mix(gram[: b - a - n + 1] * _AGAIN + of[a + n - 1 : b])
+                seen[gram >> np.uint64(64 - BITS)] = True
         found = np.flatnonzero(seen)
         seen[found] = False
         yield found
@@ -145,7 +147,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", pa
 
     Labels are learnt only from documents whose crc32(doc_id as text) mod parts isn't part, from at most per_class
     of each label, whole texts, chosen by hash. Null texts count as empty; an empty text gets the score of no features.
-    Without labels of both kinds all scores are the same. Rows that repeat stay; other columns are ignored, but for
+    Without labels of both kinds all scores are the same. Texts of any length are read whole. Rows that repeat stay; other columns are ignored, but for
     those of keep, given back last as `_` and their name; a null doc_id stays null and isn't held out; an empty table
     gives an empty result.
     """

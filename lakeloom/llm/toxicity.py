@@ -1,8 +1,10 @@
-"""Toxicity by class-conditional Kneser-Ney models over the letters of words.
+"""Toxicity by class-conditional Kneser-Ney models over the letters of words and over neighbouring words.
 
 Each class has its own counts of the longest n-grams; what they discount goes to one backoff model of continuation
 counts that both classes share, so expressions too rare to tell the classes apart weigh nothing. Words are scored by
-the difference of the two log-likelihoods, per letter; a document by its most telling words and by its mean.
+the difference of the two log-likelihoods, per letter; a word after its neighbour adds the difference that the pair
+makes, where the pair came more than once, so that expressions of several harmless words are told too. A document is
+scored by its most telling words and by its mean, all normalised by length.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeloom.llm._common import Words, arrow_batches, chunks, table
+from lakeloom.llm._common import Words, arrow_batches, chunks, mix, table
 from lakeloom.llm._labels import held_out, labelled_sample, logistic, sigmoid
 
 #: Letters (bytes) of an n-gram, its end included.
@@ -25,7 +27,9 @@ ORDER = 8
 PER_CLASS = 2000
 PARTS, PART, THRESHOLD = 3, 1, 0.7
 #: Folds of the sample, and numbers that sum up a document.
-FOLDS, EVIDENCE = 5, 4
+FOLDS, EVIDENCE = 5, 3
+#: Occurrences of a pair of words in the sample from which on it is a feature.
+PAIRS_FROM = 3
 _EDGE = np.uint8(32)
 
 
@@ -56,6 +60,13 @@ def word_grams(words: Words, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return grams, begin[:-1]
 
 
+def pair_hashes(words: Words) -> np.ndarray:
+    """A hash of each word and the one before it; a text's first word has 0 before it."""
+    before = np.concatenate(([np.uint64(0)], words.hash[:-1])) if len(words.hash) else words.hash.copy()
+    before[words.first[:-1][words.first[:-1] < len(before)]] = 0
+    return mix(mix(before) + words.hash)
+
+
 @dataclass
 class Model:
     """Log-likelihood ratios of n-grams seen in training, and of contexts followed by something unseen."""
@@ -64,6 +75,8 @@ class Model:
     gram_ratio: np.ndarray
     contexts: np.ndarray
     context_ratio: np.ndarray
+    pairs: np.ndarray
+    pair_ratio: np.ndarray
     weights: np.ndarray
 
     def words(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -72,10 +85,11 @@ class Model:
         grams, begin = word_grams(words, first)
         value = _look_up(self.contexts, self.context_ratio, grams >> np.uint64(8), 0.0)
         value = _look_up(self.grams, self.gram_ratio, grams, value)
-        return np.add.reduceat(value, begin)[codes], (words.end - words.start + 1).astype(np.float64)
+        ratio = np.add.reduceat(value, begin)[codes]
+        return ratio + _look_up(self.pairs, self.pair_ratio, pair_hashes(words), 0.0), (words.end - words.start + 1).astype(np.float64)
 
     def evidence(self, texts: list[bytes]) -> np.ndarray:
-        """For each text: its most telling word's ratio per letter, that of its four best and of all words, and its length."""
+        """For each text: its most telling word's ratio per letter, that of its four best and of all words."""
         words, out = Words(texts), np.zeros((len(texts), EVIDENCE))
         if not len(words.start):
             return out
@@ -84,7 +98,7 @@ class Model:
         for i, (a, b) in enumerate(zip(words.first[:-1], words.first[1:])):
             if a < b:
                 top = np.sort(each[a:b])[::-1][:4]
-                out[i] = top[0], top.sum() / 4, ratio[a:b].sum() / letters[a:b].sum(), np.log1p(b - a)
+                out[i] = top[0], top.sum() / 4, ratio[a:b].sum() / letters[a:b].sum()
         return out
 
     def score(self, texts: list[bytes]) -> np.ndarray:
@@ -132,7 +146,20 @@ def fit_ratios(grams: np.ndarray, ordinary: np.ndarray, toxic: np.ndarray) -> Mo
         seen = np.where(total[inverse] > 0, np.maximum(count - d, 0) / np.maximum(total[inverse], 1), 0.0)
         logs.append(np.log(seen + share[inverse] * shared))
         backoff.append(np.log(share))
-    return Model(grams, (logs[1] - logs[0]).astype(np.float32), contexts, (backoff[1] - backoff[0]).astype(np.float32), np.zeros(EVIDENCE + 1))
+    none = np.empty(0, np.uint64), np.empty(0, np.float32)
+    return Model(grams, (logs[1] - logs[0]).astype(np.float32), contexts, (backoff[1] - backoff[0]).astype(np.float32), *none, np.zeros(EVIDENCE + 1))
+
+
+def fit_pairs(pairs: np.ndarray, ordinary: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted pairs and the difference of their log-probabilities in the classes: discounted counts over the class's
+    pairs, and what is discounted dealt out by the counts of both classes together."""
+    both = (ordinary + toxic) / max(1, (ordinary + toxic).sum())
+    logs = []
+    for count in (ordinary, toxic):
+        d, total = _discount(count), max(1, count.sum())
+        logs.append(np.log(np.maximum(count - d, 0) / total + d * (count > 0).sum() / total * both + 1e-12))
+    by = np.argsort(pairs)
+    return pairs[by], (logs[1] - logs[0]).astype(np.float32)[by]
 
 
 def _fold(column):
@@ -145,6 +172,16 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", parts: int =
     sample = labelled_sample(docs, labels, label, parts, part, per_class).withColumn("fold", _fold(F.col("doc_id")))
     columns = [f"n{k}" for k in range(2 * FOLDS)]  # n of label y in fold f: 2 f + y
 
+    def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kind = 2 * batch.column(3).to_numpy(zero_copy_only=False) + batch.column(2).to_numpy(zero_copy_only=False)
+            for at, some in chunks(batch.column(1).to_pylist()):
+                words = Words(some)
+                owner = np.repeat(kind[at : at + len(some)], np.diff(words.first))
+                keys, inverse = np.unique(pair_hashes(words), return_inverse=True)
+                n = [np.bincount(inverse[owner == k], minlength=len(keys)).astype(np.int64) for k in range(2 * FOLDS)]
+                yield pa.record_batch([pa.array(keys.view(np.int64)), *map(pa.array, n)], names=["gram", *columns])
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kind = 2 * batch.column(3).to_numpy(zero_copy_only=False) + batch.column(2).to_numpy(zero_copy_only=False)
@@ -160,16 +197,25 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", parts: int =
                 n = [np.bincount(inverse, np.bincount(codes[owner == k], minlength=len(first))[word]).astype(np.int64) for k in range(2 * FOLDS)]
                 yield pa.record_batch([pa.array(keys.view(np.int64)), *map(pa.array, n)], names=["gram", *columns])
 
+    def gathered(f, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """Keys, sorted, and their counts by fold and label; those with fewer in all stay in Spark."""
+        summed = sample.mapInArrow(f, "gram long, " + ", ".join(f"{c} long" for c in columns)).groupBy("gram").agg(*[F.sum(c).cast("int").alias(c) for c in columns])
+        got = summed.where(sum((F.col(c) for c in columns), F.lit(0)) >= least).toArrow()
+        keys = got["gram"].to_numpy().view(np.uint64)
+        order = np.argsort(keys)
+        return keys[order], np.array([got[c].to_numpy()[order] for c in columns]).reshape(FOLDS, 2, len(keys))
+
     with arrow_batches(spark):
-        counted = sample.mapInArrow(count, "gram long, " + ", ".join(f"{c} long" for c in columns)).groupBy("gram").agg(*[F.sum(c).cast("int").alias(c) for c in columns]).toArrow()
-    grams = counted["gram"].to_numpy().view(np.uint64)
-    order = np.argsort(grams)
-    grams, n = grams[order], np.array([counted[c].to_numpy()[order] for c in columns]).reshape(FOLDS, 2, len(grams))
+        (grams, n), (pairs, m) = gathered(count, 1), gathered(count_pairs, PAIRS_FROM)
 
     def without(fold: int | None) -> Model:
         kept = n.sum(axis=0) - (n[fold] if fold is not None else 0)
         used = kept.sum(axis=0) > 0
-        return fit_ratios(grams[used], kept[0][used], kept[1][used])
+        model = fit_ratios(grams[used], kept[0][used], kept[1][used])
+        kept = m.sum(axis=0) - (m[fold] if fold is not None else 0)
+        used = kept.sum(axis=0) >= PAIRS_FROM
+        model.pairs, model.pair_ratio = fit_pairs(pairs[used], kept[0][used], kept[1][used])
+        return model
 
     others = [without(f) for f in range(FOLDS)]
 
@@ -192,7 +238,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", parts: int =
     if 0 < y.sum() < len(y):
         model.weights = logistic(seen[evidence].to_numpy(), y)
     else:
-        model.weights = np.array([4.0, 4.0, 0.0, 0.0, -4.0])
+        model.weights = np.array([4.0, 4.0, 0.0, -4.0])
     return model
 
 
@@ -200,8 +246,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", par
     """doc_id, held_out, score, predicted (score >= threshold) for each row of docs.
 
     Labels are learnt only from documents whose crc32(doc_id as text) mod parts isn't part, from at most per_class of
-    each label, whole texts, chosen by hash. Null, empty and blank texts get the score of no evidence. Rows that repeat
-    stay; other columns are ignored; a null doc_id stays null and isn't held out; an empty table gives an empty result.
+    each label, whole texts, chosen by hash. Null, empty and blank texts get the score of no evidence. Texts of any
+    length are read whole. Rows that repeat stay; other columns are ignored; a null doc_id stays null and isn't held out; an empty table gives an empty result.
     Without labels of both kinds the evidence is weighed by fixed numbers.
     """
     model = train(docs, labels, label, parts, part, per_class)

@@ -4,8 +4,9 @@ Vectors belong to the nearest of a bounded number of centres. What is left of a
 for each component, with its length and how well the bits align with it. A query's inner product with a coded vector is
 estimated from the bits and these two numbers; the estimate's error bound tells which vectors are scored in full.
 
-Equal vectors are searched as one. Cells are cut into blocks of bounded size and meet the queries block by block, so
-neither a hot cell nor a hot vector gathers in one task. A query skips a cell if even the best vector that the cell's
+Equal vectors are searched as one. Cells are cut into blocks of bounded size. A task holds one block at a time and reads
+the queries that want it as a stream, so the index is shuffled once, however many queries there are, and neither a hot
+cell nor a hot vector gathers in one task. A query skips a cell if even the best vector that the cell's
 radius allows is worse than the k-th best that a bounded part of the index has for it; that loses nothing.
 """
 
@@ -22,8 +23,8 @@ from pyspark.sql import functions as F
 
 from lakeloom.llm._common import arrow_batches, cut, table
 
-#: Vectors in a block of the index and queries in a part, on average; most cells.
-BLOCK, MOST_CELLS = 4096, 1024
+#: Vectors in a block of the index, on average; most cells, each with four vectors of the sample at least.
+BLOCK, MOST_CELLS = 4096, 4096
 #: Vectors that the centres are fitted on, at most, and those that give each query its first threshold.
 SAMPLE, PROBE = 16_384, 8192
 #: Width of the error bound in deviations of the estimate.
@@ -112,14 +113,15 @@ def best_of_block(codes: Codes, queries: np.ndarray, floor: np.ndarray, vectors:
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
-def nearest(vectors: DataFrame, asked: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def nearest(vectors: DataFrame, asked: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", block_rows: int = BLOCK, probe_rows: int = PROBE) -> DataFrame:
     """query_id, rank, vec_id, score: the k rows of the largest inner product with each row for which asked holds.
 
     A query's own row is no candidate; ties go to the smaller vec_id; with fewer candidates all are returned. Vectors
     that are null, empty, zero or hold null or non-finite components, rows with a null id, and vectors of another length
     than the most common one (ties: the shorter) take no part. A row that comes again with the same id and vector counts
     once; an id with several vectors is searched once for each of them. Other columns are ignored; an empty table gives
-    an empty result. Centres are fitted on SAMPLE rows at most; every row is indexed.
+    an empty result. Centres are fitted on SAMPLE rows at most; every row is indexed. block_rows and probe_rows bound what a
+    task holds and what gives the first thresholds; results don't depend on them, but for the error bound of the codes.
     """
     spark = vectors.sparkSession
     kind = vectors.schema[vector_col].dataType.simpleString()
@@ -143,8 +145,8 @@ def nearest(vectors: DataFrame, asked: Column, k: int = 20, id_col: str = "vec_i
         n, n_asked = whole.agg(F.count("*"), F.coalesce(F.sum(F.col("asked").cast("long")), F.lit(0))).first()
         sample = whole.select(*key, "v").orderBy(*key).limit(SAMPLE).toArrow()
         probe = _matrix(sample["v"], dim)
-        codes = Codes.fit(probe, min(MOST_CELLS, len(probe), max(1, n // BLOCK)))
-        probe, probe_key = probe[:PROBE].astype(np.float32), np.column_stack([sample[c].to_numpy()[:PROBE] for c in key])
+        codes = Codes.fit(probe, min(MOST_CELLS, max(1, len(probe) // 4), max(1, n // block_rows)))
+        probe, probe_key = probe[:probe_rows].astype(np.float32), np.column_stack([sample[c].to_numpy()[:probe_rows] for c in key])
 
         def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -155,7 +157,7 @@ def nearest(vectors: DataFrame, asked: Column, k: int = 20, id_col: str = "vec_i
         cells = coded.groupBy("cell").agg(F.count("*").alias("n"), F.max("length").alias("radius")).orderBy("cell").collect()  # MOST_CELLS rows
         radius, blocks, first, at = np.zeros(len(codes.centres)), np.zeros(len(codes.centres), int), np.zeros(len(codes.centres), int), 0
         for r in cells:
-            radius[r.cell], blocks[r.cell], first[r.cell] = r.radius, -(-r.n // BLOCK), at
+            radius[r.cell], blocks[r.cell], first[r.cell] = r.radius, -(-r.n // block_rows), at
             at += blocks[r.cell]
 
         def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,27 +177,41 @@ def nearest(vectors: DataFrame, asked: Column, k: int = 20, id_col: str = "vec_i
                         lists.append(np.concatenate([np.arange(first[c], first[c] + blocks[c], dtype=np.int32) for c in use]) if len(use) else [])
                 yield pa.RecordBatch.from_arrays([b.column("k1"), b.column("k2"), b.column("v"), pa.array(floor), pa.array(lists, pa.list_(pa.int32()))], names=["k1", "k2", "v", "floor", "wanted"])
 
-        parts = max(1, -(-n_asked // BLOCK))
-        part = lambda c: F.pmod(F.col(c), F.lit(parts)).cast("int").alias("part")
-        queries = coded.where("asked").select(*key, "v").mapInArrow(wanted, f"k1 long, k2 long, v {rows.schema['v'].dataType.simpleString()}, floor double, wanted array<int>")
-        queries = queries.select(*key, "v", "floor", F.explode("wanted").alias("block"), part("k2"))
+        kind_of = rows.schema["v"].dataType.simpleString()
+        queries = coded.where("asked").select(*key, "v").mapInArrow(wanted, f"k1 long, k2 long, v {kind_of}, floor double, wanted array<int>")
+        queries = queries.select(F.explode("wanted").alias("block"), F.lit(1).alias("side"), *key, "v", "floor")
         place = spark.createDataFrame([(int(r.cell), int(first[r.cell]), int(blocks[r.cell])) for r in cells], "cell int, first int, blocks int")
         index = coded.join(F.broadcast(place), "cell").withColumn("block", (F.col("first") + F.pmod("k2", F.col("blocks"))).cast("int"))
-        index = index.select("block", "cell", "v", "ids", "length", "align", "bits", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+        index = index.select("block", F.lit(0).alias("side"), *key, "v", "cell", "ids", "length", "align", "bits")
         fields = pa.schema([("q1", pa.int64()), ("q2", pa.int64()), ("score", pa.float64()), ("ids", pa.list_(pa.int64()))])
 
-        def search(left: pa.Table, right: pa.Table) -> pa.Table:
-            if not left.num_rows or not right.num_rows:
-                return fields.empty_table()
-            bits = np.frombuffer(b"".join(right["bits"].to_pylist()), np.uint8).reshape(right.num_rows, -1)
-            own = right["ids"].combine_chunks()
-            least = own.values.to_numpy()[own.offsets.to_numpy()[:-1]]
-            coded_block = (right["cell"][0].as_py(), right["length"].to_numpy(), right["align"].to_numpy(), bits)
-            row, column, score = best_of_block(codes, _matrix(left["v"], dim), left["floor"].to_numpy(), _matrix(right["v"], dim), coded_block, least, k + 1)
-            return pa.table([left["k1"].take(pa.array(row)), left["k2"].take(pa.array(row)), pa.array(score), own.take(pa.array(column))], schema=fields)
-
-        pairs = queries.groupBy("block", "part").cogroup(index.groupBy("block", "part"))
-        found = pairs.applyInArrow(search, "q1 long, q2 long, score double, ids array<long>")
+        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """Rows of a block come first, then its queries; one block is held, and a batch of queries."""
+            now, held, index_block = None, [], None
+            for batch in batches:
+                at = batch.column("block").to_numpy()
+                side = batch.column("side").to_numpy()
+                for a, b in zip(*(np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1]) | (side[1:] != side[:-1]), [True])))[x] for x in (slice(None, -1), slice(1, None)))):
+                    part = batch.slice(a, b - a)
+                    if at[a] != now:
+                        now, held, index_block = at[a], [], None
+                    if side[a] == 0:
+                        held.append(part)
+                        continue
+                    if index_block is None and held:
+                        right = pa.Table.from_batches(held)
+                        own = right["ids"].combine_chunks()
+                        bits = np.frombuffer(b"".join(right["bits"].to_pylist()), np.uint8).reshape(right.num_rows, -1)
+                        codes_of = (right["cell"][0].as_py(), right["length"].to_numpy(), right["align"].to_numpy(), bits)
+                        index_block = _matrix(right["v"], dim), codes_of, own, own.values.to_numpy()[own.offsets.to_numpy()[:-1]]
+                    if index_block is not None:
+                        x, codes_of, own, least = index_block
+                        row, column, score = best_of_block(codes, _matrix(part.column("v"), dim), part.column("floor").to_numpy(), x, codes_of, least, k + 1)
+                        row = pa.array(row)
+                        yield pa.RecordBatch.from_arrays([part.column("k1").take(row), part.column("k2").take(row), pa.array(score), own.take(pa.array(column))], schema=fields)
+
+        both = index.unionByName(queries, allowMissingColumns=True).repartition("block").sortWithinPartitions("block", "side")
+        found = both.mapInArrow(search, "q1 long, q2 long, score double, ids array<long>")
         per_query = Window.partitionBy("q1", "q2")
         found = found.withColumn("n", F.row_number().over(per_query.orderBy(F.desc("score"), F.col("ids")[0]))).where(F.col("n") <= k + 1)
         found = found.select("q1", "q2", "score", F.explode("ids").alias("id")).withColumn("n", F.row_number().over(per_query.orderBy(F.desc("score"), "id"))).where(F.col("n") <= k + 1)

@@ -27,9 +27,9 @@ from lakeloom.llm._common import Words, arrow_batches, chunks, cut, drop_cut, ma
 
 #: Words with more than 2^-BITS of all occurrences are frequent, so at most 2^BITS are; words that a task reads before it
 #: hands on what it has; weight of the unigram behind a history.
-BITS, RUN, PRIOR = 20, 1 << 21, 50.0
+BITS, RUN, PRIOR = 20, 1 << 19, 50.0
 #: Documents of a run from which on a pair sends counts alone; words of a partition; hot pairs of one pass.
-CROWD, PART_WORDS, HOT_PAIRS = 128, 1 << 21, 1 << 20
+CROWD, PART_WORDS, HOT_PAIRS = 16, 1 << 20, 1 << 20
 #: The history where a text begins.
 BEGIN = np.uint64(0)
 _ODD = np.uint64(0x9E3779B97F4A7C15)

@@ -74,7 +74,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sour
     n = sources.count()
     placed = rows.join(maybe_broadcast(sources.drop("slots", "blocks"), n, 256), rows["source"].eqNullSafe(sources["source"])).drop(sources["source"])
     # positions in two steps, so that no task orders a whole source: within buckets of the hash, then over the buckets
-    placed = placed.withColumn("_md5", F.md5(F.col("doc_id").cast("string"))).withColumn("_bucket", F.coalesce(F.substring("_md5", 1, 3), F.lit("~")))
+    placed = placed.withColumn("_md5", F.md5(F.col("doc_id").cast("string"))).withColumn("_bucket", F.coalesce(F.substring("_md5", 1, 3), F.concat(F.lit("~"), F.lpad(F.col("size").cast("string"), 12, "0"))))
     buckets = placed.groupBy("ordinal", "_bucket").agg(F.sum("size").alias("n"))
     before = Window.partitionBy("ordinal").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     buckets = buckets.select("ordinal", "_bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_offset"))

@@ -2,9 +2,9 @@
 
 Each class has its own counts of the longest n-grams; what they discount goes to one backoff model of continuation
 counts that both classes share, so expressions too rare to tell the classes apart weigh nothing. Words are scored by
-the difference of the two log-likelihoods, per letter; a word after its neighbour adds the difference that the pair
-makes, where the pair came more than once, so that expressions of several harmless words are told too. A document is
-scored by its most telling words and by its mean, all normalised by length.
+the difference of the two log-likelihoods, per letter; pairs of neighbours that came several times by the difference
+that the pair makes, so that expressions of several harmless words are told too. A document is scored by its most
+telling words and pairs and by its means, all normalised by length.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ ORDER = 8
 PER_CLASS = 2000
 PARTS, PART, THRESHOLD = 3, 1, 0.7
 #: Folds of the sample, and numbers that sum up a document.
-FOLDS, EVIDENCE = 5, 3
+FOLDS, EVIDENCE = 5, 5
 #: Occurrences of a pair of words in the sample from which on it is a feature.
 PAIRS_FROM = 3
 _EDGE = np.uint8(32)
@@ -85,20 +85,20 @@ class Model:
         grams, begin = word_grams(words, first)
         value = _look_up(self.contexts, self.context_ratio, grams >> np.uint64(8), 0.0)
         value = _look_up(self.grams, self.gram_ratio, grams, value)
-        ratio = np.add.reduceat(value, begin)[codes]
-        return ratio + _look_up(self.pairs, self.pair_ratio, pair_hashes(words), 0.0), (words.end - words.start + 1).astype(np.float64)
+        return np.add.reduceat(value, begin)[codes], (words.end - words.start + 1).astype(np.float64)
 
     def evidence(self, texts: list[bytes]) -> np.ndarray:
-        """For each text: its most telling word's ratio per letter, that of its four best and of all words."""
+        """For each text: its most telling word's ratio per letter, that of its four best and of all words; what its
+        most telling pair of words adds, and all pairs on average."""
         words, out = Words(texts), np.zeros((len(texts), EVIDENCE))
         if not len(words.start):
             return out
         ratio, letters = self.words(words)
-        each = ratio / letters
+        each, pair = ratio / letters, _look_up(self.pairs, self.pair_ratio, pair_hashes(words), 0.0)
         for i, (a, b) in enumerate(zip(words.first[:-1], words.first[1:])):
             if a < b:
                 top = np.sort(each[a:b])[::-1][:4]
-                out[i] = top[0], top.sum() / 4, ratio[a:b].sum() / letters[a:b].sum()
+                out[i] = top[0], top.sum() / 4, ratio[a:b].sum() / letters[a:b].sum(), pair[a:b].max(), pair[a:b].mean()
         return out
 
     def score(self, texts: list[bytes]) -> np.ndarray:
@@ -238,7 +238,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", parts: int =
     if 0 < y.sum() < len(y):
         model.weights = logistic(seen[evidence].to_numpy(), y)
     else:
-        model.weights = np.array([4.0, 4.0, 0.0, -4.0])
+        model.weights = np.array([4.0, 4.0, 0.0, 0.0, 0.0, -4.0])
     return model
 
 

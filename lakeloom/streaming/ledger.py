@@ -11,16 +11,19 @@ def event_stream(spark: SparkSession, path: str, schema: str, per_trigger: int =
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(path)
 
 
-def append_once(events: DataFrame, path: str, checkpoint: str, key: str = "event_id") -> StreamingQuery:
-    """Appends events whose key the ledger lacks; a batch that is tried again adds nothing."""
+def append_once(events: DataFrame, path: str, checkpoint: str, key: str = "event_id", buckets: int = 256) -> StreamingQuery:
+    """Appends events whose key the ledger lacks; a batch that is tried again adds nothing. The ledger is kept by buckets of
+    its keys (column _bucket), and a batch is compared with those that it touches alone, by their keys."""
 
     def add(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
-        fresh = batch.dropDuplicates([key])
+        fresh = batch.dropDuplicates([key]).withColumn("_bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
         files = spark._jvm.org.apache.hadoop.fs.Path(path)
         if files.getFileSystem(spark._jsc.hadoopConfiguration()).exists(files):
-            fresh = fresh.join(spark.read.schema(batch.schema).parquet(path).select(key), key, "left_anti").select(*batch.columns)
-        fresh.write.mode("append").parquet(path)
+            touched = [r[0] for r in fresh.select("_bucket").distinct().collect()]  # at most buckets rows
+            known = spark.read.schema(fresh.schema).parquet(path).where(F.col("_bucket").isin(touched)).select("_bucket", key)
+            fresh = fresh.join(known, ["_bucket", key], "left_anti").select(*fresh.columns)
+        fresh.write.mode("append").partitionBy("_bucket").parquet(path)
 
     return events.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -276,3 +276,23 @@ def cell(raw: Column, kind: str) -> tuple[Column, Column]:
             value = raw.try_cast("date")
             return value, F.when(raw.isNotNull() & value.isNull(), "unparsable_date_value")
     raise ValueError(f"unknown kind {kind}")
+
+
+def stable_json(fields: dict[str, Column]) -> Column:
+    """A struct as JSON with its fields in the order of their names, nulls kept: equal values give equal text."""
+    return F.to_json(F.struct(*(fields[k].alias(k) for k in sorted(fields))), {"ignoreNullFields": "false"})
+
+
+#: Headings of blocks in a manual, by which a passage is told (fixed values).
+HEADINGS = ("Zakładka", "Blok", "Formularz", "Akcja")
+
+
+def headed_passage(c: Column, words: list[str], headings: tuple[str, ...] = HEADINGS, most: int = 1200) -> Column:
+    """The heading line that names one of the words (five letters at least, the longest first, by its stem) with the line after
+    it, cut to most characters; null if there is none."""
+    out = F.lit(None).cast("string")
+    for w in sorted((w for w in words if len(w) >= 5), key=len):
+        stem = w[:-2] if len(w) >= 7 else w[:-1] if len(w) >= 6 else w
+        found = F.regexp_extract(c, rf"(?iu)(?:{'|'.join(headings)}):[^\n]*{stem}[^\n]*(?:\n[^\n]{{0,{most}}})?", 0)
+        out = F.when(found != "", trimmed(found)).otherwise(out)
+    return out

@@ -35,12 +35,25 @@ def drop_cut(df: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Steps up to which a walk is one plan; each level's shuffle serves the next level and the answer.
+ONE_PLAN = 4
+
+
 def reach(edges: DataFrame, roots: DataFrame, depth: int, reverse: bool = False) -> DataFrame:
-    """node, depth: what can be reached from roots (node) in at most depth steps, with the fewest steps. Roots have 0."""
+    """node, depth: what can be reached from roots (node) in at most depth steps, with the fewest steps. Roots have 0.
+
+    Short walks are one plan without files; deep ones write each level and walk on from nodes not seen before.
+    """
     a, b = ("dst", "src") if reverse else ("src", "dst")
     step = edges.select(F.col(a).alias("node"), F.col(b).alias("next"))
-    seen = cut(roots.select("node").distinct().withColumn("depth", F.lit(0)))
-    front = seen
+    first = roots.select("node").distinct().withColumn("depth", F.lit(0))
+    if depth <= ONE_PLAN:
+        found = front = first
+        for d in range(1, depth + 1):
+            front = front.join(step, "node").select(F.col("next").alias("node")).distinct().withColumn("depth", F.lit(d))
+            found = found.unionByName(front)
+        return found.groupBy("node").agg(F.min("depth").alias("depth"))
+    seen = front = cut(first)
     for d in range(1, depth + 1):
         new = front.join(step, "node").select(F.col("next").alias("node")).distinct()
         front = cut(new.join(seen, "node", "left_anti").withColumn("depth", F.lit(d)))
@@ -311,3 +324,14 @@ def join_evidence(edges: DataFrame, order: tuple[str, ...]) -> DataFrame:
     kept = edges.where(F.col("type").isin(*order) & (F.col("src") != F.col("dst")))
     by = kept.groupBy(F.least("src", "dst").alias("left_id"), F.greatest("src", "dst").alias("right_id"))
     return by.agg(F.min_by("type", rank).alias("evidence"), F.count("*").alias("edges"))
+
+
+def endpoints(edges: DataFrame, inventory: DataFrame) -> DataFrame:
+    """src, dst, state: whether an edge's target is in an inventory (owner, name): resolved as `owner.name` or as a name that
+    one owner alone has, ambiguous if several have it, else missing. Case-blind."""
+    known = inventory.select(F.upper("owner").alias("o"), F.upper("name").alias("n")).distinct()
+    full = known.select(F.concat_ws(".", "o", "n").alias("k"), F.lit(1).alias("owners"))
+    bare = known.groupBy(F.col("n").alias("k")).agg(F.count("*").alias("owners"))
+    found = full.unionByName(bare.withColumn("owners", F.col("owners").cast("int"))).groupBy("k").agg(F.min("owners").alias("owners"))
+    out = edges.select("src", "dst", F.upper("dst").alias("k")).join(found, "k", "left")
+    return out.select("src", "dst", F.when(F.col("owners") == 1, "resolved").when(F.col("owners") > 1, "ambiguous").otherwise("missing").alias("state"))

@@ -42,6 +42,8 @@ class Filter:
                 return c.isin(*v)
             case "like":
                 return c.like(v)
+            case "contains":
+                return F.upper(c).contains(str(v).upper())
             case "starts_with":
                 return c.startswith(v)
             case "is_null":

@@ -125,3 +125,12 @@ def typed_trace(spark, d):
 def join_evidence(spark, d):
     """The best evidence for a join of two nodes, whichever way its edges go."""
     return graph.join_evidence(_edges(spark, d), ("reads", "calls", "shows"))
+
+
+@query("""WITH i AS (SELECT DISTINCT upper(p_type) AS o, upper(p_name) AS n FROM part WHERE p_size < 5), e AS (SELECT p_partkey AS src, CASE WHEN p_partkey % 2 = 0 THEN p_type || '.' ELSE '' END || p_name AS dst FROM part), c AS (SELECT n, count(*) AS k FROM i GROUP BY n)
+SELECT src, dst, CASE WHEN contains(dst, '.') THEN CASE WHEN upper(dst) IN (SELECT o || '.' || n FROM i) THEN 'resolved' ELSE 'missing' END WHEN k = 1 THEN 'resolved' WHEN k > 1 THEN 'ambiguous' ELSE 'missing' END AS state FROM e LEFT JOIN c ON upper(dst) = n""")
+def resolved_endpoints(spark, d):
+    """Targets of edges against an inventory, with and without their owners."""
+    p = table(spark, d, "part")
+    edges = p.select(F.col("p_partkey").alias("src"), F.concat(F.when(F.col("p_partkey") % 2 == 0, F.concat("p_type", F.lit("."))).otherwise(""), "p_name").alias("dst"))
+    return graph.endpoints(edges, p.where("p_size < 5").select(F.col("p_type").alias("owner"), F.col("p_name").alias("name")))

@@ -104,3 +104,21 @@ def replaced_source(spark, d):
     return import_chunks(rows, new, "source", "merge").groupBy("source", "type").agg(F.count("*").alias("chunks"))
 
 
+
+
+@query("""SELECT p_type AS source_type, count(*) AS chunks, array_to_string(list_sort(list_distinct(list(p_brand))), ',') AS sources, array_to_string(list_sort(list_distinct(list(p_name))), ',') AS modules, '' AS topics FROM part GROUP BY 1""")
+def pack_manifest(spark, d):
+    """What a pack holds of each kind."""
+    from lakeloom.sources.tables import manifest
+
+    rows = table(spark, d, "part").select(F.col("p_type").alias("source_type"), F.col("p_brand").alias("source"), F.col("p_name").alias("module"))
+    return manifest(rows).withColumns({c: F.array_join(c, ",") for c in ("sources", "modules", "topics")})
+
+
+@query("SELECT doc_id, source, (row_number() OVER (PARTITION BY source ORDER BY n_chars, text) - 1)::INT AS chunk_index FROM (SELECT min(doc_id) AS doc_id, source, n_chars, text FROM documents GROUP BY source, n_chars, text)")
+def numbered_chunks(spark, d):
+    """The running number of each chunk in its source."""
+    from lakeloom.sources.tables import numbered
+
+    rows = table(spark, d, "documents").groupBy("source", "n_chars", "text").agg(F.min("doc_id").alias("doc_id")).withColumnRenamed("n_chars", "start")
+    return numbered(rows).select("doc_id", "source", "chunk_index")

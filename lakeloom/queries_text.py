@@ -133,3 +133,42 @@ def centred_passages(spark, d):
     """Passages around a word or its stem."""
     rows = table(spark, d, "documents").where(~F.col("text").rlike(r"[^\x01-\x7f]"))
     return rows.select("doc_id", fx.centred(F.col("text"), 300, ["theast"]).alias("passage"))
+
+
+@query("SELECT p_partkey, p_name FROM part WHERE contains(upper(p_name), 'RIN') OR contains(upper(p_brand || '.' || p_type), '#12.ECO')")
+def table_search(spark, d):
+    """Names that hold a text, case-blind, alone or after their owner's."""
+    from lakeloom.plans.request import Filter, Request
+
+    rows = table(spark, d, "part").withColumn("full", F.concat_ws(".", "p_brand", "p_type"))
+    return Request(("p_partkey", "p_name"), any_of=((Filter("p_name", "contains", "rin"),), (Filter("full", "contains", "#12.eco"),))).answer(rows)
+
+
+@query("SELECT l_orderkey, l_linenumber, o_orderpriority FROM lineitem JOIN (SELECT o_orderkey, o_orderkey % 7 + 1 AS line, o_orderpriority FROM orders) ON o_orderkey = l_orderkey AND line = l_linenumber")
+def two_key_join(spark, d):
+    """An inner join on two columns."""
+    from lakeloom.plans.request import Relation, Request
+
+    other = table(spark, d, "orders").select("o_orderkey", (F.col("o_orderkey") % 7 + 1).cast("int").alias("line"), "o_orderpriority")
+    return Request(("l_orderkey", "l_linenumber", "o_orderpriority"), relations=(Relation(other, (("l_orderkey", "o_orderkey"), ("l_linenumber", "line"))),)).answer(table(spark, d, "lineitem"))
+
+
+@query("""WITH w AS (SELECT p_partkey, list_distinct(string_split(p_name, ' ')) AS a, list_distinct(string_split(lower(p_brand || ' red ring'), ' ')) AS b FROM part) SELECT p_partkey, round(len(list_intersect(a, b)) / greatest(len(a), len(b))::DOUBLE, 6) AS overlap FROM w""")
+def word_overlaps(spark, d):
+    """Shared words over the larger set."""
+    a, b = F.split("p_name", " "), F.split(F.lower(F.concat("p_brand", F.lit(" red ring"))), " ")
+    return table(spark, d, "part").select("p_partkey", F.round(fx.overlap(a, b), 6).alias("overlap"))
+
+
+@query("""SELECT p_partkey, sha256('{"brand":"' || p_brand || '","name":' || CASE WHEN p_partkey % 5 = 0 THEN 'null' ELSE '"' || p_name || '"' END || ',"size":' || p_size || '}') AS fingerprint FROM part""")
+def stable_fingerprints(spark, d):
+    """Fingerprints of records whatever the order of their fields."""
+    fields = {"size": F.col("p_size"), "name": F.when(F.col("p_partkey") % 5 != 0, F.col("p_name")), "brand": F.col("p_brand")}
+    return table(spark, d, "part").select("p_partkey", F.sha2(fx.stable_json(fields), 256).alias("fingerprint"))
+
+
+@query("""SELECT p_partkey, CASE WHEN contains(p_name, 'widge') THEN 'Blok: ' || p_name || chr(10) || 'next ' || p_partkey END AS passage FROM part""")
+def headed_passages(spark, d):
+    """The passage under a heading that names a word."""
+    text = F.concat(F.lit("intro\nBlok: "), F.col("p_name"), F.lit("\nnext "), F.col("p_partkey").cast("string"), F.lit("\nrest"))
+    return table(spark, d, "part").select("p_partkey", fx.headed_passage(text, ["widgets", "red"]).alias("passage"))

@@ -110,3 +110,11 @@ def noise_kinds(spark, d):
 
     kind = curation.noise(F.col("text"), ["tion"], [("audio_problem", "eau"), ("break_announcement", "ung")], 40)
     return table(spark, d, "conversations").select("conv_id", "turn", kind.alias("noise"))
+
+
+@query("SELECT date_trunc('day', ts) AS start, event_type, count(*) AS events FROM events GROUP BY ALL")
+def windowed_events(spark, d):
+    """Events of each kind in each day, by the operator that streams use."""
+    from lakeloom.streaming.ledger import windowed_counts
+
+    return windowed_counts(table(spark, d, "events"), "ts", "event_type")

@@ -55,9 +55,17 @@ def numbered(chunks: DataFrame) -> DataFrame:
 
 
 def write_pack(chunks: DataFrame, path: str) -> DataFrame:
-    """Writes chunks as gzipped JSON lines; returns the manifest: chunks and distinct sorted sources of each source_type."""
+    """Writes chunks as gzipped JSON lines; returns manifest(chunks)."""
     chunks.write.json(f"{path}/chunks", compression="gzip")
-    return chunks.groupBy("source_type").agg(F.count("*").alias("chunks"), F.array_sort(F.collect_set("source")).alias("sources"))
+    return manifest(chunks)
+
+
+def manifest(chunks: DataFrame) -> DataFrame:
+    """source_type, chunks, and the distinct sorted sources, modules and topics of each source_type; a column that chunks
+    lack counts as empty."""
+    names = [(c, f"{c}s") for c in ("source", "module", "topic")]
+    kept = chunks.select("source_type", *(F.col(c) if c in chunks.columns else F.lit(None).cast("string").alias(c) for c, _ in names))
+    return kept.groupBy("source_type").agg(F.count("*").alias("chunks"), *(F.array_sort(F.collect_set(c)).alias(n) for c, n in names))
 
 
 def merge_by(old: DataFrame, new: DataFrame, key: str) -> DataFrame:

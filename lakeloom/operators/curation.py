@@ -53,8 +53,8 @@ def approved_records(ledger: DataFrame) -> DataFrame:
     made = made.withColumn("previous", F.when(F.col("kind") == "supersede", before))
     stands = made.groupBy("record").agg(F.max("seq").alias("at"), F.max_by(F.struct("revision", "previous"), "seq").alias("r"))
     revoked = own.where("kind = 'revoke'").groupBy("record").agg(F.max("seq").alias("revoked"))
-    out = stands.join(revoked, "record", "left").join(F.broadcast(everywhere))  # one row
-    gone = F.greatest(F.coalesce("revoked", F.lit(-1)), F.coalesce("all_revoked", F.lit(-1))) > F.col("at")
+    out = stands.join(revoked, "record", "left")
+    gone = F.greatest(F.coalesce("revoked", F.lit(-1)), F.coalesce(everywhere.scalar(), F.lit(-1))) > F.col("at")
     return out.select("record", "r.revision", F.when(gone, "revoked").otherwise("approved").alias("status"), "r.previous")
 
 
@@ -235,3 +235,9 @@ def extracted(rows: DataFrame, id_col: str, text: Column, patterns: dict[str, st
     typed = lambda kind: lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value"))
     found = [F.transform(F.regexp_extract_all(text, F.lit(p), 0), typed(kind)) for kind, p in patterns.items()]
     return rows.select(id_col, F.inline(F.concat(*found)))
+
+
+def tagged(links: DataFrame, tags: DataFrame, pattern: str, key: str = "tag") -> DataFrame:
+    """The distinct links whose tag (tag_id, tag) is like a pattern; the tags are filtered before they meet the links."""
+    wanted = tags.where(F.col(key).like(pattern)).select("tag_id").distinct()
+    return links.join(wanted, "tag_id", "left_semi").distinct()

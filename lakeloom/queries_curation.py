@@ -169,3 +169,10 @@ def extracted_candidates(spark, d):
     """Typed candidates that patterns find in texts, with how often they come."""
     found = curation.extracted(table(spark, d, "documents"), "doc_id", F.col("text"), {"number": "[0-9]+", "code": "[A-Z]{2,}"})
     return found.groupBy("kind", "value").agg(F.count("*").alias("uses"), F.count_distinct("doc_id").alias("documents"))
+
+
+@query("""SELECT DISTINCT l_orderkey, l_partkey AS tag_id FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_name LIKE 'red%' AND l_orderkey % 10 = 0""")
+def tagged_links(spark, d):
+    """Links by the tags that they carry."""
+    links = table(spark, d, "lineitem").where("l_orderkey % 10 = 0").select("l_orderkey", F.col("l_partkey").alias("tag_id"))
+    return curation.tagged(links, table(spark, d, "part").select(F.col("p_partkey").alias("tag_id"), F.col("p_name").alias("tag")), "red%")

@@ -17,14 +17,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, line, value of all lines of text files, numbered from 1. Lines are numbered within the splits of a file, and the
+    lines of the splits before are added, so no task orders a whole file."""
+    from pyspark.sql import Window
+
+    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_i"), "value")
+    sizes = rows.groupBy("file", "_b").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy("file", "_b").orderBy("_i"))).join(sizes.select("file", "_b", before.alias("_before")), ["file", "_b"])
+    return rows.select("file", (F.col("_before") + F.col("_n")).alias("line"), "value")
+
+
+def chunk_issues(spark: SparkSession, path: str) -> DataFrame:
+    """file, line, problem of every line of JSON-lines files that isn't a valid chunk."""
+    return _chunks(numbered_lines(spark, path), ("file", "line")).where("problem is not null").select("file", "line", "problem")
+
+
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:
     """Chunks of JSON-lines files, each with its problem (null: valid). Blank lines and those that begin with # are left out.
 
     Strings and members of arrays are trimmed, and empty members left out; a field that should hold an array of strings
     and doesn't is a problem.
     """
-    lines = spark.read.text(path).where((F.trim("value") != "") & ~F.ltrim("value").startswith("#"))
-    parsed = lines.select("value", F.from_json("value", CHUNK_SCHEMA).alias("c"))
+    return _chunks(spark.read.text(path))
+
+
+def _chunks(lines: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    lines = lines.where((F.trim("value") != "") & ~F.ltrim("value").startswith("#"))
+    parsed = lines.select(*keep, "value", F.from_json("value", CHUNK_SCHEMA).alias("c"))
     parsed = parsed.withColumn("v", F.try_parse_json("value"))
     trimmed = lambda c: F.regexp_replace(c, r"^[\s\u00a0\ufeff]+|[\s\u00a0\ufeff]+$", "")
     missing = lambda c: F.coalesce(trimmed(c), F.lit("")) == ""
@@ -44,7 +65,7 @@ def read_chunks(spark: SparkSession, path: str) -> DataFrame:
         problem = problem.when(odd(c), f"{c} isn't an array of strings")
     strings = {c: trimmed(F.col(f"c.{c}")) for c in STRINGS}
     arrays = {c: F.filter(F.transform(f"c.{c}", trimmed), lambda x: x != "") for c in ARRAYS}
-    return parsed.select("c.*", "v", "c", problem.alias("problem")).withColumns(strings | arrays).drop("v", "c")
+    return parsed.select(*keep, "c.*", "v", "c", problem.alias("problem")).withColumns(strings | arrays).drop("v", "c")
 
 
 def numbered(chunks: DataFrame) -> DataFrame:

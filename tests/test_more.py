@@ -1,5 +1,6 @@
 import hashlib
 import itertools
+import json
 import os
 import random
 from datetime import datetime
@@ -191,3 +192,16 @@ def test_windowed_counts_leave_late_rows_out(spark, tmp_path):
     query.awaitTermination(120)
     got = {(r.start.day, r.kind, r.events) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {(1, "a", 2), (9, "b", 1), (10, "b", 1)}
+
+
+def test_lines_are_numbered_across_splits(spark, tmp_path):
+    lines = [json.dumps({"source": "s", "text": f"t{i}"}) if i % 50 else "{bad" for i in range(1, 400)]
+    (tmp_path / "a.jsonl").write_text("# note\n" + "\n".join(lines) + "\n")
+    (tmp_path / "b.jsonl").write_text('\n{"source": "s"}')
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")
+    try:
+        got = sorted((r.file.rsplit("/", 1)[1], r.line, r.problem) for r in tables.chunk_issues(spark, str(tmp_path / "*.jsonl")).collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == [("a.jsonl", 1 + i, "not JSON") for i in range(50, 400, 50)] + [("b.jsonl", 2, "no text")]

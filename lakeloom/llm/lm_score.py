@@ -261,7 +261,7 @@ def score_documents(docs: DataFrame, target: DataFrame, bits: int = BITS, id_col
                 found += dealt("r", uid, parts, owner, k, owner, d * 4 + kinds[d], n, last)
             yield batch_of(found)
 
-    made_schema = pa.schema([("uid", pa.int64()), ("doc", pa.int32()), ("key", pa.int64()), ("target", pa.float64()), ("background", pa.float64()), ("pair", pa.int64()), *((c, pa.int64()) for c in names[:4])])
+    made_schema = pa.schema([("uid", pa.int64()), ("keys", pa.binary()), ("sums", pa.binary()), ("pair", pa.int64()), *((c, pa.int64()) for c in names[:4])])
 
     def made(**columns) -> pa.RecordBatch:
         n = len(next(iter(columns.values())))
@@ -270,22 +270,24 @@ def score_documents(docs: DataFrame, target: DataFrame, bits: int = BITS, id_col
     def parts_of_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held in by_part(batches):
             rows_of = {kind: [(uid, x) for k, uid, x in held if k == kind] for kind in "dfchr"}
-            for uid, (doc, keys) in rows_of["d"]:
-                yield made(uid=np.full(len(doc), uid), doc=doc.astype(np.int32), key=keys.view(np.int64))
+            for uid, (_, keys) in rows_of["d"]:
+                yield made(uid=[uid], keys=[keys.astype(np.uint64).tobytes()])
 
             def gathered(kind: str) -> list[np.ndarray]:
                 columns = [np.concatenate(c) for c in zip(*(x for _, x in rows_of[kind]))]
                 return [*columns, np.repeat([uid for uid, _ in rows_of[kind]], [len(x[0]) for _, x in rows_of[kind]])]
 
             def given(uid: np.ndarray, doc_kind: np.ndarray, *terms: tuple[np.ndarray, np.ndarray, np.ndarray]) -> pa.RecordBatch:
-                """Sums by document of terms: how often, values (4 x groups) and each row's group."""
+                """Sums by document of terms (how often, values as 4 x groups, each row's group), packed by run."""
                 model = 2 * (doc_kind >> 1 & 1)
                 sides = [sum(n * v[model + s, at] for n, v, at in terms) for s in (0, 1)]
                 some = np.flatnonzero((sides[0] != 0) | (sides[1] != 0))
                 uids, at = np.unique(uid[some], return_inverse=True)
                 ids, of = np.unique(at << 32 | doc_kind[some] >> 2, return_inverse=True)
-                own = [np.bincount(of, x[some], len(ids)) if len(ids) else np.empty(0) for x in sides]
-                return made(uid=uids[ids >> 32] if len(ids) else ids, doc=(ids & 0xFFFFFFFF).astype(np.int32), target=own[0], background=own[1])
+                own = [np.bincount(of, x[some], len(ids)).astype(float) for x in sides]
+                ends = np.searchsorted(ids >> 32, np.arange(len(uids) + 1))
+                doc = (ids & 0xFFFFFFFF).astype(np.int32)
+                return made(uid=uids, sums=[b"".join(x[a:b].tobytes() for x in (*own, doc)) for a, b in zip(ends[:-1], ends[1:])])
 
             if rows_of["f"] or rows_of["c"]:
                 k, doc_kind, n, uid = gathered("f") if rows_of["f"] else [np.empty(0, np.uint64)] + [np.empty(0, np.int64)] * 3
@@ -318,7 +320,7 @@ def score_documents(docs: DataFrame, target: DataFrame, bits: int = BITS, id_col
                 own_after = losses.after(summed(of_word, len(own_words), doc_kind & 3, n - last))
                 yield given(uid, doc_kind, (n, own, of), (n, -np.log(own_alone), of_word), (n - last, own_after, of_word))
 
-    schema = ", ".join(f"{f.name} {'int' if f.name == 'doc' else 'double' if f.type == pa.float64() else 'long'}" for f in made_schema)
+    schema = ", ".join(f"{f.name} {'binary' if f.type == pa.binary() else 'long'}" for f in made_schema)
     with arrow_batches(spark):
         given_back = cut(deal(rows_in, deal_pairs).mapInArrow(parts_of_documents, schema))
     hot = given_back.where("pair is not null")
@@ -357,8 +359,34 @@ def score_documents(docs: DataFrame, target: DataFrame, bits: int = BITS, id_col
         own = losses.pair(np.array([some[c].to_numpy()[order] for c in names[:4]], float).reshape(4, -1), alone[:, (pairs & np.uint64((1 << 21) - 1)).astype(np.int64)])
         one = rows_in.mapInArrow(score(pairs, own, not k), "key long, n_words long, copies long, target double, background double")
         scored = one if scored is None else scored.unionByName(one)
-    back = given_back.where("pair is null").groupBy("uid", "doc").agg(F.max("key").alias("key"), F.sum("target").alias("target"), F.sum("background").alias("background"))
-    back = back.where("target is not null").select("key", F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("copies"), "target", "background")
+
+    def sum_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Keys and sums of the documents of each run; its rows come one after the other."""
+        now, keys, sums = None, None, np.zeros((2, 0))
+
+        def whole() -> pa.RecordBatch:
+            none = np.zeros(len(keys), np.int64)
+            own = np.pad(sums, ((0, 0), (0, len(keys) - sums.shape[1])))
+            return pa.record_batch([pa.array(keys), pa.array(none), pa.array(none), *map(pa.array, own)], names=["key", "n_words", "copies", "target", "background"])
+
+        for batch in batches:
+            for uid, own_keys, own in zip(*(c.to_pylist() for c in batch.columns)):
+                if uid != now:
+                    if now is not None:
+                        yield whole()
+                    now, keys, sums = uid, None, np.zeros((2, 0))
+                if own_keys is not None:
+                    keys = np.frombuffer(own_keys, np.int64)
+                if own:
+                    n = len(own) // 20
+                    doc = np.frombuffer(own, np.int32, n, 16 * n)
+                    sums = np.pad(sums, ((0, 0), (0, max(0, int(doc.max()) + 1 - sums.shape[1]))))
+                    sums[:, doc] += np.frombuffer(own, float, 2 * n).reshape(2, n)
+        if now is not None:
+            yield whole()
+
+    back = given_back.where("pair is null").select("uid", "keys", "sums").repartition("uid").sortWithinPartitions("uid")
+    back = back.mapInArrow(sum_back, "key long, n_words long, copies long, target double, background double")
     with arrow_batches(spark):
         by_text = cut(scored.unionByName(back).groupBy("key").agg(*(F.sum(c).alias(c) for c in ("n_words", "copies", "target", "background"))))
     drop_cut(given_back)

@@ -8,13 +8,13 @@ from lakeloom.operators import graph
 from lakeloom.queries import query
 from lakeloom.sources.tables import table
 
-_E = "e AS (SELECT p_partkey AS src, (p_partkey * 7 + p_size) % 500 AS dst, CASE p_size % 3 WHEN 0 THEN 'reads' WHEN 1 THEN 'calls' ELSE 'shows' END AS type, p_brand AS source, p_size FROM part WHERE p_partkey < 500)"
+_E = "e AS (SELECT p_partkey % 200 AS src, (p_partkey * 7 + p_size) % 200 AS dst, CASE p_size % 3 WHEN 0 THEN 'reads' WHEN 1 THEN 'calls' ELSE 'shows' END AS type, p_brand AS source, p_size FROM part WHERE p_partkey < 500)"
 
 
 def _edges(spark, d):
     rows = table(spark, d, "part").where("p_partkey < 500")
     kind = F.when(F.col("p_size") % 3 == 0, "reads").when(F.col("p_size") % 3 == 1, "calls").otherwise("shows")
-    return rows.select(F.col("p_partkey").alias("src"), ((F.col("p_partkey") * 7 + F.col("p_size")) % 500).alias("dst"), kind.alias("type"), F.col("p_brand").alias("source"), "p_size")
+    return rows.select((F.col("p_partkey") % 200).alias("src"), ((F.col("p_partkey") * 7 + F.col("p_size")) % 200).alias("dst"), kind.alias("type"), F.col("p_brand").alias("source"), "p_size")
 
 
 @query(f"""WITH RECURSIVE {_E}, b AS (SELECT src, dst FROM e WHERE type <> 'shows' UNION SELECT dst, src FROM e WHERE type <> 'shows'), r(node, depth) AS (SELECT 7::BIGINT, 0 UNION SELECT dst, depth + 1 FROM r JOIN b ON src = node WHERE depth < 4),
@@ -25,10 +25,10 @@ def evidence_subgraph(spark, d):
 
 
 @query(f"""WITH RECURSIVE {_E}, b AS (SELECT src, dst FROM e WHERE src <> dst UNION SELECT dst, src FROM e WHERE src <> dst), r(node, depth, path) AS (SELECT 3::BIGINT, 0, [3::BIGINT] UNION ALL SELECT dst, depth + 1, list_append(path, dst) FROM r JOIN b ON src = node WHERE depth < 6 AND NOT list_contains(path, dst))
-SELECT depth::INT AS depth, array_to_string(path, '>') AS path FROM r WHERE node = 11 ORDER BY r.depth, r.path LIMIT 1""")
+SELECT depth::INT AS depth, array_to_string(path, '>') AS path FROM r WHERE node = 128 ORDER BY r.depth, r.path LIMIT 1""")
 def undirected_path(spark, d):
     """One shortest way between two nodes, along edges either way."""
-    return graph.shortest_path(_edges(spark, d), 3, 11, 6).select("depth", F.array_join("path", ">").alias("path"))
+    return graph.shortest_path(_edges(spark, d), 3, 128, 6).select("depth", F.array_join("path", ">").alias("path"))
 
 
 @query(f"""WITH RECURSIVE {_E}, x AS (SELECT DISTINCT src, dst FROM e), r(root, node, depth, path) AS (SELECT DISTINCT src, src, 0, [src] FROM x UNION ALL SELECT root, dst, depth + 1, list_append(path, dst) FROM r JOIN x ON src = node WHERE depth < 6 AND (depth = 0 OR node <> root) AND dst >= root AND (dst = root OR NOT list_contains(path, dst)))
@@ -115,7 +115,7 @@ def column_roles(spark, d):
     return graph.column_roles(columns, spark.createDataFrame([("u", "data_od"), ("u", "user_id"), ("u", "user_id")], "`table` string, `column` string"))
 
 
-@query(f"""WITH {_E}, x AS (SELECT src AS a, dst AS b FROM e WHERE type = 'reads'), y AS (SELECT src AS b, dst AS c FROM e WHERE type = 'calls') SELECT a, b, c FROM x JOIN y USING (b)""")
+@query(f"""WITH {_E}, x AS (SELECT DISTINCT src AS a, dst AS b FROM e WHERE type = 'reads'), y AS (SELECT DISTINCT src AS b, dst AS c FROM e WHERE type = 'calls') SELECT a, b, c FROM x JOIN y USING (b)""")
 def typed_trace(spark, d):
     """Chains of an edge of one type and one of another: what is reached over the first by the second."""
     return graph.trace(_edges(spark, d), ["reads", "calls"]).toDF("a", "b", "c")

@@ -22,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_minhash_dedup": minhash_dedup.ORACLE_SQL,
     "op4_line_dedup": line_dedup.ORACLE_SQL,
     "op6_url_filter": url_filter.ORACLE_SQL,
     "op8_source_mix": source_mix.ORACLE_SQL,

@@ -2,15 +2,27 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Polish letters and what they are folded to (fixed values).
-MARKED, PLAIN = "ąćęłńóśźż", "acelnoszz"
+
+
+def _marked_letters() -> dict[str, str]:
+    """Lower-case Latin letters that Unicode takes apart into an ASCII letter and marks, with that letter."""
+    apart = {c: unicodedata.normalize("NFD", c)[0] for c in (chr(n).lower() for n in range(0xC0, 0x250)) if len(c) == 1 and len(c.upper()) == 1}
+    return {c: base for c, base in apart.items() if base != c and base.isascii() and base.isalpha()}
+
+
+#: Letters with marks and those without, as translate takes them; an ł isn't a marked letter, but folded like one.
+_LETTERS = _marked_letters()
+MARKS, BARE = "".join(_LETTERS), "".join(_LETTERS.values())
+MARKED, PLAIN = MARKS + "ł", BARE + "l"
 
 
 def folded(c: Column) -> Column:
-    """Lower case without Polish marks."""
+    """Lower case without marks on Latin letters."""
     return F.translate(F.lower(c), MARKED, PLAIN)
 
 
@@ -114,7 +126,7 @@ def spoken(c: Column) -> Column:
 
 def title_key(c: Column) -> Column:
     """Upper case without marks; everything but letters and digits is one space. (An ł isn't a marked l: it's a space.)"""
-    t = F.translate(F.upper(c), "ĄĆĘŃÓŚŹŻ", "ACENOSZZ")
+    t = F.translate(F.upper(c), MARKS.upper(), BARE.upper())
     return F.trim(F.regexp_replace(t, r"[^A-Z0-9]+", " "))
 
 
@@ -132,7 +144,7 @@ ALIASES = {"pracownic": "pracownik", "pracownikow": "pracownik", "pracownikach":
 
 def tag(c: Column) -> Column:
     """A word as a tag: folded, without signs and its ending, by its alias; empty if under two letters."""
-    t = F.regexp_replace(F.translate(F.lower(F.trim(c)), "ąćęńóśźż", "acenoszz"), "[^a-z0-9_ł]", "")
+    t = F.regexp_replace(F.translate(F.lower(F.trim(c)), MARKS, BARE), "[^a-z0-9_ł]", "")
     cut = t
     for e in reversed(ENDINGS):
         cut = F.when((F.length(t) > len(e) + 2) & t.endswith(e), t.substr(F.lit(1), F.length(t) - len(e))).otherwise(cut)
@@ -143,7 +155,7 @@ def tag(c: Column) -> Column:
 
 def tags(c: Column, stop: tuple[str, ...] = ()) -> Column:
     """Distinct tags of at least three letters, in order, without stop words."""
-    words = F.transform(F.split(F.translate(F.lower(c), "ąćęńóśźż", "acenoszz"), "[^a-z0-9_ł]+"), tag)
+    words = F.transform(F.split(F.translate(F.lower(c), MARKS, BARE), "[^a-z0-9_ł]+"), tag)
     return F.array_distinct(F.filter(words, lambda w: (F.length(w) >= 3) & ~w.isin(*stop)))
 
 

@@ -162,6 +162,11 @@ def relation(x: Callable[[str], Column], y: Callable[[str], Column], least_signa
     return F.when(exact, "exact_duplicate").when(conflict, "conflict").otherwise(F.coalesce(F.when(akin, variant), enriched, meaning, rest))
 
 
+def differences(x: Callable[[str], Column], y: Callable[[str], Column]) -> Column:
+    """The fields in which two normalised records apply to different things."""
+    return F.array_compact(F.array(*(F.when(~x(c).eqNullSafe(y(c)), F.lit(c)) for c in APPLIES)))
+
+
 def relations(records: DataFrame, least_signals: int = 2, general: tuple[str, ...] = GENERAL) -> DataFrame:
     """left_id, right_id, signals, relation, compatible, unknown for each pair of normalised records with a signal."""
     pairs = record_pairs(records, general)

@@ -173,3 +173,16 @@ def merge_hits(hits: DataFrame, key: list[str], least: float, k: int) -> DataFra
     """Hits of at least that score, the best of each key, the k best of all."""
     best = hits.where(F.col("score") >= least).groupBy(*key).agg(F.max("score").alias("score"))
     return best.orderBy(F.desc("score"), *key).limit(k)
+
+
+def payload(must: dict[str, object], columns: dict[str, str]) -> Column:
+    """Conditions on a row's payload, all of which must hold: a value is equal to the column's, a list holds it; of an array
+    column a member is. columns: the names and types of the row's columns; others are refused."""
+    out = F.lit(True)
+    for name, wanted in must.items():
+        if name not in columns:
+            raise ValueError(f"unknown column {name}")
+        values = list(wanted) if isinstance(wanted, (list, tuple, set)) else [wanted]
+        held = F.arrays_overlap(F.col(name), F.array(*map(F.lit, values))) if columns[name].startswith("array") else F.col(name).isin(*values)
+        out = out & F.coalesce(held, F.lit(False))
+    return out

@@ -168,3 +168,11 @@ def unexpired(rows: DataFrame, expires: str, now, stale: str | None = None, hour
     """Rows that a time has not outlived: not past their end and, with stale, touched within so many hours."""
     left = rows.where(F.col(expires) > F.lit(now))
     return left if stale is None else left.where(F.col(stale) >= F.lit(now) - F.make_dt_interval(hours=F.lit(int(hours))))
+
+
+def newest_first(rows: DataFrame, preferred: tuple[str, ...], *ties: str) -> DataFrame:
+    """rows by the first of the preferred columns that they have, or else their first column of dates, the newest first and
+    nulls last; by ties alone if there is none."""
+    dates = [c for c, kind in rows.dtypes if kind in ("date", "timestamp", "timestamp_ntz")]
+    by = next((c for c in (*preferred, *dates) if c in rows.columns), None)
+    return rows.orderBy(*([F.desc_nulls_last(by)] if by else []), *ties)

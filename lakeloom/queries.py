@@ -242,8 +242,8 @@ def cosine_search(spark, d):
     return retrieval.search(vectors, q[0] if q else [], 20, F.col("label").isin(1, 3, 5)).select("vec_id", "label", F.round("score", 6).alias("score"))
 
 
-@query("""WITH s AS (SELECT doc_id, source, 0.18 / 3 * ((contains(lower(text), 'theast') OR contains(lower(text), 'theas') OR contains(lower(text), 'thea'))::INT + (contains(lower(text), 'tion'))::INT
- + (contains(lower(text), 'ingea') OR contains(lower(text), 'inge'))::INT) AS score FROM documents)
+@query("""WITH s AS (SELECT doc_id, source, 0.18 / 3 * ((contains(strip_accents(lower(text)), 'theast') OR contains(strip_accents(lower(text)), 'theas') OR contains(strip_accents(lower(text)), 'thea'))::INT + (contains(strip_accents(lower(text)), 'tion'))::INT
+ + (contains(strip_accents(lower(text)), 'ingea') OR contains(strip_accents(lower(text)), 'inge'))::INT) AS score FROM documents)
 SELECT source, doc_id, round(max(score), 6)::DOUBLE AS score FROM s WHERE score >= 0.1 GROUP BY ALL ORDER BY max(score) DESC, source, doc_id LIMIT 50""")
 def lexical_hits(spark, d):
     """Boosts by words and their stems, a threshold on the boosted score, the best of each key, the best of all."""

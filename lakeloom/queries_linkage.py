@@ -130,3 +130,14 @@ def name_suggestions(spark, d):
     k = F.col("p_partkey") % 3
     asked = table(spark, d, "part").select(F.when(k == 0, F.col("p_name")).when(k == 1, F.expr("substring(p_name, 2)")).otherwise(F.replace("p_name", F.lit("e"), F.lit("xy"))).alias("name"))
     return linkage.suggestions(asked, table(spark, d, "part").select(F.col("p_name").alias("name")))
+
+
+@query(_RECORDS.replace("RECURSIVE ", "") + """ SELECT left_id, right_id, concat_ws(',', CASE WHEN l.family IS DISTINCT FROM r.family THEN 'families' END, CASE WHEN l.domain IS DISTINCT FROM r.domain THEN 'domains' END,
+CASE WHEN l.version IS DISTINCT FROM r.version THEN 'versions' END, CASE WHEN l.scope <> r.scope THEN 'scope' END) AS differences FROM pairs JOIN r l ON l.id = left_id JOIN r ON r.id = right_id""")
+def applicability_differences(spark, d):
+    """In what the places differ where paired records apply."""
+    rows = _normal(spark, d)
+    side = lambda p: rows.select(*(F.col(c).alias(f"{p}_{c}") for c in ("id", *linkage.APPLIES)))
+    both = linkage.record_pairs(rows).join(side("left"), "left_id").join(side("right"), "right_id")
+    found = linkage.differences(lambda c: F.col(f"left_{c}"), lambda c: F.col(f"right_{c}"))
+    return both.select("left_id", "right_id", F.array_join(found, ",").alias("differences"))

@@ -122,3 +122,11 @@ def numbered_chunks(spark, d):
 
     rows = table(spark, d, "documents").groupBy("source", "n_chars", "text").agg(F.min("doc_id").alias("doc_id")).withColumnRenamed("n_chars", "start")
     return numbered(rows).select("doc_id", "source", "chunk_index")
+
+
+@query("SELECT unit_id, mode FROM (SELECT p_partkey AS unit_id, CASE p_partkey % 4 WHEN 0 THEN 'approved_canonical' WHEN 1 THEN 'source_backed_direct' WHEN 2 THEN 'source_backed_partial' ELSE 'other' END AS mode, p_brand, p_partkey % 2 AS t FROM part) WHERE p_brand IN ('Brand#2', 'Brand#3') AND t = 1 AND mode IN ('source_backed_direct', 'other')")
+def payload_filter(spark, d):
+    """Filters on payloads: equal, one of several, a member of an array."""
+    rows = _units(spark, d)
+    must = {"brands": ["Brand#2", "Brand#3"], "tenant": "t1", "mode": ["source_backed_direct", "other"]}
+    return rows.where(retrieval.payload(must, dict(rows.dtypes))).select("unit_id", "mode")

@@ -118,3 +118,9 @@ def windowed_events(spark, d):
     from lakeloom.streaming.ledger import windowed_counts
 
     return windowed_counts(table(spark, d, "events"), "ts", "event_type")
+
+
+@query("SELECT o_orderkey, o_orderdate FROM orders ORDER BY o_orderdate DESC NULLS LAST, o_orderkey LIMIT 12")
+def newest_orders(spark, d):
+    """The newest rows by the date column that they have."""
+    return temporal.newest_first(table(spark, d, "orders"), ("modified", "created"), "o_orderkey").select("o_orderkey", "o_orderdate").limit(12)

@@ -284,10 +284,10 @@ def score_documents(docs: DataFrame, target: DataFrame, bits: int = BITS, id_col
                 some = np.flatnonzero((sides[0] != 0) | (sides[1] != 0))
                 uids, at = np.unique(uid[some], return_inverse=True)
                 ids, of = np.unique(at << 32 | doc_kind[some] >> 2, return_inverse=True)
-                own = [np.bincount(of, x[some], len(ids)).astype(float) for x in sides]
+                own = [np.bincount(of, x[some], len(ids)).astype(np.float32) for x in sides]
                 ends = np.searchsorted(ids >> 32, np.arange(len(uids) + 1))
-                doc = (ids & 0xFFFFFFFF).astype(np.int32)
-                return made(uid=uids, sums=[b"".join(x[a:b].tobytes() for x in (*own, doc)) for a, b in zip(ends[:-1], ends[1:])])
+                doc = (ids & 0xFFFFFFFF).astype(np.uint64)
+                return made(uid=uids, sums=[pack(doc[a:b], *(x[a:b].view(np.uint32) for x in own)) for a, b in zip(ends[:-1], ends[1:])])
 
             if rows_of["f"] or rows_of["c"]:
                 k, doc_kind, n, uid = gathered("f") if rows_of["f"] else [np.empty(0, np.uint64)] + [np.empty(0, np.int64)] * 3
@@ -378,10 +378,9 @@ def score_documents(docs: DataFrame, target: DataFrame, bits: int = BITS, id_col
                 if own_keys is not None:
                     keys = np.frombuffer(own_keys, np.int64)
                 if own:
-                    n = len(own) // 20
-                    doc = np.frombuffer(own, np.int32, n, 16 * n)
-                    sums = np.pad(sums, ((0, 0), (0, max(0, int(doc.max()) + 1 - sums.shape[1]))))
-                    sums[:, doc] += np.frombuffer(own, float, 2 * n).reshape(2, n)
+                    doc, *parts_ = unpack(own)
+                    sums = np.pad(sums, ((0, 0), (0, max(0, int(doc[-1]) + 1 - sums.shape[1]))))
+                    sums[:, doc.astype(np.int64)] += np.stack([x.astype(np.uint32).view(np.float32) for x in parts_])
         if now is not None:
             yield whole()
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakeloom.llm import decontaminate, license_scan, line_dedup, lm_score, minhash_dedup, quality, source_mix, token_count, toxicity, url_filter, vector_search
+from lakeloom.llm import decontaminate, hard_negatives, license_scan, line_dedup, lm_score, minhash_dedup, quality, source_mix, token_count, toxicity, url_filter, vector_search
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": minhash_dedup.op1_minhash_dedup,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_source_mix": source_mix.op8_source_mix,
     "op9_quality": quality.op9_quality,
     "op10_lm_score": lm_score.op10_lm_score,
+    "op11_hard_negatives": hard_negatives.op11_hard_negatives,
     "op12_license_scan": license_scan.op12_license_scan,
 }
 
@@ -27,5 +28,6 @@ ORACLE_SQL: dict[str, str] = {
     "op4_line_dedup": line_dedup.ORACLE_SQL,
     "op6_url_filter": url_filter.ORACLE_SQL,
     "op8_source_mix": source_mix.ORACLE_SQL,
+    "op11_hard_negatives": hard_negatives.ORACLE_SQL,
     "op12_license_scan": license_scan.ORACLE_SQL,
 }

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakeloom.llm import decontaminate, hard_negatives, license_scan, line_dedup, lm_score, minhash_dedup, quality, source_mix, token_count, toxicity, url_filter, vector_search
+from lakeloom.llm import decontaminate, hard_negatives, license_scan, line_dedup, lm_score, minhash_dedup, quality, source_mix, token_alignment, token_count, toxicity, url_filter, vector_search
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": minhash_dedup.op1_minhash_dedup,
@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_lm_score": lm_score.op10_lm_score,
     "op11_hard_negatives": hard_negatives.op11_hard_negatives,
     "op12_license_scan": license_scan.op12_license_scan,
+    "op13_token_alignment": token_alignment.op13_token_alignment,
 }
 
 ORACLE_SQL: dict[str, str] = {

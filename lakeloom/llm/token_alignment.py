@@ -17,7 +17,7 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +36,10 @@ REMEMBERED = 300_000
 RUN_DOCS = 60_000
 
 _SEAM = re.compile(r"(?<=\S) (?!\Z)")
-_ODD = re.compile(r"\s(?: |\Z)|\A ")
+_ODD = re.compile(r" (?<=\s )")  # a space after white space
+#: How a byte-level vocabulary splits texts (fixed value), and pieces of characters on which all libraries agree about it.
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_PLAIN = re.compile(r"[\x20-\x7e\n\t\xa1-\u017f]*[\x21-\x7e\xa1-\u017f]")
 
 
 class Vocabularies:
@@ -58,17 +61,30 @@ class Vocabularies:
         self.bytes_a = [bytes(byte[c] for c in t) if t and all(c in byte for c in t) else (t or "").encode() for t in names]
         pieces = [self.b.id_to_piece(i) for i in range(self.n_b)]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        self.length_a, self.length_b = (np.fromiter(map(len, x), np.int64, len(x)) for x in (self.bytes_a, self.bytes_b))
+        self.signs = {c: np.array([f"{i}{c}" for i in range(max(self.n_a, self.n_b))], object) for c in ",|;"}
         # whether pieces of a text can be encoded one by one: no token reaches over a seam
         split = spec.get("pre_tokenizer") or {}
         self.seams = split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True) and not spec.get("normalizer") and not any("▁" in p.lstrip("▁") for p in pieces)
+        self.ranks = self._ranks(spec, byte) if self.seams else None
         self.forget()
 
+    def _ranks(self, spec: dict, byte: dict[str, int]):
+        """The same vocabulary for the faster of the two libraries, if ids are in the order of merges."""
+        import tiktoken
+
+        vocab, model = spec["model"]["vocab"], spec["model"]
+        made = [vocab["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]]
+        if model.get("ignore_merges") or sorted(set(made)) != made or {*vocab.values()} - {*made} - {i for t, i in vocab.items() if len(t) == 1} - {t["id"] for t in spec["added_tokens"]} or made[0] < 256:
+            return None
+        return tiktoken.Encoding("a", pat_str=_PATTERN, mergeable_ranks={self.bytes_a[i]: i for t, i in vocab.items() if i not in {x["id"] for x in spec["added_tokens"]}}, special_tokens={})
+
     def forget(self) -> None:
         self.known: dict[str, int] = {}
         self.texts: list[str] = []
-        self.facts = np.zeros((1024, 5), np.int64)  # whether bytes agree, A tokens, B tokens, groups, links
-        self.at, self.size = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
-        self.pairs, self.times, self.used = np.zeros(4096, np.int64), np.zeros(4096, np.int64), 0
+        self.facts = np.zeros((0, 5), np.int64)  # whether bytes agree, A tokens, B tokens, groups, links
+        self.at, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)  # of each piece's pairs
+        self.pairs, self.times = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def pieces(self, text: str) -> Iterator[list[str]]:
         """The text's pieces, each without the space before it, in lists of bounded size."""
@@ -83,80 +99,103 @@ class Vocabularies:
 
     @staticmethod
     def _split(text: str) -> list[str]:
-        return _SEAM.split(text) if _ODD.search(text) else text.split(" ")
+        odd = text[0] == " " or text[-1].isspace() or _ODD.search(text)
+        return _SEAM.split(text) if odd else text.split(" ")
 
     def learn(self, new: list[str]) -> None:
-        for piece, in_a, in_b in zip(new, self.a.encode_batch([" " + p for p in new], add_special_tokens=False), self.b.encode(new, num_threads=1)):
-            in_a = in_a.ids
-            raw = b" " + piece.encode()
-            a_bytes, b_bytes = [self.bytes_a[i] for i in in_a], [self.bytes_b[i] for i in in_b]
-            k = len(self.texts)
-            self.known[piece] = k
-            if k == len(self.at):
-                self.facts = np.concatenate((self.facts, np.zeros_like(self.facts)))
-                self.at, self.size = np.concatenate((self.at, np.zeros_like(self.at))), np.concatenate((self.size, np.zeros_like(self.size)))
-            if b"".join(a_bytes) != raw or b"".join(b_bytes) != raw:
-                self.texts.append("")
-                self.at[k], self.facts[k] = self.used, 0
-                continue
-            ends_a, ends_b = list(accumulate(map(len, a_bytes))), list(accumulate(map(len, b_bytes)))
-            cuts = set(ends_a).intersection(ends_b)
-            groups, links, found, i, j = [], 0, {}, 0, 0
-            while i < len(in_a) or j < len(in_b):
-                p, q = i, j
-                while ends_a[i] not in cuts:
-                    i += 1
-                while ends_b[j] not in cuts:
-                    j += 1
-                i, j = i + 1, j + 1
-                groups.append(f"{','.join(map(str, in_a[p:i]))}|{','.join(map(str, in_b[q:j]))}")
-                links += (i - p) * (j - q)
-                for x in in_a[p:i]:
-                    for y in in_b[q:j]:
-                        pair = x * self.n_b + y
-                        found[pair] = found.get(pair, 0) + 1
-            self.texts.append(";".join(groups))
-            self.facts[k] = 1, len(in_a), len(in_b), len(groups), links
-            end = self.used + len(found)
-            while end > len(self.pairs):
-                self.pairs, self.times = np.concatenate((self.pairs, np.zeros_like(self.pairs))), np.concatenate((self.times, np.zeros_like(self.times)))
-            self.pairs[self.used : end], self.times[self.used : end] = list(found), list(found.values())
-            self.at[k], self.size[k], self.used = self.used, len(found), end
+        """Encode pieces with both tokenizers, cut them into groups and keep what they hold, for all of them at once."""
+        plain = [p for p in new if self.ranks and _PLAIN.fullmatch(p)]
+        odd = [*set(new).difference(plain)]
+        new = plain + odd
+        raw = [b" " + p.encode() for p in new]
+        ids_a, ids_b = [e.ids for e in self.a.encode_batch_fast([" " + p for p in odd], add_special_tokens=False)], self.b.encode(new, num_threads=1)
+        # plain pieces are encoded in one go; as no token reaches over a seam, their ends tell the pieces apart
+        once = np.array(self.ranks.encode_ordinary("".join(" " + p for p in plain)) if plain else [], np.int64)
+        length, n_b = (np.fromiter(map(len, x), np.int64, len(new)) for x in (raw, ids_b))
+        n_plain = np.diff(np.searchsorted(np.cumsum(self.length_a[once]), np.cumsum(length[: len(plain)])) + 1, prepend=0)
+        n_a = np.concatenate((n_plain, np.fromiter(map(len, ids_a), np.int64, len(odd))))
+        a, b = np.concatenate((once, np.fromiter(chain.from_iterable(ids_a), np.int64, n_a.sum() - len(once)))), np.fromiter(chain.from_iterable(ids_b), np.int64, n_b.sum())
+        of_a, of_b = np.repeat(np.arange(len(new)), n_a), np.repeat(np.arange(len(new)), n_b)
+        sizes = (np.bincount(of_a, self.length_a[a], len(new)) == length) & (np.bincount(of_b, self.length_b[b], len(new)) == length)
+        bytes_a, bytes_b, whole = b"".join(map(self.bytes_a.__getitem__, a.tolist())), b"".join(map(self.bytes_b.__getitem__, b.tolist())), b"".join(raw)
+        ok = sizes
+        if not (sizes.all() and bytes_a == whole and bytes_b == whole):
+            joined = lambda ids, names: b"".join(names[i] for i in ids)
+            ok = sizes & np.array([joined(x, self.bytes_a) == r and joined(y, self.bytes_b) == r for x, y, r in zip(np.split(a, np.cumsum(n_a)[:-1]), ids_b, raw)])
+            a, of_a, b, of_b = a[ok[of_a]], of_a[ok[of_a]], b[ok[of_b]], of_b[ok[of_b]]
+            n_a, n_b = n_a * ok, n_b * ok
+        # pieces stand one behind the other, so ends of tokens are places in all of them together
+        ends_a, ends_b = np.cumsum(self.length_a[a]), np.cumsum(self.length_b[b])
+        cuts = np.intersect1d(ends_a, ends_b, assume_unique=True)
+        group_a, group_b = np.searchsorted(cuts, ends_a), np.searchsorted(cuts, ends_b)
+        size_a, size_b = np.bincount(group_a, minlength=len(cuts)), np.bincount(group_b, minlength=len(cuts))
+        first_a, first_b = np.cumsum(size_a) - size_a, np.cumsum(size_b) - size_b
+        of_group = of_a[first_a]
+        links = size_b[group_a]
+        pair = np.repeat(a * self.n_b, links) + b[np.repeat(first_b[group_a] - np.cumsum(links) + links, links) + np.arange(links.sum())]
+        key, times = np.unique(np.repeat(of_a, links) * (self.n_a * self.n_b) + pair, return_counts=True)
+        of_pair, pair = np.divmod(key, self.n_a * self.n_b)
+        n_pairs = np.bincount(of_pair, minlength=len(new))
+        # A tokens of a group, then its B tokens, each with the sign that follows it
+        text = np.empty(len(a) + len(b), object)
+        last_a, last_b = first_a[group_a] + size_a[group_a] - 1 == np.arange(len(a)), first_b[group_b] + size_b[group_b] - 1 == np.arange(len(b))
+        text[np.arange(len(a)) + first_b[group_a]] = np.where(last_a, self.signs["|"][a], self.signs[","][a])
+        text[np.arange(len(b)) + (first_a + size_a)[group_b]] = np.where(last_b, self.signs[";"][b], self.signs[","][b])
+        text, at = text.tolist(), 0
+        for k, n in enumerate((n_a + n_b).tolist(), len(self.known)):
+            self.texts.append("".join(text[at : at + n]))
+            self.known[new[k - len(self.facts)]] = k
+            at += n
+        facts = np.column_stack((ok, n_a, n_b, np.bincount(of_group, minlength=len(new)), np.bincount(of_a, links, len(new)))).astype(np.int64)
+        self.facts, self.size = np.concatenate((self.facts, facts)), np.concatenate((self.size, n_pairs))
+        self.at = np.concatenate((self.at, len(self.pairs) + np.cumsum(n_pairs) - n_pairs))
+        self.pairs, self.times = np.concatenate((self.pairs, pair)), np.concatenate((self.times, times))
+
+    def _numbered(self, parts: list[list[str]]) -> list[np.ndarray]:
+        """The pieces of some parts as numbers of known ones."""
+        new = set().union(*parts).difference(self.known)
+        if new and len(self.known) + len(new) > REMEMBERED and self.held == 0:
+            self.forget()
+            new = set().union(*parts)
+        if new:
+            self.learn(list(new))
+        return [np.fromiter(map(self.known.__getitem__, p), np.int64, len(p)) for p in parts]
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray, np.ndarray]:
         """Of each text: A tokens, B tokens, groups, links and the digest; and sorted by pair, then text: pairs, the text that
         has each and how often."""
-        if len(self.known) > REMEMBERED:
-            self.forget()
-        facts, digests, doc, pair, times = np.zeros((len(texts), 4), np.int64), [""] * len(texts), [], [], []
-        for d, text in enumerate(texts):
-            if not text:
-                continue
-            at, digest = [], hashlib.sha256()
-            for part in self.pieces(text):
-                if new := [*set(part).difference(self.known)]:
-                    self.learn(new)
-                own = list(map(self.known.__getitem__, part))
-                digest.update((";" * bool(at) + ";".join(map(self.texts.__getitem__, own))).encode())
-                at.append(np.array(own, np.int64))
-            which, n = np.unique(np.concatenate(at), return_counts=True)
-            if not self.facts[which, 0].all():
-                continue
-            facts[d], digests[d] = (self.facts[which, 1:] * n[:, None]).sum(axis=0), digest.hexdigest()
-            size = self.size[which]
-            place = np.repeat(self.at[which] - np.cumsum(size) + size, size) + np.arange(size.sum())
-            doc.append(np.full(len(place), d))
-            pair.append(self.pairs[place])
-            times.append(self.times[place] * np.repeat(n, size))
-        if not doc:
-            return facts, digests, *(np.zeros(0, np.int64) for _ in range(3))
-        doc, pair, times = np.concatenate(doc), np.concatenate(pair), np.concatenate(times)
-        key = pair * (RUN_DOCS + 1) + doc
+        facts, digests = np.zeros((len(texts), 4), np.int64), [hashlib.sha256() for _ in texts]
+        tail, where, which = [""] * len(texts), [], []
+        waiting, size, self.held = [], 0, 0
+        for d, part in chain(((d, p) for d, t in enumerate(texts) if t for p in self.pieces(t)), [(None, [])]):
+            if d is not None:
+                waiting.append((d, part))
+                size += sum(map(len, part))
+            if waiting and (d is None or size > 4 * PART):
+                for (e, p), own in zip(waiting, self._numbered([p for _, p in waiting])):
+                    said = tail[e] + "".join(map(self.texts.__getitem__, own.tolist()))
+                    tail[e] = said[-1:]  # the last sign of a text is left out
+                    digests[e].update(said[:-1].encode())
+                    where.append(np.full(len(own), e))
+                    which.append(own)
+                self.held += len(waiting)  # numbers of this run stand as long as it lasts
+                waiting, size = [], 0
+        none = np.zeros(0, np.int64)
+        where, which = np.concatenate([none, *where]), np.concatenate([none, *which])
+        key, n = np.unique(where * (len(self.known) + 1) + which, return_counts=True)
+        where, which = np.divmod(key, len(self.known) + 1)
+        good = np.array([bool(t) for t in texts])
+        good[where[self.facts[which, 0] == 0]] = False
+        where, which, n = where[good[where]], which[good[where]], n[good[where]]
+        np.add.at(facts, where, self.facts[which, 1:] * n[:, None])
+        size = self.size[which]
+        place = np.repeat(self.at[which] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        key, times = self.pairs[place] * (RUN_DOCS + 1) + np.repeat(where, size), self.times[place] * np.repeat(n, size)
         order = np.argsort(key, kind="stable")
         key = key[order]
-        first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        first = np.flatnonzero(np.diff(key, prepend=-1))
         pair, doc = np.divmod(key[first], RUN_DOCS + 1)
-        return facts, digests, pair, doc, np.add.reduceat(times[order], first)
+        return facts, [h.hexdigest() if ok else "" for h, ok in zip(digests, good)], pair, doc, np.add.reduceat(times[order], first) if len(first) else none
 
 
 _LOADED: dict[tuple[str, str], Vocabularies] = {}

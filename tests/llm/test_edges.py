@@ -23,7 +23,7 @@ from lakeloom.llm.url_filter import judge_urls, rule_table
 from lakeloom.llm.vector_search import nearest
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
-CLASH = ("_host", "_no_host", "_lines", "_drop", "_kept", "_row", "_key", "_text", "size", "node", "key", "kind", "label", "score", "group", "host", "lines", "row", "n_lines", "n_dropped", "k1", "k2", "_id", "_md5", "ordinal", "block", "word")
+CLASH = ("_host", "_no_host", "_lines", "_drop", "_kept", "_row", "_key", "_text", "size", "node", "key", "kind", "label", "score", "group", "host", "lines", "row", "n_lines", "n_dropped", "k1", "k2", "_id", "_md5", "ordinal", "block", "word", "_stays", "_copy", "source_size", "target", "taken", "mark", "stays", "rows")
 LONG = " ".join(f"w{i}" for i in range(20_000))
 
 
@@ -260,7 +260,7 @@ def test_mix_and_language_model_edges(spark):
 def test_stages_keep_what_they_should(spark, tmp_path):
     labels(spark).write.parquet(str(tmp_path / "labels.parquet"))
     spark.createDataFrame([(1, "q1 q2 q3")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
-    docs = odd_documents(spark).select("doc_id", "text", "lang", "source", "n_chars")
+    docs = odd_documents(spark)
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name
     got = {name: Counter(r.doc_id for r in stage(spark, docs, str(tmp_path)).select("doc_id").collect()) for name, stage in corpus_pipeline.STAGES}
@@ -268,5 +268,16 @@ def test_stages_keep_what_they_should(spark, tmp_path):
     assert got["decontamination"] == everything
     assert got["near-duplicates"] == Counter([1, 1, 2, 3, 4, None, 5])
     assert got["source mix"] <= everything and not {2, 3, 4} & set(got["source mix"])
+    for name, stage in corpus_pipeline.STAGES:  # columns that clash with a stage's own stay as they are
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns[: len(docs.columns)] == docs.columns and len(set(out.columns)) == len(out.columns), name
+        assert out.select(*CLASH).distinct().collect() == [tuple(7 for _ in CLASH)], name
+    added = corpus_pipeline.mixed(spark, docs, str(tmp_path)).select("doc_id", "text", "size_", "source_size_", "target_", "taken_")
+    plain = corpus_pipeline.mixed(spark, docs.drop("size", "source_size", "target", "taken"), str(tmp_path)).select("doc_id", "text", "size", "source_size", "target", "taken")
+    assert rows_of(added, *added.columns) == rows_of(plain, *plain.columns)
+    # of rows with the same id and text one stays, and the same one every time
+    other = spark.createDataFrame([(1, "one two three four five six", lang, "a", 1) for lang in ("fr", "de", "es")], DOC).withColumns({c: F.lit(7) for c in CLASH})
+    kept = {str(corpus_pipeline.near_copies(spark, docs.unionByName(other).repartition(k), str(tmp_path)).where("doc_id = 1 and text like 'one%'").select("lang").collect()) for k in (1, 5)}
+    assert len(kept) == 1
     with pytest.raises(Exception):
         corpus_pipeline.quality(spark, docs.drop("text"), str(tmp_path))

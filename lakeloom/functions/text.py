@@ -75,7 +75,7 @@ GAP = " … "
 
 def trimmed(c: Column) -> Column:
     """Without white space of any kind at both ends."""
-    return F.regexp_replace(c, r"^[\s\u00a0\ufeff]+|[\s\u00a0\ufeff]+$", "")
+    return F.btrim(c, F.lit("\t\n\x0b\f\r \u00a0\ufeff"))
 
 
 def excerpt(c: Column, limit: int) -> Column:
@@ -170,20 +170,55 @@ def label_score(label: Column, column: Column, comment: Column | None = None) ->
     return score if comment is None else score + F.when((a != "") & F.coalesce(folded(comment).contains(a), F.lit(False)), 8).otherwise(0)
 
 
-def longest_run(x: Column, y: Column) -> Column:
-    """Length of the longest run of equal neighbours that two arrays share: along each diagonal, runs grow and break."""
-    n, m = F.size(x), F.size(y)
+def unmarked(c: Column) -> Column:
+    """A text without marks on Latin letters; an ł isn't a marked letter."""
+    return F.translate(c, MARKS, BARE)
 
-    def diagonal(d: Column) -> Column:
-        first, last = F.greatest(F.lit(0), d), F.least(n, m + d) - 1
 
-        def step(s: Column, i: Column) -> Column:
-            run = F.when(F.get(x, i) == F.get(y, i - d), s["run"] + 1).otherwise(0)
-            return F.struct(run.alias("run"), F.greatest(s["best"], run).alias("best"))
+def _grams_of(h: Column, by: Column) -> Column:
+    """Hashes of grams longer by some words than those that h has, no longer than twice as long: of a gram's first and last part."""
+    longer = F.transform(F.sequence(F.lit(1), F.size(h) - by), lambda i: F.xxhash64(F.get(h, i - 1), F.get(h, i - 1 + by)))
+    return F.when(by == 0, h).when(F.size(h) > by, longer).otherwise(F.array().cast("array<bigint>"))
 
-        return F.aggregate(F.sequence(first, last), F.struct(F.lit(0).alias("run"), F.lit(0).alias("best")), step)["best"]
 
-    return F.when((n > 0) & (m > 0), F.array_max(F.transform(F.sequence(1 - m, n - 1), diagonal))).otherwise(0)
+def longest_run(x: Column, y: Column) -> Column:
+    """length, x_at, y_at of the longest run of equal neighbours that two arrays share (the first in x, then in y, from 0; null
+    without one).
+
+    The length of shared grams is doubled as long as there are any, then halved in on: grams of twice a length are pairs of
+    grams, so each round is one pass over the words, and about twice the logarithm of the run are made.
+    """
+    hashes = lambda a: F.transform(a, lambda w: F.xxhash64(w))
+    rounds = lambda n: F.sequence(F.lit(1), F.greatest(F.lit(1), F.ceil(F.log2(n + F.lit(1))).cast("int")))
+
+    def state(hx: Column, hy: Column, size: Column, more: Column) -> Column:
+        return F.struct(hx.alias("x"), hy.alias("y"), size.alias("size"), more.alias("more"))
+
+    def doubled(s: Column, _: Column) -> Column:
+        wx, wy = _grams_of(s["x"], s["size"]), _grams_of(s["y"], s["size"])
+        return F.when(~s["more"], s).when(F.arrays_overlap(wx, wy), state(wx, wy, s["size"] * 2, F.lit(True))).otherwise(state(s["x"], s["y"], s["size"], F.lit(False)))
+
+    first = state(hashes(x), hashes(y), F.lit(1), F.lit(True))
+    top = F.aggregate(rounds(F.least(F.size(x), F.size(y))), first, doubled)
+
+    def narrowed(s: Column) -> Column:
+        def step(b: Column, _: Column) -> Column:
+            half = F.floor((b["low"] + b["high"]) / 2).cast("int")
+            shared = F.arrays_overlap(_grams_of(s["x"], half), _grams_of(s["y"], half))
+            return F.when(b["high"] - b["low"] <= 1, b).when(shared, F.struct(half.alias("low"), b["high"].alias("high"))).otherwise(F.struct(b["low"].alias("low"), half.alias("high")))
+
+        return F.aggregate(rounds(s["size"]), F.struct(F.lit(0).alias("low"), s["size"].alias("high")), step)["low"]
+
+    def placed(s: Column) -> Column:
+        gx, gy = _grams_of(s["x"], s["by"]), _grams_of(s["y"], s["by"])
+        hit = F.get(F.array_intersect(gx, gy), F.lit(0))
+        return F.struct((s["size"] + s["by"]).alias("length"), (F.array_position(gx, hit) - 1).cast("int").alias("x_at"), (F.array_position(gy, hit) - 1).cast("int").alias("y_at"))
+
+    # each step is the one element of an array, so that the next one reads it and doesn't compute it anew
+    then = lambda s, f: F.transform(s, f)
+    whole = then(then(F.array(top), lambda s: F.struct(s["x"].alias("x"), s["y"].alias("y"), s["size"].alias("size"), narrowed(s).alias("by"))), placed)[0]
+    none = F.struct(F.lit(0).alias("length"), F.lit(None).cast("int").alias("x_at"), F.lit(None).cast("int").alias("y_at"))
+    return F.when(F.arrays_overlap(x, y), whole).otherwise(none)
 
 
 def in_order(c: Column, words: list[str]) -> Column:

@@ -70,9 +70,9 @@ def review_queue(tasks: DataFrame, limit: int | None = None) -> DataFrame:
 
 
 def capped(rows: DataFrame, limit: int, *order: str) -> DataFrame:
-    """At most limit rows, and limit_reached: whether there were more. One row more than asked is fetched, not counted."""
-    first = rows.orderBy(*order).limit(limit + 1).withColumn("_n", F.row_number().over(Window.orderBy(*order)))
-    return first.withColumn("limit_reached", F.max("_n").over(Window.partitionBy()) > limit).where(F.col("_n") <= limit).drop("_n")
+    """At most limit rows, and limit_reached: whether there are as many as the limit, so that more may have been cut."""
+    first = rows.orderBy(*order).limit(limit)
+    return first.withColumn("limit_reached", F.count("*").over(Window.partitionBy()) >= limit)
 
 
 def reconciled(rows: DataFrame, created: str, *parts: str) -> DataFrame:
@@ -110,49 +110,6 @@ def staleness(now: DataFrame, then: DataFrame, key: str, hashes: list[str]) -> D
     return both.select(key, reasons.alias("reasons"), (F.size(reasons) > 0).alias("stale"))
 
 
-def independent_groups(observations: DataFrame, key: str, lineage: str) -> DataFrame:
-    """key, observations, groups: observations of each key, and how many of them stand on their own: those of one lineage,
-    the source that they were derived from, count once."""
-    return observations.groupBy(key).agg(F.count("*").alias("observations"), F.count_distinct(lineage).alias("groups"))
-
-
-def evidence_verdict(stale: Column, conflicting: Column, inferred: Column, rivals: Column, groups: Column, least_groups: int, strong: Column, least_strong: int) -> tuple[Column, Column]:
-    """The verdict on gathered evidence and the rules that it failed, in order: the first failure decides."""
-    rules = [
-        ("stale", stale),
-        ("conflicting", conflicting),
-        ("inferred_only", inferred),
-        ("ambiguous", rivals > 0),
-        ("insufficient_groups", groups < least_groups),
-        ("insufficient_strength", strong < least_strong),
-    ]
-    verdict = F.lit("supported")
-    for name, failed in reversed(rules):
-        verdict = F.when(failed, name).otherwise(verdict)
-    return verdict, F.array_compact(F.array(*(F.when(failed, F.lit(name)) for name, failed in rules)))
-
-
-def role_status(contradicted: Column, rivals: Column, families: Column, exact: Column) -> Column:
-    """How sure a column's role is, from the families of its evidence: contradicted and ambiguous first, then names or
-    documents alone, then exact, then strong (a semantic family and two technical ones), else weak."""
-    has = lambda *names: F.size(F.array_intersect(families, F.array(*map(F.lit, names))))
-    technical = has("constraint", "join", "usage", "data_type", "index")
-    return (
-        F.when(contradicted, "contradicted")
-        .when(rivals > 0, "ambiguous")
-        .when((F.size(families) > 0) & (F.size(families) == has("documentation")), "documentation_only")
-        .when((F.size(families) > 0) & (F.size(families) == has("name")), "name_only")
-        .when(exact, "exact")
-        .when((has("semantic", "label", "documentation") >= 1) & (technical >= 2), "strong")
-        .otherwise("weak")
-    )
-
-
-def temporal_role(current_flag: Column, valid_from: Column, valid_to: Column, support: Column) -> Column:
-    """How the current row is told: by a flag, else by a range; either only with support beyond names."""
-    return F.when(~support, "requires_support").when(current_flag, "current_flag").when(valid_from & valid_to, "valid_range").when(valid_from, "open_range").otherwise("none")
-
-
 def key_kept(rows: DataFrame, key: list[str], risks: Column | None = None) -> DataFrame:
     """One row: rows, keys, verdict on whether a key still tells the rows apart: proven if no row shares or lacks it; with
     risks in the definition (a union, grouping, outer join) supported_partial; otherwise unproven; no rows: not_evaluable."""

@@ -47,19 +47,6 @@ def answerable(answerability: Column, covered: Column, cited: Column) -> Column:
     )
 
 
-def verbatim(answers: DataFrame, claims: DataFrame, least: int = 10) -> DataFrame:
-    """answer_id, claim_id of each answer (answer_id, text) that repeats least words or more of a claim (claim_id, text) in a
-    row. Texts share such a run if and only if they share a run of exactly that many words, so they meet by an equi-join on
-    these, and no text is compared with every other."""
-
-    def grams(rows: DataFrame, key: str) -> DataFrame:
-        words = rows.select(key, F.filter(F.split(fx.plain_words(F.col("text")), " "), lambda w: w != "").alias("w")).where(F.size("w") >= least)
-        at = F.transform(F.sequence(F.lit(1), F.size("w") - least + 1), lambda i: F.xxhash64(F.slice("w", i, least)))
-        return words.select(key, F.explode(F.array_distinct(at)).alias("g"))
-
-    return grams(answers, "answer_id").join(grams(claims, "claim_id"), "g").select("answer_id", "claim_id").distinct()
-
-
 def anchors(records: DataFrame, known: dict[str, DataFrame]) -> DataFrame:
     """id, anchors: the names of the indexes (each with a column label) that hold a record's (id, label) folded label."""
     out = records.select("id", fx.plain_words(F.col("label")).alias("_l"))

@@ -2,37 +2,11 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakeloom.functions import text as fx
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder in spark.checkpoint.dir and read it again: lineage ends there."""
-    spark = df.sparkSession
-    top = spark.conf.get("spark.checkpoint.dir", None)
-    if not top:  # only where driver and executors are one process, as in tests
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        top = tempfile.mkdtemp(prefix="lakeloom-")
-        spark.conf.set("spark.checkpoint.dir", top)
-    path = f"{top.rstrip('/')}/graph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_cut(df: DataFrame) -> None:
-    """Delete the files of a table that cut() wrote and nothing reads any more."""
-    spark = df.sparkSession
-    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/graph-" in name:
-            path = spark._jvm.org.apache.hadoop.fs.Path(name)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+from lakeloom.sources.cuts import cut, drop_cut
 
 
 #: Steps up to which a walk is one plan; each level's shuffle serves the next level and the answer.
@@ -63,26 +37,6 @@ def reach(edges: DataFrame, roots: DataFrame, depth: int, reverse: bool = False)
     return seen
 
 
-def paths(edges: DataFrame, roots: DataFrame, depth: int, most_per_target: int = 3) -> DataFrame:
-    """root, node, depth, path: for each root and node the shortest simple paths, at most so many (ties: by path).
-
-    The walk keeps every simple path of at most depth steps, since a path that is no answer for one node may be the
-    beginning of one for another; only the answer is cut to most_per_target. Each round is written.
-    """
-    order = Window.partitionBy("root", "node").orderBy("depth", "path")
-    front = roots.select(F.col("node").alias("root"), "node", F.lit(0).alias("depth"), F.array("node").alias("path"))
-    step, found = edges.select("src", "dst").distinct(), None
-    for d in range(1, depth + 1):
-        on = front.join(step, front["node"] == step["src"]).where(~F.array_contains("path", F.col("dst")))
-        front = cut(on.select("root", F.col("dst").alias("node"), F.lit(d).alias("depth"), F.concat("path", F.array("dst")).alias("path")))
-        if front.isEmpty():
-            break
-        found = front if found is None else found.unionByName(front)
-    if found is None:
-        return front
-    return found.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= most_per_target).drop("_n")
-
-
 def shortest_path(edges: DataFrame, start, goal, depth: int = 10) -> DataFrame:
     """depth, path: one shortest way from start to goal along edges in either direction, the least by its nodes; no row if
     there is none within depth. Each round keeps the least way to each node reached anew."""
@@ -152,39 +106,6 @@ def edge_faults(edges: DataFrame, nodes: DataFrame, order: str | None = None) ->
     return out.unionByName(forward.select("src", "dst", F.lit("forward").alias("fault")).distinct())
 
 
-def on_cycles(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """node: the nodes of edges that lie on or between cycles: what is left when nodes without an edge in or without one
-    out are taken away, again and again. An acyclic table leaves none. After so many rounds the rest is given out as it
-    is, with settled false."""
-    left = cut(edges.select("src", "dst").distinct())
-    settled = False
-    for _ in range(rounds):
-        kept = left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
-        kept = cut(kept.join(kept.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
-        settled = kept.count() == left.count()
-        drop_cut(left)
-        left = kept
-        if settled:
-            break
-    return left.select(F.explode(F.array("src", "dst")).alias("node")).distinct().withColumn("settled", F.lit(settled))
-
-
-def cycles(edges: DataFrame, longest: int = 6, most: int = 50) -> DataFrame:
-    """cycle, length: simple cycles of at most longest edges, each once, from its smallest node, the shortest first, at most
-    so many. Only nodes that on_cycles() leaves are walked, and a walk never goes below the node it began with."""
-    inside = on_cycles(edges).select("node")
-    step = edges.select("src", "dst").distinct().join(inside.withColumnRenamed("node", "src"), "src", "left_semi").join(inside.withColumnRenamed("node", "dst"), "dst", "left_semi")
-    front, found = cut(step.select(F.array("src").alias("path")).distinct()), None
-    for d in range(1, longest + 1):
-        on = front.withColumn("src", F.element_at("path", -1)).join(step, "src").where(F.col("dst") >= F.col("path")[0])
-        closed = on.where(F.col("dst") == F.col("path")[0]).select(F.concat("path", F.array("dst")).alias("cycle"), F.lit(d).alias("length"))
-        found = closed if found is None else found.unionByName(closed)
-        front = cut(on.where((F.col("dst") > F.col("path")[0]) & ~F.array_contains("path", F.col("dst"))).select(F.concat("path", F.array("dst")).alias("path")))
-        if front.isEmpty():
-            break
-    return found.orderBy("length", "cycle").limit(most)
-
-
 def resolved_names(asked: DataFrame, nodes: DataFrame, names: DataFrame, typed: bool = False, most: int = 8) -> DataFrame:
     """question, status, node, rank for each question: the node it names. nodes: node, name, canonical; names: node, alias.
 
@@ -317,21 +238,26 @@ def trace(edges: DataFrame, types: list[str], reverse: bool = False) -> DataFram
     return out.select(*(f"n{i}" for i in range(len(types) + 1)))
 
 
-def join_evidence(edges: DataFrame, order: tuple[str, ...]) -> DataFrame:
-    """left_id, right_id, evidence, edges: for each two nodes that edges of these types join, either way, the best type, the
-    first of order, and the number of edges."""
-    rank = F.array_position(F.array(*map(F.lit, order)), F.col("type"))
-    kept = edges.where(F.col("type").isin(*order) & (F.col("src") != F.col("dst")))
-    by = kept.groupBy(F.least("src", "dst").alias("left_id"), F.greatest("src", "dst").alias("right_id"))
-    return by.agg(F.min_by("type", rank).alias("evidence"), F.count("*").alias("edges"))
-
-
-def endpoints(edges: DataFrame, inventory: DataFrame) -> DataFrame:
-    """src, dst, state: whether an edge's target is in an inventory (owner, name): resolved as `owner.name` or as a name that
-    one owner alone has, ambiguous if several have it, else missing. Case-blind."""
-    known = inventory.select(F.upper("owner").alias("o"), F.upper("name").alias("n")).distinct()
-    full = known.select(F.concat_ws(".", "o", "n").alias("k"), F.lit(1).alias("owners"))
-    bare = known.groupBy(F.col("n").alias("k")).agg(F.count("*").alias("owners"))
-    found = full.unionByName(bare.withColumn("owners", F.col("owners").cast("int"))).groupBy("k").agg(F.min("owners").alias("owners"))
-    out = edges.select("src", "dst", F.upper("dst").alias("k")).join(found, "k", "left")
-    return out.select("src", "dst", F.when(F.col("owners") == 1, "resolved").when(F.col("owners") > 1, "ambiguous").otherwise("missing").alias("state"))
+def endpoints(edges: DataFrame, inventory: DataFrame, synonyms: DataFrame) -> DataFrame:
+    """edges (source_owner, owner, name and any others) with object_owner, object_name, object_type, confidence and the target
+    (target_owner, target_name, target_type) of a synonym.
+
+    Names lose quotes and spaces and are upper case. A name without an owner belongs to the source's. inventory (owner, name,
+    type): of several types of an object VIEW goes before TABLE before the rest. synonyms: owner, name, target_owner,
+    target_name; a target that the inventory lacks counts as a TABLE. Against an empty inventory everything is a TABLE, but
+    only by inference; what a filled one lacks is unresolved_object.
+    """
+    plain = lambda c: F.upper(F.trim(F.regexp_replace(c, "[\"']", "")))
+    rank = F.when(F.col("type") == "VIEW", 2).when(F.col("type") == "TABLE", 1).otherwise(0)
+    known = inventory.groupBy(plain("owner").alias("object_owner"), plain("name").alias("object_name")).agg(F.max_by("type", F.struct(rank.alias("r"), F.col("type"))).alias("found_type"))
+    ends = synonyms.groupBy(plain("owner").alias("object_owner"), plain("name").alias("object_name")).agg(F.min(F.struct(plain("target_owner").alias("o"), plain("target_name").alias("n"))).alias("target"))
+    targets = known.select(F.col("object_owner").alias("target_owner"), F.col("object_name").alias("target_name"), F.col("found_type").alias("far_type"))
+    asked = edges.withColumns({"object_owner": plain(F.coalesce(F.when(F.trim("owner") != "", F.col("owner")), F.col("source_owner"))), "object_name": plain("name")})
+    key = ["object_owner", "object_name"]
+    out = asked.join(known, key, "left").join(ends, key, "left")
+    out = out.withColumns({c: F.when(F.col("found_type") == "SYNONYM", F.col(f"target.{k}")) for c, k in (("target_owner", "o"), ("target_name", "n"))}).join(targets, ["target_owner", "target_name"], "left")
+    empty = F.lit(inventory.isEmpty())
+    kind = F.when(empty, "TABLE").otherwise(F.coalesce("found_type", F.lit("unresolved_object")))
+    sure = F.when(empty, "strong_static_inference").when(F.col("found_type").isNull(), "unresolved").otherwise("exact_from_source")
+    far = F.when(F.col("target_owner").isNotNull(), F.coalesce("far_type", F.lit("TABLE")))
+    return out.select(*edges.columns, *key, kind.alias("object_type"), sure.alias("confidence"), "target_owner", "target_name", far.alias("target_type"))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lakeloom.functions import text as fx
-from lakeloom.operators import curation, graph, retrieval, temporal
+from lakeloom.operators import curation, graph, retrieval, temporal, traversal
 from lakeloom.plans.request import Filter, Relation, Request
 from lakeloom.sources.tables import html_text, table
 
@@ -289,11 +289,24 @@ def dependent_parts(spark, d):
     return graph.reach(_parts(spark, d), spark.range(200, 201).withColumnRenamed("id", "node"), 3, reverse=True)
 
 
-@query(f"""WITH RECURSIVE {_EDGES}, r(node, depth, path) AS (SELECT 1::BIGINT, 0, [1::BIGINT] UNION ALL SELECT dst, depth + 1, list_append(path, dst) FROM r JOIN edges ON src = node WHERE depth < 3 AND NOT list_contains(path, dst))
-SELECT node, depth, array_to_string(path, '>') AS path FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY depth, path) AS n FROM r WHERE depth > 0) WHERE n <= 3""")
+_WALKS = f"""WITH RECURSIVE {_EDGES}, roots(root) AS (SELECT p_partkey FROM part), x AS (SELECT DISTINCT src, dst FROM edges), r(root, node, depth, path) AS (SELECT root, root, 0, [root] FROM roots UNION ALL SELECT root, dst, depth + 1, list_append(path, dst) FROM r JOIN x ON src = node WHERE depth < 4 AND (depth = 0 OR (node <> root AND NOT list_contains(path, dst))))"""
+
+
+@query(f"""{_WALKS}, m AS (SELECT *, row_number() OVER (PARTITION BY root ORDER BY depth, path) AS k FROM r WHERE depth > 0), cut AS (SELECT *, max(k) OVER (PARTITION BY root) > 60 AS truncated FROM m),
+t AS (SELECT *, min(depth) OVER (PARTITION BY root, node) AS least, row_number() OVER (PARTITION BY root, node ORDER BY depth, path) AS n FROM cut WHERE k <= 60 AND node <> root)
+SELECT root, node, depth::INT AS depth, array_to_string(path, '>') AS path, truncated FROM t WHERE depth = least AND n <= 3 AND least > 1""")
+def dependency_paths(spark, d):
+    """What every part depends on through others: at most three ways of the least depth, within sixty walks of a part."""
+    found = traversal.dependency_paths(_parts(spark, d), table(spark, d, "part").select(F.col("p_partkey").alias("node")), 4, budget=60)
+    return found.withColumn("path", F.array_join("path", ">"))
+
+
+@query(f"""{_WALKS}, t AS (SELECT *, min(depth) OVER (PARTITION BY root, node) AS least, row_number() OVER (PARTITION BY root, node ORDER BY depth, path) AS n FROM r WHERE depth > 0 AND node <> root)
+SELECT root, node, depth::INT AS depth, array_to_string(path, '>') AS path FROM t WHERE depth = least AND n <= 3 AND least > 1""")
 def shortest_paths(spark, d):
-    """At most three shortest simple paths to each part."""
-    return graph.paths(_parts(spark, d), spark.range(1, 2).withColumnRenamed("id", "node"), 3).select("node", "depth", F.array_join("path", ">").alias("path"))
+    """The same without a budget."""
+    found = traversal.dependency_paths(_parts(spark, d), table(spark, d, "part").select(F.col("p_partkey").alias("node")), 4, budget=None)
+    return found.drop("truncated").withColumn("path", F.array_join("path", ">"))
 
 
 @query(f"""WITH {_EDGES}, e AS (SELECT src, CASE WHEN src % 50 = 0 THEN src ELSE dst END AS dst FROM edges), n AS (SELECT p_partkey AS node, p_partkey % 97 AS place FROM part)

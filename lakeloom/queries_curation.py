@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lakeloom.operators import curation
+from lakeloom.operators import curation, policy
 from lakeloom.queries import query
 from lakeloom.sources.tables import table
 
@@ -42,12 +42,18 @@ def review_queue(spark, d):
     return curation.review_queue(rows, 70).withColumn("reasons", F.array_join("reasons", "|"))
 
 
-@query("SELECT o_orderkey, o_totalprice, true AS limit_reached FROM orders ORDER BY o_orderkey LIMIT 200")
+@query("SELECT o_orderkey, o_totalprice, (SELECT count(*) FROM orders) >= 200 AS limit_reached FROM orders ORDER BY o_orderkey LIMIT 200")
 def capped_orders(spark, d):
     """The default cap, and whether it cut anything."""
     return curation.capped(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), 200, "o_orderkey")
 
 
+@query("SELECT n_nationkey, n_name, count(*) OVER () >= 25 AS limit_reached FROM nation ORDER BY n_nationkey LIMIT 25")
+def capped_nations(spark, d):
+    """A cap that as many rows meet as it allows counts as reached."""
+    return curation.capped(table(spark, d, "nation").select("n_nationkey", "n_name"), 25, "n_nationkey")
+
+
 @query("SELECT count(*)::BIGINT AS created, count(*) FILTER (WHERE l_returnflag = 'R')::BIGINT AS returned, count(*) FILTER (WHERE l_returnflag = 'A')::BIGINT AS accepted, count(*) FILTER (WHERE l_returnflag NOT IN ('A', 'R'))::BIGINT AS other, true AS balanced FROM lineitem")
 def reconciled_items(spark, d):
     """Counters of a life cycle, and whether they add up."""
@@ -95,28 +101,130 @@ def stale_keys(spark, d):
     return curation.staleness(now, then, "k", ["a", "b"]).withColumn("reasons", F.array_join("reasons", ","))
 
 
-@query("""WITH o AS (SELECT l_partkey AS k, count(*) AS observations, count(DISTINCT l_suppkey) AS groups, bool_or(l_returnflag = 'R') AS conflicting, count(*) FILTER (WHERE l_quantity > 40) AS strong, max(l_shipdate) < DATE '1998-06-01' AS stale FROM lineitem GROUP BY 1),
-r AS (SELECT *, list_filter([CASE WHEN stale THEN 'stale' END, CASE WHEN conflicting AND k % 3 = 0 THEN 'conflicting' END, CASE WHEN k % 11 = 0 THEN 'inferred_only' END, CASE WHEN k % 13 = 0 THEN 'ambiguous' END, CASE WHEN groups < 10 THEN 'insufficient_groups' END, CASE WHEN strong < 5 THEN 'insufficient_strength' END], lambda x: x IS NOT NULL) AS failed FROM o)
-SELECT k, observations, groups, coalesce(failed[1], 'supported') AS verdict, array_to_string(failed, ',') AS failed FROM r""")
+#: Items of orders as observations of a part: some share an origin, some only a node, some have neither.
+_OBSERVED = """o AS (SELECT l_partkey AS candidate, l_orderkey * 10 + l_linenumber AS seq, CASE WHEN l_linenumber % 3 = 0 THEN 'origin' || (l_suppkey % 3) END AS origin, CASE WHEN l_linenumber % 3 = 1 THEN 'node' || (l_suppkey % 5) END AS node,
+CASE WHEN l_orderkey % 11 > 0 THEN CASE l_suppkey % 4 WHEN 0 THEN 'oracle_metadata_ddl' WHEN 1 THEN 'application_label' ELSE 'sql_usage' END END AS family, CASE l_returnflag WHEN 'A' THEN 'verified_exact' WHEN 'R' THEN 'verified_composed' END AS strength,
+[CASE WHEN l_linestatus = 'F' THEN 'identity' ELSE 'relation' END, 's' || (l_suppkey % 3)] AS supports, l_orderkey || '/' || l_linenumber AS payload FROM lineitem),
+f AS (SELECT *, coalesce(origin, node, sha256(payload)) AS lineage FROM o WHERE family IS NOT NULL),
+l AS (SELECT candidate, lineage, arg_min(family, seq) AS family, arg_min(coalesce(strength, 'supported_by_single_authoritative_mapping'), seq) AS strength, list_sort(list_distinct(flatten(list(supports)))) AS supports, count(*) - 1 AS folded FROM f GROUP BY ALL)"""
+
+
+def _observed(spark, d):
+    rows, k = table(spark, d, "lineitem"), F.col("l_suppkey")
+    n = F.col("l_linenumber")
+    family = F.when(F.col("l_orderkey") % 11 > 0, F.when(k % 4 == 0, "oracle_metadata_ddl").when(k % 4 == 1, "application_label").otherwise("sql_usage"))
+    strength = F.when(F.col("l_returnflag") == "A", "verified_exact").when(F.col("l_returnflag") == "R", "verified_composed")
+    text = lambda name, m: F.concat(F.lit(name), (k % m).cast("string"))
+    supports = F.array(F.when(F.col("l_linestatus") == "F", "identity").otherwise("relation"), text("s", 3))
+    payload = F.concat_ws("/", F.col("l_orderkey").cast("string"), n.cast("string"))
+    return rows.select(F.col("l_partkey").alias("candidate"), (F.col("l_orderkey") * 10 + n).alias("seq"), F.when(n % 3 == 0, text("origin", 3)).alias("origin"), F.when(n % 3 == 1, text("node", 5)).alias("node"), family.alias("family"), strength.alias("strength"), supports.alias("supports"), payload.alias("payload"))
+
+
+@query(f"""WITH {_OBSERVED} SELECT candidate, lineage, 'ev:' || family || ':' || left(sha256(lineage), 12) AS evidence_id, family, strength, array_to_string(supports, ',') AS supports, folded FROM l""")
+def evidence_lineages(spark, d):
+    """Observations of one origin as one, with all that they support."""
+    return policy.lineages(_observed(spark, d)).withColumn("supports", F.array_join("supports", ","))
+
+
+_INDEPENDENT = f"""{_OBSERVED}, p AS (SELECT ps AS candidate, count(*) AS n FROM (SELECT o_orderkey % 200 AS ps FROM orders WHERE o_orderstatus = 'P') GROUP BY 1),
+g AS (SELECT candidate, count(*) AS groups, list_sort(list_distinct(list(family))) AS families, bool_or(strength = 'verified_exact') AS exact, bool_or(strength = 'verified_composed') AS composed, sum(folded)::BIGINT AS folded FROM l GROUP BY 1),
+i AS (SELECT coalesce(g.candidate, p.candidate) AS candidate, coalesce(groups, 0) AS groups, coalesce(families, []) AS families, CASE WHEN groups IS NULL THEN 'inferred' WHEN len(families) >= 2 THEN 'supported_by_multiple_independent_edges' WHEN exact THEN 'verified_exact' WHEN composed THEN 'verified_composed' ELSE 'supported_by_single_authoritative_mapping' END AS strength, coalesce(folded, 0) AS folded, coalesce(n, 0) AS prior_approvals FROM g FULL JOIN p ON g.candidate = p.candidate)"""
+
+
+def _independent(spark, d):
+    approvals = table(spark, d, "orders").where("o_orderstatus = 'P'").select((F.col("o_orderkey") % 200).alias("candidate"))
+    return policy.independent_evidence(_observed(spark, d), approvals)
+
+
+@query(f"""WITH {_INDEPENDENT} SELECT candidate, groups, array_to_string(families, ',') AS families, strength, folded, prior_approvals FROM i""")
+def independent_evidence(spark, d):
+    """What each candidate's evidence amounts to; earlier approvals don't count as evidence."""
+    return _independent(spark, d).withColumn("families", F.array_join("families", ","))
+
+
+#: Facts about candidates, drawn from their keys so that every rule and state comes up.
+_CLASSES = ("concept", "relation", "temporal", "value", "identity", "display")
+_FACTS = """fact AS (SELECT candidate, CASE candidate % 5 WHEN 0 THEN 'normal_reference' WHEN 1 THEN 'temporal_sensitive' WHEN 2 THEN 'configuration_sensitive' WHEN 3 THEN 'payroll_sensitive' ELSE 'identity_sensitive' END AS rc, CASE WHEN candidate % 41 = 0 THEN 'conflicting' WHEN candidate % 43 = 0 THEN 'heuristic' ELSE strength END AS strength, groups % 4 AS groups,
+list_filter([CASE WHEN candidate % 7 > 0 THEN 'concept' END, CASE WHEN candidate % 3 > 0 THEN 'relation' END, CASE WHEN candidate % 4 > 0 THEN 'temporal' END, CASE WHEN candidate % 6 > 0 THEN 'value' END, CASE WHEN candidate % 8 > 0 THEN 'identity' END, CASE WHEN candidate % 9 = 0 THEN 'display' END], lambda x: x IS NOT NULL) AS classes,
+CASE WHEN candidate % 29 = 0 THEN ['a', 'b'] ELSE [] END AS conflicts, CASE WHEN candidate % 31 = 0 THEN ['x'] ELSE [] END AS ambiguities, CASE WHEN candidate % 13 = 0 THEN ['open_cardinality'] WHEN candidate % 13 = 1 THEN ['other'] ELSE [] END AS gaps, candidate % 23 = 0 AS mism, candidate % 37 = 0 AS infer, candidate % 47 = 0 AS heur, candidate % 3 = 0 AS expands,
+CASE (candidate // 3) % 4 WHEN 0 THEN 'proven' WHEN 1 THEN 'partial' WHEN 2 THEN 'unproven' ELSE 'conflicting' END AS scope, CASE candidate % 10 WHEN 8 THEN 'unresolved' WHEN 9 THEN 'unproven' WHEN 7 THEN 'partial' ELSE 'proven' END AS grain, candidate % 11 > 0 AS facets, candidate % 12 > 0 AS exact, candidate % 14 > 0 AS eg, candidate % 16 > 0 AS ed, candidate % 2 = 0 AS dl, CASE WHEN candidate % 17 = 0 THEN ['role:pending', 'other:missing'] ELSE [] END AS inactive FROM i)"""
+
+
+def _facts(spark, d):
+    k, of = F.col("candidate"), lambda *v: F.array(*map(F.lit, v)).cast("array<string>")
+    pick = lambda n, *v: F.element_at(F.array(*map(F.lit, v)), (n + 1).cast("int"))
+    classes = F.array_compact(F.array(*(F.when(ok, F.lit(n)) for n, ok in zip(_CLASSES, (k % 7 > 0, k % 3 > 0, k % 4 > 0, k % 6 > 0, k % 8 > 0, k % 9 == 0)))))
+    return _independent(spark, d).select(
+        "candidate", pick(k % 5, "normal_reference", "temporal_sensitive", "configuration_sensitive", "payroll_sensitive", "identity_sensitive").alias("risk_class"), F.when(k % 41 == 0, "conflicting").when(k % 43 == 0, "heuristic").otherwise(F.col("strength")).alias("strength"),
+        (F.col("groups") % 4).alias("groups"), classes.alias("classes"), F.when(k % 29 == 0, of("a", "b")).otherwise(of()).alias("conflicts"), F.when(k % 31 == 0, of("x")).otherwise(of()).alias("ambiguities"), F.when(k % 13 == 0, of("open_cardinality")).when(k % 13 == 1, of("other")).otherwise(of()).alias("gaps"),
+        (k % 23 == 0).alias("hash_mismatch"), (k % 37 == 0).alias("inferred_only"), (k % 47 == 0).alias("heuristic_only"), (k % 3 == 0).alias("expands"), pick(F.floor(k / 3) % 4, "proven", "partial", "unproven", "conflicting").alias("scope"),
+        F.when(k % 10 == 8, "unresolved").when(k % 10 == 9, "unproven").when(k % 10 == 7, "partial").otherwise("proven").alias("grain"), (k % 11 > 0).alias("facets_separated"), (k % 12 > 0).alias("exact_identity"), (k % 14 > 0).alias("employee_grain"), (k % 16 > 0).alias("employee_dependency"), (k % 2 == 0).alias("display_linked"),
+        F.when(k % 17 == 0, of("role:pending", "other:missing")).otherwise(of()).alias("inactive"),
+    )
+
+
+@query(f"""WITH {_INDEPENDENT}, {_FACTS}, n AS (SELECT *, infer OR heur OR strength IN ('inferred', 'heuristic') AS inferred, len(conflicts) > 0 OR strength = 'conflicting' AS conf, grain = 'unresolved' OR len(list_filter(gaps, lambda g: regexp_matches(g, 'cardinality|multi_current|tie_ambiguity'))) > 0 AS open,
+  CASE WHEN rc IN ('configuration_sensitive', 'payroll_sensitive') THEN 2 ELSE 1 END AS least, CASE rc WHEN 'normal_reference' THEN ['concept'] WHEN 'temporal_sensitive' THEN ['concept', 'relation', 'temporal'] WHEN 'configuration_sensitive' THEN ['concept', 'relation'] WHEN 'payroll_sensitive' THEN ['concept', 'value'] ELSE ['identity', 'concept'] END AS needs,
+  list_contains(classes, 'concept') OR list_contains(classes, 'display') AS meant FROM fact),
+m AS (SELECT *, mism OR conf OR inferred OR len(ambiguities) > 0 AS ends FROM n),
+t AS (SELECT *, list_concat([{{'r': 'stale.graphHashMismatch', 'q': 'hash_match', 'a': CASE WHEN mism THEN 'mismatch' ELSE 'match' END, 'p': NOT mism, 'b': true}}],
+  list_filter([CASE WHEN NOT mism THEN {{'r': 'ambiguityConflict.conflict', 'q': 'no_conflicts', 'a': coalesce(nullif(array_to_string(conflicts, ','), ''), 'none'), 'p': NOT conf, 'b': true}} END,
+    CASE WHEN NOT mism AND NOT conf THEN {{'r': 'strength.blockedInferredHeuristic', 'q': 'not_inferred_or_heuristic', 'a': strength, 'p': NOT inferred, 'b': true}} END,
+    CASE WHEN NOT mism AND NOT conf AND NOT inferred THEN {{'r': 'ambiguityConflict.ambiguity', 'q': 'no_ambiguities', 'a': coalesce(nullif(array_to_string(ambiguities, ','), ''), 'none'), 'p': len(ambiguities) = 0, 'b': true}} END,
+    CASE WHEN NOT ends THEN {{'r': 'risk.minimumIndependentObservationGroups', 'q': '>=' || least, 'a': groups::VARCHAR, 'p': groups >= least, 'b': true}} END], lambda x: x IS NOT NULL),
+  CASE WHEN ends THEN [] ELSE list_transform(needs, lambda c: {{'r': 'risk.requiredSemanticClass.' || c, 'q': 'has_' || c, 'a': CASE WHEN list_contains(classes, c) THEN 'present' ELSE 'missing' END, 'p': list_contains(classes, c), 'b': true}}) END,
+  CASE WHEN ends THEN [] ELSE list_filter([CASE WHEN rc <> 'identity_sensitive' THEN {{'r': 'risk.businessMeaningBeyondDdl', 'q': 'business_meaning_not_ddl_alone', 'a': CASE WHEN meant THEN 'present' ELSE 'ddl_or_missing' END, 'p': meant, 'b': true}} END,
+    CASE WHEN rc = 'identity_sensitive' THEN {{'r': 'identity.facetSeparated', 'q': 'facet_separated', 'a': facets::VARCHAR, 'p': facets, 'b': true}} END, CASE WHEN rc = 'identity_sensitive' THEN {{'r': 'identity.exactSemanticEvidence', 'q': 'exact_identity_semantic_evidence', 'a': CASE WHEN exact THEN 'present' ELSE 'missing_or_ddl_only' END, 'p': exact, 'b': true}} END,
+    CASE WHEN rc = 'identity_sensitive' THEN {{'r': 'identity.employeeGrainDependency', 'q': 'employee_grain_dependency_satisfied', 'a': ed::VARCHAR, 'p': ed, 'b': true}} END,
+    CASE WHEN expands THEN {{'r': 'scope.explicitAssessment', 'q': 'assessment_present', 'a': scope, 'p': true, 'b': false}} END, CASE WHEN expands THEN {{'r': 'scope.unprovenBlocks', 'q': 'proven', 'a': scope, 'p': scope = 'proven', 'b': true}} END,
+    CASE WHEN expands AND scope = 'conflicting' THEN {{'r': 'scope.conflicting', 'q': 'not_conflicting', 'a': 'conflicting', 'p': false, 'b': true}} END, {{'r': 'grain.assessmentPresent', 'q': 'grain_assessment', 'a': grain, 'p': grain <> 'unproven', 'b': true}},
+    CASE WHEN rc = 'normal_reference' THEN {{'r': 'grain.employeeGrainEvidence', 'q': 'employee_grain_evidence', 'a': CASE WHEN eg THEN 'present' ELSE 'missing' END, 'p': eg AND grain <> 'unproven', 'b': true}} END, CASE WHEN list_contains(classes, 'display') THEN {{'r': 'grain.displayLinkedToPosition', 'q': 'display_linked', 'a': dl::VARCHAR, 'p': dl, 'b': true}} END,
+    CASE WHEN rc = 'temporal_sensitive' OR open THEN {{'r': 'grain.cardinalityResolved', 'q': 'cardinality_resolved', 'a': CASE WHEN open THEN 'unresolved' ELSE 'resolved' END, 'p': NOT open, 'b': true}} END,
+    {{'r': 'strength.sufficientClass', 'q': 'one_of:{"|".join(policy.SUFFICIENT)}', 'a': strength, 'p': strength IN {policy.SUFFICIENT}, 'b': true}},
+    {{'r': 'dependencies.reuseActivation', 'q': 'no_inactive_reuse_deps', 'a': CASE WHEN len(inactive) > 0 THEN 'role,other' ELSE 'none' END, 'p': len(inactive) = 0, 'b': false}}], lambda x: x IS NOT NULL) END) AS rules FROM m),
+v AS (SELECT *, list_transform(list_filter(rules, lambda r: r.b AND NOT r.p), lambda r: r.r) AS failed FROM t),
+w AS (SELECT *, CASE WHEN mism THEN 'stale' WHEN conf THEN 'conflicting' WHEN inferred THEN 'needs_more_evidence' WHEN len(ambiguities) > 0 THEN 'ambiguous' WHEN len(failed) > 0 THEN 'needs_more_evidence' ELSE 'sufficient_for_decision' END AS assessment, CASE WHEN ends THEN [] ELSE inactive END AS dead FROM v)
+SELECT candidate, assessment, CASE assessment WHEN 'sufficient_for_decision' THEN 'ready_for_approval_decision' WHEN 'ambiguous' THEN 'blocked_ambiguity' WHEN 'conflicting' THEN 'blocked_conflict' WHEN 'stale' THEN 'blocked_stale' ELSE 'blocked_more_evidence' END AS readiness, array_to_string(failed, ',') AS failed,
+array_to_string(list_transform(rules, lambda r: r.r || '|' || r.q || '|' || r.a || '|' || CASE WHEN r.p THEN 1 ELSE 0 END || CASE WHEN r.b THEN 1 ELSE 0 END), ';') AS rules, len(dead) > 0 OR assessment <> 'sufficient_for_decision' OR (expands AND scope <> 'proven') AS reuse_blocked,
+array_to_string(list_concat(list_transform(dead, lambda x: 'inactive_dependency:' || x), CASE WHEN expands AND scope <> 'proven' THEN ['scope_expansion_' || scope] ELSE [] END, list_transform(failed, lambda x: 'rule:' || x)), ',') AS block_reasons FROM w""")
 def evidence_verdicts(spark, d):
-    """Evidence on each part: independent groups, then rules in order with a trace of those that failed."""
-    rows = table(spark, d, "lineitem")
-    groups = curation.independent_groups(rows.select(F.col("l_partkey").alias("k"), "l_suppkey"), "k", "l_suppkey")
-    facts = rows.groupBy(F.col("l_partkey").alias("k")).agg(F.bool_or(F.col("l_returnflag") == "R").alias("c"), F.count_if(F.col("l_quantity") > 40).alias("strong"), (F.max("l_shipdate") < F.lit("1998-06-01").cast("timestamp")).alias("stale"))
-    k = F.col("k")
-    verdict, failed = curation.evidence_verdict(F.col("stale"), F.col("c") & (k % 3 == 0), k % 11 == 0, F.when(k % 13 == 0, 1).otherwise(0), F.col("groups"), 10, F.col("strong"), 5)
-    return groups.join(facts, "k").select("k", "observations", "groups", verdict.alias("verdict"), F.array_join(failed, ",").alias("failed"))
-
-
-@query("""WITH f AS (SELECT p_partkey AS k, list_filter([CASE WHEN p_partkey % 2 = 0 THEN 'name' END, CASE WHEN p_partkey % 3 = 0 THEN 'documentation' END, CASE WHEN p_partkey % 5 = 0 THEN 'join' END, CASE WHEN p_partkey % 7 = 0 THEN 'constraint' END], lambda x: x IS NOT NULL) AS f FROM part)
-SELECT k, CASE WHEN k % 17 = 0 THEN 'contradicted' WHEN k % 19 = 0 THEN 'ambiguous' WHEN f = ['documentation'] THEN 'documentation_only' WHEN f = ['name'] THEN 'name_only' WHEN k % 23 = 0 THEN 'exact' WHEN k % 3 = 0 AND k % 5 = 0 AND k % 7 = 0 THEN 'strong' ELSE 'weak' END AS status,
-CASE WHEN k % 5 <> 0 THEN 'requires_support' WHEN k % 2 = 0 THEN 'current_flag' WHEN k % 3 = 0 AND k % 7 = 0 THEN 'valid_range' WHEN k % 3 = 0 THEN 'open_range' ELSE 'none' END AS temporal FROM f""")
+    """Candidates judged by a policy of five risk classes, with the trace of its rules."""
+    out = policy.assessed(_facts(spark, d), policy.policy_rows(spark))
+    line = lambda r: F.concat_ws("|", r["rule"], r["required"], r["actual"], F.concat(r["passed"].cast("int").cast("string"), r["blocking"].cast("int").cast("string")))
+    return out.withColumns({"rules": F.array_join(F.transform("rules", line), ";"), "failed": F.array_join("failed", ","), "block_reasons": F.array_join("block_reasons", ",")})
+
+
+@query("""WITH f AS (SELECT p_partkey AS k, list_filter([CASE WHEN p_partkey % 2 = 0 THEN 'application_semantic' END, CASE WHEN p_partkey % 3 = 0 THEN 'application_technical' END, CASE WHEN p_partkey % 5 < 3 THEN 'oracle_structural' END, CASE WHEN p_partkey % 7 = 0 THEN 'schema_convention' END], lambda x: x IS NOT NULL) AS f, p_size AS z FROM part),
+s AS (SELECT *, list_contains(f, 'application_semantic') AS meant, len(list_intersect(f, ['application_technical', 'oracle_structural', 'implementation_usage'])) AS tech, z % 5 > 0 AND z % 7 > 0 AND (z % 3 > 0 OR z % 4 > 0) AS sound FROM f),
+r AS (SELECT *, CASE WHEN k % 17 = 0 THEN 'conflicting' WHEN k % 19 = 0 THEN 'ambiguous' WHEN z % 11 = 0 OR z % 13 = 0 OR f = ['schema_convention'] THEN 'insufficient' WHEN k % 4 = 0 AND sound AND meant THEN 'proven_exact' WHEN meant AND tech >= 2 AND sound THEN 'strong_inference_readonly' ELSE 'insufficient' END AS status FROM s)
+SELECT k, status, CASE status WHEN 'proven_exact' THEN 'eligible_for_bounded_readonly' WHEN 'strong_inference_readonly' THEN 'eligible_for_bounded_readonly_pilot' ELSE 'blocked' END AS eligibility FROM r""")
 def role_statuses(spark, d):
-    """How sure roles are, and how the current row is told."""
-    k = F.col("p_partkey")
-    families = F.array_compact(F.array(*(F.when(k % n == 0, F.lit(f)) for n, f in ((2, "name"), (3, "documentation"), (5, "join"), (7, "constraint")))))
-    status = curation.role_status(k % 17 == 0, F.when(k % 19 == 0, 1).otherwise(0), families, k % 23 == 0)
-    return table(spark, d, "part").select(k.alias("k"), status.alias("status"), curation.temporal_role(k % 2 == 0, k % 3 == 0, k % 7 == 0, k % 5 == 0).alias("temporal"))
+    """How sure roles are, and whether a bounded read may use them."""
+    k, z = F.col("p_partkey"), F.col("p_size")
+    families = F.array_compact(F.array(*(F.when(ok, F.lit(f)) for ok, f in ((k % 2 == 0, "application_semantic"), (k % 3 == 0, "application_technical"), (k % 5 < 3, "oracle_structural"), (k % 7 == 0, "schema_convention")))))
+    flags = {"contradicted": k % 17 == 0, "rivals": k % 19 == 0, "documentation_only": z % 11 == 0, "model_only": z % 13 == 0, "name_only": families == F.array(F.lit("schema_convention")), "direct_proof": k % 4 == 0, "whole_path": z % 5 > 0, "types_fit": z % 7 > 0, "needs_time": z % 3 == 0, "time_ok": z % 4 > 0}
+    facts = table(spark, d, "part").select(k.alias("k"), families.alias("families"), *(c.alias(n) for n, c in flags.items()))
+    return policy.role_status(facts).select("k", "status", "eligibility")
+
+
+@query("""WITH c AS (SELECT l_partkey AS o, l_orderkey * 10 + l_linenumber AS seq, CASE l_linenumber WHEN 1 THEN 'temporal_predicate' WHEN 2 THEN 'negative_usage' WHEN 3 THEN CASE WHEN l_partkey % 6 = 0 THEN 'current_snapshot_source' ELSE 'label' END ELSE 'label' END AS ct, CASE l_suppkey % 9 WHEN 0 THEN 'valid_from' WHEN 1 THEN 'valid_to' WHEN 2 THEN 'assignment_grain' END AS rh,
+  CASE WHEN l_partkey % 5 < 2 THEN 'schema_convention' ELSE 'implementation_usage' END AS fam, CASE WHEN l_quantity > 20 THEN 'col' || (l_suppkey % 4) END AS col FROM lineitem WHERE l_discount > 0.07),
+s AS (SELECT o, arg_min(col, seq) FILTER (rh = 'valid_from' AND col IS NOT NULL AND NOT starts_with(ct, 'negative_')) AS fc, arg_min(col, seq) FILTER (rh = 'valid_to' AND col IS NOT NULL AND NOT starts_with(ct, 'negative_')) AS tc, bool_or(fam = 'implementation_usage' AND (coalesce(rh IN ('valid_from', 'valid_to'), false) OR ct IN ('temporal_predicate', 'temporal_period_labels', 'period_semantics', 'current_snapshot_source'))) AS sup, bool_or(ct = 'current_snapshot_source' OR coalesce(rh = 'assignment_grain', false)) AS snap FROM c GROUP BY o),
+g AS (SELECT p_partkey AS o, p_size % 8 AS z, p_size % 3 = 0 AS weak FROM part), j AS (SELECT g.o, z, p.p_size % 10 > 0 AS needs, sup, snap, coalesce(fc, CASE WHEN z < 3 AND NOT weak THEN 'data_od' END) AS f, coalesce(tc, CASE WHEN z < 2 AND NOT weak THEN 'data_do' END) AS t, CASE WHEN z = 2 AND NOT weak THEN 'aktualny' END AS flag FROM g JOIN part p ON p_partkey = g.o LEFT JOIN s ON s.o = g.o),
+m AS (SELECT *, CASE WHEN NOT needs THEN 'unresolved' WHEN flag IS NOT NULL AND coalesce(sup, false) THEN 'exact_current_flag' WHEN f IS NOT NULL AND t IS NOT NULL AND coalesce(sup, false) THEN 'effective_date_range' WHEN f IS NOT NULL AND t IS NOT NULL THEN 'unresolved' WHEN snap THEN 'current_snapshot_source' ELSE 'unresolved' END AS mode FROM j)
+SELECT o AS object, mode, CASE WHEN needs AND f IS NOT NULL AND t IS NOT NULL AND mode <> 'exact_current_flag' THEN f END AS valid_from, CASE WHEN needs AND f IS NOT NULL AND t IS NOT NULL AND mode <> 'exact_current_flag' THEN t END AS valid_to, CASE WHEN mode = 'exact_current_flag' THEN flag END AS current_flag FROM m""")
+def temporal_roles(spark, d):
+    """How the current row of each object is told: by a flag, a range, a snapshot, or not at all."""
+    p, i = table(spark, d, "part"), table(spark, d, "lineitem").where("l_discount > 0.07")
+    n, k = F.col("l_linenumber"), F.col("l_suppkey")
+    kind = F.when(n == 1, "temporal_predicate").when(n == 2, "negative_usage").when((n == 3) & (F.col("l_partkey") % 6 == 0), "current_snapshot_source").otherwise("label")
+    hint = F.when(k % 9 == 0, "valid_from").when(k % 9 == 1, "valid_to").when(k % 9 == 2, "assignment_grain")
+    claims = i.select(F.col("l_partkey").alias("object"), (F.col("l_orderkey") * 10 + n).alias("seq"), kind.alias("claim_type"), hint.alias("role_hint"), F.when(F.col("l_partkey") % 5 < 2, "schema_convention").otherwise("implementation_usage").alias("family"), F.when(F.col("l_quantity") > 20, F.concat(F.lit("col"), (k % 4).cast("string"))).alias("column"))
+    z = F.col("p_size") % 8
+    role = lambda name, column, ok, seq: F.when(ok, F.struct(F.lit(name).alias("role"), F.lit(column).alias("column"), F.lit(seq).alias("seq")))
+    guessed = F.array_compact(F.array(role("valid_from", "data_od", z < 3, 1), role("valid_to", "data_do", z < 2, 2), role("current_flag", "aktualny", z == 2, 3)))
+    inferred = p.select(F.col("p_partkey").alias("object"), (F.col("p_size") % 3 == 0).alias("convention_only"), F.inline(guessed))
+    return policy.temporal_roles(p.select(F.col("p_partkey").alias("object"), (F.col("p_size") % 10 > 0).alias("needs_time")), claims, inferred)
 
 
 @query("""SELECT 'orders' AS name, count(*) AS rows, count(*) AS keys, 'proven' AS verdict FROM orders UNION ALL SELECT 'lineitem', count(*), count(DISTINCT l_orderkey), 'unproven' FROM lineitem UNION ALL SELECT 'none', 0, 0, 'not_evaluable' UNION ALL SELECT 'union', count(*), count(*), 'supported_partial' FROM customer""")

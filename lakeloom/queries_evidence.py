@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lakeloom.functions import text as fx
-from lakeloom.operators import evidence
+from lakeloom.operators import evidence, runs
 from lakeloom.queries import query
 from lakeloom.sources.tables import table
 
@@ -46,16 +46,39 @@ def answer_coverage(spark, d):
     return table(spark, d, "part").select(k.alias("k"), covered.alias("coverage"), evidence.answerable(answer, covered, k % 2 == 0).alias("answer"))
 
 
-_PLAIN = "list_filter(string_split(trim(regexp_replace(regexp_replace(regexp_replace(lower(text), '[„”\"'']', '', 'g'), '[.,;:!?\\-–—()\\[\\]{}]', ' ', 'g'), '\\s+', ' ', 'g')), ' '), lambda w: w <> '')"
 
 
-@query(f"""WITH a AS (SELECT doc_id, {_PLAIN} AS w FROM documents), c AS (SELECT item_id, {_PLAIN} AS w FROM benchmark),
-x AS (SELECT DISTINCT doc_id, array_to_string(w[i:i+9], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 8)) AS i FROM a WHERE len(w) >= 10)), y AS (SELECT DISTINCT item_id, array_to_string(w[i:i+9], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 8)) AS i FROM c WHERE len(w) >= 10))
-SELECT DISTINCT doc_id AS answer_id, item_id AS claim_id FROM x JOIN y USING (g)""")
+#: Significant words in DuckDB: strip_accents would fold an ł as well, which the rule doesn't.
+_STOP = ", ".join(f"'{w}'" for w in (*runs.COMMON, *runs.SHORT_NAMES))
+
+
+def _significant(c: str) -> str:
+    return f"list_filter(regexp_split_to_array(translate(lower({c}), '{fx.MARKS}', '{fx.BARE}'), '[^a-z0-9ąćęłńóśźż]+'), lambda w: length(w) >= 4 AND w NOT IN ({_STOP}))"
+
+
+def _islands(least: int, left: str, right: str) -> str:
+    gram = lambda t, key, at: f"(SELECT {key}, i - 1 AS {at}, array_to_string(w[i:i+{least - 1}], ' ') AS g FROM (SELECT {key}, w, unnest(range(1, len(w) - {least - 2})) AS i FROM {t} WHERE len(w) >= {least}))"
+    return f"""m AS (SELECT DISTINCT {left}, {right}, la, ra FROM {gram('a', left, 'la')} JOIN {gram('c', right, 'ra')} USING (g)), n AS (SELECT *, la - row_number() OVER (PARTITION BY {left}, {right}, la - ra ORDER BY la) AS island FROM m),
+r AS (SELECT {left}, {right}, min(la) AS la, min(ra) AS ra, count(*) + {least - 1} AS length FROM n GROUP BY {left}, {right}, la - ra, island)"""
+
+
+@query(f"""WITH a AS (SELECT doc_id, {_significant('text')} AS w FROM documents), c AS (SELECT item_id, {_significant('text')} AS w FROM benchmark), {_islands(10, 'doc_id', 'item_id')}
+SELECT doc_id AS answer_id, item_id AS claim_id, la::INT AS answer_at, ra::INT AS claim_at, length::INT AS length FROM r""")
 def verbatim_answers(spark, d):
-    """Documents that repeat ten words of a benchmark item in a row."""
+    """Runs of ten significant words or more that documents have from benchmark items, and where."""
     answers = table(spark, d, "documents").select(F.col("doc_id").alias("answer_id"), "text")
-    return evidence.verbatim(answers, table(spark, d, "benchmark").select(F.col("item_id").alias("claim_id"), "text"))
+    return runs.verbatim_runs(answers, table(spark, d, "benchmark").select(F.col("item_id").alias("claim_id"), "text"))
+
+
+@query(f"""WITH s AS (SELECT doc_id, regexp_extract_all('X: „' || replace(text, chr(10), '” ja „') || '”.', '[„""«»]([^„""«»]{{16,}})[”“"»]', 1) AS qs FROM documents), q AS (SELECT doc_id, unnest(qs) AS said, unnest(range(len(qs))) AS quote FROM s),
+a AS (SELECT {{'d': doc_id, 'q': quote}} AS q, trim(said) AS said, {_significant('trim(said)')} AS w FROM q), k AS (SELECT item_id, trim(regexp_replace(text, '^[-–•\\s]+', '')) AS core FROM benchmark), c AS (SELECT item_id, core, {_significant('core')} AS w FROM k WHERE length(core) >= 24), {_islands(6, 'q', 'item_id')},
+few AS (SELECT q, said, a.w AS w, unnest(range(1, len(c.w) - len(a.w) + 2)) AS pos, c.item_id, c.core, c.w AS cw FROM a JOIN c ON contains(c.core, a.said) WHERE len(a.w) BETWEEN 1 AND 5), f AS (SELECT q, item_id, pos - 1 AS ra, len(w) AS length FROM few WHERE cw[pos:pos+len(w)-1] = w),
+u AS (SELECT q, item_id, ra, length FROM r UNION ALL SELECT * FROM f) SELECT q.d AS answer_id, item_id AS claim_id, q.q::INT AS quote, (arg_min(ra, (-length, ra)))::INT AS claim_at, max(length)::INT AS length FROM u GROUP BY q, item_id""")
+def quoted_claims(spark, d):
+    """Quotations, here each line of a document, that have six significant words in a row from a benchmark item or stand in it."""
+    said = F.concat(F.lit("X: „"), F.replace("text", F.lit("\n"), F.lit("” ja „")), F.lit("”."))
+    answers = table(spark, d, "documents").select(F.col("doc_id").alias("answer_id"), said.alias("text"))
+    return runs.quoted_claims(answers, table(spark, d, "benchmark").select(F.col("item_id").alias("claim_id"), "text"))
 
 
 @query("""SELECT p_partkey AS id, concat_ws(',', CASE WHEN lower(p_name) IN (SELECT lower(p_name) FROM part WHERE p_size < 10) THEN 'lexicon' END, CASE WHEN lower(p_name) IN (SELECT lower(p_name) FROM part WHERE p_size > 45) THEN 'help' END) AS anchors FROM part""")

@@ -4,17 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lakeloom.operators import graph
+from lakeloom.operators import graph, traversal
 from lakeloom.queries import query
 from lakeloom.sources.tables import table
 
-_E = "e AS (SELECT p_partkey % 200 AS src, (p_partkey * 7 + p_size) % 200 AS dst, CASE p_size % 3 WHEN 0 THEN 'reads' WHEN 1 THEN 'calls' ELSE 'shows' END AS type, p_brand AS source, p_size FROM part WHERE p_partkey < 500)"
+#: Parts as nodes in rings of twelve; some lead across their ring too, some to a later ring.
+_E = """p AS (SELECT p_partkey AS p, p_size AS s, p_brand, p_partkey - (p_partkey - 1) % 12 AS b, (p_partkey - 1) % 12 AS i FROM part),
+w AS (SELECT p AS src, b + (i + 1) % 12 AS dst, s, p_brand FROM p UNION ALL SELECT p, b + (i * 7 + s) % 12, s + 1, p_brand FROM p WHERE s % 5 = 0 UNION ALL SELECT p, p + 12 * (1 + s % 3), s + 2, p_brand FROM p WHERE s % 7 = 0),
+e AS (SELECT src, dst, CASE s % 3 WHEN 0 THEN 'reads' WHEN 1 THEN 'calls' ELSE 'shows' END AS type, p_brand AS source, s AS p_size FROM w)"""
 
 
 def _edges(spark, d):
-    rows = table(spark, d, "part").where("p_partkey < 500")
+    p, s = F.col("p_partkey"), F.col("p_size")
+    i = (p - 1) % 12
+    to = lambda dst, size: F.struct(dst.cast("long").alias("dst"), size.cast("int").alias("p_size"))
+    ends = F.array(to(p - i + (i + 1) % 12, s), F.when(s % 5 == 0, to(p - i + (i * 7 + s) % 12, s + 1)), F.when(s % 7 == 0, to(p + 12 * (1 + s % 3), s + 2)))
+    rows = table(spark, d, "part").select(p.alias("src"), F.col("p_brand").alias("source"), F.inline(F.array_compact(ends)))
     kind = F.when(F.col("p_size") % 3 == 0, "reads").when(F.col("p_size") % 3 == 1, "calls").otherwise("shows")
-    return rows.select((F.col("p_partkey") % 200).alias("src"), ((F.col("p_partkey") * 7 + F.col("p_size")) % 200).alias("dst"), kind.alias("type"), F.col("p_brand").alias("source"), "p_size")
+    return rows.select("src", "dst", kind.alias("type"), "source", "p_size")
 
 
 @query(f"""WITH RECURSIVE {_E}, b AS (SELECT src, dst FROM e WHERE type <> 'shows' UNION SELECT dst, src FROM e WHERE type <> 'shows'), r(node, depth) AS (SELECT 7::BIGINT, 0 UNION SELECT dst, depth + 1 FROM r JOIN b ON src = node WHERE depth < 4),
@@ -24,18 +31,25 @@ def evidence_subgraph(spark, d):
     return graph.subgraph(_edges(spark, d), spark.range(7, 8).withColumnRenamed("id", "node"), 4, 20, ("reads", "calls"))
 
 
-@query(f"""WITH RECURSIVE {_E}, b AS (SELECT src, dst FROM e WHERE src <> dst UNION SELECT dst, src FROM e WHERE src <> dst), r(node, depth, path) AS (SELECT 3::BIGINT, 0, [3::BIGINT] UNION ALL SELECT dst, depth + 1, list_append(path, dst) FROM r JOIN b ON src = node WHERE depth < 6 AND NOT list_contains(path, dst))
-SELECT depth::INT AS depth, array_to_string(path, '>') AS path FROM r WHERE node = 128 ORDER BY r.depth, r.path LIMIT 1""")
+@query(f"""WITH RECURSIVE {_E}, b AS (SELECT src, dst FROM e WHERE src <> dst UNION SELECT dst, src FROM e WHERE src <> dst), r(node, depth, path) AS (SELECT 3::BIGINT, 0, [3::BIGINT] UNION ALL SELECT dst, depth + 1, list_append(path, dst) FROM r JOIN b ON src = node WHERE depth < 9 AND NOT list_contains(path, dst))
+SELECT depth::INT AS depth, array_to_string(path, '>') AS path FROM r WHERE node = 9 ORDER BY r.depth, r.path LIMIT 1""")
 def undirected_path(spark, d):
     """One shortest way between two nodes, along edges either way."""
-    return graph.shortest_path(_edges(spark, d), 3, 128, 6).select("depth", F.array_join("path", ">").alias("path"))
+    return graph.shortest_path(_edges(spark, d), 3, 9, 9).select("depth", F.array_join("path", ">").alias("path"))
 
 
-@query(f"""WITH RECURSIVE {_E}, x AS (SELECT DISTINCT src, dst FROM e), r(root, node, depth, path) AS (SELECT DISTINCT src, src, 0, [src] FROM x UNION ALL SELECT root, dst, depth + 1, list_append(path, dst) FROM r JOIN x ON src = node WHERE depth < 6 AND (depth = 0 OR node <> root) AND dst >= root AND (dst = root OR NOT list_contains(path, dst)))
-SELECT array_to_string(path, '>') AS cycle, depth::INT AS length FROM r WHERE depth > 0 AND node = root ORDER BY r.depth, r.path LIMIT 50""")
-def short_cycles(spark, d):
-    """Simple cycles of at most six edges, each once."""
-    return graph.cycles(_edges(spark, d), 6, 50).select(F.array_join("cycle", ">").alias("cycle"), "length")
+@query(f"""WITH RECURSIVE {_E}, x AS (SELECT DISTINCT src, dst FROM e WHERE (src - 1) // 12 = (dst - 1) // 12), r(root, node, depth, path) AS (SELECT DISTINCT src, src, 0, [src] FROM x UNION ALL SELECT root, dst, depth + 1, list_append(path, dst) FROM r JOIN x ON src = node WHERE (depth = 0 OR node <> root) AND dst >= root AND (dst = root OR NOT list_contains(path, dst)))
+SELECT array_to_string(path, '>') AS cycle, depth::INT AS length FROM r WHERE depth > 0 AND node = root ORDER BY r.depth, r.path LIMIT 1000000""")
+def all_cycles(spark, d):
+    """Simple cycles of any length, each once. (In the SQL, edges to later rings can't be on one.)"""
+    return traversal.cycles(_edges(spark, d), 1_000_000).select(F.array_join("cycle", ">").alias("cycle"), "length")
+
+
+@query(f"""WITH RECURSIVE {_E}, x AS (SELECT DISTINCT src, dst FROM e WHERE (src - 1) // 12 = (dst - 1) // 12), r(root, node) AS (SELECT src, dst FROM x UNION SELECT root, dst FROM r JOIN x ON src = node),
+m AS (SELECT a.root, a.node FROM r a JOIN r b ON a.root = b.node AND a.node = b.root) SELECT root AS node, min(node) AS component FROM m GROUP BY root HAVING count(*) > 1""")
+def strong_components(spark, d):
+    """Nodes that lead to each other, by the least of them."""
+    return traversal.strong_components(_edges(spark, d))
 
 
 @query("""WITH n AS (SELECT p_partkey::VARCHAR AS node, p_name AS name, p_name || '/' || p_brand AS canonical FROM part), a AS (SELECT p_partkey::VARCHAR AS node, p_brand || ' ' || p_partkey AS alias FROM part),
@@ -121,16 +135,78 @@ def typed_trace(spark, d):
     return graph.trace(_edges(spark, d), ["reads", "calls"]).toDF("a", "b", "c")
 
 
-@query(f"""WITH {_E}, l AS (SELECT least(src, dst) AS a, greatest(src, dst) AS b, CASE type WHEN 'reads' THEN 1 WHEN 'calls' THEN 2 ELSE 3 END AS r, type FROM e WHERE src <> dst) SELECT a AS left_id, b AS right_id, arg_min(type, r) AS evidence, count(*) AS edges FROM l GROUP BY a, b""")
+#: Objects with two columns each, keys between neighbours, joins and mappings that name columns; a pair of objects for each part.
+_OBJECTS = """s AS (SELECT p_partkey AS p, p_size AS z FROM part), e(edge_id, src, dst, type, lc, rc) AS (SELECT 'h1.' || p, 'o' || p, 'c' || p || '.1', 'HAS_COLUMN', NULL, NULL FROM s UNION ALL SELECT 'h2.' || p, 'o' || p, 'c' || p || '.2', 'HAS_COLUMN', NULL, NULL FROM s
+UNION ALL SELECT 'k' || p, 'c' || p || '.1', 'c' || (p + 1) || '.2', CASE WHEN z % 4 = 0 THEN 'REFERENCES' ELSE 'FOREIGN_KEY_TO' END, NULL, NULL FROM s WHERE z % 2 = 0 UNION ALL SELECT 'b' || p, 'c' || (p + 1) || '.1', 'c' || p || '.2', 'FOREIGN_KEY_TO', NULL, NULL FROM s WHERE z % 9 = 0
+UNION ALL SELECT 'j' || p, 'o' || p, 'o' || (p + 2), 'JOINS_TO', 'c' || p || '.2', 'c' || (p + 2) || '.1' FROM s WHERE z % 3 = 0 UNION ALL SELECT 'm' || p, 'o' || p, 'c' || (p + 3) || '.1', 'MAPS_TO_ORACLE_COLUMN', 'c' || p || '.2', 'c' || (p + 3) || '.1' FROM s WHERE z % 5 = 0
+UNION ALL SELECT 'k2.' || p, 'c' || p || '.1', 'c' || (p + 1) || '.2', 'FOREIGN_KEY_TO', NULL, NULL FROM s WHERE z % 8 = 0 UNION ALL SELECT 'x' || p, 'o' || p, 'o' || (p + 1), 'MENTIONS', 'c' || p || '.1', 'c' || (p + 1) || '.1' FROM s)"""
+
+
+def _objects(spark, d):
+    p, z = F.col("p_partkey"), F.col("p_size")
+    col = lambda k, n: F.concat(F.lit("c"), (p + k).cast("string"), F.lit(f".{n}"))
+    obj = lambda k: F.concat(F.lit("o"), (p + k).cast("string"))
+    none = F.lit(None).cast("string")
+
+    def edge(name, src, dst, kind, left=none, right=none):
+        return F.struct(F.concat(F.lit(name), p.cast("string")).alias("edge_id"), src.alias("src"), dst.alias("dst"), (F.lit(kind) if isinstance(kind, str) else kind).alias("type"), left.alias("left_column"), right.alias("right_column"))
+
+    made = [edge("h1.", obj(0), col(0, 1), "HAS_COLUMN"), edge("h2.", obj(0), col(0, 2), "HAS_COLUMN"), F.when(z % 2 == 0, edge("k", col(0, 1), col(1, 2), F.when(z % 4 == 0, "REFERENCES").otherwise("FOREIGN_KEY_TO"))), F.when(z % 9 == 0, edge("b", col(1, 1), col(0, 2), "FOREIGN_KEY_TO")), F.when(z % 3 == 0, edge("j", obj(0), obj(2), "JOINS_TO", col(0, 2), col(2, 1))),
+            F.when(z % 5 == 0, edge("m", obj(0), col(3, 1), "MAPS_TO_ORACLE_COLUMN", col(0, 2), col(3, 1))), F.when(z % 8 == 0, edge("k2.", col(0, 1), col(1, 2), "FOREIGN_KEY_TO")), edge("x", obj(0), obj(1), "MENTIONS", col(0, 1), col(1, 1))]
+    parts = table(spark, d, "part")
+    return parts.select(F.inline(F.array_compact(F.array(*made)))), parts.select(obj(0).alias("left_id"), F.concat(F.lit("o"), (p + p % 3 + 1).cast("string")).alias("right_id"))
+
+
+_AROUND = f"""WITH RECURSIVE {_OBJECTS}, a AS (SELECT * FROM e WHERE type <> 'MENTIONS'), q AS (SELECT 'o' || p AS l, 'o' || (p + p % 3 + 1) AS r FROM s), t AS (SELECT src, dst FROM a UNION SELECT dst, src FROM a),
+g(l, r, node, depth) AS (SELECT l, r, unnest([l, r]), 0 FROM q UNION SELECT l, r, dst, depth + 1 FROM g JOIN t ON src = node WHERE depth < 4), n AS (SELECT l, r, node, min(depth) AS depth FROM g GROUP BY l, r, node),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY l, r ORDER BY depth, node) AS k FROM n)"""
+
+
+@query(f"""{_AROUND}, u AS (SELECT * FROM ranked WHERE k <= 400), w AS (SELECT f.l, f.r, a.* FROM u f JOIN a ON a.src = f.node JOIN u h ON h.l = f.l AND h.r = f.r AND h.node = a.dst WHERE least(f.depth, h.depth) < 4),
+lc AS (SELECT l, r, dst AS c FROM w WHERE type = 'HAS_COLUMN' AND src = l), rc AS (SELECT l, r, dst AS c FROM w WHERE type = 'HAS_COLUMN' AND src = r),
+m AS (SELECT l, r, edge_id, 'foreign_key' AS evidence, src AS x, dst AS y FROM w WHERE type IN ('FOREIGN_KEY_TO', 'REFERENCES') UNION ALL SELECT l, r, edge_id, 'foreign_key', dst, src FROM w WHERE type IN ('FOREIGN_KEY_TO', 'REFERENCES')
+  UNION ALL SELECT l, r, edge_id, CASE type WHEN 'JOINS_TO' THEN 'reconstructed_sql_join' ELSE 'canonical_graph_path' END, lc, rc FROM w WHERE lc IS NOT NULL)
+SELECT m.l AS left_id, m.r AS right_id, x AS left_column, y AS right_column, evidence, min(edge_id) AS edge_id FROM m JOIN lc ON lc.l = m.l AND lc.r = m.r AND lc.c = x JOIN rc ON rc.l = m.l AND rc.r = m.r AND rc.c = y GROUP BY ALL""")
 def join_evidence(spark, d):
-    """The best evidence for a join of two nodes, whichever way its edges go."""
-    return graph.join_evidence(_edges(spark, d), ("reads", "calls", "shows"))
+    """How the columns of each pair of objects can be joined: keys, joins of SQL, other edges that name them."""
+    return traversal.join_evidence(*_objects(spark, d))
+
+
+@query(f"""{_AROUND} SELECT l AS left_id, r AS right_id, count(*) AS nodes, max(depth)::INT AS depth, sha256(string_agg(node, ',' ORDER BY depth, node)) AS digest FROM ranked WHERE k <= 15 GROUP BY l, r""")
+def pair_surroundings(spark, d):
+    """The fifteen nearest nodes around each pair of objects."""
+    near = traversal.around_pairs(*_objects(spark, d), most=15)
+    order = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("depth", "node"))), lambda s: s["node"]), ",")
+    return near.groupBy("left_id", "right_id").agg(F.count("*").alias("nodes"), F.max("depth").alias("depth"), F.sha2(order, 256).alias("digest"))
+
 
+_NAMED = """e AS (SELECT p_partkey AS k, p_brand AS so, CASE p_partkey % 3 WHEN 0 THEN p_type WHEN 1 THEN NULL ELSE ' ' END AS ow, CASE WHEN p_size % 2 = 0 THEN '"' || p_name || '" ' ELSE p_name END AS nm FROM part),
+q AS (SELECT k, upper(CASE WHEN ow IS NULL OR trim(ow) = '' THEN so ELSE ow END) AS oo, upper(trim(replace(nm, '"', ''))) AS n FROM e)"""
 
-@query("""WITH i AS (SELECT DISTINCT upper(p_type) AS o, upper(p_name) AS n FROM part WHERE p_size < 5), e AS (SELECT p_partkey AS src, CASE WHEN p_partkey % 2 = 0 THEN p_type || '.' ELSE '' END || p_name AS dst FROM part), c AS (SELECT n, count(*) AS k FROM i GROUP BY n)
-SELECT src, dst, CASE WHEN contains(dst, '.') THEN CASE WHEN upper(dst) IN (SELECT o || '.' || n FROM i) THEN 'resolved' ELSE 'missing' END WHEN k = 1 THEN 'resolved' WHEN k > 1 THEN 'ambiguous' ELSE 'missing' END AS state FROM e LEFT JOIN c ON upper(dst) = n""")
+
+def _named(spark, d):
+    p, k = table(spark, d, "part"), F.col("p_partkey")
+    name = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit('"'), "p_name", F.lit('" '))).otherwise(F.col("p_name"))
+    return p, p.select(k.alias("k"), F.col("p_brand").alias("source_owner"), F.when(k % 3 == 0, F.col("p_type")).when(k % 3 == 2, " ").alias("owner"), name.alias("name"))
+
+
+@query(f"""WITH {_NAMED}, i AS (SELECT upper(o) AS o, upper(p_name) AS n, max(CASE t WHEN 'VIEW' THEN '2VIEW' WHEN 'TABLE' THEN '1TABLE' ELSE '0' || t END) AS t FROM (SELECT p_type AS o, p_name, CASE p_size % 4 WHEN 0 THEN 'VIEW' WHEN 1 THEN 'TABLE' WHEN 2 THEN 'SYNONYM' ELSE 'PACKAGE' END AS t FROM part WHERE p_size < 20 UNION ALL SELECT p_brand, p_name, 'SYNONYM' FROM part WHERE p_size < 5) GROUP BY 1, 2),
+s AS (SELECT upper(o) AS o, upper(p_name) AS n, min({{'o': upper(t), 'n': upper(p_name)}}) AS t FROM (SELECT p_brand AS o, p_name, p_type AS t FROM part WHERE p_size < 15 UNION ALL SELECT p_type, p_name, p_brand FROM part WHERE p_size < 9) GROUP BY 1, 2),
+j AS (SELECT k, oo, q.n, i.t[2:] AS t, CASE WHEN i.t[2:] = 'SYNONYM' THEN s.t END AS far FROM q LEFT JOIN i ON i.o = oo AND i.n = q.n LEFT JOIN s ON s.o = oo AND s.n = q.n)
+SELECT k, oo AS object_owner, j.n AS object_name, coalesce(j.t, 'unresolved_object') AS object_type, CASE WHEN j.t IS NULL THEN 'unresolved' ELSE 'exact_from_source' END AS confidence, far.o AS target_owner, far.n AS target_name, CASE WHEN far IS NOT NULL THEN coalesce(i.t[2:], 'TABLE') END AS target_type FROM j LEFT JOIN i ON i.o = far.o AND i.n = far.n""")
 def resolved_endpoints(spark, d):
-    """Targets of edges against an inventory, with and without their owners."""
-    p = table(spark, d, "part")
-    edges = p.select(F.col("p_partkey").alias("src"), F.concat(F.when(F.col("p_partkey") % 2 == 0, F.concat("p_type", F.lit("."))).otherwise(""), "p_name").alias("dst"))
-    return graph.endpoints(edges, p.where("p_size < 5").select(F.col("p_type").alias("owner"), F.col("p_name").alias("name")))
+    """What the names that edges lead to stand for in an inventory of objects and synonyms."""
+    p, edges = _named(spark, d)
+    kind = F.element_at(F.array(*map(F.lit, ("VIEW", "TABLE", "SYNONYM", "PACKAGE"))), F.col("p_size") % 4 + 1)
+    has = p.where("p_size < 20").select(F.col("p_type").alias("owner"), F.col("p_name").alias("name"), kind.alias("type")).unionByName(p.where("p_size < 5").select(F.col("p_brand").alias("owner"), F.col("p_name").alias("name"), F.lit("SYNONYM").alias("type")))
+    far = lambda own, to, most: p.where(F.col("p_size") < most).select(F.col(own).alias("owner"), F.col("p_name").alias("name"), F.col(to).alias("target_owner"), F.col("p_name").alias("target_name"))
+    return graph.endpoints(edges, has, far("p_brand", "p_type", 15).unionByName(far("p_type", "p_brand", 9))).drop("source_owner", "owner", "name")
+
+
+@query(f"""WITH {_NAMED} SELECT k, oo AS object_owner, n AS object_name, 'TABLE' AS object_type, 'strong_static_inference' AS confidence FROM q""")
+def inferred_endpoints(spark, d):
+    """The same against an inventory without objects."""
+    p, edges = _named(spark, d)
+    none = p.where("p_size < 0")
+    out = graph.endpoints(edges, none.select(F.col("p_type").alias("owner"), F.col("p_name").alias("name"), F.lit("VIEW").alias("type")), none.select(*(F.col("p_name").alias(c) for c in ("owner", "name", "target_owner", "target_name"))))
+    return out.select("k", "object_owner", "object_name", "object_type", "confidence")

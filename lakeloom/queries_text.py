@@ -56,17 +56,19 @@ def label_scores(spark, d):
     return rows.select("p_partkey", "label", fx.label_score(F.col("label"), F.col("c"), F.col("comment")).alias("score"))
 
 
-@query("""WITH t AS (SELECT conv_id, turn, list_slice(string_split(text, ' '), 1, 25) AS x, lead(list_slice(string_split(text, ' '), 1, 25)) OVER (PARTITION BY conv_id ORDER BY turn) AS y FROM conversations),
-i AS (SELECT *, unnest(range(1, len(x) + 1)) AS i FROM t WHERE y IS NOT NULL), j AS (SELECT *, unnest(range(1, len(y) + 1)) AS j FROM i),
-k AS (SELECT *, unnest(range(1, least(len(x) - i, len(y) - j) + 2)) AS k FROM j WHERE x[i] = y[j])
-SELECT t.conv_id, t.turn, coalesce(max(CASE WHEN list_slice(k.x, k.i, k.i + k.k - 1) = list_slice(k.y, k.j, k.j + k.k - 1) THEN k.k END), 0)::INT AS run FROM t LEFT JOIN k ON t.conv_id = k.conv_id AND t.turn = k.turn WHERE t.y IS NOT NULL GROUP BY ALL""")
+@query("""WITH t AS (SELECT conv_id, turn, string_split(text, ' ') AS x, lead(string_split(text, ' ')) OVER (PARTITION BY conv_id ORDER BY turn) AS y FROM conversations),
+i AS (SELECT conv_id, turn, y, unnest(x) AS w, unnest(range(len(x))) AS i FROM t WHERE y IS NOT NULL), j AS (SELECT conv_id, turn, unnest(y) AS w, unnest(range(len(y))) AS j FROM t WHERE y IS NOT NULL),
+m AS (SELECT DISTINCT conv_id, turn, i, j FROM i JOIN j USING (conv_id, turn, w)), g AS (SELECT *, i - row_number() OVER (PARTITION BY conv_id, turn, i - j ORDER BY i) AS island FROM m),
+r AS (SELECT conv_id, turn, count(*) AS run, min(i) AS x_at, min(j) AS y_at FROM g GROUP BY conv_id, turn, i - j, island), b AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY run DESC, x_at, y_at) AS k FROM r)
+SELECT t.conv_id, t.turn, coalesce(run, 0)::INT AS run, x_at::INT AS x_at, y_at::INT AS y_at FROM t LEFT JOIN b ON t.conv_id = b.conv_id AND t.turn = b.turn AND k = 1 WHERE t.y IS NOT NULL""")
 def common_runs(spark, d):
-    """The longest run of words that a turn shares with the next one, over the first 25 of each."""
+    """The longest run of words that a turn shares with the next one, and where it stands in both."""
     from pyspark.sql import Window
 
-    words = F.slice(F.split("text", " "), 1, 25)
+    words = F.split("text", " ")
     rows = table(spark, d, "conversations").select("conv_id", "turn", words.alias("x"), F.lead(words).over(Window.partitionBy("conv_id").orderBy("turn")).alias("y"))
-    return rows.where("y is not null").select("conv_id", "turn", fx.longest_run(F.col("x"), F.col("y")).alias("run"))
+    found = rows.where("y is not null").select("conv_id", "turn", fx.longest_run(F.col("x"), F.col("y")).alias("r"))
+    return found.select("conv_id", "turn", F.col("r.length").alias("run"), "r.x_at", "r.y_at")
 
 
 @query(r"""WITH p AS (SELECT p_partkey, lower(p_name) AS t, string_split(lower(p_name), ' ') AS k FROM part) SELECT p_partkey, t = 'red widget' AS exact, contains(t, 'ed w') AS contained, regexp_matches(t, 'e.*t') AS ordered,

@@ -39,8 +39,8 @@ def test_cut_texts(spark):
 
 
 def test_texts_that_classify(spark):
-    assert one(spark, fx.longest_run(F.split("x", " "), F.split(F.lit("b c a b c d"), " ")), "a b c x") == 3
-    assert one(spark, fx.longest_run(F.split("x", " "), F.array().cast("array<string>")), "a") == 0
+    assert one(spark, fx.longest_run(F.split("x", " "), F.split(F.lit("b c a b c d"), " ")), "a b c x") == (3, 0, 2)
+    assert one(spark, fx.longest_run(F.split("x", " "), F.array().cast("array<string>")), "a") == (0, None, None)
     assert one(spark, fx.in_order(F.col("x"), ["a", "a"]), "xax") is False and one(spark, fx.in_order(F.col("x"), ["a", "b"]), "a-b") is True
     assert one(spark, fx.tag(F.col("x")), " Pracowników ") == "pracownik" and one(spark, fx.tag(F.col("x")), "a") == ""
     assert one(spark, fx.lexicon_match(F.col("x"), "required_terms", ["łoś"]), "Czy LOS?") is True

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lakeloom.operators.linkage import suggestions
+
 
 def exact_groups(rows: DataFrame, key: list[Column], id_col: str) -> DataFrame:
     """first_id, copies, extra of each group of rows with the same key; only hashes are shuffled."""
@@ -130,14 +132,26 @@ def upserted_links(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     return both.groupBy(*key).agg(F.max("confidence").alias("confidence"), F.sum("use_count").alias("use_count"), F.when(F.bool_or(F.col("source") == "seed"), "seed").otherwise(F.max("source")).alias("source"))
 
 
-def paired_files(left: DataFrame, right: DataFrame, name: str = "name") -> DataFrame:
-    """stem, left_name, right_name, outcome: files of two kinds whose names without folder and ending are the same; ambiguous
-    where a stem comes more than once on a side."""
-    stem = F.lower(F.regexp_replace(F.regexp_replace(F.col(name), r"^.*[/\\]", ""), r"\.[^.]*$", ""))
-    side = lambda rows, p: rows.groupBy(stem.alias("stem")).agg(F.count("*").alias(f"{p}_n"), F.min(name).alias(f"{p}_name"))
-    both = side(left, "left").join(side(right, "right"), "stem", "full")
-    outcome = F.when((F.coalesce("left_n", F.lit(0)) > 1) | (F.coalesce("right_n", F.lit(0)) > 1), "ambiguous").when(F.col("left_n").isNull(), "right_only").when(F.col("right_n").isNull(), "left_only").otherwise("paired")
-    return both.select("stem", "left_name", "right_name", outcome.alias("outcome"))
+def paired_files(left: DataFrame, right: DataFrame, name: str = "name", most: int = 2) -> DataFrame:
+    """left_name, right_name, suggested, outcome for each file of left, and for each of right that none pairs with.
+
+    Names are compared without folder and ending, folded in case. One file of right is exact or, if only the case differs,
+    case_insensitive_exact; several are ambiguous. Without one, the right name within most letters' edits that is nearest (ties: the
+    first) is only suggested: requires_confirmation; else missing. What stays of right is an orphan.
+    """
+    base = F.regexp_replace(F.regexp_replace(F.col(name), r"^.*[/\\]", ""), r"\.[^.]*$", "")
+    own = left.select(F.col(name).alias("left_name"), base.alias("base"), F.lower(base).alias("key"))
+    other = right.select(F.col(name).alias("other"), base.alias("other_base"), F.lower(base).alias("key"))
+    by_key = other.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("other", "other_base")).alias("o"))
+    met = own.join(by_key, "key", "left")
+    single = F.when(F.col("n") == 1, F.when(F.col("o.other_base") == F.col("base"), "exact").otherwise("case_insensitive_exact")).when(F.col("n") > 1, "ambiguous")
+    lost = met.where("n is null").select(F.col("key").alias("name")).distinct()
+    near = suggestions(lost, by_key.select(F.col("key").alias("name")), most).groupBy("name").agg(F.min(F.struct("distance", "suggestion")).alias("s"))
+    near = near.join(by_key.select(F.col("key").alias("_k"), F.col("o.other").alias("suggested")), F.col("s.suggestion") == F.col("_k")).select(F.col("name").alias("key"), "suggested")
+    pairs = met.join(near, "key", "left").select("left_name", F.when(F.col("n") == 1, F.col("o.other")).alias("right_name"), "suggested", F.coalesce(single, F.when(F.col("suggested").isNotNull(), "requires_confirmation").otherwise("missing")).alias("outcome"))
+    none = F.lit(None).cast("string")
+    orphans = other.join(own.select("key").distinct(), "key", "left_anti").select(none.alias("left_name"), F.col("other").alias("right_name"), none.alias("suggested"), F.lit("orphan").alias("outcome"))
+    return pairs.unionByName(orphans)
 
 
 def current_state(ledger: DataFrame, key: str, decision: str, *order: str) -> DataFrame:

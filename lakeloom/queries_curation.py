@@ -248,11 +248,20 @@ def upserted_links(spark, d):
     return curation.upserted_links(old, p.where("p_partkey % 2 = 1").withColumn("source", F.lit("learned")), ["a", "b"])
 
 
-@query("""SELECT * FROM (VALUES ('a', 'v/A.mp4', 'a.json', 'paired'), ('b', 'v/b.mp4', NULL, 'left_only'), ('c', NULL, 'x/c.json', 'right_only'), ('d', 'd.avi', 'd.json', 'ambiguous')) t(stem, left_name, right_name, outcome)""")
+@query("""WITH p AS (SELECT page_id AS k, 'clip ' || md5(page_id::VARCHAR)[:9] AS b FROM pages), l AS (SELECT k, 'in/x\\' || CASE WHEN k % 5 = 0 THEN upper(b) ELSE b END || '.json' AS name, CASE WHEN k % 5 = 0 THEN upper(b) ELSE b END AS base FROM p WHERE k % 7 > 0),
+r AS (SELECT k, 'out/' || base AS name, base FROM (SELECT k, CASE WHEN k % 6 = 0 THEN b || 'x' ELSE b END AS base FROM p WHERE k % 4 > 0)) , r2 AS (SELECT * FROM r UNION ALL SELECT k, 'more/' || base, base FROM r WHERE k % 9 = 0),
+g AS (SELECT lower(base) AS key, count(*) AS n, min({'name': name, 'base': base}) AS o FROM r2 GROUP BY 1), m AS (SELECT l.*, lower(l.base) AS key, n, o FROM l LEFT JOIN g ON g.key = lower(l.base)),
+s AS (SELECT a.key, min({'d': levenshtein(a.key, g.key), 'k': g.key, 'n': g.o.name}) AS s FROM (SELECT DISTINCT key FROM m WHERE n IS NULL) a JOIN g ON levenshtein(a.key, g.key) BETWEEN 1 AND 2 GROUP BY 1)
+SELECT name AS left_name, CASE WHEN n = 1 THEN o.name END AS right_name, s.n AS suggested, CASE WHEN m.n = 1 AND o.base = m.base THEN 'exact' WHEN m.n = 1 THEN 'case_insensitive_exact' WHEN m.n > 1 THEN 'ambiguous' WHEN s IS NOT NULL THEN 'requires_confirmation' ELSE 'missing' END AS outcome FROM m LEFT JOIN s ON s.key = m.key
+UNION ALL SELECT NULL, name, NULL, 'orphan' FROM r2 WHERE lower(base) NOT IN (SELECT lower(base) FROM l)""")
 def paired_files(spark, d):
-    """Recordings and transcripts of the same name."""
-    left = spark.createDataFrame([("v/A.mp4",), ("v/b.mp4",), ("d.mp4",), ("d.avi",)], "name string")
-    return curation.paired_files(left, spark.createDataFrame([("a.json",), ("x/c.json",), ("d.json",)], "name string"))
+    """Transcripts and folders of frames of the same name, and names that are only similar."""
+    k, b = F.col("page_id"), F.concat(F.lit("clip "), F.substring(F.md5(F.col("page_id").cast("string")), 1, 9))
+    p = table(spark, d, "pages")
+    left = p.where(k % 7 > 0).select(F.concat(F.lit("in/x\\"), F.when(k % 5 == 0, F.upper(b)).otherwise(b), F.lit(".json")).alias("name"))
+    base = F.when(k % 6 == 0, F.concat(b, F.lit("x"))).otherwise(b)
+    right = p.where(k % 4 > 0).select(F.concat(F.lit("out/"), base).alias("name"))
+    return curation.paired_files(left, right.unionByName(p.where((k % 4 > 0) & (k % 9 == 0)).select(F.concat(F.lit("more/"), base).alias("name"))))
 
 
 @query("""SELECT p_type AS target, count(*) AS uses, count(DISTINCT p_brand) AS users FROM part GROUP BY 1""")
@@ -279,8 +288,8 @@ def extracted_candidates(spark, d):
     return found.groupBy("kind", "value").agg(F.count("*").alias("uses"), F.count_distinct("doc_id").alias("documents"))
 
 
-@query("""SELECT DISTINCT l_orderkey, l_partkey AS tag_id FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_name LIKE 'red%' AND l_orderkey % 10 = 0""")
+@query("""SELECT DISTINCT l_orderkey, l_partkey AS tag_id FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_name LIKE 'red%'""")
 def tagged_links(spark, d):
     """Links by the tags that they carry."""
-    links = table(spark, d, "lineitem").where("l_orderkey % 10 = 0").select("l_orderkey", F.col("l_partkey").alias("tag_id"))
+    links = table(spark, d, "lineitem").select("l_orderkey", F.col("l_partkey").alias("tag_id"))
     return curation.tagged(links, table(spark, d, "part").select(F.col("p_partkey").alias("tag_id"), F.col("p_name").alias("tag")), "red%")

@@ -109,12 +109,12 @@ def clarifications(spark, d):
 
 
 @query("""WITH m AS (SELECT o_orderkey AS k, o_orderkey::VARCHAR || ' on ' || strftime(o_orderdate, '%Y-%m-%d') AS t, length(o_orderkey::VARCHAR) AS n, o_orderdate AS o FROM orders)
-SELECT k, concat_ws(';', '1:code:' || k, (n + 5) || ':date:' || strftime(o, '%Y-%m-%d')) AS spans FROM m WHERE k >= 1000""")
+SELECT k, concat_ws(';', CASE WHEN n >= 4 THEN '1:code:' || k END, (n + 5) || ':date:' || strftime(o, '%Y-%m-%d')) AS spans FROM m""")
 def typed_spans(spark, d):
     """Typed spans of a text with their places."""
     text = F.concat(F.col("o_orderkey").cast("string"), F.lit(" on "), F.date_format("o_orderdate", "yyyy-MM-dd"))
     found = evidence.spans(text, {"date": r"\d{4}-\d{2}-\d{2}", "code": r"^\d{4,}"})
-    return table(spark, d, "orders").where("o_orderkey >= 1000").select(F.col("o_orderkey").alias("k"), F.array_join(F.transform(found, lambda s: F.concat_ws(":", s["start"].cast("string"), s["kind"], s["value"])), ";").alias("spans"))
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.array_join(F.transform(found, lambda s: F.concat_ws(":", s["start"].cast("string"), s["kind"], s["value"])), ";").alias("spans"))
 
 
 @query("""WITH a AS (SELECT p_brand AS subject, p_type AS role FROM part GROUP BY ALL), b AS (SELECT p_brand AS subject, p_type AS role, min(p_name) AS target, arg_min('h' || (p_partkey % 2), (p_name, p_partkey % 2)) AS h FROM part WHERE p_size % 10 = 0 GROUP BY ALL)
@@ -129,18 +129,28 @@ def bound_roles(spark, d):
     return evidence.bound_roles(p.select(F.col("p_brand").alias("subject"), F.col("p_type").alias("role")).distinct(), bindings, "h0")
 
 
-@query("""SELECT * FROM (VALUES ('month', 'resolved', 'd >= month_start', 'd < next_month_start'), ('day', 'resolved', 'a <= today', 'b >= today or null'), ('strict', 'resolved', 'a < today', 'b > today'), ('half', 'incomplete', NULL, NULL), ('new', 'missing', NULL, NULL)) t(role, status, lower, upper)""")
+@query("""WITH b AS (SELECT p_partkey AS role, p_size % 5 > 0 AS ok, p_size % 2 = 0 AS month, CASE WHEN p_size % 7 > 0 THEN p_brand END AS a, CASE WHEN p_size % 9 > 0 THEN p_type END AS b, CASE p_partkey % 3 WHEN 0 THEN true WHEN 1 THEN false END AS s, CASE p_partkey % 4 WHEN 0 THEN true WHEN 1 THEN false END AS e, CASE p_partkey % 5 WHEN 0 THEN false END AS o FROM part),
+w AS (SELECT *, ok AND a IS NOT NULL AND (month OR b IS NOT NULL) AS whole FROM b)
+SELECT role, CASE WHEN NOT ok THEN 'missing' WHEN whole THEN 'resolved' ELSE 'incomplete' END AS status, CASE WHEN whole THEN CASE WHEN month THEN a || ' >= month_start' ELSE a || CASE WHEN coalesce(s, true) THEN ' <= today' ELSE ' < today' END END END AS lower,
+CASE WHEN whole THEN CASE WHEN month THEN a || ' < next_month_start' ELSE b || CASE WHEN coalesce(e, true) THEN ' >= today' ELSE ' > today' END || CASE WHEN coalesce(o, true) THEN ' or null' ELSE '' END END END AS upper FROM w""")
 def temporal_rules(spark, d):
     """Comparisons that temporal bindings give."""
-    rows = [("month", "approved", "half_open_date_interval", "d", None, None, None, None, None), ("day", "approved", "effective_on_date", None, "a", "b", None, None, None), ("strict", "approved", "effective_on_date", None, "a", "b", False, False, False), ("half", "approved", "effective_on_date", None, "a", None, None, None, None), ("new", "proposed", "effective_on_date", None, "a", "b", None, None, None)]
-    return evidence.temporal_rules(spark.createDataFrame(rows, "role string, status string, type string, date_column string, valid_from string, valid_to string, start_inclusive boolean, end_inclusive boolean, open_end boolean"))
+    k, z = F.col("p_partkey"), F.col("p_size")
+    month, first = z % 2 == 0, F.when(z % 7 > 0, F.col("p_brand"))
+    rows = table(spark, d, "part").select(
+        k.alias("role"), F.when(z % 5 > 0, "approved").otherwise("proposed").alias("status"), F.when(month, "half_open_date_interval").otherwise("effective_on_date").alias("type"), F.when(month, first).alias("date_column"), F.when(~month, first).alias("valid_from"),
+        F.when(z % 9 > 0, F.col("p_type")).alias("valid_to"), F.when(k % 3 == 0, True).when(k % 3 == 1, False).alias("start_inclusive"), F.when(k % 4 == 0, True).when(k % 4 == 1, False).alias("end_inclusive"), F.when(k % 5 == 0, False).alias("open_end"),
+    )
+    return evidence.temporal_rules(rows)
 
 
-@query("SELECT * FROM (VALUES ('lineitem', 'o_orderkey', 'l_orderkey'), ('customer', 'o_custkey', 'c_custkey')) t(inner_table, outer_column, inner_column)")
+@query("""WITH r AS (SELECT p_brand AS a, p_name AS x, CASE WHEN p_size % 10 = 0 THEN p_brand ELSE 'Brand#' || (p_size % 5) END AS b, p_type AS y FROM part)
+SELECT DISTINCT b AS inner_table, x AS outer_column, y AS inner_column FROM r WHERE a = 'Brand#1' UNION SELECT a, y, x FROM r WHERE b = 'Brand#1' AND a <> 'Brand#1'""")
 def oriented_relations(spark, d):
-    """Relations of orders, written either way, as outer and inner columns."""
-    rows = [("orders", "o_orderkey", "lineitem", "l_orderkey"), ("customer", "c_custkey", "orders", "o_custkey"), ("customer", "c_custkey", "orders", "o_custkey"), ("nation", "n_nationkey", "customer", "c_nationkey")]
-    return evidence.oriented(spark.createDataFrame(rows, "a_table string, a_column string, b_table string, b_column string"), "orders")
+    """Relations, written either way, as columns of an outer table and an inner one."""
+    other = F.when(F.col("p_size") % 10 == 0, F.col("p_brand")).otherwise(F.concat(F.lit("Brand#"), (F.col("p_size") % 5).cast("string")))
+    rows = table(spark, d, "part").select(F.col("p_brand").alias("a_table"), F.col("p_name").alias("a_column"), other.alias("b_table"), F.col("p_type").alias("b_column"))
+    return evidence.oriented(rows, "Brand#1")
 
 
 @query("""WITH o AS (SELECT p_brand AS concept, p_name AS target, ['semantic', 'join', 'name'][p_size % 3 + 1] AS family FROM part WHERE p_size < 30)
@@ -225,8 +235,8 @@ def form_fields(spark, d):
     return evidence.form_fields(p.select(F.col("p_brand").alias("form"), F.col("p_name").alias("label")).distinct(), forms, fields)
 
 
-@query("SELECT o_orderkey, fk, fk AS same FROM (SELECT o_orderkey, o_orderkey % 5 = 0 AS fk FROM orders)")
+@query("SELECT o_orderkey, o_orderkey % 5 = 0 AS fk, o_orderkey % 7 = 0 AS same FROM orders")
 def entity_flags(spark, d):
     """Flags that a comparison of codes gives, with leading zeros kept."""
-    code = F.lpad((F.col("o_orderkey") % 5).cast("string"), 3, "0")
-    return table(spark, d, "orders").select("o_orderkey", fx.equal_text(code, "000").alias("fk"), fx.lexicon_match(code, "exact_phrase", "000").alias("same"))
+    code = lambda n: F.lpad((F.col("o_orderkey") % n).cast("string"), 3, "0")
+    return table(spark, d, "orders").select("o_orderkey", fx.equal_text(code(5), "000").alias("fk"), fx.lexicon_match(code(7), "exact_phrase", "000").alias("same"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lakeloom.operators import graph, traversal
 from lakeloom.queries import query
+from lakeloom.queries_profile import NAMED, PROFILE, named, profile
 from lakeloom.sources.tables import table
 
 #: Parts as nodes in rings of twelve; some lead across their ring too, some to a later ring.
@@ -96,19 +97,22 @@ def canonical_edges(spark, d):
     return graph.canonical_edges(rows).select("edge_id", "confidence", "copies", F.array_join("sources", ",").alias("sources"))
 
 
-_TABLES = [("T_PRAC", "PRAC_ID", True), ("T_ABS", "ABS_ID", True), ("L_ABS", "ABS_ID", True), ("L_ABS", "PRAC_ID", False), ("SL_ABS", "BADANIE_ID", True), ("UMOWA", "PRAC_ID", True), ("T_PRACOWNIK", "PRAC_ID", True), ("T_SOLO", "X", False)]
-_FOREIGN = [("L_ABS", "PRAC_ID", "T_PRAC", "PRAC_ID"), ("L_ABS", "PRAC_ID", "T_PRAC", "PRAC_ID"), ("UMOWA", "PRAC_ID", "T_PRAC", "PRAC_ID"), ("UMOWA", "NOPE", "T_PRAC", "PRAC_ID")]
-
-
-@query("""SELECT * FROM (VALUES ('L_ABS', 'T_PRAC', 'PRAC_ID', 'PRAC_ID', 'fk', 1.0::DOUBLE, 'constraint'), ('UMOWA', 'T_PRAC', 'PRAC_ID', 'PRAC_ID', 'fk', 1.0, 'constraint'), ('L_ABS', 'T_ABS', 'ABS_ID', 'ABS_ID', 'inferred', 0.7, 'naming_L_table'), ('SL_ABS', 'L_ABS', 'BADANIE_ID', 'BADANIE_ID', 'inferred', 0.65, 'naming_SL_table'),
-('T_PRAC', 'T_PRACOWNIK', 'PRAC_ID', 'PRAC_ID', 'inferred', 0.75, 'column_id_pattern'), ('T_PRACOWNIK', 'T_PRAC', 'PRAC_ID', 'PRAC_ID', 'inferred', 0.75, 'column_id_pattern'), ('UMOWA', 'T_PRACOWNIK', 'PRAC_ID', 'PRAC_ID', 'inferred', 0.75, 'column_id_pattern'))
-t(from_table, to_table, from_column, to_column, edge_type, confidence, source)""")
+@query(f"""WITH {PROFILE}, {NAMED}, known AS (SELECT f.t AS from_table, g.t AS to_table, f.c AS from_column, g.c AS to_column, 'fk' AS edge_type, 1.0::DOUBLE AS confidence, 'constraint' AS source FROM named f JOIN named g ON f.c = g.c AND g.is_pk AND NOT f.is_pk AND f.t <> g.t WHERE f.c <> 'ORDER_ID'),
+rules AS (SELECT l.t AS from_table, k.t AS to_table, k.c AS from_column, k.c AS to_column, 1 AS r FROM (SELECT DISTINCT t FROM named WHERE starts_with(t, 'L_')) l JOIN named k ON k.is_pk AND k.t IN ('T_' || l.t[3:], 'T_PRAC', 'T_PRACOWNICY')
+  UNION ALL SELECT s.t, l.t, 'BADANIE_ID', 'BADANIE_ID', 2 FROM (SELECT DISTINCT t FROM named WHERE starts_with(t, 'SL_')) s JOIN (SELECT DISTINCT t FROM named) l ON l.t = 'L_' || s.t[4:]
+  UNION ALL SELECT a.t, b.t, a.c, a.c, 3 FROM named a JOIN named b ON a.is_pk AND b.is_pk AND a.c = b.c AND ends_with(a.c, '_ID') AND b.t IN ('T_' || a.c[:-4], 'T_' || a.c[:-4] || 'OWNICY', 'T_' || a.c[:-4] || 'OWNIK') WHERE a.t <> b.t),
+u AS (SELECT from_table, to_table, from_column, to_column, min(r) AS r FROM rules ANTI JOIN known USING (from_table, to_table, from_column, to_column) GROUP BY ALL)
+SELECT * FROM known UNION ALL SELECT from_table, to_table, from_column, to_column, 'inferred', CASE r WHEN 1 THEN 0.7 WHEN 2 THEN 0.65 ELSE 0.75 END, CASE r WHEN 1 THEN 'naming_L_table' WHEN 2 THEN 'naming_SL_table' ELSE 'column_id_pattern' END FROM u""")
 def schema_edges(spark, d):
-    """A schema's edges: foreign keys of known columns, then those that names suggest and keys don't already give."""
-    columns = spark.createDataFrame(_TABLES, "`table` string, `column` string, is_pk boolean")
+    """A schema's edges: keys that other columns are named after, then those that names suggest and keys don't already give."""
+    from lakeloom.sources.cuts import cut
+
+    columns = cut(named(spark, d))
     tables = columns.select("table").distinct()
-    foreign = spark.createDataFrame(_FOREIGN, "from_table string, from_column string, to_table string, to_column string")
-    known = graph.schema_graph(tables, columns, foreign)
+    own = columns.where("not is_pk and column <> 'ORDER_ID'").select(F.col("table").alias("from_table"), F.col("column").alias("from_column"))
+    foreign = own.join(columns.where("is_pk").select(F.col("table").alias("to_table"), F.col("column").alias("to_column")), F.col("from_column") == F.col("to_column")).where("from_table <> to_table")
+    lost = foreign.select("from_table", F.lit("NOPE").alias("from_column"), "to_table", "to_column")  # a column that no table has
+    known = graph.schema_graph(tables, columns, foreign.unionByName(lost))
     return known.unionByName(graph.inferred_edges(tables, columns, known))
 
 
@@ -122,11 +126,15 @@ def used_paths(spark, d):
     return graph.used_paths(old, rows.where("used_at >= 25"))
 
 
-@query("""SELECT * FROM (VALUES ('u', 'data_od', 'valid_from', 'strong'), ('u', 'data_do', 'valid_to', 'name_only'), ('u', 'user_id', 'reference', 'strong'), ('u', 'nazwa', 'dictionary_name', 'name_only'), ('u', 'is_current', 'current_flag', 'name_only')) t("table", "column", role, strength)""")
+@query(f"""WITH {PROFILE}, c AS (SELECT tab, CASE col WHEN 'o_orderdate' THEN 'o_date_from' WHEN 'l_shipdate' THEN 'l_date_to' WHEN 'l_linestatus' THEN 'l_is_current' ELSE col END AS name, nulls = 0 AND n > kinds AND regexp_matches(col, 'key$|date$') AS used FROM profile),
+r AS (SELECT *, CASE WHEN regexp_matches(name, 'date_from$') THEN 'valid_from' WHEN regexp_matches(name, 'date_to$') THEN 'valid_to' WHEN regexp_matches(name, 'is_current$') THEN 'current_flag' WHEN regexp_matches(name, '(_id|key)$') THEN 'reference' WHEN regexp_matches(name, '_name$') THEN 'dictionary_name' END AS role FROM c)
+SELECT tab AS "table", name AS "column", role, CASE WHEN used THEN 'strong' ELSE 'name_only' END AS strength FROM r WHERE role IS NOT NULL""")
 def column_roles(spark, d):
-    """Roles that names suggest, strong where joins back them."""
-    columns = spark.createDataFrame([("u", c) for c in ("data_od", "data_do", "user_id", "nazwa", "is_current", "x")], "`table` string, `column` string")
-    return graph.column_roles(columns, spark.createDataFrame([("u", "data_od"), ("u", "user_id"), ("u", "user_id")], "`table` string, `column` string"))
+    """Roles that names suggest, strong where a column's values repeat without gaps as joins have them."""
+    c = F.col("col")
+    name = F.when(c == "o_orderdate", "o_date_from").when(c == "l_shipdate", "l_date_to").when(c == "l_linestatus", "l_is_current").otherwise(c)
+    rows = profile(spark, d).select(F.col("tab").alias("table"), name.alias("column"), ((F.col("nulls") == 0) & (F.col("n") > F.col("kinds")) & c.rlike("key$|date$")).alias("used"))
+    return graph.column_roles(rows.select("table", "column"), rows.where("used").select("table", "column"))
 
 
 @query(f"""WITH {_E}, x AS (SELECT DISTINCT src AS a, dst AS b FROM e WHERE type = 'reads'), y AS (SELECT DISTINCT src AS b, dst AS c FROM e WHERE type = 'calls') SELECT a, b, c FROM x JOIN y USING (b)""")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lakeloom.operators import retrieval
+from lakeloom.functions import text as fx
 from lakeloom.queries import query
 from lakeloom.sources.tables import merge_by, table
 
@@ -42,12 +43,12 @@ def lexical_search(spark, d):
     return retrieval.lexical_search(_units(spark, d), "Small ring, ECONOMY?", {"tenant": "t0", "roles": ["hr"]}, {"brands": "Brand#2"}, 40)
 
 
-@query("""WITH h AS (SELECT doc_id, source, (doc_id % 50) / 100.0 AS base, lower(text) AS t FROM documents WHERE NOT regexp_matches(text, '[^\\x01-\\x7f]')),
+@query(f"""WITH h AS (SELECT doc_id, source, (doc_id % 50) / 100.0 AS base, translate(lower(text), '{fx.MARKED}', '{fx.PLAIN}') AS t FROM documents),
 s AS (SELECT doc_id, source, base + 0.18 / 2 * (contains(t, 'thea')::INT + contains(t, 'tion')::INT) + CASE WHEN contains(t, 'inge') AND contains(t, 'tion') THEN 0.24 WHEN contains(t, 'tion') THEN 0.12 ELSE 0 END + CASE WHEN contains(t, 'erth') THEN 0.38 ELSE 0 END AS score FROM h)
 SELECT source, doc_id, round(score, 6)::DOUBLE AS score FROM s WHERE score >= 0.3 ORDER BY s.score DESC, source, doc_id LIMIT 50""")
 def reranked_hits(spark, d):
     """Scores with what words, definitions and sections add; the threshold is applied to the sum."""
-    rows = table(spark, d, "documents").where(~F.col("text").rlike(r"[^\x01-\x7f]")).select("doc_id", "source", "text", ((F.col("doc_id") % 50) / 100.0).cast("double").alias("score"))
+    rows = table(spark, d, "documents").select("doc_id", "source", "text", ((F.col("doc_id") % 50) / 100.0).cast("double").alias("score"))
     rules = ([(r"\bwhat\b", ("inge", "tion"), 0.24), (r"\bwhat\b", ("tion",), 0.12)], [(r"never", ("erth",), 0.9)], [(r"how", ("erth",), 0.38)])
     hits = retrieval.reranked(rows, "What and how?", ["theast", "tion"], rules)
     return retrieval.merge_hits(hits, ["source", "doc_id"], 0.3, 50).withColumn("score", F.round("score", 6))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lakeloom.functions import text as fx
 from lakeloom.queries import query
+from lakeloom.queries_profile import PROFILE, profile
 from lakeloom.sources.tables import table
 
 #: A text with Polish letters, quotes and dashes around a part's name, for what plain data lack.
@@ -80,27 +81,26 @@ def lexicon_modes(spark, d):
     return table(spark, d, "part").select("p_partkey", *(fx.lexicon_match(t, m, w).alias(n) for n, m, w in modes), fx.first_rule(F.lower("p_name"), [("colour", "red|blue"), ("size", "small|large")], "other").alias("rule"))
 
 
-@query("""SELECT p_partkey, CASE WHEN p_size % 7 = p_partkey % 11 THEN '00' || (p_size % 7) ELSE array_to_string(list_transform(list_sort([{'n': p_size % 7, 'c': '00' || (p_size % 7)}, {'n': p_partkey % 11 + 7, 'c': (p_partkey % 11 + 7)::VARCHAR}]), lambda s: s.c), ',') END AS codes, 'foo' AS unknown
-FROM part WHERE p_size % 7 <> p_partkey % 11""")
+@query("""SELECT p_partkey, '00' || (p_size % 7) || ',' || (p_partkey % 11 + 7) AS codes, 'foo' AS unknown FROM part""")
 def formula_references(spark, d):
     """What pay formulas refer to and call."""
     formula = F.concat(F.lit("CASE WHEN M0_00"), (F.col("p_size") % 7).cast("string"), F.lit(" > 0 THEN round(s( '"), (F.col("p_partkey") % 11 + 7).cast("string"), F.lit("')) ELSE foo(m0_00"), (F.col("p_size") % 7).cast("string"), F.lit(") END"))
     codes, unknown = fx.formula_codes(formula, ("round", "s"))
-    return table(spark, d, "part").where(F.col("p_size") % 7 != F.col("p_partkey") % 11).select("p_partkey", F.array_join(codes, ",").alias("codes"), F.array_join(unknown, ",").alias("unknown"))
+    return table(spark, d, "part").select("p_partkey", F.array_join(codes, ",").alias("codes"), F.array_join(unknown, ",").alias("unknown"))
 
 
-@query("""SELECT c_custkey, upper(c_mktsegment) = 'BUILDING' AS blind, FALSE AS digits, c_mktsegment IN ('BUILDING') AND c_custkey % 2 = 0 AS both FROM customer""")
+@query("""SELECT c_custkey, upper(c_mktsegment) = 'BUILDING' AS blind, c_custkey % 3 = 0 AS digits, c_mktsegment IN ('BUILDING') AND c_custkey % 2 = 0 AS both FROM customer""")
 def equal_texts(spark, d):
     """Case-blind equality, digits as they stand, and two names in either order."""
     seg, other = F.initcap("c_mktsegment"), F.when(F.col("c_custkey") % 2 == 0, "Anna").otherwise("Ewa")
-    return table(spark, d, "customer").select("c_custkey", fx.equal_text(seg, "building").alias("blind"), fx.equal_text(F.lit("0012"), "12").alias("digits"), fx.either_order(other, seg, "BUILDING", "anna").alias("both"))
+    return table(spark, d, "customer").select("c_custkey", fx.equal_text(seg, "building").alias("blind"), fx.equal_text(F.when(F.col("c_custkey") % 3 == 0, "12").otherwise("0012"), "12").alias("digits"), fx.either_order(other, seg, "BUILDING", "anna").alias("both"))
 
 
-@query("SELECT p_partkey, array_to_string(list_distinct(list_filter(string_split(p_name, ' '), lambda w: w NOT IN ('red', 'small'))), ' ') AS words FROM part WHERE len(list_distinct(list_filter(string_split(p_name, ' '), lambda w: w NOT IN ('red', 'small')))) < 2")
+@query("""WITH w AS (SELECT p_partkey, list_filter(string_split(p_name || ' ring bolt', ' '), lambda w: w NOT IN ('red', 'small')) AS w FROM part) SELECT p_partkey, array_to_string(list_filter(w, lambda x, i: list_position(w, x) = i), ' ') AS words FROM w""")
 def loose_words(spark, d):
     """Words of a question that may be values."""
-    w = fx.loose_words(F.concat(F.upper("p_name"), F.lit(", x!")), ("red", "small"))
-    return table(spark, d, "part").select("p_partkey", F.array_join(w, " ").alias("words")).where(F.size(F.split("words", " ")) < 2)
+    w = fx.loose_words(F.concat(F.upper("p_name"), F.lit(", x! Ring, bólt")), ("red", "small"))
+    return table(spark, d, "part").select("p_partkey", F.array_join(w, " ").alias("words"))
 
 
 @query("""SELECT p_partkey, 'part ' || p_partkey || ': ' || p_name || ' (' || p_brand || ')' AS label FROM part""")
@@ -109,32 +109,35 @@ def filled_templates(spark, d):
     return table(spark, d, "part").select("p_partkey", fx.filled("part {p_partkey}: {p_name} ({p_brand})", ["p_partkey", "p_name", "p_brand"]).alias("label"))
 
 
-@query("""WITH c AS (SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN p_size::VARCHAR WHEN 1 THEN 'x' WHEN 2 THEN ' ' WHEN 3 THEN '2024-02-' || lpad((p_size % 32)::VARCHAR, 2, '0') END AS raw FROM part)
-SELECT p_partkey, try_cast(CASE WHEN p_partkey % 5 = 0 THEN raw END AS DOUBLE) AS number, CASE WHEN raw IS NULL THEN NULL WHEN p_partkey % 5 <> 0 THEN 'unparsable_number_value' END AS number_fault,
-CASE WHEN p_partkey % 5 = 3 THEN try_cast(raw AS DATE)::VARCHAR END AS date, CASE WHEN raw IS NULL THEN NULL WHEN p_partkey % 5 <> 3 OR try_cast(raw AS DATE) IS NULL THEN 'unparsable_date_value' END AS date_fault FROM c WHERE p_partkey % 5 <> 0""")
+@query("""WITH c AS (SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN (p_size - 20)::VARCHAR || '.5' WHEN 1 THEN 'x' WHEN 2 THEN ' ' WHEN 3 THEN '2024-02-' || lpad((p_size % 32)::VARCHAR, 2, '0') WHEN 4 THEN CASE WHEN p_size % 3 = 0 THEN 'Infinity' END END AS raw FROM part)
+SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN raw::DOUBLE END AS number, CASE WHEN raw IS NULL OR p_partkey % 5 = 0 THEN NULL WHEN p_partkey % 5 = 4 THEN 'non_finite_number' ELSE 'unparsable_number_value' END AS number_fault,
+CASE WHEN p_partkey % 5 = 3 THEN try_cast(raw AS DATE)::VARCHAR END AS date, CASE WHEN raw IS NULL THEN NULL WHEN p_partkey % 5 <> 3 OR try_cast(raw AS DATE) IS NULL THEN 'unparsable_date_value' END AS date_fault FROM c""")
 def cell_values(spark, d):
     """Text cells as numbers and dates, with what is wrong with them."""
     k = F.col("p_partkey") % 5
-    raw = F.when(k == 0, F.col("p_size").cast("string")).when(k == 1, "x").when(k == 2, " ").when(k == 3, F.concat(F.lit("2024-02-"), F.lpad((F.col("p_size") % 32).cast("string"), 2, "0")))
+    raw = F.when(k == 0, F.concat((F.col("p_size") - 20).cast("string"), F.lit(".5"))).when(k == 1, "x").when(k == 2, " ").when(k == 3, F.concat(F.lit("2024-02-"), F.lpad((F.col("p_size") % 32).cast("string"), 2, "0"))).when(F.col("p_size") % 3 == 0, "Infinity")
     (n, n_fault), (t, t_fault) = fx.cell(raw, "number"), fx.cell(raw, "date")
-    return table(spark, d, "part").where(k != 0).select("p_partkey", n.alias("number"), n_fault.alias("number_fault"), t.cast("string").alias("date"), t_fault.alias("date_fault"))
+    return table(spark, d, "part").select("p_partkey", n.alias("number"), n_fault.alias("number_fault"), t.cast("string").alias("date"), t_fault.alias("date_fault"))
 
 
-@query("""SELECT name, is_date, required FROM (VALUES ('DATA_OD', true, true), ('"data"', true, false), ('ship_dt', true, false), ('UPDATE', false, true)) t(name, is_date, required)""")
+@query(f"""WITH {PROFILE} SELECT tab, col, regexp_matches(upper(regexp_replace(col, 'date$', '_date')), '^DATA|_DT$|_DATE$|_DATUM$') AS is_date, nulls = 0 AND NOT is_pk AND length(trim(least_value)) > 0 AS required FROM profile""")
 def column_facts(spark, d):
-    """Columns that hold dates by their names, and those that an insert must fill."""
-    rows = spark.createDataFrame([("DATA_OD", False, False, None), ('"data"', True, False, None), ("ship_dt", False, True, None), ("UPDATE", False, False, " ")], "name string, nullable boolean, is_pk boolean, preset string")
-    required = ~F.col("nullable") & ~F.col("is_pk") & (F.trim(F.coalesce("preset", F.lit(""))) == "")
-    return rows.select("name", fx.is_date_name(F.col("name")).alias("is_date"), required.alias("required"))
+    """Columns that hold dates by their names, and those that always have a value without being a key."""
+    rows = profile(spark, d)
+    name = F.regexp_replace("col", "date$", "_date")
+    required = (F.col("nulls") == 0) & ~F.col("is_pk") & (F.length(F.trim("least_value")) > 0)
+    return rows.select("tab", "col", fx.is_date_name(name).alias("is_date"), required.alias("required"))
 
 
-@query("""WITH t AS (SELECT doc_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS t FROM documents), p AS (SELECT *, CASE WHEN contains(lower(t), 'theast') THEN strpos(lower(t), 'theast') WHEN contains(lower(t), 'theas') THEN strpos(lower(t), 'theas') WHEN contains(lower(t), 'thea') THEN strpos(lower(t), 'thea') ELSE 0 END AS pos FROM t),
+_BLANK = "chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ' || chr(160) || chr(65279)"
+
+
+@query(f"""WITH t AS (SELECT doc_id, trim(text, {_BLANK}) AS t FROM documents), l AS (SELECT *, translate(lower(t), '{fx.MARKED}', '{fx.PLAIN}') AS l FROM t), p AS (SELECT *, CASE WHEN contains(l, 'theast') THEN strpos(l, 'theast') WHEN contains(l, 'theas') THEN strpos(l, 'theas') WHEN contains(l, 'thea') THEN strpos(l, 'thea') ELSE 0 END AS pos FROM l),
 s AS (SELECT *, greatest(pos - 1 - 75, 0) AS start FROM p)
-SELECT doc_id, CASE WHEN length(t) <= 300 THEN t WHEN pos > 0 THEN CASE WHEN start > 0 THEN '…' ELSE '' END || substr(t, start + 1, 300) || CASE WHEN start + 300 < length(t) THEN '…' ELSE '' END ELSE substr(t, 1, 222) || ' … ' || right(t, 75) END AS passage FROM s WHERE NOT regexp_matches(t, '[^\\x01-\\x7f]')""")
+SELECT doc_id, CASE WHEN length(t) <= 300 THEN t WHEN pos > 0 THEN CASE WHEN start > 0 THEN '…' ELSE '' END || substr(t, start + 1, 300) || CASE WHEN start + 300 < length(t) THEN '…' ELSE '' END ELSE substr(t, 1, 222) || ' … ' || right(t, 75) END AS passage FROM s""")
 def centred_passages(spark, d):
-    """Passages around a word or its stem."""
-    rows = table(spark, d, "documents").where(~F.col("text").rlike(r"[^\x01-\x7f]"))
-    return rows.select("doc_id", fx.centred(F.col("text"), 300, ["theast"]).alias("passage"))
+    """Passages around a word or its stem, marks aside."""
+    return table(spark, d, "documents").select("doc_id", fx.centred(F.col("text"), 300, ["theast"]).alias("passage"))
 
 
 @query("SELECT p_partkey, p_name FROM part WHERE contains(upper(p_name), 'RIN') OR contains(upper(p_brand || '.' || p_type), '#12.ECO')")

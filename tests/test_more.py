@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lakeloom.functions import text as fx
-from lakeloom.operators import curation, graph, linkage, retrieval, temporal
+from lakeloom.operators import curation, graph, linkage, retrieval, runs, temporal, traversal
 from lakeloom.sources import tables
 from lakeloom.streaming import ledger
 
@@ -109,21 +109,69 @@ def test_pairs_of_a_hot_key_are_all_there(spark):
     assert linkage.representatives(twice).count() == 1 and {r["class"] for r in linkage.classes(twice).collect()} == {0}
 
 
-def test_paths_through_a_node_that_is_full(spark):
-    links = [("1", "X"), ("X", "a"), ("X", "b"), ("X", "c"), ("a", "Y"), ("b", "Y"), ("c", "Y"), ("1", "z1"), ("z1", "z2"), ("z2", "Y"), ("Y", "X"), ("X", "X")]
-    found = graph.paths(spark.createDataFrame(links, "src string, dst string"), spark.createDataFrame([("1",)], "node string"), 4)
-    assert [r.path for r in found.where("node = 'X'").orderBy("depth").collect()] == [["1", "X"], ["1", "z1", "z2", "Y", "X"]]
-    assert found.where("node = 'Y'").count() == 3
+def test_dependency_paths_of_the_least_depth(spark):
+    links = [("1", "X"), ("X", "a"), ("X", "b"), ("X", "c"), ("X", "d"), ("a", "Y"), ("b", "Y"), ("c", "Y"), ("d", "Y"), ("1", "z1"), ("z1", "z2"), ("z2", "Y"), ("Y", "X"), ("X", "X"), ("1", "1"), ("Y", "1"), ("2", "Y")]
+    e, roots = spark.createDataFrame(links, "src string, dst string"), spark.createDataFrame([("1",), ("2",), ("9",)], "node string")
+    for budget in (None, 500):
+        found = {(r.root, r.node): [] for r in traversal.dependency_paths(e, roots, 5, budget=budget).collect()}
+        for r in traversal.dependency_paths(e, roots, 5, budget=budget).orderBy("path").collect():
+            assert not r.truncated and r.depth == len(r.path) - 1
+            found[r.root, r.node].append("".join(r.path[1:-1]))
+        # direct targets and the root are left out, longer ways to a node too
+        assert found["1", "Y"] == ["Xa", "Xb", "Xc"] and found["1", "a"] == ["X"] and found["1", "z2"] == ["z1"]
+        assert ("1", "X") not in found and ("1", "1") not in found and found["2", "X"] == ["Y"] and found["2", "a"] == ["YX"]
+    few = traversal.dependency_paths(e, roots, 5, budget=4).where("root = '1'").collect()
+    assert all(r.truncated for r in few) and {r.node for r in few} == {"a"}
+    assert traversal.dependency_paths(e, roots, 1).count() == 0
 
 
-def test_cycles_and_what_lies_on_them(spark):
+def test_cycles_and_strong_components(spark):
     e = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4), (4, 4), (5, 1), (2, 1), (4, 6)], "src long, dst long")
-    assert [r.cycle for r in graph.cycles(e).collect()] == [[4, 4], [1, 2, 1], [1, 2, 3, 1]]
-    assert {r.node for r in graph.on_cycles(e).collect()} == {1, 2, 3, 4}
-    assert graph.cycles(e.where("src = 5")).count() == 0 and graph.on_cycles(e.limit(0)).count() == 0
+    assert [r.cycle for r in traversal.cycles(e).collect()] == [[4, 4], [1, 2, 1], [1, 2, 3, 1]]
+    assert {(r.node, r.component) for r in traversal.strong_components(e).collect()} == {(1, 1), (2, 1), (3, 1)}
+    assert traversal.cycles(e.where("src = 5")).count() == 0 and traversal.strong_components(e.limit(0)).count() == 0
+    # rings of 12 and 30 edges, one leading to the other through a long way, and rings that share a node
+    ring = lambda first, n: [(first + i, first + (i + 1) % n) for i in range(n)]
+    links = ring(100, 12) + ring(300, 30) + [(105, 200), *((200 + i, 201 + i) for i in range(20)), (220, 300)] + ring(10, 3) + [(12, 20), (20, 10)] + [(300, 9), (9, 10)]
+    far = spark.createDataFrame(links, "src long, dst long")
+    assert {(r.node, r.component) for r in traversal.strong_components(far).collect()} == {(x, 100) for x in range(100, 112)} | {(x, 300) for x in range(300, 330)} | {(x, 10) for x in (10, 11, 12, 20)}
+    assert [r.length for r in traversal.cycles(far).collect()] == [3, 4, 12, 30] and [r.length for r in traversal.cycles(far, 2).collect()] == [3, 4]
     assert graph.shortest_path(e, 6, 5).first().path == [6, 4, 3, 1, 5] and graph.shortest_path(e, 6, 99).count() == 0 and graph.shortest_path(e, 6, 6).first().depth == 0
 
 
+def test_join_evidence_stays_within_a_pair(spark):
+    edges = [("h1", "A", "a1", "HAS_COLUMN", None, None), ("h2", "B", "b1", "HAS_COLUMN", None, None), ("h3", "A", "a2", "HAS_COLUMN", None, None), ("k1", "b1", "a1", "FOREIGN_KEY_TO", None, None), ("k2", "a1", "b1", "REFERENCES", None, None), ("j1", "A", "J", "JOINS_TO", "a2", "b1"), ("m1", "J", "B", "READS_FROM", "a2", "b1"), ("n1", "A", "B", "MENTIONS", "a1", "b1"), ("k3", "a2", "c1", "FOREIGN_KEY_TO", None, None)]
+    e = spark.createDataFrame(edges, "edge_id string, src string, dst string, type string, left_column string, right_column string")
+    pairs = spark.createDataFrame([("A", "B"), ("B", "A"), ("A", "Z")], "left_id string, right_id string")
+    got = {tuple(r) for r in traversal.join_evidence(e, pairs).collect()}
+    assert got == {("A", "B", "a1", "b1", "foreign_key", "k1"), ("B", "A", "b1", "a1", "foreign_key", "k1"), ("A", "B", "a2", "b1", "reconstructed_sql_join", "j1"), ("A", "B", "a2", "b1", "canonical_graph_path", "m1")}
+    assert traversal.around_pairs(e, pairs, most=3).groupBy("left_id", "right_id").count().where("count > 3").isEmpty()
+
+
+def test_longest_runs_against_brute_force(spark):
+    rng = random.Random(8)
+    rows = []
+    for i in range(120):
+        x, y = ([rng.choice("abcd" if i % 2 else "abcdefghijklmnop") for _ in range(rng.randrange(0, 40))] for _ in range(2))
+        if i % 3 == 0:
+            y[rng.randrange(0, len(y) + 1) : 0] = x[3:30]
+        rows.append((i, x, y))
+    got = spark.createDataFrame(rows, "i int, x array<string>, y array<string>").select("i", fx.longest_run(F.col("x"), F.col("y")).alias("r"))
+    for i, r in got.collect():
+        x, y = rows[i][1:]
+        best = max(((n, -a, -b) for a in range(len(x)) for b in range(len(y)) for n in range(1, min(len(x) - a, len(y) - b) + 1) if x[a : a + n] == y[b : b + n]), default=None)
+        assert tuple(r) == ((best[0], -best[1], -best[2]) if best else (0, None, None)), i
+
+
+def test_quotations_and_verbatim_runs(spark):
+    claim = "– Pracownik składa pisemny wniosek urlopowy przełożonemu najpóźniej tydzień przed planowanym rozpoczęciem wypoczynku"
+    answers = [(1, "Jak pisze „składa pisemny wniosek urlopowy przełożonemu najpóźniej tydzień” i tyle"), (2, "Jest „wniosek urlopowy przełożonemu” oraz „zupełnie inna treść tutaj”"), (3, "składa pisemny wniosek urlopowy przełożonemu najpóźniej tydzień"), (4, None), (5, claim)]
+    a, c = spark.createDataFrame(answers, "answer_id int, text string"), spark.createDataFrame([(7, claim), (8, "krótki"), (9, None)], "claim_id int, text string")
+    assert {tuple(r) for r in runs.quoted_claims(a, c).collect()} == {(1, 7, 0, 1, 7), (2, 7, 0, 3, 3)}
+    assert {tuple(r) for r in runs.verbatim_runs(a, c, 7).collect()} == {(1, 7, 1, 1, 7), (3, 7, 0, 1, 7), (5, 7, 0, 0, 12)}
+    assert runs.verbatim_runs(a, c.limit(0)).count() == 0
+
+
 def test_interval_join_against_brute_force(spark):
     rng = random.Random(1)
     make = lambda n: [(i, i % 3, float(a), float(a + rng.choice([0, 1, 3, 40]))) for i, a in enumerate(rng.randint(-20, 60) for _ in range(n))]

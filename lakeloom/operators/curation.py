@@ -192,22 +192,6 @@ def noise(text: Column, matter: list[str], patterns: list[tuple[str, str]], leas
     return F.when(F.length(t) < least, "uncertain").otherwise(out)
 
 
-def gate(kind: Column, evidence: Column, statement: Column, least: dict[str, int], least_chars: int) -> tuple[Column, Column]:
-    """Whether a candidate is accepted, downgraded or rejected, and why: none without evidence, those with less than their
-    kind asks (one, if it asks nothing) or a short statement are downgraded."""
-    asked = F.coalesce(F.create_map(*(F.lit(x) for kv in least.items() for x in kv))[kind], F.lit(1))
-    rules = [("no_evidence", evidence == 0), ("too_little_evidence", evidence < asked), ("short_statement", F.length(statement) < least_chars)]
-    outcome = F.when(rules[0][1], "rejected").when(rules[1][1] | rules[2][1], "downgraded").otherwise("accepted")
-    return outcome, F.array_compact(F.array(*(F.when(c, F.lit(n)) for n, c in rules)))
-
-
-def extracted(rows: DataFrame, id_col: str, text: Column, patterns: dict[str, str]) -> DataFrame:
-    """id, kind, value of everything that the patterns of each kind find in a text, in one pass over it."""
-    typed = lambda kind: lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value"))
-    found = [F.transform(F.regexp_extract_all(text, F.lit(p), 0), typed(kind)) for kind, p in patterns.items()]
-    return rows.select(id_col, F.inline(F.concat(*found)))
-
-
 def tagged(links: DataFrame, tags: DataFrame, pattern: str, key: str = "tag") -> DataFrame:
     """The distinct links whose tag (tag_id, tag) is like a pattern; the tags are filtered before they meet the links."""
     wanted = tags.where(F.col(key).like(pattern)).select("tag_id").distinct()

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakeloom.functions import text as fx
+from lakeloom.sources.cuts import cut
 from lakeloom.operators import graph
 
 #: Subjects too general to link two records by, and payload entries that name a thing (fixed values).
@@ -174,7 +175,8 @@ def relations(records: DataFrame, least_signals: int = 2, general: tuple[str, ..
     joined = pairs.join(side("left"), "left_id").join(side("right"), "right_id")
     x, y = (lambda c: F.col(f"left_{c}")), (lambda c: F.col(f"right_{c}"))
     unknown = x("unknown") | y("unknown")
-    return joined.select("left_id", "right_id", "signals", relation(x, y, least_signals).alias("relation"), ((x("partition") == y("partition")) & ~unknown).alias("compatible"), unknown.alias("unknown"))
+    # clusters and proposals read the decisions several times
+    return cut(joined.select("left_id", "right_id", "signals", relation(x, y, least_signals).alias("relation"), ((x("partition") == y("partition")) & ~unknown).alias("compatible"), unknown.alias("unknown")))
 
 
 def clusters(records: DataFrame, decisions: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lakeloom.operators import curation, policy
+from lakeloom.operators import candidates, curation, policy
 from lakeloom.queries import query
 from lakeloom.sources.tables import table
 
@@ -270,22 +270,55 @@ def impact_counts(spark, d):
     return table(spark, d, "part").groupBy(F.col("p_type").alias("target")).agg(F.count("*").alias("uses"), F.count_distinct("p_brand").alias("users"))
 
 
-@query("""WITH g AS (SELECT p_partkey AS k, p_size % 4 AS evidence, CASE p_partkey % 3 WHEN 0 THEN 'rule' WHEN 1 THEN 'step' ELSE 'term' END AS kind, length(p_name) < 9 AS short FROM part)
-SELECT k, CASE WHEN evidence = 0 THEN 'rejected' WHEN evidence < CASE kind WHEN 'rule' THEN 2 WHEN 'step' THEN 3 ELSE 1 END THEN 'downgraded' WHEN short THEN 'downgraded' ELSE 'accepted' END AS outcome,
-concat_ws(',', CASE WHEN evidence = 0 THEN 'no_evidence' END, CASE WHEN evidence < CASE kind WHEN 'rule' THEN 2 WHEN 'step' THEN 3 ELSE 1 END THEN 'too_little_evidence' END, CASE WHEN short THEN 'short_statement' END) AS reasons FROM g""")
-def quality_gates(spark, d):
-    """Gates for candidates: least evidence by kind, with the reasons."""
-    rows = table(spark, d, "part").select(F.col("p_partkey").alias("k"), (F.col("p_size") % 4).alias("evidence"), F.when(F.col("p_partkey") % 3 == 0, "rule").when(F.col("p_partkey") % 3 == 1, "step").otherwise("term").alias("kind"), "p_name")
-    outcome, reasons = curation.gate(F.col("kind"), F.col("evidence"), F.col("p_name"), {"rule": 2, "step": 3}, 9)
-    return rows.select("k", outcome.alias("outcome"), F.array_join(reasons, ",").alias("reasons"))
+#: Sections planted with what the rules look for, a line each, by a part's size; the lines between mean nothing.
+_LINES = (
+    (2, "1. Krok dla {name}"), (3, "- drugi krok"), (5, "Wybierz pozycje {name}"), (7, "Pole musi miec wartosc {name}"), (4, "Po tym status zmienia się na zamkniety"), (11, "przejdzie z roboczy do gotowy"),
+    (6, "Formularz korzysta z obiektu {brand}.X1"), (9, "Konfiguracja parametru PAR_{size}"), (8, "Umowa terminowa oznacza zobowiazanie na czas {name}"), (10, "SUMA = A + {size}"), (12, "To jest dokument faktury"), (13, "Uwaga: limit wynosi {size}"), (14, "Scenariusz testowy"), (15, "Status zmienia się na aktywny"),
+)
+_SECTION = "s AS (SELECT p_partkey AS id, CASE WHEN p_size % 16 = 0 THEN 'Proces ' || p_name ELSE 'Tytul ' || p_size END AS title, array_to_string(list_filter([CASE WHEN p_size % 16 = 0 THEN 'wejscie' END, " + ", ".join(f"CASE WHEN p_size % {m} = 0 THEN '" + t.replace("{name}", "' || p_name || '").replace("{brand}", "' || replace(p_brand, '#', '') || '").replace("{size}", "' || p_size || '") + "' END" for m, t in _LINES) + ", CASE WHEN p_size % 16 = 0 THEN 'Warunek: a' || chr(10) || 'Wynik: b' END], lambda x: x IS NOT NULL), chr(10)) AS t, p_size AS z, p_name AS n, replace(p_brand, '#', '') AS b FROM part)"
+
+
+def _sections(spark, d):
+    name, size, brand = F.col("p_name"), F.col("p_size").cast("string"), F.replace("p_brand", F.lit("#"), F.lit(""))
+
+    def line(text: str):
+        import re
+
+        by = {"name": name, "size": size, "brand": brand}
+        return F.concat(*(by[x[1:-1]] if x[:1] == "{" else F.lit(x) for x in re.split(r"(\{\w+\})", text) if x))
+
+    process = F.col("p_size") % 16 == 0
+    lines = [F.when(process, "wejscie"), *(F.when(F.col("p_size") % m == 0, line(t)) for m, t in _LINES), F.when(process, "Warunek: a\nWynik: b")]
+    title = F.when(process, F.concat(F.lit("Proces "), name)).otherwise(F.concat(F.lit("Tytul "), size))
+    return table(spark, d, "part").select(F.col("p_partkey").alias("section_id"), title.alias("title"), F.array_join(F.array_compact(F.array(*lines)), "\n").alias("text"))
 
 
-@query("""WITH m AS (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9]+')) AS value, 'number' AS kind FROM documents UNION ALL SELECT doc_id, unnest(regexp_extract_all(text, '[A-Z]{2,}')), 'code' FROM documents)
-SELECT kind, value, count(*) AS uses, count(DISTINCT doc_id) AS documents FROM m GROUP BY ALL""")
+_CANDIDATES = f"""WITH {_SECTION}, steps AS (SELECT *, (z % 2 = 0)::INT + (z % 3 = 0)::INT AS k FROM s), c AS (
+SELECT id, 'process_step' AS kind, 'Krok dla ' || n AS label, 1 AS steps FROM s WHERE z % 2 = 0 UNION ALL SELECT id, 'process_step', 'drugi krok', 1 FROM s WHERE z % 3 = 0 UNION ALL SELECT id, 'procedure', title, k FROM steps WHERE k = 2
+UNION ALL SELECT id, 'action', 'Wybierz pozycje ' || n, 0 FROM s WHERE z % 5 = 0 UNION ALL SELECT id, 'validation_rule', 'Pole musi miec wartosc ' || n, 0 FROM s WHERE z % 7 = 0
+UNION ALL SELECT id, 'state_transition', '→ zamkniety', 0 FROM s WHERE z % 4 = 0 UNION ALL SELECT id, 'state_transition', 'roboczy → gotowy', 0 FROM s WHERE z % 11 = 0
+UNION ALL SELECT id, 'technical_relation', 'form_uses_object: ' || b || '.X1', 0 FROM s WHERE z % 6 = 0 UNION ALL SELECT id, 'parameter', 'PAR_' || z, 0 FROM s WHERE z % 9 = 0 UNION ALL SELECT id, 'business_concept', 'Umowa terminowa', 0 FROM s WHERE z % 8 = 0
+UNION ALL SELECT id, 'calculation_rule', 'Reguła obliczeniowa', 0 FROM s WHERE z % 10 = 0 UNION ALL SELECT id, 'document_type', 'Dokument faktury / e-faktura', 0 FROM s WHERE z % 12 = 0 UNION ALL SELECT id, 'warning', 'Ostrzeżenie', 0 FROM s WHERE z % 13 = 0 UNION ALL SELECT id, 'test_case', 'Przypadek testowy', 0 FROM s WHERE z % 14 = 0
+UNION ALL SELECT id, 'business_process', title, k FROM steps WHERE z % 16 = 0 AND k = 2)"""
+
+
+@query(f"""{_CANDIDATES} SELECT id AS section_id, kind, label, steps::INT AS steps FROM c""")
 def extracted_candidates(spark, d):
-    """Typed candidates that patterns find in texts, with how often they come."""
-    found = curation.extracted(table(spark, d, "documents"), "doc_id", F.col("text"), {"number": "[0-9]+", "code": "[A-Z]{2,}"})
-    return found.groupBy("kind", "value").agg(F.count("*").alias("uses"), F.count_distinct("doc_id").alias("documents"))
+    """Candidates of fourteen kinds that rules find in sections of lines."""
+    return candidates.extracted(_sections(spark, d)).select("section_id", "kind", "label", "steps")
+
+
+@query(f"""{_CANDIDATES}, g AS (SELECT *, CASE WHEN id % 9 = 0 THEN 0 ELSE 1 END AS evidence, CASE WHEN id % 4 = 1 THEN CASE kind WHEN 'parameter' THEN 'Opis' WHEN 'business_concept' THEN 'uwagi' ELSE label END ELSE label END AS l, id % 4 = 2 AS bare FROM c),
+o AS (SELECT *, CASE WHEN evidence = 0 THEN 'missing_evidence' WHEN kind = 'business_concept' AND l = 'uwagi' THEN 'generic_heading_as_business_concept' WHEN kind = 'parameter' AND l = 'Opis' THEN 'generic_table_column_as_parameter' WHEN kind = 'test_case' AND id NOT IN (SELECT id FROM s WHERE z % 9 = 0) THEN 'test_case_missing_structure' WHEN bare THEN CASE kind WHEN 'business_concept' THEN 'business_concept_weak_context' WHEN 'parameter' THEN 'parameter_missing_config_evidence'
+  WHEN 'calculation_rule' THEN 'calculation_rule_missing_formula' WHEN 'action' THEN 'action_missing_verb' WHEN 'validation_rule' THEN 'validation_rule_missing_constraint' WHEN 'test_case' THEN 'test_case_missing_structure' WHEN 'technical_relation' THEN 'technical_relation_missing_link' WHEN 'process_step' THEN 'process_step_missing_order' WHEN 'procedure' THEN 'procedure_missing_steps' WHEN 'business_process' THEN 'business_process_missing_structure' END END AS code FROM g)
+SELECT id AS section_id, kind, l AS label, CASE WHEN code IS NULL THEN 'accept' WHEN code IN ('business_concept_weak_context', 'process_step_missing_order') THEN 'downgrade' ELSE 'reject' END AS outcome, code, CASE WHEN code IN ('business_concept_weak_context', 'process_step_missing_order') OR code IS NULL THEN NULL WHEN code = 'generic_heading_as_business_concept' THEN 'generic_heading' WHEN code = 'generic_table_column_as_parameter' THEN 'generic_table_column' WHEN code = 'parameter_missing_config_evidence' THEN 'weak_parameter_evidence' WHEN code = 'missing_evidence' THEN 'missing_source_evidence' ELSE 'missing_kind_specific_evidence' END AS reason FROM o""")
+def quality_gates(spark, d):
+    """What the gates of each kind make of candidates; some are robbed of their label, statement or evidence first."""
+    rows, k = candidates.extracted(_sections(spark, d)), F.col("section_id")
+    label = F.when((k % 4 == 1) & (F.col("kind") == "parameter"), "Opis").when((k % 4 == 1) & (F.col("kind") == "business_concept"), "uwagi").otherwise(F.col("label"))
+    bare = k % 4 == 2
+    rows = rows.withColumns({"label": label, "evidence": F.when(k % 9 == 0, 0).otherwise(1), "statement": F.when(bare, "puste").otherwise(F.col("statement")), "steps": F.when(bare, 0).otherwise(F.col("steps")), "name": F.when(~bare, F.col("name"))})
+    return candidates.gated(rows).select("section_id", "kind", "label", "outcome", "code", "reason")
 
 
 @query("""SELECT DISTINCT l_orderkey, l_partkey AS tag_id FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_name LIKE 'red%'""")

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lakeloom.operators import graph, traversal
+from lakeloom.functions import text as fx
+from lakeloom.operators import graph, lookup, traversal
 from lakeloom.queries import query
 from lakeloom.queries_profile import NAMED, PROFILE, named, profile
 from lakeloom.sources.tables import table
@@ -218,3 +219,40 @@ def inferred_endpoints(spark, d):
     none = p.where("p_size < 0")
     out = graph.endpoints(edges, none.select(F.col("p_type").alias("owner"), F.col("p_name").alias("name"), F.lit("VIEW").alias("type")), none.select(*(F.col("p_name").alias(c) for c in ("owner", "name", "target_owner", "target_name"))))
     return out.select("k", "object_owner", "object_name", "object_type", "confidence")
+
+
+_FORMS = "forms AS (SELECT p_partkey::VARCHAR AS node, md5(p_partkey::VARCHAR) AS guid, 'Łąka ' || p_name || ' ' || p_size AS name, 'App.' || replace(p_brand, '#', '') || '.' || replace(p_name, ' ', '') || p_partkey AS canonical FROM part)"
+
+
+def _forms(spark, d):
+    k = F.col("p_partkey").cast("string")
+    canonical = F.concat(F.lit("App."), F.replace("p_brand", F.lit("#"), F.lit("")), F.lit("."), F.replace("p_name", F.lit(" "), F.lit("")), k)
+    return table(spark, d, "part").select(k.alias("node"), F.md5(k).alias("guid"), F.concat(F.lit("Łąka "), "p_name", F.lit(" "), F.col("p_size").cast("string")).alias("name"), canonical.alias("canonical"))
+
+
+@query(f"""WITH {_FORMS}, q AS (SELECT p_partkey AS question, CASE WHEN p_partkey % 5 < 2 THEN md5(p_partkey::VARCHAR) END AS g, CASE p_partkey % 5 WHEN 1 THEN CASE WHEN p_size % 2 = 0 THEN replace(p_name, ' ', '') || p_partkey ELSE 'other' END WHEN 2 THEN CASE WHEN p_size % 3 = 0 THEN 'App.' || replace(p_brand, '#', '') || '.' || replace(p_name, ' ', '') || p_partkey ELSE replace(p_name, ' ', '') || p_partkey END END AS t,
+  CASE p_partkey % 5 WHEN 3 THEN 'ŁĄKA ' || upper(p_name) || ' ' || p_size WHEN 4 THEN CASE p_size % 4 WHEN 0 THEN p_name[1:2] WHEN 1 THEN (p_size::VARCHAR)[1:1] ELSE p_name[3:7] END END AS f FROM part),
+n AS (SELECT *, translate(lower(name), '{{marked}}', '{{plain}}') AS term FROM forms), fr AS (SELECT question, f, translate(lower(regexp_replace(trim(f), '\\s+', ' ', 'g')), '{{marked}}', '{{plain}}') AS ft FROM q WHERE f IS NOT NULL),
+h AS (SELECT question, node, 2 AS rank FROM q JOIN forms ON guid = g WHERE t IS NULL OR canonical = t OR name = t OR ends_with(canonical, t) UNION ALL SELECT question, node, CASE WHEN canonical = t THEN 4 ELSE 9 END FROM q JOIN forms ON ends_with(canonical, t) WHERE g IS NULL AND t IS NOT NULL
+  UNION ALL SELECT question, node, 9 FROM (SELECT question, node, row_number() OVER (PARTITION BY question ORDER BY node) AS k FROM fr JOIN n ON contains(name, f) OR contains(canonical, f) OR (ft <> '' AND contains(term, ft))) WHERE k <= 30),
+b AS (SELECT question, node, min(rank) AS rank FROM h GROUP BY ALL), m AS (SELECT question, min(rank) AS best, count(*) AS n FROM b GROUP BY 1), u AS (SELECT m.question, best, m.n, count(*) AS ties, min(node) AS node FROM m JOIN b ON b.question = m.question AND b.rank = best GROUP BY ALL)
+SELECT question, CASE WHEN best IS NULL THEN 'unresolved' WHEN ties = 1 AND best <= 8 THEN 'resolved' WHEN n = 1 THEN 'unresolved' ELSE 'ambiguous' END AS status, CASE WHEN ties = 1 AND best <= 8 THEN node END AS node, best::INT AS rank FROM q LEFT JOIN u USING (question)""".replace("{marked}", fx.MARKED).replace("{plain}", fx.PLAIN))
+def resolved_forms(spark, d):
+    """Forms by GUID, type, end of a type, and fragments of their names."""
+    p, k, z = table(spark, d, "part"), F.col("p_partkey"), F.col("p_size")
+    short = F.concat(F.replace("p_name", F.lit(" "), F.lit("")), k.cast("string"))
+    guid = F.when(k % 5 < 2, F.concat(F.lit("{"), F.upper(F.md5(k.cast("string"))), F.lit("}")))
+    kind = F.when(k % 5 == 1, F.when(z % 2 == 0, short).otherwise("other")).when(k % 5 == 2, F.when(z % 3 == 0, F.concat(F.lit("App."), F.replace("p_brand", F.lit("#"), F.lit("")), F.lit("."), short)).otherwise(short))
+    piece = F.when(k % 5 == 3, F.concat(F.lit("ŁĄKA "), F.upper("p_name"), F.lit(" "), z.cast("string"))).when(k % 5 == 4, F.when(z % 4 == 0, F.substring("p_name", 1, 2)).when(z % 4 == 1, F.substring(z.cast("string"), 1, 1)).otherwise(F.substring("p_name", 3, 5)))
+    return lookup.resolved_forms(p.select(k.alias("question"), guid.alias("guid"), kind.alias("full_type"), piece.alias("fragment")), _forms(spark, d))
+
+
+@query("""WITH o AS (SELECT p_partkey::VARCHAR AS node, p_brand AS owner, p_type AS k, upper(p_name) AS n FROM part), q AS (SELECT p_partkey AS question, CASE WHEN p_size % 4 = 0 THEN lower(p_brand) ELSE p_brand END AS qo, p_type AS qk, CASE WHEN p_size % 3 = 0 THEN upper(p_name) WHEN p_size % 3 = 1 THEN p_name ELSE p_name || 'x' END AS qn FROM part),
+h AS (SELECT question, node, CASE WHEN qo = owner AND qk = k AND (qn = n OR lower(qn) = lower(n)) THEN 0 ELSE 1 END AS way FROM q JOIN o ON upper(qo) = upper(owner) AND qk = k AND upper(qn) = upper(n)), b AS (SELECT question, min(way) AS way FROM h GROUP BY 1), u AS (SELECT question, count(DISTINCT node) AS n, min(node) AS node FROM h JOIN b USING (question, way) GROUP BY 1)
+SELECT question, CASE WHEN n = 1 THEN 'resolved' WHEN n > 1 THEN 'ambiguous' ELSE 'unresolved' END AS status, CASE WHEN n = 1 THEN node END AS node, CASE WHEN n IS NOT NULL THEN 3 END AS rank FROM q LEFT JOIN u USING (question)""")
+def resolved_objects(spark, d):
+    """Objects by their identity: owner, type and name."""
+    p, k, z = table(spark, d, "part"), F.col("p_partkey"), F.col("p_size")
+    name = F.when(z % 3 == 0, F.upper("p_name")).when(z % 3 == 1, F.col("p_name")).otherwise(F.concat("p_name", F.lit("x")))
+    asked = p.select(k.alias("question"), F.when(z % 4 == 0, F.lower("p_brand")).otherwise(F.col("p_brand")).alias("owner"), F.col("p_type").alias("object_type"), name.alias("name"))
+    return lookup.resolved_objects(asked, p.select(k.alias("node"), F.col("p_brand").alias("owner"), F.col("p_type").alias("object_type"), F.upper("p_name").alias("name"), F.upper("p_name").alias("canonical")))

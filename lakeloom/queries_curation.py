@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lakeloom.operators import candidates, curation, policy
+from lakeloom.operators import candidates, curation, ledger, policy
 from lakeloom.queries import query
+from lakeloom.sources.cuts import cut
 from lakeloom.sources.tables import table
 
 _LEDGER = """l AS (SELECT event_id AS seq, CASE value::INT % 9 WHEN 0 THEN 'revoke' WHEN 1 THEN 'supersede' WHEN 2 THEN 'defer' WHEN 3 THEN 'reject' WHEN 4 THEN 'request_more_evidence' ELSE 'approve' END AS kind,
@@ -27,6 +28,49 @@ def approved_records(spark, d):
     return curation.approved_records(_ledger(spark, d))
 
 
+_APPROVED = f"""WITH {_LEDGER}, m AS (SELECT *, lag(revision) OVER (PARTITION BY record ORDER BY seq) AS prior FROM l WHERE kind IN ('approve', 'supersede') AND record IS NOT NULL),
+t AS (SELECT record, max(seq) AS made_at, arg_max(revision, seq) AS revision, arg_max(coalesce(CASE WHEN kind = 'supersede' THEN prior END, -1), seq) AS previous FROM m GROUP BY record),
+v AS (SELECT record, max(seq) AS gone FROM l WHERE kind = 'revoke' AND record IS NOT NULL GROUP BY record), a AS (SELECT max(seq) AS gone_all FROM l WHERE kind = 'revoke' AND record IS NULL)
+SELECT record, revision, CASE WHEN greatest(coalesce(gone, -1), coalesce(gone_all, -1)) > made_at THEN 'revoked' ELSE 'approved' END AS status, nullif(previous, -1) AS previous FROM t LEFT JOIN v USING (record), a"""
+
+
+def _in_two(spark, d):
+    rows = _ledger(spark, d)
+    old = F.col("seq") < 700
+    return ledger.folded(rows.where(~old), cut(ledger.folded(rows.where(old))))
+
+
+@query(_APPROVED)
+def advanced_records(spark, d):
+    """The same ledger folded in two steps: the second starts from the state of the first."""
+    return ledger.view(_in_two(spark, d))
+
+
+@query(f"""WITH v AS ({_APPROVED}), h AS (SELECT sha256(coalesce(record::VARCHAR, '') || '|' || coalesce(revision::VARCHAR, '') || '|' || status || '|' || coalesce(previous::VARCHAR, '')) AS h FROM v)
+SELECT count(*) AS rows, concat_ws('-', {", ".join(f"(sum(('0x' || substr(h, {16 * i + 1}, 16))::UBIGINT::HUGEINT) % 18446744073709551616)::VARCHAR" for i in range(4))}) AS digest FROM h""")
+def ledger_view_hash(spark, d):
+    """A digest of what stands, whatever the order of its rows."""
+    return ledger.view_hash(ledger.view(_in_two(spark, d)), "record", "revision", "status", "previous")
+
+
+@query("""WITH e AS (SELECT event_id, 'evt:' || sha256('{"kind":"' || event_type || '","user":' || user_id || '}') AS content_id FROM events) SELECT content_id, count(*) AS events, min(event_id) AS first_event FROM e GROUP BY 1""")
+def event_ids(spark, d):
+    """Ids of events by their content: the same decision has the same id."""
+    rows = table(spark, d, "events").select("event_id", ledger.event_id({"user": F.col("user_id"), "kind": F.col("event_type")}).alias("content_id"))
+    return rows.groupBy("content_id").agg(F.count("*").alias("events"), F.min("event_id").alias("first_event"))
+
+
+@query("""WITH s AS (SELECT event_id + 1 AS seq, sha256(event_id || '|' || event_type) AS good FROM events), x AS (SELECT seq, CASE WHEN seq % 50 = 0 THEN upper(good) ELSE good END AS sha, good, CASE WHEN seq % 70 = 0 THEN 'x' WHEN seq > 1 THEN 'prior' END AS prev FROM s WHERE seq % 90 <> 0), p AS (SELECT seq + 1 AS seq, sha AS prior FROM x)
+SELECT seq, 'content' AS fault FROM x WHERE sha <> good UNION ALL SELECT seq, 'gap' FROM x LEFT JOIN p USING (seq) WHERE p.prior IS NULL AND seq > 1 UNION ALL SELECT x.seq, 'link' FROM x JOIN p ON p.seq = x.seq JOIN s ON s.seq = x.seq - 1 WHERE CASE prev WHEN 'prior' THEN s.good ELSE prev END <> p.prior""")
+def ledger_faults(spark, d):
+    """Where a chain with changed, missing and wrongly linked events breaks."""
+    rows = table(spark, d, "events").select((F.col("event_id") + 1).alias("seq"), F.concat_ws("|", F.col("event_id").cast("string"), "event_type").alias("payload"))
+    good = F.sha2("payload", 256)
+    prior = rows.select((F.col("seq") + 1).alias("seq"), good.alias("prior"))
+    chain = rows.join(prior, "seq", "left").where("seq % 90 <> 0").select("seq", "payload", F.when(F.col("seq") % 50 == 0, F.upper(good)).otherwise(good).alias("event_sha"), F.when(F.col("seq") % 70 == 0, "x").otherwise(F.col("prior")).alias("previous_sha"))
+    return ledger.chain_faults(chain, F.col("payload"))
+
+
 @query(f"""WITH {_LEDGER} SELECT task, CASE arg_max(kind, seq) WHEN 'defer' THEN 'deferred' WHEN 'request_more_evidence' THEN 'requires_more_evidence' WHEN 'reject' THEN 'rejected' ELSE 'decided' END AS status FROM l GROUP BY task""")
 def task_states(spark, d):
     """What a ledger leaves each task in."""

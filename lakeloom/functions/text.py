@@ -7,6 +7,8 @@ import unicodedata
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lakeloom.functions.unicode import nfkc
+
 
 
 def _marked_letters() -> dict[str, str]:
@@ -112,8 +114,8 @@ def spaced(c: Column) -> Column:
 
 
 def plain_words(c: Column) -> Column:
-    """Lower case, quotes out, punctuation as spaces, white space collapsed."""
-    return spaced(F.regexp_replace(F.regexp_replace(F.lower(c), "[„”\"']", ""), r"[.,;:!?\-–—()\[\]{}]", " "))
+    """Compatibility form, lower case, quotes out, punctuation as spaces, white space collapsed."""
+    return spaced(F.regexp_replace(F.regexp_replace(F.lower(nfkc(c)), "[„”\"']", ""), r"[.,;:!?\-–—()\[\]{}]", " "))
 
 
 def spoken(c: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lakeloom.functions import text as fx
+from lakeloom.functions.unicode import nfkc
 from lakeloom.queries import query
 from lakeloom.queries_profile import PROFILE, profile
 from lakeloom.sources.tables import table
@@ -30,6 +31,14 @@ def text_keys(spark, d):
     return _mixed(spark, d).select("p_partkey", fx.plain_words(t).alias("words"), fx.spoken(t).alias("spoken"), fx.title_key(t).alias("title"), fx.graph_term(t).alias("graph_term"), retrieval.searchable(t).alias("searchable"))
 
 
+@query("SELECT p_partkey, 'fi ' || p_name || ' 21⁄2 ÅK é x̂ (1) カ̇ ' || p_size AS text FROM part")
+def compatible_texts(spark, d):
+    """Texts in compatibility form: ligatures, fractions, wide and circled signs, marks."""
+    wide = F.translate("p_name", "abcdefghijklmnopqrstuvwxyz", "ａｂｃｄｅｆｇｈｉｊｋｌｍｎｏｐｑｒｓｔｕｖｗｘｙｚ")
+    text = F.concat(F.lit("ﬁ "), wide, F.lit(" 2½ A\u030a\u212a e\u0301 x\u0302 ⑴ ｶ\u0307 "), F.col("p_size").cast("string"))
+    return table(spark, d, "part").select("p_partkey", nfkc(text).alias("text"))
+
+
 @query("""WITH g AS (SELECT p_partkey, md5(p_name) AS h FROM part) SELECT p_partkey, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-' || substr(h, 13, 4) || '-' || substr(h, 17, 4) || '-' || substr(h, 21) AS guid FROM g""")
 def guid_keys(spark, d):
     """GUIDs in braces and capitals, as names of a graph."""

@@ -253,3 +253,44 @@ def test_lines_are_numbered_across_splits(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     assert got == [("a.jsonl", 1 + i, "not JSON") for i in range(50, 400, 50)] + [("b.jsonl", 2, "no text")]
+
+
+def test_compatibility_form_of_every_character(spark):
+    import unicodedata
+
+    from lakeloom.functions.unicode import nfkc
+
+    points = [n for n in range(1, 0x10000) if not 0xD800 <= n < 0xE000]
+    rows = spark.createDataFrame([(n, chr(n)) for n in points] + [(n + 0x10000, f"a{chr(n)}b") for n in points if not unicodedata.combining(chr(n)) and not 0x1100 <= n < 0x1200], "n int, t string")
+    wrong = [(n, got) for n, got in rows.select("n", nfkc(F.col("t")).alias("got")).collect() if got != unicodedata.normalize("NFKC", chr(n) if n < 0x10000 else f"a{chr(n - 0x10000)}b")]
+    assert not wrong
+    texts = ["e\u0301a\u030aX", "Ａ\u0301ﬁ²", "plain", "", "🙂\u0301 o\u0302\u0301", "\u0041\u030a ½kg"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", nfkc(F.col("t")).alias("n")).collect()
+    assert all(r.n == unicodedata.normalize("NFKC", r.t) for r in got)
+
+
+def test_ledger_in_increments(spark):
+    from lakeloom.operators import ledger
+
+    rng = random.Random(3)
+    rows = []
+    for i in range(1, 121):
+        kind = rng.choice(["approve", "approve", "supersede", "revoke", "defer", "reject"])
+        rows.append((i, kind, None if kind == "revoke" and rng.random() < 0.2 else rng.randrange(8), i * 3))
+    events = spark.createDataFrame(rows, "seq long, kind string, record int, revision int")
+    payload = F.concat_ws("|", "seq", "kind", F.coalesce("record", F.lit(-1)), "revision")
+    sha = F.sha2(payload, 256)
+    chain = events.withColumn("event_sha", sha).join(events.select((F.col("seq") + 1).alias("seq"), sha.alias("previous_sha")), "seq", "left")
+    shown = lambda state: sorted(map(str, ledger.view(state).collect()))
+    whole, last = ledger.advanced(chain, payload)
+    for cut in (1, 40, 77, 119):
+        state, head = ledger.advanced(chain.where(F.col("seq") <= cut), payload)
+        state, head = ledger.advanced(chain, payload, head, state)
+        assert shown(state) == shown(whole) and head.collect() == last.collect()
+    digest = lambda s: ledger.view_hash(ledger.view(s), "record", "revision", "status", "previous").first()
+    assert digest(state) == digest(whole.repartition(7)) != digest(ledger.folded(events.where("seq < 90")))
+    for name, bad in {"content": chain.withColumn("revision", F.when(F.col("seq") == 60, 1).otherwise(F.col("revision"))), "link": chain.withColumn("previous_sha", F.when(F.col("seq") == 60, "x").otherwise(F.col("previous_sha"))), "gap": chain.where("seq <> 60"), "repeated": chain.unionByName(chain.where("seq = 60"))}.items():
+        state, head = ledger.advanced(bad.where("seq < 50"), payload)
+        with pytest.raises(ValueError, match=name):
+            ledger.advanced(bad, payload, head, state)
+    assert ledger.event_id({"a": F.lit(1), "b": F.lit("x")})._jc.toString() == ledger.event_id({"b": F.lit("x"), "a": F.lit(1)})._jc.toString()

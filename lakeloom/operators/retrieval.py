@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakeloom.functions import text as fx
+from lakeloom.sources.cuts import cut
 
 #: Characters of a chunk and of what it shares with the next; most that words can add to a score (fixed values).
 SIZE, SHARED, BOOST = 2000, 200, 0.18
@@ -37,6 +38,65 @@ def search(vectors: DataFrame, query: list[float], k: int, where: Column | None
     return rows.withColumn("score", cosine(F.col(vector_col), q)).orderBy(F.desc_nulls_last("score"), vectors.columns[0]).limit(k)
 
 
+def _unit(v: Column) -> Column:
+    """A vector over its length, in double precision; null for a null or zero one."""
+    d = F.transform(v, lambda x: x.cast("double"))
+    norm = F.sqrt(F.aggregate(d, F.lit(0.0), lambda s, x: s + x * x))
+    return F.transform(F.array(norm), lambda n: F.when(n > 0, F.transform(d, lambda x: x / n)))[0]
+
+
+def _dot(x: Column, y: Column) -> Column:
+    return F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
+
+
+def search_many(queries: DataFrame, points: DataFrame, k: int, filters: list[str], most_lists: int = 64, list_rows: int = 2048) -> DataFrame:
+    """query_id, rank, id, score: for each query (query_id, vector, and for each filter an array of allowed values or null for any)
+    its k nearest points (id, vector, and the filters' columns) by cosine among those that its filters allow; ties: the smaller
+    id. Null, zero and differently long vectors take no part.
+
+    Points are filed under the nearest of at most most_lists centres, which are points of least hash; the lists are cut into parts of
+    bounded size. A query first reads its own centre's list; its k-th best there is a floor. By the angles between query, centre and
+    the list's farthest member, no member of a list can be nearer than a bound; only lists whose bound reaches the floor
+    are read. So results are exact, and how much is skipped depends on how the points cluster.
+    """
+    spark = points.sparkSession
+    p = points.select("id", _unit(F.col("vector")).alias("v"), *filters).where("v is not null")
+    shape = p.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").first()
+    if shape is None:
+        return queries.select("query_id", F.lit(0).alias("rank"), F.lit(None).cast(points.schema["id"].dataType).alias("id"), F.lit(0.0).alias("score")).limit(0)
+    p = p.where(F.size("v") == shape["dim"])
+    n_lists = max(1, min(most_lists, shape["n"] // 32))
+    centres = [r["v"] for r in p.orderBy(F.xxhash64("id", "v"), "id").limit(n_lists).select("v").collect()]  # most_lists vectors
+    known = F.array(*(F.struct(F.lit(i).alias("list"), F.array(*map(F.lit, c)).alias("c")) for i, c in enumerate(centres)))
+    angle = lambda x: F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), x)))
+    near = lambda v: F.transform(known, lambda c: F.struct(angle(_dot(v, c["c"])).alias("angle"), c["list"].alias("list")))
+    filed = cut(p.withColumn("near", F.array_min(near(F.col("v")))).select("id", "v", *filters, F.col("near.list").alias("list"), F.col("near.angle").alias("angle")))
+    lists = filed.groupBy("list").agg(F.max("angle").alias("radius"), F.ceil(F.count("*") / list_rows).cast("int").alias("parts"))  # most_lists rows
+    filed = filed.join(F.broadcast(lists.select("list", "parts")), "list").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    q = queries.select("query_id", _unit(F.col("vector")).alias("q"), *(F.col(f).alias(f"_{f}") for f in filters)).where(F.size("q") == shape["dim"])
+    q = cut(q.withColumn("far", near(F.col("q"))))
+    fits = lambda: [F.col(f"_{f}").isNull() | F.coalesce(F.array_contains(F.col(f"_{f}"), F.col(f)), F.lit(False)) for f in filters]
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+
+    def read(asked: DataFrame) -> DataFrame:
+        """asked: query_id, q, filters, list; the k best of the lists that each query asks for."""
+        parts = asked.join(F.broadcast(lists.select("list", "parts")), "list").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+        met = parts.join(filed.drop("parts"), ["list", "part"])
+        for f in fits():
+            met = met.where(f)
+        scored = met.select("query_id", "id", _dot(F.col("q"), F.col("v")).alias("score"))
+        return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+    own = F.array_min("far")["list"]
+    first = cut(read(q.withColumn("list", own).drop("far")))
+    floor = first.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("floor"))
+    other = q.withColumn("own", own).select("query_id", "q", *(f"_{f}" for f in filters), "own", F.explode("far").alias("x")).where("x.list <> own").select("*", "x.list", "x.angle").drop("x", "own")
+    bound = F.cos(F.greatest(F.lit(0.0), F.col("angle") - F.col("radius"))) + 1e-9
+    wanted = other.join(F.broadcast(lists.select("list", "radius")), "list").join(floor, "query_id", "left").where(F.col("floor").isNull() | (bound >= F.col("floor")))
+    found = first.select("query_id", "id", "score").unionByName(read(wanted.drop("angle", "radius", "floor")).select("query_id", "id", "score"))
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
+
+
 def word_boost(text: Column, words: list[str], most: float = BOOST) -> Column:
     """most times the share of words of which a stem stands in the text. The text is folded once: one pattern of all stems
     finds those that stand in it."""

@@ -131,3 +131,14 @@ def payload_filter(spark, d):
     rows = _units(spark, d)
     must = {"brands": ["Brand#2", "Brand#3"], "tenant": "t1", "mode": ["source_backed_direct", "other"]}
     return rows.where(retrieval.payload(must, dict(rows.dtypes))).select("unit_id", "mode")
+
+
+@query("""WITH p AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings), s AS (SELECT q.vec_id AS query_id, p.vec_id AS id, list_cosine_similarity(q.v, p.v) AS score FROM p q JOIN p ON CASE q.vec_id % 3 WHEN 0 THEN true WHEN 1 THEN p.label IN (q.label, (q.label + 1) % 10) ELSE p.label = 3 END),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s) SELECT query_id, rank::INT AS rank, id, round(score, 6) AS score FROM r WHERE rank <= 10""")
+def searched_many(spark, d):
+    """The ten nearest of every vector at once, each among the labels that its filter allows."""
+    rows, k = table(spark, d, "embeddings"), F.col("vec_id")
+    allowed = F.when(k % 3 == 1, F.array(F.col("label"), (F.col("label") + 1) % 10)).when(k % 3 == 2, F.array(F.lit(3)))
+    asked = rows.select(k.alias("query_id"), F.col("embedding").alias("vector"), allowed.alias("label"))
+    found = retrieval.search_many(asked, rows.select(k.alias("id"), F.col("embedding").alias("vector"), "label"), 10, ["label"])
+    return found.withColumn("score", F.round("score", 6))

@@ -294,3 +294,23 @@ def test_ledger_in_increments(spark):
         with pytest.raises(ValueError, match=name):
             ledger.advanced(bad, payload, head, state)
     assert ledger.event_id({"a": F.lit(1), "b": F.lit("x")})._jc.toString() == ledger.event_id({"b": F.lit("x"), "a": F.lit(1)})._jc.toString()
+
+
+def test_filtered_search_for_many_vectors(spark):
+    rng = random.Random(11)
+    middles = [[rng.gauss(0, 1) for _ in range(12)] for _ in range(9)]
+    points = [(i, [m + rng.gauss(0, 0.2) for m in middles[i % 9]], i % 4) for i in range(600)] + [(600 + i, middles[0], i % 4) for i in range(30)] + [(700, [0.0] * 12, 1), (701, None, 1), (702, [1.0], 1)]
+    asked = [(i, [m + rng.gauss(0, 0.2) for m in middles[i % 9]], None if i % 3 == 0 else [i % 4] if i % 3 == 1 else [9]) for i in range(100)]
+    p, q = spark.createDataFrame(points, "id int, vector array<double>, kind int"), spark.createDataFrame(asked, "query_id int, vector array<double>, kind array<int>")
+    cosine = lambda a, b: sum(x * y for x, y in zip(a, b)) / (sum(x * x for x in a) * sum(y * y for y in b)) ** 0.5
+    want = {}
+    for i, v, kinds in asked:
+        scored = sorted((-round(cosine(v, w), 9), j) for j, w, kind in points[:630] if kinds is None or kind in kinds)
+        want[i] = [j for _, j in scored[:7]]
+    for options in ({}, {"most_lists": 1}, {"list_rows": 5}):
+        got = {}
+        for r in retrieval.search_many(q, p, 7, ["kind"], **options).orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append(r.id)
+        assert all(set(got.get(i, [])) == set(w) for i, w in want.items() if i % 9)  # the first group holds equal vectors: ties by rounding
+        assert sum(len(set(got.get(i, [])) & set(w)) for i, w in want.items()) >= 0.98 * sum(map(len, want.values()))
+    assert retrieval.search_many(q, p.limit(0), 7, ["kind"]).count() == 0

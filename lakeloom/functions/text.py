@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import unicodedata
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
 from lakeloom.functions.unicode import nfkc
 
@@ -332,6 +333,25 @@ def stable_json(fields: dict[str, Column]) -> Column:
     return F.to_json(F.struct(*(fields[k].alias(k) for k in sorted(fields))), {"ignoreNullFields": "false"})
 
 
+def in_name_order(c: Column, kind: DataType) -> Column:
+    """A value with the fields of all its structs, however deep, in the order of their names, and maps as entries by key."""
+    match kind:
+        case StructType():
+            fields = sorted(kind.fields, key=lambda f: f.name)
+            return F.when(c.isNotNull(), F.struct(*(in_name_order(c.getField(f.name), f.dataType).alias(f.name) for f in fields)))
+        case ArrayType():
+            return F.transform(c, lambda x: in_name_order(x, kind.elementType))
+        case MapType():
+            return F.transform(F.array_sort(F.map_entries(c)), lambda e: F.struct(e["key"].alias("key"), in_name_order(e["value"], kind.valueType).alias("value")))
+    return c
+
+
+def stable_row(rows: DataFrame, *columns: str) -> Column:
+    """Columns of a table as JSON: fields in the order of their names at every depth, nulls kept, so that equal values give equal
+    text whatever order they were declared in."""
+    return stable_json({c: in_name_order(F.col(c), rows.schema[c].dataType) for c in columns})
+
+
 #: Headings of blocks in a manual, by which a passage is told (fixed values).
 HEADINGS = ("Zakładka", "Blok", "Formularz", "Akcja")
 

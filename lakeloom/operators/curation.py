@@ -180,11 +180,16 @@ def scored_intents(text: Column, signals: dict[str, list[tuple[str, float]]], le
     return F.when((-best["s"] < least) | (next_["s"] - best["s"] <= margin), "unknown").otherwise(best["name"])
 
 
+#: Sounds that say nothing, and the word that alone tells of a technical problem (fixed values).
+FILLER, MICROPHONE = r"(?i)^(hm+|eee+|yyy+)\.?$", "(?i)mikrofon"
+
+
 def noise(text: Column, matter: list[str], patterns: list[tuple[str, str]], least: int = 4) -> Column:
     """The kind of noise of a segment: uncertain if it is shorter than least, content if a word of the matter stands in it
-    whatever else does, else that of the first pattern found, else content. Patterns are case-blind."""
+    whatever else does, else that of the first pattern found, repeated_phrase for a filler, audio_problem for a microphone,
+    else content. Patterns are case-blind. Uncertain segments are kept, as content is."""
     t = F.trim(text)
-    out = F.lit("content")
+    out = F.when(t.rlike(FILLER), "repeated_phrase").when(t.rlike(MICROPHONE), "audio_problem").otherwise("content")
     for name, pattern in reversed(patterns):
         out = F.when(t.rlike(f"(?i){pattern}"), name).otherwise(out)
     for word in matter:
@@ -192,6 +197,11 @@ def noise(text: Column, matter: list[str], patterns: list[tuple[str, str]], leas
     return F.when(F.length(t) < least, "uncertain").otherwise(out)
 
 
+def without_noise(segments: DataFrame, kind: Column) -> DataFrame:
+    """The segments that are content or uncertain; what noise() calls anything else takes no part in topics."""
+    return segments.where(kind.isin("content", "uncertain"))
+
+
 def tagged(links: DataFrame, tags: DataFrame, pattern: str, key: str = "tag") -> DataFrame:
     """The distinct links whose tag (tag_id, tag) is like a pattern; the tags are filtered before they meet the links."""
     wanted = tags.where(F.col(key).like(pattern)).select("tag_id").distinct()

@@ -1,7 +1,8 @@
 """Linking records that speak of the same thing: blocking keys, pairs, relations, clusters and proposed records.
 
 A record has id, kind, subject, predicate, object, statement, signature, source, payload (map of strings), hints (array)
-and where it applies: the arrays families, surfaces, domains, versions, dates and the strings scope, currentness, risk.
+and where it applies: the arrays families, surfaces, domains, areas, versions, dates, contexts and the strings platform,
+scope, currentness, risk (platform, areas and contexts may be missing).
 Records that are equal in all of these are one class; pairs are drawn between classes by equi-joins on strong signals.
 """
 
@@ -22,10 +23,12 @@ NAMING = ("code", "componentCode", "functionName", "status", "parameterName", "v
 #: Payload entries that two records must share to have the same content (fixed values).
 CONTENT = ("code", "componentCode", "functionName", "status", "parameterName", "value", "condition", "effect")
 #: Fields that say where a record applies.
-APPLIES = ("families", "surfaces", "domains", "versions", "dates", "scope", "currentness", "risk")
+APPLIES = ("platform", "families", "surfaces", "domains", "areas", "versions", "dates", "contexts", "scope", "currentness", "risk")
+#: What an unsaid field of these counts as (fixed values).
+UNSAID = {"platform": "unknown", "scope": "requires_review", "currentness": "not_verified", "risk": "unknown"}
 #: Relations by which records are merged (fixed values).
 MERGING = ("exact_duplicate", "semantic_duplicate", "enrich_existing")
-_ARRAYS = ("families", "surfaces", "domains", "versions", "dates")
+_ARRAYS = ("families", "surfaces", "domains", "areas", "versions", "dates", "contexts")
 #: Records of a key that meet as one block.
 BLOCK = 1000
 
@@ -43,7 +46,10 @@ def _entries(payload: Column, names: tuple[str, ...] | None = None) -> Column:
 
 def normalised(records: DataFrame) -> DataFrame:
     """records with texts folded, arrays sorted, and the keys that rules compare: partition, content and class_key."""
-    out = records.withColumns({c: _sorted(F.col(c)) for c in _ARRAYS} | {c: fx.plain_words(F.coalesce(F.col(c), F.lit(""))) for c in ("subject", "predicate", "object", "statement")})
+    none = {c: F.array().cast("array<string>") if c in _ARRAYS else F.lit("") for c in ("platform", "areas", "contexts") if c not in records.columns}
+    records = records.withColumns(none) if none else records
+    said = {c: F.when(F.trim(F.coalesce(F.col(c), F.lit(""))) == "", other).otherwise(F.col(c)) for c, other in UNSAID.items()}
+    out = records.withColumns({c: _sorted(F.col(c)) for c in _ARRAYS} | said | {c: fx.plain_words(F.coalesce(F.col(c), F.lit(""))) for c in ("subject", "predicate", "object", "statement")})
     out = out.withColumn("hints", F.array_distinct(F.filter(F.transform(F.coalesce("hints", F.array().cast("array<string>")), fx.plain_words), lambda x: x != "")))
     partition = F.sha2(F.to_json(F.struct(*APPLIES), {"ignoreNullFields": "false"}), 256)
     key = F.sha2(F.concat_ws("\x01", "kind", "subject", "predicate", "object", _entries(F.col("payload"), NAMING)), 256)

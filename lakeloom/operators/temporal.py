@@ -147,15 +147,18 @@ def topics(segments: DataFrame, key: str, start: str, end: str, text: str, cues:
     return out.withColumn("topic", opened).drop("_run", "_n", "_part")
 
 
-def window_chunks(segments: DataFrame, key: str, start: str, end: str, text: str, width: float = 60.0, shared: float = 10.0) -> DataFrame:
-    """key, window, first, last, text: the texts of all segments that overlap each window of width seconds; windows begin
-    every width - shared seconds, and those without text are left out."""
+def window_chunks(segments: DataFrame, key: str, start: str, end: str, text: str, width: float = 60.0, shared: float = 0.0) -> DataFrame:
+    """key, window, begins, ends, first, last, text: the texts of all segments that overlap each window of width seconds. Windows
+    follow each other, or share so many seconds with the next; the last one ends where the source's last segment does; those
+    without text are left out."""
     step = width - shared
     w = F.explode(F.sequence(F.greatest(F.floor((F.col(start) - width) / step) + 1, F.lit(0)).cast("long"), F.greatest(F.ceil(F.col(end) / step) - 1, F.lit(0)).cast("long")))
-    rows = segments.where(F.col(end) > F.col(start)).withColumn("window", w)
     spoken = F.array_sort(F.collect_list(F.struct(F.col(start).alias("s"), F.col(end).alias("e"), F.trim(text).alias("t"))))
-    out = rows.where(F.trim(text) != "").groupBy(key, "window").agg(F.min(start).alias("first"), F.max(end).alias("last"), spoken.alias("parts"))
-    return out.select(key, "window", "first", "last", F.array_join(F.transform("parts", lambda p: p["t"]), " ").alias("text"))
+    whole = segments.groupBy(key).agg(F.max(end).alias("duration"))
+    rows = segments.where((F.col(end) > F.col(start)) & (F.trim(text) != "")).withColumn("window", w)
+    out = rows.groupBy(key, "window").agg(F.min(start).alias("first"), F.max(end).alias("last"), spoken.alias("parts")).join(whole, key)
+    begins = F.col("window") * step
+    return out.select(key, "window", begins.alias("begins"), F.least(begins + width, F.col("duration")).alias("ends"), "first", "last", F.array_join(F.transform("parts", lambda p: p["t"]), " ").alias("text"))
 
 
 def sections(lines: DataFrame, key: str, order: str, heading: Column) -> DataFrame:

@@ -22,16 +22,18 @@ def records(spark, d):
         F.when(k % 5 < 3, F.array(F.lit("hr"))).when(k % 5 == 3, F.array(F.lit(" EDU"))).otherwise(F.array().cast("array<string>")).alias("families"),
         F.array().cast("array<string>").alias("surfaces"), text(k % 2 == 0, F.lit("d")).alias("domains"), text(k % 7 == 0, F.lit("v2")).alias("versions"), F.array().cast("array<string>").alias("dates"),
         F.when(k % 11 == 0, "client_specific_candidate").when(k % 13 == 0, "requires_review").otherwise("global_candidate").alias("scope"), F.lit("verified").alias("currentness"), F.lit("low").alias("risk"),
+        F.when(k % 17 == 0, "mobile").otherwise(" ").alias("platform"), text(k % 10 == 0, F.lit(" Kadry")).alias("areas"), text(k % 19 == 0, F.lit("2024")).alias("contexts"),
     )
 
 
 _RECORDS = """WITH RECURSIVE c AS (SELECT p_partkey AS id, p_brand || '/' || p_type AS kind, lower(p_name) AS subject, p_size::VARCHAR AS object, lower(p_name) || ' of size ' || p_size AS statement, md5(p_name || p_size) AS signature, 's' || (p_partkey % 3) AS source,
 CASE WHEN p_partkey % 9 <> 0 THEN (p_size % 10)::VARCHAR END AS value, CASE WHEN p_partkey % 4 = 0 THEN 'p' || (p_size % 3) END AS path, CASE WHEN p_partkey % 6 = 0 THEN 'h' || (p_size % 5) END AS hint,
 CASE WHEN p_partkey % 5 < 3 THEN 'hr' WHEN p_partkey % 5 = 3 THEN 'edu' END AS family, CASE WHEN p_partkey % 2 = 0 THEN 'd' END AS domain, CASE WHEN p_partkey % 7 = 0 THEN 'v2' END AS version,
-CASE WHEN p_partkey % 11 = 0 THEN 'client_specific_candidate' WHEN p_partkey % 13 = 0 THEN 'requires_review' ELSE 'global_candidate' END AS scope FROM part),
+CASE WHEN p_partkey % 11 = 0 THEN 'client_specific_candidate' WHEN p_partkey % 13 = 0 THEN 'requires_review' ELSE 'global_candidate' END AS scope,
+CASE WHEN p_partkey % 17 = 0 THEN 'mobile' ELSE 'unknown' END AS platform, CASE WHEN p_partkey % 10 = 0 THEN 'kadry' END AS area, CASE WHEN p_partkey % 19 = 0 THEN '2024' END AS ctx FROM part),
 u AS (SELECT *, (family IS NULL AND domain IS NULL) OR (scope = 'requires_review' AND family IS NULL AND version IS NULL) AS unknown,
-  concat_ws('|', coalesce(family, '-'), coalesce(domain, '-'), coalesce(version, '-'), scope) AS part_key FROM c),
-r AS (SELECT u.*, copies FROM u JOIN (SELECT min(id) AS id, count(*) AS copies FROM u GROUP BY kind, subject, object, statement, signature, source, value, path, hint, family, domain, version, scope) USING (id)),
+  concat_ws('|', coalesce(family, '-'), coalesce(domain, '-'), coalesce(version, '-'), scope, platform, coalesce(area, '-'), coalesce(ctx, '-')) AS part_key FROM c),
+r AS (SELECT u.*, copies FROM u JOIN (SELECT min(id) AS id, count(*) AS copies FROM u GROUP BY kind, subject, object, statement, signature, source, value, path, hint, family, domain, version, scope, platform, area, ctx) USING (id)),
 p AS (SELECT l.id AS left_id, r.id AS right_id, l.signature = r.signature AS s1, l.subject = r.subject AS s2, l.subject = r.subject AND l.object = r.object AND l.value IS NOT DISTINCT FROM r.value AS s3, coalesce(l.hint = r.hint, false) AS s4
   FROM r l JOIN r ON l.kind = r.kind AND l.id < r.id),
 pairs AS (SELECT * FROM p WHERE s1 OR s2 OR s3 OR s4)"""
@@ -68,7 +70,7 @@ def blocking_keys(spark, d):
     return keys.groupBy("key").agg(F.count("*").alias("records"), F.min("id").alias("first_id"))
 
 
-@query(_RECORDS.replace("RECURSIVE ", "") + """ SELECT u.id, min(u.id) OVER (PARTITION BY kind, subject, object, statement, signature, source, value, path, hint, family, domain, version, scope) AS class FROM u""")
+@query(_RECORDS.replace("RECURSIVE ", "") + """ SELECT u.id, min(u.id) OVER (PARTITION BY kind, subject, object, statement, signature, source, value, path, hint, family, domain, version, scope, platform, area, ctx) AS class FROM u""")
 def record_classes(spark, d):
     """The class of equal records that each belongs to."""
     return linkage.classes(linkage.normalised(records(spark, d)))
@@ -134,8 +136,8 @@ def name_suggestions(spark, d):
     return linkage.suggestions(asked, table(spark, d, "part").select(F.col("p_name").alias("name")))
 
 
-@query(_RECORDS.replace("RECURSIVE ", "") + """ SELECT left_id, right_id, concat_ws(',', CASE WHEN l.family IS DISTINCT FROM r.family THEN 'families' END, CASE WHEN l.domain IS DISTINCT FROM r.domain THEN 'domains' END,
-CASE WHEN l.version IS DISTINCT FROM r.version THEN 'versions' END, CASE WHEN l.scope <> r.scope THEN 'scope' END) AS differences FROM pairs JOIN r l ON l.id = left_id JOIN r ON r.id = right_id""")
+@query(_RECORDS.replace("RECURSIVE ", "") + """ SELECT left_id, right_id, concat_ws(',', CASE WHEN l.platform <> r.platform THEN 'platform' END, CASE WHEN l.family IS DISTINCT FROM r.family THEN 'families' END, CASE WHEN l.domain IS DISTINCT FROM r.domain THEN 'domains' END,
+CASE WHEN l.area IS DISTINCT FROM r.area THEN 'areas' END, CASE WHEN l.version IS DISTINCT FROM r.version THEN 'versions' END, CASE WHEN l.ctx IS DISTINCT FROM r.ctx THEN 'contexts' END, CASE WHEN l.scope <> r.scope THEN 'scope' END) AS differences FROM pairs JOIN r l ON l.id = left_id JOIN r ON r.id = right_id""")
 def applicability_differences(spark, d):
     """In what the places differ where paired records apply."""
     rows = _normal(spark, d)

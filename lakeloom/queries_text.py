@@ -181,6 +181,16 @@ def stable_fingerprints(spark, d):
     return table(spark, d, "part").select("p_partkey", F.sha2(fx.stable_json(fields), 256).alias("fingerprint"))
 
 
+@query("""SELECT p_partkey, sha256('{"list":[{"a":"' || p_type || '","b":null},' || CASE WHEN p_partkey % 3 = 0 THEN 'null' ELSE '{"a":"x","b":' || p_size || '}' END || '],"made":{"deep":{"k":1,"n":"' || p_brand || '"},"size":' || p_size || '}}') AS fingerprint FROM part""")
+def nested_fingerprints(spark, d):
+    """Fingerprints of nested records whatever the order of fields at any depth."""
+    s, n = F.struct, F.lit(None)
+    two = F.when(F.col("p_partkey") % 3 != 0, s(F.col("p_size").alias("b"), F.lit("x").alias("a")))
+    made = s(F.col("p_size").alias("size"), s(F.col("p_brand").alias("n"), F.lit(1).alias("k")).alias("deep"))
+    rows = table(spark, d, "part").select("p_partkey", made.alias("made"), F.array(s(n.cast("int").alias("b"), F.col("p_type").alias("a")), two).alias("list"))
+    return rows.select("p_partkey", F.sha2(fx.stable_row(rows, "made", "list"), 256).alias("fingerprint"))
+
+
 @query("""SELECT p_partkey, CASE WHEN contains(p_name, 'widge') THEN 'Blok: ' || p_name || chr(10) || 'next ' || p_partkey END AS passage FROM part""")
 def headed_passages(spark, d):
     """The passage under a heading that names a word."""

@@ -60,27 +60,31 @@ def overlapping_segments(spark, d):
     return temporal.interval_join(rows, other, ["user_id"], ("a", "b"), ("c", "d"), 20.0).select("event_id", "other")
 
 
-@query("""WITH RECURSIVE s AS (SELECT *, event_id % 4 AS src, row_number() OVER (PARTITION BY event_id % 4 ORDER BY event_id) AS n, round(2 + event_id % 17, 1)::DOUBLE AS len FROM events),
-p AS (SELECT *, sum(len + CASE WHEN event_id % 29 = 0 THEN 9 ELSE 1 END) OVER (PARTITION BY src ORDER BY n) AS b, CASE WHEN event_id % 31 = 0 THEN 1 ELSE 0 END AS cue FROM s),
-q AS (SELECT *, b - len AS a, coalesce((b - len) - lag(b) OVER (PARTITION BY src ORDER BY n) >= 8 OR cue = 1, true) AS opens FROM p),
-w(src, n, topic, total) AS (SELECT src, n, 1, len FROM q WHERE n = 1 UNION ALL SELECT q.src, q.n, CASE WHEN q.opens OR w.total >= 120 THEN w.topic + 1 ELSE w.topic END, CASE WHEN q.opens OR w.total >= 120 THEN q.len ELSE w.total + q.len END FROM w JOIN q ON q.src = w.src AND q.n = w.n + 1)
-SELECT src, topic::INT AS topic, count(*) AS segments, min(n) AS first_n FROM w GROUP BY ALL""")
+@query("""WITH RECURSIVE s AS (SELECT *, event_id % 4 AS src, row_number() OVER (PARTITION BY event_id % 4 ORDER BY event_id) AS place, round(2 + event_id % 17, 1)::DOUBLE AS len FROM events),
+p AS (SELECT *, sum(len + CASE WHEN event_id % 29 = 0 THEN 9 ELSE 1 END) OVER (PARTITION BY src ORDER BY place) AS b, CASE WHEN event_id % 31 = 0 THEN 1 ELSE 0 END AS cue FROM s),
+c AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY place) AS n FROM p WHERE cue = 1 OR (event_id % 13 <> 0 AND event_id % 37 <> 0)),
+q AS (SELECT *, b - len AS a, coalesce((b - len) - lag(b) OVER (PARTITION BY src ORDER BY n) >= 8 OR cue = 1, true) AS opens FROM c),
+w(src, n, place, topic, total) AS (SELECT src, n, place, 1, len FROM q WHERE n = 1 UNION ALL SELECT q.src, q.n, q.place, CASE WHEN q.opens OR w.total >= 120 THEN w.topic + 1 ELSE w.topic END, CASE WHEN q.opens OR w.total >= 120 THEN q.len ELSE w.total + q.len END FROM w JOIN q ON q.src = w.src AND q.n = w.n + 1)
+SELECT src, topic::INT AS topic, count(*) AS segments, min(place) AS first_n FROM w GROUP BY ALL""")
 def transcript_topics(spark, d):
-    """Topics of a transcript: after silence, with a cue, or when they have lasted long."""
+    """Topics of a transcript without its noise: after silence, with a cue, or when they have lasted long."""
     from pyspark.sql import Window
 
-    by = Window.partitionBy("src").orderBy("event_id")
-    rows = table(spark, d, "events").select("event_id", (F.col("event_id") % 4).alias("src"), F.round(F.lit(2) + F.col("event_id") % 17, 1).cast("double").alias("len"), F.when(F.col("event_id") % 31 == 0, " Teraz o czym innym").otherwise("dalej").alias("text"))
-    rows = rows.withColumns({"n": F.row_number().over(by), "b": F.sum(F.col("len") + F.when(F.col("event_id") % 29 == 0, 9).otherwise(1)).over(by)}).withColumn("a", F.col("b") - F.col("len"))
-    found = temporal.topics(rows, "src", "a", "b", "text")
+    from lakeloom.operators import curation
+
+    k, by = F.col("event_id"), Window.partitionBy("src").orderBy("event_id")
+    said = F.when(k % 31 == 0, " Teraz o czym innym").when(k % 13 == 0, "Hmmm.").when(k % 37 == 0, "czy mikrofon działa").when(k % 5 == 0, "mikrofon i wniosek").otherwise("dalej")
+    rows = table(spark, d, "events").select("event_id", (k % 4).alias("src"), F.round(F.lit(2) + k % 17, 1).cast("double").alias("len"), said.alias("text"))
+    rows = rows.withColumns({"n": F.row_number().over(by), "b": F.sum(F.col("len") + F.when(k % 29 == 0, 9).otherwise(1)).over(by)}).withColumn("a", F.col("b") - F.col("len"))
+    found = temporal.topics(curation.without_noise(rows, curation.noise(F.col("text"), ["wniosek", "czym innym"], [])), "src", "a", "b", "text")
     return found.groupBy("src", "topic").agg(F.count("*").alias("segments"), F.min("n").cast("long").alias("first_n"))
 
 
-@query(f"""WITH {_SEGMENTS}, x AS (SELECT user_id, a, a + len AS b, trim(text) AS t FROM seg), w AS (SELECT *, unnest(range(greatest(floor((a - 600) / 500) + 1, 0)::BIGINT, greatest(ceil(b / 500) - 1, 0)::BIGINT + 1)) AS win FROM x)
-SELECT user_id, win AS "window", min(a) AS first, max(b) AS last, md5(string_agg(t, ' ' ORDER BY a, b, t)) AS digest FROM w GROUP BY ALL""")
+@query(f"""WITH {_SEGMENTS}, x AS (SELECT user_id, a, a + len AS b, trim(text) AS t FROM seg), u AS (SELECT user_id, max(b) AS duration FROM x GROUP BY 1), w AS (SELECT *, unnest(range(greatest(floor(a / 600), 0)::BIGINT, greatest(ceil(b / 600) - 1, 0)::BIGINT + 1)) AS win FROM x WHERE b > a AND t <> '')
+SELECT user_id, win AS "window", (win * 600)::DOUBLE AS begins, least(win * 600 + 600, any_value(duration))::DOUBLE AS ends, min(a) AS first, max(b) AS last, md5(string_agg(t, ' ' ORDER BY a, b, t)) AS digest FROM w JOIN u USING (user_id) GROUP BY user_id, win""")
 def window_chunks(spark, d):
-    """Texts of windows of time that overlap by a part."""
-    return temporal.window_chunks(_segments(spark, d), "user_id", "a", "b", "text", 600.0, 100.0).select("user_id", "window", "first", "last", F.md5("text").alias("digest"))
+    """Texts of windows of time that follow each other, the last up to the end."""
+    return temporal.window_chunks(_segments(spark, d), "user_id", "a", "b", "text", 600.0).select("user_id", "window", F.col("begins").cast("double").alias("begins"), F.col("ends").cast("double").alias("ends"), "first", "last", F.md5("text").alias("digest"))
 
 
 @query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents), h AS (SELECT *, length(line) < 60 AND regexp_matches(line, '[a-z]') AS head FROM l),

@@ -140,6 +140,65 @@ def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return rows.where("kind = 'node'").select("id", "type", "name"), rows.where("kind = 'edge'").select("id", "type", F.col("from").alias("src"), F.col("to").alias("dst"))
 
 
+def _files(spark: SparkSession, path: str):
+    """A path of Hadoop's file systems and the system that it is on."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found, found.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def import_graph(spark: SparkSession, path: str, target: str) -> DataFrame:
+    """Replaces the graph in the folder target by that of JSON-lines files, as a whole or not at all; returns fault, count.
+
+    Nodes and edges are first written to a version of their own below target. There they are checked: ids that come again,
+    edges without an end or whose ends are no nodes. With a fault that version is deleted and ValueError is raised, and what
+    was there before stays. Otherwise the file CURRENT is replaced by one rename, which readers see before or after, never in
+    between; older versions stay until drop_graph_versions().
+    """
+    import uuid
+
+    version = f"version-{uuid.uuid4().hex}"
+    nodes, edges = read_graph(spark, path)
+    nodes.write.parquet(f"{target}/{version}/nodes")
+    edges.write.parquet(f"{target}/{version}/edges")
+    nodes, edges = (spark.read.parquet(f"{target}/{version}/{t}") for t in ("nodes", "edges"))
+    again = lambda rows, name: rows.groupBy("id").count().where("count > 1").select(F.lit(name).alias("fault"))
+    ends = edges.select(F.explode(F.array("src", "dst")).alias("id"))
+    lost = ends.where("id is not null").join(nodes.select("id"), "id", "left_anti").distinct().select(F.lit("missing_node").alias("fault"))
+    faults = again(nodes, "repeated_node").unionByName(again(edges, "repeated_edge")).unionByName(lost).unionByName(ends.where("id is null").select(F.lit("edge_without_end").alias("fault")))
+    found = faults.groupBy("fault").agg(F.count("*").alias("count")).orderBy("fault")
+    rows = found.collect()  # four kinds
+    staged, system = _files(spark, f"{target}/{version}")
+    if rows:
+        system.delete(staged, True)
+        raise ValueError("; ".join(f"{r['fault']}: {r['count']}" for r in rows))
+    fresh, _ = _files(spark, f"{target}/{version}/CURRENT")
+    out = system.create(fresh, True)
+    out.write(bytearray(version.encode()))
+    out.close()
+    jvm = spark._jvm
+    renames = spark._sc._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 1)
+    renames[0] = getattr(jvm.org.apache.hadoop.fs, "Options$Rename").OVERWRITE
+    place = _files(spark, f"{target}/CURRENT")[0]
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(system.getUri(), spark._jsc.hadoopConfiguration()).rename(fresh.makeQualified(system.getUri(), system.getWorkingDirectory()), place.makeQualified(system.getUri(), system.getWorkingDirectory()), renames)
+    return found
+
+
+def current_graph(spark: SparkSession, target: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of the version that CURRENT names."""
+    version = spark.read.text(f"{target}/CURRENT").first()["value"]
+    return spark.read.parquet(f"{target}/{version}/nodes"), spark.read.parquet(f"{target}/{version}/edges")
+
+
+def drop_graph_versions(spark: SparkSession, target: str) -> int:
+    """Deletes all versions but the current one; how many there were."""
+    kept = spark.read.text(f"{target}/CURRENT").first()["value"]
+    place, system = _files(spark, target)
+    old = [f.getPath() for f in system.listStatus(place) if f.getPath().getName().startswith("version-") and f.getPath().getName() != kept]
+    for p in old:
+        system.delete(p, True)
+    return len(old)
+
+
 def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
     """source, position, start, end, text, problem of each segment of transcript files, one JSON object a file with an array
     segments. A segment without text, with an end before its start or a start before the one before it is a problem."""

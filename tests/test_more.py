@@ -314,3 +314,20 @@ def test_filtered_search_for_many_vectors(spark):
         assert all(set(got.get(i, [])) == set(w) for i, w in want.items() if i % 9)  # the first group holds equal vectors: ties by rounding
         assert sum(len(set(got.get(i, [])) & set(w)) for i, w in want.items()) >= 0.98 * sum(map(len, want.values()))
     assert retrieval.search_many(q, p.limit(0), 7, ["kind"]).count() == 0
+
+
+def test_graph_import_replaces_all_or_nothing(spark, tmp_path):
+    target, good = str(tmp_path / "graph"), tmp_path / "a.jsonl"
+    good.write_text('{"kind": "node", "id": "n", "type": "t", "name": "N"}\n{"kind": "node", "id": "m", "type": "t"}\n{"kind": "edge", "id": "e", "type": "calls", "from": "n", "to": "m"}\n')
+    assert tables.import_graph(spark, str(good), target).count() == 0
+    assert {r.id for r in tables.current_graph(spark, target)[0].collect()} == {"n", "m"}
+    bad = tmp_path / "b.jsonl"
+    bad.write_text('{"kind": "node", "id": "x"}\n{"kind": "node", "id": "x"}\n{"kind": "edge", "id": "e", "from": "x", "to": "lost"}\n{"kind": "edge", "id": "e", "from": "x"}\n')
+    with pytest.raises(ValueError, match="edge_without_end: 1; missing_node: 1; repeated_edge: 1; repeated_node: 1"):
+        tables.import_graph(spark, str(bad), target)
+    assert {r.id for r in tables.current_graph(spark, target)[0].collect()} == {"n", "m"}
+    bad.write_text('{"kind": "node", "id": "x"}\n')
+    tables.import_graph(spark, str(bad), target)
+    nodes, edges = tables.current_graph(spark, target)
+    assert [r.id for r in nodes.collect()] == ["x"] and edges.count() == 0 and tables.drop_graph_versions(spark, target) == 1
+    assert tables.current_graph(spark, target)[0].count() == 1

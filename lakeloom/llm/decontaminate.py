@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeloom.llm._common import Words, chunks, mix, table
+from lakeloom.llm._common import Words, chunks, cut, mix, table
 
 #: Edits allowed, as a share of an item's words, and the fewest words of an item that is looked for: all are.
 RATE, LEAST_WORDS = 0.2, 1
@@ -265,8 +265,10 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, least_
 
         return rows.mapInArrow(run, docs.schema)
 
+    whole = docs
     for model in _models(benchmark, rate, least_words):
-        docs = without(docs, model)
+        # one slice's worker at a time: what a slice leaves is written before the next one
+        docs = without(docs if docs is whole else cut(docs), model)
     return docs
 
 

@@ -365,3 +365,18 @@ def headed_passage(c: Column, words: list[str], headings: tuple[str, ...] = HEAD
         found = F.regexp_extract(c, rf"(?iu)(?:{'|'.join(headings)}):[^\n]*{stem}[^\n]*(?:\n[^\n]{{0,{most}}})?", 0)
         out = F.when(found != "", trimmed(found)).otherwise(out)
     return out
+
+
+#: How a list of features and a duty are told (fixed values).
+FEATURES, DUTY = r"(?iu)[^\n]*następuj[aą]cych cech:\s*[^.\n]+(?:\.|$)", r"(?iu)[^.\n]*\btylko i wy[łl]ączn[^.]+\."
+
+
+def knowledge_excerpt(c: Column, words: list[str], most: int = 1200) -> Column:
+    """What of a text answers best: a line that lists features, else what begins with a duty, cut to most characters, else the
+    passage under a heading that names one of the words; null for none, and without words."""
+    if not words:
+        return F.lit(None).cast("string")
+    t = trimmed(c)
+    features, duty = F.regexp_extract(t, FEATURES, 0), F.regexp_extract(t, DUTY, 0)
+    begun = trimmed(t.substr(F.instr(t, duty), F.lit(most)))
+    return F.when(t == "", None).when(features != "", trimmed(features)).when(duty != "", begun).otherwise(headed_passage(t, words, most=most))

@@ -196,3 +196,12 @@ def headed_passages(spark, d):
     """The passage under a heading that names a word."""
     text = F.concat(F.lit("intro\nBlok: "), F.col("p_name"), F.lit("\nnext "), F.col("p_partkey").cast("string"), F.lit("\nrest"))
     return table(spark, d, "part").select("p_partkey", fx.headed_passage(text, ["widgets", "red"]).alias("passage"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 'Urlop ma nastepujacych cech brak, lecz następujących cech: ' || p_name || ', ' || p_size || '.' WHEN p_size % 3 = 1 AND p_size % 2 = 0 THEN left('Wolno to tylko i wyłącznie komu' || p_brand || chr(10) || 'i dalej. ' || repeat('x', 1500), 1200) WHEN contains(p_name, 'widge') THEN 'Blok: ' || p_name || chr(10) || 'next' END AS excerpt FROM part""")
+def knowledge_excerpts(spark, d):
+    """The fragment of a text that answers best: a list of features, a duty, a headed passage."""
+    z, name = F.col("p_size"), F.col("p_name")
+    first = F.when(z % 3 == 0, F.concat(F.lit("Wstęp.\nUrlop ma nastepujacych cech brak, lecz następujących cech: "), name, F.lit(", "), z.cast("string"), F.lit(". Koniec.\n"))).when((z % 3 == 1) & (z % 2 == 0), F.concat(F.lit("Wstęp.\nWolno to tylko i wyłącznie komu"), "p_brand", F.lit("\ni dalej. "), F.repeat(F.lit("x"), F.lit(1500)))).otherwise("")
+    text = F.concat(F.lit(" "), first, F.lit("\nBlok: "), name, F.lit("\nnext\nrest "))
+    return table(spark, d, "part").select("p_partkey", fx.knowledge_excerpt(text, ["widgets"]).alias("excerpt"))

@@ -191,9 +191,9 @@ def noise(text: Column, matter: list[str], patterns: list[tuple[str, str]], leas
     t = F.trim(text)
     out = F.when(t.rlike(FILLER), "repeated_phrase").when(t.rlike(MICROPHONE), "audio_problem").otherwise("content")
     for name, pattern in reversed(patterns):
-        out = F.when(t.rlike(f"(?i){pattern}"), name).otherwise(out)
+        out = F.when(t.rlike(f"(?iu){pattern}"), name).otherwise(out)
     for word in matter:
-        out = F.when(t.rlike(f"(?i){word}"), "content").otherwise(out)
+        out = F.when(t.rlike(f"(?iu){word}"), "content").otherwise(out)
     return F.when(F.length(t) < least, "uncertain").otherwise(out)
 
 

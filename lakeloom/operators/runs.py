@@ -14,10 +14,11 @@ SHORT_NAMES = ("teta", "hr", "edu", "me", "ksef", "ppk", "rcp", "xml", "gus")
 QUOTED = r'[„""«»]([^„""«»]{16,})[”“"»]'
 
 
-def significant(text: Column, least: int = 4) -> Column:
-    """The words of a text that tell it apart: without marks, of at least so many letters, in order, without common ones."""
+def significant(text: Column, least: int = 4, names: bool = False) -> Column:
+    """The words of a text that tell it apart: without marks, of at least so many letters, in order, without common ones and,
+    unless names are wanted, short names."""
     words = F.split(fx.unmarked(F.lower(text)), r"[^a-z0-9ąćęłńóśźż]+")
-    return F.filter(words, lambda w: (F.length(w) >= least) & ~w.isin(*COMMON, *SHORT_NAMES))
+    return F.filter(words, lambda w: (F.length(w) >= least) & ~w.isin(*COMMON, *(() if names else SHORT_NAMES)))
 
 
 def _grams(rows: DataFrame, key: str, words: str, n: int, at: str) -> DataFrame:

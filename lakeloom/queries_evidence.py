@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lakeloom.functions import text as fx
-from lakeloom.operators import evidence, runs
+from lakeloom.operators import classify, evidence, runs
 from lakeloom.queries import query
 from lakeloom.sources.tables import table
 
@@ -240,3 +240,25 @@ def entity_flags(spark, d):
     """Flags that a comparison of codes gives, with leading zeros kept."""
     code = lambda n: F.lpad((F.col("o_orderkey") % n).cast("string"), 3, "0")
     return table(spark, d, "orders").select("o_orderkey", fx.equal_text(code(5), "000").alias("fk"), fx.lexicon_match(code(7), "exact_phrase", "000").alias("same"))
+
+
+#: Questions, claims and segments planted by a part's size, with what each is.
+_QUESTIONS = (("Skąd to wiesz?", "source_disclosure"), ("Czym różni się A od B", "comparison"), ("Czy system to obsługuje", "currentness"), ("JAK WYKONAĆ KOREKTĘ", "procedure"), ("Jakie są zasady premii", "rules_details"), ("Co to jest RCP", "definition"), ("Dzień dobry", "other"))
+_CLAIMS = (("Zasady są określone w regulaminie", "rules_pointer"), ("Zasady są określone: kwota 100, prawo do", "rules_content"), ("Najpierw akceptacja", "procedural"), ("RCP oznacza rejestr", "definitional"), ("To różni oba", "comparative"), ("Wersja aktualna", "currentness_claim"), ("Pracownik powinien", "rules_content"), ("nic", "other"))
+_SPOKEN = (("Czy WIDAĆ mój ekran", "screen_share_check"), ("czy mnie słychać?", "audio_problem"), ("robimy PRZERWĘ", "break_announcement"), ("Dziękuję za uwagę", "training_admin"), ("ok. ok. ok.", "repeated_phrase"), ("yyyy.", "repeated_phrase"), ("mikrofon", "audio_problem"), ("mikrofon i formularz", "content"), ("robimy przerwę, RCP", "content"), ("ok", "uncertain"), ("zwykłe zdanie", "content"))
+
+
+def _planted(rows: tuple, at):
+    return F.element_at(F.array(*(F.lit(t) for t, _ in rows)), (at % len(rows) + 1).cast("int"))
+
+
+def _expected(rows: tuple, at: str) -> str:
+    return f"[{', '.join(repr(k) for _, k in rows)}][{at} % {len(rows)} + 1]"
+
+
+@query(f"""SELECT p_partkey, {_expected(_QUESTIONS, 'p_size')} AS intent, {_expected(_CLAIMS, 'p_partkey')} AS shape, {_expected(_SPOKEN, 'p_size')} AS noise, p_size % 7 = 4 AND p_partkey % 8 IN (0, 1) OR p_size % 7 = 5 AND p_partkey % 8 = 3 OR p_size % 7 = 1 AND p_partkey % 8 = 4 AS on_topic FROM part""")
+def classified_texts(spark, d):
+    """What questions ask for, what claims are like, what is noise, and whether a claim is on a question's topic."""
+    z, k = F.col("p_size"), F.col("p_partkey")
+    q, c = _planted(_QUESTIONS, z), _planted(_CLAIMS, k)
+    return table(spark, d, "part").select("p_partkey", classify.query_intent(q).alias("intent"), classify.claim_shape(c).alias("shape"), classify.transcript_noise(_planted(_SPOKEN, z)).alias("noise"), classify.on_topic(q, c).alias("on_topic"))

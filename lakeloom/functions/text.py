@@ -115,8 +115,13 @@ def spaced(c: Column) -> Column:
 
 
 def plain_words(c: Column) -> Column:
-    """Compatibility form, lower case, quotes out, punctuation as spaces, white space collapsed."""
-    return spaced(F.regexp_replace(F.regexp_replace(F.lower(nfkc(c)), "[„”\"']", ""), r"[.,;:!?\-–—()\[\]{}]", " "))
+    """Lower case, quotes out, punctuation as spaces, white space collapsed."""
+    return spaced(F.regexp_replace(F.regexp_replace(F.lower(c), "[„”\"']", ""), r"[.,;:!?\-–—()\[\]{}]", " "))
+
+
+def normal_words(c: Column) -> Column:
+    """plain_words() of a text in compatibility form, for columns that are normalised once."""
+    return plain_words(nfkc(c))
 
 
 def spoken(c: Column) -> Column:

@@ -49,9 +49,9 @@ def answerable(answerability: Column, covered: Column, cited: Column) -> Column:
 
 def anchors(records: DataFrame, known: dict[str, DataFrame]) -> DataFrame:
     """id, anchors: the names of the indexes (each with a column label) that hold a record's (id, label) folded label."""
-    out = records.select("id", fx.plain_words(F.col("label")).alias("_l"))
+    out = records.select("id", fx.normal_words(F.col("label")).alias("_l"))
     for name, index in known.items():
-        labels = index.select(fx.plain_words(F.col("label")).alias("_l"), F.lit(name).alias(f"_{name}")).distinct()
+        labels = index.select(fx.normal_words(F.col("label")).alias("_l"), F.lit(name).alias(f"_{name}")).distinct()
         out = out.join(labels, "_l", "left")
     return out.select("id", F.array_compact(F.array(*(F.col(f"_{n}") for n in known))).alias("anchors"))
 
@@ -59,11 +59,11 @@ def anchors(records: DataFrame, known: dict[str, DataFrame]) -> DataFrame:
 def concepts(questions: DataFrame, lexicon: DataFrame, longest: int = 4) -> DataFrame:
     """question_id, concept of each entry of a lexicon (concept, alias) whose words stand together in a question
     (question_id, text), marks aside. Runs of at most longest words meet aliases by an equi-join."""
-    words = F.split(fx.folded(fx.plain_words(F.col("text"))), " ")
+    words = F.split(fx.folded(fx.normal_words(F.col("text"))), " ")
     runs = questions.select("question_id", words.alias("w")).select("question_id", "w", F.explode(F.sequence(F.lit(1), F.lit(longest))).alias("n")).where(F.size("w") >= F.col("n"))
     at = F.transform(F.sequence(F.lit(1), F.size("w") - F.col("n") + 1), lambda i: F.array_join(F.slice("w", i, F.col("n")), " "))
     said = runs.select("question_id", F.explode(F.array_distinct(at)).alias("a"))
-    return said.join(lexicon.select("concept", fx.folded(fx.plain_words(F.col("alias"))).alias("a")).distinct(), "a").select("question_id", "concept").distinct()
+    return said.join(lexicon.select("concept", fx.folded(fx.normal_words(F.col("alias"))).alias("a")).distinct(), "a").select("question_id", "concept").distinct()
 
 
 def satisfied(found: DataFrame, rules: DataFrame) -> DataFrame:

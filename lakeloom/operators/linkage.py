@@ -49,8 +49,8 @@ def normalised(records: DataFrame) -> DataFrame:
     none = {c: F.array().cast("array<string>") if c in _ARRAYS else F.lit("") for c in ("platform", "areas", "contexts") if c not in records.columns}
     records = records.withColumns(none) if none else records
     said = {c: F.when(F.trim(F.coalesce(F.col(c), F.lit(""))) == "", other).otherwise(F.col(c)) for c, other in UNSAID.items()}
-    out = records.withColumns({c: _sorted(F.col(c)) for c in _ARRAYS} | said | {c: fx.plain_words(F.coalesce(F.col(c), F.lit(""))) for c in ("subject", "predicate", "object", "statement")})
-    out = out.withColumn("hints", F.array_distinct(F.filter(F.transform(F.coalesce("hints", F.array().cast("array<string>")), fx.plain_words), lambda x: x != "")))
+    out = records.withColumns({c: _sorted(F.col(c)) for c in _ARRAYS} | said | {c: fx.normal_words(F.coalesce(F.col(c), F.lit(""))) for c in ("subject", "predicate", "object", "statement")})
+    out = out.withColumn("hints", F.array_distinct(F.filter(F.transform(F.coalesce("hints", F.array().cast("array<string>")), fx.normal_words), lambda x: x != "")))
     partition = F.sha2(F.to_json(F.struct(*APPLIES), {"ignoreNullFields": "false"}), 256)
     key = F.sha2(F.concat_ws("\x01", "kind", "subject", "predicate", "object", _entries(F.col("payload"), NAMING)), 256)
     whole = F.sha2(F.to_json(F.struct("kind", "subject", "predicate", "object", "statement", "signature", "source", "hints", *APPLIES, _entries(F.col("payload")).alias("payload")), {"ignoreNullFields": "false"}), 256)
@@ -176,6 +176,7 @@ def differences(x: Callable[[str], Column], y: Callable[[str], Column]) -> Colum
 
 def relations(records: DataFrame, least_signals: int = 2, general: tuple[str, ...] = GENERAL) -> DataFrame:
     """left_id, right_id, signals, relation, compatible, unknown for each pair of normalised records with a signal."""
+    records = cut(records)  # both sides and the pairs read them
     pairs = record_pairs(records, general)
     side = lambda p: records.select(*(F.col(c).alias(f"{p}_{c}") for c in records.columns))
     joined = pairs.join(side("left"), "left_id").join(side("right"), "right_id")

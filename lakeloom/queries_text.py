@@ -28,7 +28,7 @@ def text_keys(spark, d):
     from lakeloom.operators import retrieval
 
     t = F.col("t")
-    return _mixed(spark, d).select("p_partkey", fx.plain_words(t).alias("words"), fx.spoken(t).alias("spoken"), fx.title_key(t).alias("title"), fx.graph_term(t).alias("graph_term"), retrieval.searchable(t).alias("searchable"))
+    return _mixed(spark, d).select("p_partkey", fx.normal_words(t).alias("words"), fx.spoken(t).alias("spoken"), fx.title_key(t).alias("title"), fx.graph_term(t).alias("graph_term"), retrieval.searchable(t).alias("searchable"))
 
 
 @query("SELECT p_partkey, 'fi ' || p_name || ' 21⁄2 ÅK é x̂ (1) カ̇ ' || p_size AS text FROM part")

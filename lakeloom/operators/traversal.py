@@ -8,10 +8,6 @@ from pyspark.sql import functions as F
 
 from lakeloom.sources.cuts import cut, drop_cut
 
-#: Steps of a label or a reach that one job takes before it is written.
-HOPS = 4
-
-
 def dependency_paths(edges: DataFrame, roots: DataFrame, depth: int, most_per_target: int = 3, budget: int | None = 500) -> DataFrame:
     """root, node, depth, path, truncated: what each root (node) depends on only through others, with its least depth and at
     most most_per_target paths of that depth, the first ones in order. What a root leads to directly is left out, and so is
@@ -66,7 +62,7 @@ def strong_components(edges: DataFrame) -> DataFrame:
     Nodes without an edge in or without one out are trimmed, again and again. Every node that is left takes two colours: the
     smallest node that leads to it and the smallest that it leads to. Where both are one node, that node leads there and back,
     so this is its component; all other components lie within pairs of colours, and only edges within these stay for the next
-    turn. Labels spread HOPS steps in a job; a turn ends when none changes.
+    turn. Labels jump along labels, so they settle in about the logarithm of the longest way; a turn ends when none changes.
     """
     left, found = cut(edges.where("src <> dst").select("src", "dst").distinct()), None
 
@@ -85,15 +81,17 @@ def strong_components(edges: DataFrame) -> DataFrame:
             break
         step = left
 
+        both = step.select(F.col("src").alias("a"), F.col("dst").alias("b"), F.lit(True).alias("down")).unionByName(step.select(F.col("dst").alias("a"), F.col("src").alias("b"), F.lit(False).alias("down")))
+
         def spread(labels: DataFrame) -> DataFrame:
-            first = labels.select("node", "above", "below", F.col("above").alias("a0"), F.col("below").alias("b0"))
-            now = first
-            for _ in range(HOPS):
-                down = step.join(now.select(F.col("node").alias("src"), "above"), "src").select(F.col("dst").alias("node"), "above", F.lit(None).cast(kind).alias("below"))
-                up = step.join(now.select(F.col("node").alias("dst"), "below"), "dst").select(F.col("src").alias("node"), F.lit(None).cast(kind).alias("above"), "below")
-                sent = down.unionByName(up).unionByName(now, allowMissingColumns=True)
-                now = sent.groupBy("node").agg(F.min("above").alias("above"), F.min("below").alias("below"), F.max("a0").alias("a0"), F.max("b0").alias("b0"))
-            return now.select("node", "above", "below", ((F.col("above") != F.col("a0")) | (F.col("below") != F.col("b0"))).alias("changed"))
+            """Labels of the neighbours, then those that the labels themselves have: what leads to a node that leads here does so too."""
+            old = labels.select("node", "above", "below", F.col("above").alias("a0"), F.col("below").alias("b0"))
+            sent = both.join(labels, both["a"] == labels["node"]).select(F.col("b").alias("node"), F.when(F.col("down"), F.col("above")).alias("above"), F.when(~F.col("down"), F.col("below")).alias("below"))
+            now = sent.unionByName(old, allowMissingColumns=True).groupBy("node").agg(F.min("above").alias("above"), F.min("below").alias("below"), F.max("a0").alias("a0"), F.max("b0").alias("b0"))
+            for end, far in (("above", "far_above"), ("below", "far_below")):
+                now = now.join(labels.select(F.col("node").alias(end), F.col(end).alias(far)), end, "left")
+            above, below = F.least("above", "far_above"), F.least("below", "far_below")
+            return now.select("node", above.alias("above"), below.alias("below"), ((above != F.col("a0")) | (below != F.col("b0"))).alias("changed"))
 
         kind = left.schema["src"].dataType
         nodes = step.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
@@ -123,9 +121,11 @@ def cycles(edges: DataFrame, most: int = 50) -> DataFrame:
     while n < most:
         on = cut(front.join(step, "src").where(F.col("dst") >= F.col("first")).select("first", "path", "dst"))
         closed = on.where("dst = first").select(F.concat("path", F.array("dst")).alias("cycle"), F.lit(d).alias("length"))
-        found, n, d = found.unionByName(closed), n + closed.count(), d + 1
-        front = on.where(F.col("dst") > F.col("first")).where(~F.array_contains("path", F.col("dst"))).select("first", F.concat("path", F.array("dst")).alias("path"), F.col("dst").alias("src"))
-        if front.isEmpty():
+        onward = (F.col("dst") > F.col("first")) & ~F.array_contains("path", F.col("dst"))
+        more, ended = on.agg(F.count_if(onward), F.count_if(F.col("dst") == F.col("first"))).first()
+        found, n, d = found.unionByName(closed), n + ended, d + 1
+        front = on.where(onward).select("first", F.concat("path", F.array("dst")).alias("path"), F.col("dst").alias("src"))
+        if not more:
             break
     return found.orderBy("length", "cycle").limit(most)
 

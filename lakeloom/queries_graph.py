@@ -10,9 +10,9 @@ from lakeloom.queries import query
 from lakeloom.queries_profile import NAMED, PROFILE, named, profile
 from lakeloom.sources.tables import table
 
-#: Parts as nodes in rings of twelve; some lead across their ring too, some to a later ring.
+#: Parts as nodes in rings of twelve; some lead across their ring too, some of every other ring to the next one.
 _E = """p AS (SELECT p_partkey AS p, p_size AS s, p_brand, p_partkey - (p_partkey - 1) % 12 AS b, (p_partkey - 1) % 12 AS i FROM part),
-w AS (SELECT p AS src, b + (i + 1) % 12 AS dst, s, p_brand FROM p UNION ALL SELECT p, b + (i * 7 + s) % 12, s + 1, p_brand FROM p WHERE s % 5 = 0 UNION ALL SELECT p, p + 12 * (1 + s % 3), s + 2, p_brand FROM p WHERE s % 7 = 0),
+w AS (SELECT p AS src, b + (i + 1) % 12 AS dst, s, p_brand FROM p UNION ALL SELECT p, b + (i * 7 + s) % 12, s + 1, p_brand FROM p WHERE s % 5 = 0 UNION ALL SELECT p, p + 12, s + 2, p_brand FROM p WHERE s % 7 = 0 AND (p // 12) % 2 = 0),
 e AS (SELECT src, dst, CASE s % 3 WHEN 0 THEN 'reads' WHEN 1 THEN 'calls' ELSE 'shows' END AS type, p_brand AS source, s AS p_size FROM w)"""
 
 
@@ -20,7 +20,7 @@ def _edges(spark, d):
     p, s = F.col("p_partkey"), F.col("p_size")
     i = (p - 1) % 12
     to = lambda dst, size: F.struct(dst.cast("long").alias("dst"), size.cast("int").alias("p_size"))
-    ends = F.array(to(p - i + (i + 1) % 12, s), F.when(s % 5 == 0, to(p - i + (i * 7 + s) % 12, s + 1)), F.when(s % 7 == 0, to(p + 12 * (1 + s % 3), s + 2)))
+    ends = F.array(to(p - i + (i + 1) % 12, s), F.when(s % 5 == 0, to(p - i + (i * 7 + s) % 12, s + 1)), F.when((s % 7 == 0) & (F.floor(p / 12) % 2 == 0), to(p + 12, s + 2)))
     rows = table(spark, d, "part").select(p.alias("src"), F.col("p_brand").alias("source"), F.inline(F.array_compact(ends)))
     kind = F.when(F.col("p_size") % 3 == 0, "reads").when(F.col("p_size") % 3 == 1, "calls").otherwise("shows")
     return rows.select("src", "dst", kind.alias("type"), "source", "p_size")

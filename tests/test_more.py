@@ -330,3 +330,15 @@ def test_graph_import_replaces_all_or_nothing(spark, tmp_path):
     nodes, edges = tables.current_graph(spark, target)
     assert [r.id for r in nodes.collect()] == ["x"] and edges.count() == 0 and tables.drop_graph_versions(spark, target) == 1
     assert tables.current_graph(spark, target)[0].count() == 1
+
+
+def work_of(df, name):
+    """How often an expression stands in a query's plan."""
+    return df._jdf.queryExecution().analyzed().toString().count(name)
+
+
+def test_a_tag_cleans_its_word_once(spark):
+    words = spark.createDataFrame([("Pracowników",), ("pracownikach",), ("domami",), ("ie",), ("a",), ("!",), (None,)], "x string")
+    got = words.select(fx.tag(F.col("x")).alias("y"))
+    assert [r.y for r in got.collect()] == ["pracownik", "pracownik", "dom", "ie", "", "", None]
+    assert work_of(got, "regexp_replace") == 1

@@ -342,3 +342,14 @@ def test_a_tag_cleans_its_word_once(spark):
     got = words.select(fx.tag(F.col("x")).alias("y"))
     assert [r.y for r in got.collect()] == ["pracownik", "pracownik", "dom", "ie", "", "", None]
     assert work_of(got, "regexp_replace") == 1
+
+
+def test_excerpts_of_long_lines_are_found_in_one_pass(spark):
+    import time
+
+    texts = ["a. b " + "x" * 9 + " tylko i wyłącznie z. c", "q\nma następujacych cech:\n a, b.c", "next\nBlok: widget\nrow", "y. Tylko i wyłączny brak końca", " ", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "x string").select(fx.knowledge_excerpt(F.col("x"), ["widgets"], most=40).alias("y"))
+    assert [r.y for r in rows.collect()] == ["b xxxxxxxxx tylko i wyłącznie z. c", "ma następujacych cech:\n a, b.", "Blok: widget\nrow", None, None, None]
+    began = time.time()  # a search from every place of the line takes minutes
+    assert one(spark, fx.knowledge_excerpt(F.repeat(F.col("x"), F.lit(60_000)), ["widgets"]), "xx ") is None
+    assert time.time() - began < 20

@@ -3,6 +3,7 @@ import itertools
 import json
 import os
 import random
+import time
 from datetime import datetime
 
 import pytest
@@ -345,11 +346,21 @@ def test_a_tag_cleans_its_word_once(spark):
 
 
 def test_excerpts_of_long_lines_are_found_in_one_pass(spark):
-    import time
-
     texts = ["a. b " + "x" * 9 + " tylko i wyłącznie z. c", "q\nma następujacych cech:\n a, b.c", "next\nBlok: widget\nrow", "y. Tylko i wyłączny brak końca", " ", None]
     rows = spark.createDataFrame([(t,) for t in texts], "x string").select(fx.knowledge_excerpt(F.col("x"), ["widgets"], most=40).alias("y"))
     assert [r.y for r in rows.collect()] == ["b xxxxxxxxx tylko i wyłącznie z. c", "ma następujacych cech:\n a, b.", "Blok: widget\nrow", None, None, None]
     began = time.time()  # a search from every place of the line takes minutes
     assert one(spark, fx.knowledge_excerpt(F.repeat(F.col("x"), F.lit(60_000)), ["widgets"]), "xx ") is None
     assert time.time() - began < 20
+
+
+def test_names_of_one_beginning_do_not_all_meet(spark):
+    names = lambda m: spark.range(400).select(F.concat(F.lit("clip "), F.substring(F.md5((F.col("id") * 2 + m).cast("string")), 1, 9)).alias("name"))
+    asked, known = names(0), names(1).union(names(0).select(F.concat(F.reverse(F.col("name")), F.lit("x")))).union(names(0).where("name > 'clip 8'").select(F.overlay("name", F.lit("-z"), 7)))
+    found = linkage.suggestions(asked, known)
+    want = asked.crossJoin(known.select(F.col("name").alias("s"))).where(F.levenshtein("name", "s").between(1, 2)).select("name", "s")
+    assert sorted((r.name, r.suggestion) for r in found.collect()) == sorted(tuple(r) for r in want.collect()) and found.count() > 100
+    began = time.time()  # when all of a beginning meet, 150 million pairs are made
+    many = lambda m: spark.range(12_000).select(F.concat(F.lit("clip "), F.substring(F.md5((F.col("id") * 2 + m).cast("string")), 1, 9)).alias("name"))
+    assert linkage.suggestions(many(0), many(1)).count() < 100
+    assert time.time() - began < 40

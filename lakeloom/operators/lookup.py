@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakeloom.functions import text as fx
 from lakeloom.operators.graph import unique_best
+from lakeloom.sources.cuts import cut
 
 #: Letters of a gram; shorter fragments are looked for by grams of their own length.
 GRAM = 3
@@ -18,21 +19,42 @@ def _grams(c: Column, n: int) -> Column:
     return F.when(F.length(c) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substring(c, i, F.lit(n))))).otherwise(F.array().cast("array<string>"))
 
 
-def holders(fragments: DataFrame, names: DataFrame) -> DataFrame:
-    """fragment, id, name of every name (id, name) that holds a fragment (fragment), letter by letter.
+def _met(fragments: DataFrame, names: DataFrame) -> DataFrame:
+    """fragment, name of every distinct name that holds a fragment, letter by letter.
 
-    Names are posted under each of their distinct grams of one to three letters, fragments ask for their longest ones; a name
-    that is posted under as many of them as the fragment has is a candidate, and the text itself decides. An empty fragment
-    is in no name.
+    Names are posted under each of their distinct grams of one to three letters that is asked for; a fragment meets those of its
+    rarest gram alone, and the text itself decides. One with a gram that no name has meets none.
     """
     asked = fragments.select("fragment").where("fragment <> ''").distinct()
     length = F.least(F.length("fragment"), F.lit(GRAM))
     wanted = F.when(length == 1, _grams(F.col("fragment"), 1)).when(length == 2, _grams(F.col("fragment"), 2)).otherwise(_grams(F.col("fragment"), GRAM))
-    asked = asked.select("fragment", wanted.alias("g")).select("fragment", F.size("g").alias("needs"), F.explode("g").alias("gram"))
-    posted = names.select("id", "name").distinct()
-    posts = posted.select("id", "name", F.explode(F.concat(*(_grams(F.col("name"), n) for n in range(1, GRAM + 1)))).alias("gram"))
-    met = asked.join(posts, "gram").groupBy("fragment", "needs", "id", "name").agg(F.count("*").alias("has")).where("has = needs")
-    return met.where(F.col("name").contains(F.col("fragment"))).select("fragment", "id", "name")
+    asked = cut(asked.select("fragment", wanted.alias("g")).select("fragment", F.size("g").alias("needs"), F.explode("g").alias("gram")))
+    posts = names.select("name").distinct().select("name", F.explode(F.concat(*(_grams(F.col("name"), n) for n in range(1, GRAM + 1)))).alias("gram"))
+    counts = posts.join(asked.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
+    rarest = asked.join(counts, "gram").groupBy("fragment", "needs").agg(F.count("*").alias("has"), F.min_by("gram", F.struct("n", "gram")).alias("gram")).where("has = needs")
+    return posts.join(cut(rarest.select("fragment", "gram")), "gram").where(F.col("name").contains(F.col("fragment"))).select("fragment", "name")
+
+
+def holders(fragments: DataFrame, names: DataFrame) -> DataFrame:
+    """fragment, id, name of every name (id, name) that holds a fragment (fragment), letter by letter. An empty fragment is in no
+    name."""
+    return _met(fragments, names).join(names.select("id", "name").distinct(), "name").select("fragment", "id", "name")
+
+
+def first_holders(fragments: DataFrame, names: DataFrame, most: int) -> DataFrame:
+    """fragment, id of the first most ids, by id, of the names that hold a fragment: of each name, then of each fragment, only
+    so many go on."""
+    first = lambda rows, key: rows.withColumn("_k", F.row_number().over(Window.partitionBy(key).orderBy("id"))).where(F.col("_k") <= most).drop("_k")
+    ids = first(names.select("id", "name").distinct(), "name")
+    return first(_met(fragments, names).join(ids, "name").select("fragment", "id").distinct(), "fragment")
+
+
+def enders(fragments: DataFrame, names: DataFrame) -> DataFrame:
+    """fragment, id, name of every name (id, name) that ends with a fragment: names meet fragments by the ends that they have."""
+    asked = fragments.select("fragment").where("fragment <> ''").distinct()
+    ends = F.transform(F.sequence(F.lit(1), F.length("name")), lambda i: F.substring("name", i, F.length("name")))
+    ends = names.select("id", "name").distinct().where("name <> ''").select("id", "name", F.explode(ends).alias("fragment"))
+    return asked.join(ends, "fragment").select("fragment", "id", "name")
 
 
 def guid_key(c: Column) -> Column:
@@ -53,13 +75,14 @@ def resolved_forms(asked: DataFrame, forms: DataFrame, most: int = 30) -> DataFr
     own = forms.select(F.col("node").cast("string").alias("node"), guid_key(F.col("guid")).alias("g"), "name", "canonical")
     by_guid = q.where("g is not null").join(own, "g").where(F.col("t").isNull() | (F.col("canonical") == F.col("t")) | (F.col("name") == F.col("t")) | F.col("canonical").endswith(F.col("t"))).select("question", "node", F.lit(EXACT_GUID).alias("rank"))
     typed = q.where("g is null and t is not null").select("question", F.col("t").alias("fragment"))
-    ends = holders(typed, own.select(F.col("node").alias("id"), F.col("canonical").alias("name"))).where(F.col("name").endswith(F.col("fragment")))
+    ends = enders(typed, own.select(F.col("node").alias("id"), F.col("canonical").alias("name")))
     by_type = typed.join(ends, "fragment").select("question", F.col("id").alias("node"), F.when(F.col("name") == F.col("fragment"), EXACT_TYPE).otherwise(SUFFIX).alias("rank"))
     plain, folded = q.where("g is null and t is null and f is not null").select("question", F.col("f").alias("fragment")), F.col("fragment")
     names = own.select(F.col("node").alias("id"), F.explode(F.array("name", "canonical")).alias("name"))
-    as_is = plain.join(holders(plain, names), "fragment").select("question", F.col("id").alias("node"))
+    as_is = plain.join(first_holders(plain, names, most), "fragment").select("question", F.col("id").alias("node"))
     bare = plain.select("question", fx.graph_term(folded).alias("fragment"))
-    alike = bare.join(holders(bare, own.select(F.col("node").alias("id"), fx.graph_term(F.col("name")).alias("name"))), "fragment").select("question", F.col("id").alias("node"))
+    terms = own.select(F.col("node").alias("id"), fx.graph_term(F.col("name")).alias("name"))
+    alike = bare.join(first_holders(bare, terms, most), "fragment").select("question", F.col("id").alias("node"))
     pieces = as_is.unionByName(alike).groupBy("question").agg(F.slice(F.array_sort(F.collect_set("node")), 1, most).alias("nodes")).select("question", F.explode("nodes").alias("node"), F.lit(FRAGMENT).alias("rank"))
     best = by_guid.unionByName(by_type).unionByName(pieces).groupBy("question", "node").agg(F.min("rank").alias("rank"))
     found = asked.select("question").distinct().join(unique_best(best, "question", "node", "rank", RESOLVES), "question", "left")

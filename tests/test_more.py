@@ -374,3 +374,25 @@ def test_lineages_with_equal_seqs_take_the_first_row(spark, tmp_path):
     spark.createDataFrame(lines + [(40, 7, 6, 3, "N", "F"), (40, 7, 0, 3, "A", "F")], line).coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
     got = {(r.candidate, r.lineage): (r.family, r.strength) for r in registry.QUERIES["evidence_lineages"](spark, str(tmp_path)).collect()}
     assert got[(2, "origin0")] == ("oracle_metadata_ddl", "verified_exact") and got[(7, "origin0")] == ("sql_usage", "supported_by_single_authoritative_mapping")
+
+
+def test_fragments_and_ends_of_many_alike_names(spark):
+    from lakeloom.operators import lookup
+
+    names = spark.createDataFrame([(f"{k:03}", f"App.{'red' if k % 2 else 'blue'}widget{k}") for k in range(200)] + [("x", ""), ("y", None)], "id string, name string")
+    asked = spark.createDataFrame([("red",), ("widget1",), ("dwidget7",), ("redwidget7",), ("zzz",), ("19",), ("e",), ("",), (None,)], "fragment string")
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    every = asked.join(names, names.name.contains(asked.fragment) & (asked.fragment != ""))
+    assert rows(lookup.holders(asked, names)) == rows(every.select("fragment", "id", "name"))
+    assert rows(lookup.enders(asked, names)) == rows(every.where("endswith(name, fragment)").select("fragment", "id", "name"))
+    ids = {}
+    for f, i in rows(every.select("fragment", "id")):
+        ids.setdefault(f, []).append(i)
+    assert rows(lookup.first_holders(asked, names, 7)) == sorted((f, i) for f, found in ids.items() for i in found[:7])
+    k = F.col("id").cast("string")
+    forms = spark.range(30_000).select(k.alias("node"), F.md5(k).alias("guid"), F.lit("red widget").alias("name"), F.concat(F.lit("App.redwidget"), k).alias("canonical"))
+    none = F.lit(None).cast("string")
+    kinds = spark.range(30_000).select(F.col("id").alias("question"), none.alias("guid"), F.when(F.col("id") % 2 == 0, F.concat(F.lit("App.redwidget"), k)).alias("full_type"), F.when(F.col("id") % 2 == 1, "widget").alias("fragment"))
+    began = time.time()  # when all names of a gram meet all questions of it, that is some billion pairs
+    assert {(r.status, r["count"]) for r in lookup.resolved_forms(kinds, forms).groupBy("status").count().collect()} == {("resolved", 15_000), ("ambiguous", 15_000)}
+    assert time.time() - began < 45

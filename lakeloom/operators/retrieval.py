@@ -6,6 +6,7 @@ import re
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from lakeloom.functions import text as fx
 from lakeloom.sources.cuts import cut
@@ -49,6 +50,29 @@ def _dot(x: Column, y: Column) -> Column:
     return F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
 
 
+def _best_pairs(asked, points, k: int, filters: list[str]):
+    """query_id, id, score: for each query of a block the k best points of a part, ties at the end with them. A product of matrices
+    says which may be; their scores are added up component by component, so that equal vectors score alike anywhere."""
+    import numpy as np
+    import pandas as pd
+
+    none = pd.DataFrame({"query_id": asked["query_id"][:0], "id": points["id"][:0], "score": np.zeros(0)})
+    if asked.empty or points.empty:
+        return none
+    x, y = np.array(asked["q"].tolist(), dtype=float), np.array(points["v"].tolist(), dtype=float)
+    near = x @ y.T
+    for f in filters:
+        known, values = points[f].notna().to_numpy(), points[f].to_numpy()
+        for i, allowed in enumerate(asked[f"_{f}"]):
+            if allowed is not None:
+                near[i, ~(known & np.isin(values, [a for a in allowed if a is not None and a == a]))] = -np.inf
+    floor = np.full(len(x), -2.0) if len(y) <= k else np.maximum(np.partition(near, len(y) - k, axis=1)[:, len(y) - k], -2.0)
+    i, j = np.nonzero(near >= floor[:, None] - 1e-9)
+    score = np.concatenate([np.zeros(0)] + [np.cumsum(x[i[n : n + 65536]] * y[j[n : n + 65536]], axis=1)[:, -1] for n in range(0, len(i), 65536)])
+    out = pd.DataFrame({"query_id": asked["query_id"].to_numpy()[i], "id": points["id"].to_numpy()[j], "score": score})
+    return out.sort_values(["query_id", "score", "id"], ascending=[True, False, True]).groupby("query_id").head(k)
+
+
 def search_many(queries: DataFrame, points: DataFrame, k: int, filters: list[str], most_lists: int = 64, list_rows: int = 2048) -> DataFrame:
     """query_id, rank, id, score: for each query (query_id, vector, and for each filter an array of allowed values or null for any)
     its k nearest points (id, vector, and the filters' columns) by cosine among those that its filters allow; ties: the smaller
@@ -75,16 +99,18 @@ def search_many(queries: DataFrame, points: DataFrame, k: int, filters: list[str
     filed = filed.join(F.broadcast(lists.select("list", "parts")), "list").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     q = queries.select("query_id", _unit(F.col("vector")).alias("q"), *(F.col(f).alias(f"_{f}") for f in filters)).where(F.size("q") == shape["dim"])
     q = cut(q.withColumn("far", near(F.col("q"))))
-    fits = lambda: [F.col(f"_{f}").isNull() | F.coalesce(F.array_contains(F.col(f"_{f}"), F.col(f)), F.lit(False)) for f in filters]
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    pairs = StructType([StructField("query_id", q.schema["query_id"].dataType), StructField("id", filed.schema["id"].dataType), StructField("score", DoubleType())])
 
     def read(asked: DataFrame) -> DataFrame:
-        """asked: query_id, q, filters, list; the k best of the lists that each query asks for."""
-        parts = asked.join(F.broadcast(lists.select("list", "parts")), "list").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
-        met = parts.join(filed.drop("parts"), ["list", "part"])
-        for f in fits():
-            met = met.where(f)
-        scored = met.select("query_id", "id", _dot(F.col("q"), F.col("v")).alias("score"))
+        """asked: query_id, q, filters, list; the k best of the lists that each query asks for. Blocks of at most some list_rows
+        queries meet parts of lists of that size."""
+        blocks = asked.groupBy("list").agg(F.ceil(F.count("*") / list_rows).cast("int").alias("blocks"))  # most_lists rows
+        left = asked.join(F.broadcast(lists.select("list", "parts")), "list").join(F.broadcast(blocks), "list")
+        left = left.withColumns({"block": F.pmod(F.xxhash64("query_id"), "blocks").cast("int"), "part": F.explode(F.sequence(F.lit(0), F.col("parts") - 1))}).drop("parts", "blocks")
+        right = filed.drop("parts", "angle").join(F.broadcast(blocks), "list").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+        key = ["list", "part", "block"]
+        scored = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(lambda x, y: _best_pairs(x, y, k, filters), pairs)
         return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
     own = F.array_min("far")["list"]

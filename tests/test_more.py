@@ -396,3 +396,19 @@ def test_fragments_and_ends_of_many_alike_names(spark):
     began = time.time()  # when all names of a gram meet all questions of it, that is some billion pairs
     assert {(r.status, r["count"]) for r in lookup.resolved_forms(kinds, forms).groupBy("status").count().collect()} == {("resolved", 15_000), ("ambiguous", 15_000)}
     assert time.time() - began < 45
+
+
+def test_many_vectors_meet_as_blocks(spark):
+    import numpy as np
+
+    vector = F.transform(F.sequence(F.lit(1), F.lit(64)), lambda i: (F.pmod(F.xxhash64("id", i), F.lit(2001)) - 1000) / 1000.0)
+    points = spark.range(8000).select("id", vector.alias("vector"), (F.col("id") % 5).alias("kind"))
+    asked = points.select(F.col("id").alias("query_id"), "vector", F.when(F.col("id") % 2 == 0, F.array("kind")).alias("kind"))
+    began = time.time()  # pair by pair, 64 million products of vectors take minutes
+    found = retrieval.search_many(asked, points, 5, ["kind"]).toPandas()
+    assert len(found) == 40_000 and time.time() - began < 60
+    v = np.array([r.vector for r in points.orderBy("id").select("vector").collect()])
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    for q in range(0, 8000, 397):
+        s = np.where((np.arange(8000) % 5 == q % 5) | (q % 2 == 1), v @ v[q], -9)
+        assert found[found.query_id == q].sort_values("rank").id.tolist() == np.argsort(-s)[:5].tolist()

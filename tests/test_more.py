@@ -412,3 +412,14 @@ def test_many_vectors_meet_as_blocks(spark):
     for q in range(0, 8000, 397):
         s = np.where((np.arange(8000) % 5 == q % 5) | (q % 2 == 1), v @ v[q], -9)
         assert found[found.query_id == q].sort_values("rank").id.tolist() == np.argsort(-s)[:5].tolist()
+
+
+def test_compatibility_form_looks_marks_up_once(spark):
+    import unicodedata
+
+    from lakeloom.functions.unicode import nfkc
+
+    texts = ["ﬁ ２½ Å x̂ ⑴ ｶ̇", "ée", "́a", "plain", "zażółć", None]
+    got = spark.createDataFrame([(t,) for t in texts], "x string").select(nfkc(F.col("x")).alias("y"))
+    assert [r.y for r in got.collect()] == [t and unicodedata.normalize("NFKC", t) for t in texts]
+    assert work_of(got, "try_element_at") == 1

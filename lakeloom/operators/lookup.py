@@ -91,18 +91,21 @@ def resolved_forms(asked: DataFrame, forms: DataFrame, most: int = 30) -> DataFr
 
 def resolved_objects(asked: DataFrame, objects: DataFrame) -> DataFrame:
     """question, status, node, rank for each question (question, owner, object_type, name): the object of that identity, rank 3.
-    objects: node, owner, object_type, name, canonical. The identity as it stands goes before one that differs in case."""
+    objects: node, owner, object_type, name, canonical. The identity as it stands goes before one that differs in case.
+
+    Each way to be meant is a key; an object counts under its keys only by the least and the greatest node of each, which tell
+    one node from several, so a question meets one row of a key, however many objects have it.
+    """
     o = objects.select(F.col("node").cast("string").alias("node"), F.col("owner").alias("o"), F.col("object_type").alias("k"), F.col("name").alias("n"), F.col("canonical").alias("c"))
-    term = fx.graph_term(F.col("name"))
-    # equal names meet in a key, so no owner's objects meet all questions about it
-    keys = lambda *names: F.explode(F.array_distinct(F.array(*names)))
-    left = asked.select("question", "owner", "object_type", "name", F.upper("owner").alias("uo"), F.upper("object_type").alias("uk"), keys(F.upper("name"), term).alias("key"))
-    right = o.select("*", F.upper("o").alias("uo"), F.upper("k").alias("uk"), keys(F.upper("n"), F.upper("c"), fx.graph_term(F.col("n"))).alias("key"))
-    near = left.join(right, ["uo", "uk", "key"])
-    exact = (F.col("owner") == F.col("o")) & (F.col("object_type") == F.col("k")) & ((F.col("name") == F.col("n")) | (F.col("name") == F.col("c")) | (term == fx.graph_term(F.col("n"))))
-    loose = (F.upper("name") == F.upper("n")) | (F.upper("name") == F.upper("c"))
-    hits = near.where(exact | loose).select("question", "node", F.when(exact, 0).otherwise(1).alias("way"))
-    best = hits.groupBy("question").agg(F.min("way").alias("best"))
-    found = hits.join(best, "question").where("way = best").select("question", "node", F.lit(IDENTITY).alias("rank")).distinct()
-    out = asked.select("question").distinct().join(unique_best(found, "question", "node", "rank", RESOLVES), "question", "left")
+    key = lambda way, own, kind, name: F.when(name.isNotNull(), F.struct(F.lit(way).alias("way"), own.alias("o"), kind.alias("k"), name.alias("n")))
+    # ways: 0 the name as it stands, 1 its term, 2 whatever its case
+    keys = lambda own, kind, term, *names: F.inline(F.array_distinct(F.array_compact(F.array(key(1, own, kind, fx.graph_term(term)), *(k for n in names for k in (key(0, own, kind, n), key(2, F.upper(own), F.upper(kind), F.upper(n))))))))
+    has = o.select("node", keys(F.col("o"), F.col("k"), F.col("n"), F.col("n"), F.col("c"))).groupBy("way", "o", "k", "n").agg(F.min("node").alias("first"), F.max("node").alias("last"))
+    said = asked.select("question", keys(F.col("owner"), F.col("object_type"), F.col("name"), F.col("name")))
+    hits = said.join(has.hint("merge"), ["way", "o", "k", "n"]).withColumn("loose", F.col("way") == 2)
+    best = hits.groupBy("question").agg(F.min("loose").alias("loose"), *(f(F.when(F.col("loose") == loose, F.col(c))).alias(f"{c}_{int(loose)}") for loose in (False, True) for f, c in ((F.min, "first"), (F.max, "last"))))
+    end = lambda c: F.when(F.col("loose"), F.col(f"{c}_1")).otherwise(F.col(f"{c}_0"))
+    found = best.select("question", F.explode(F.array_distinct(F.array(end("first"), end("last")))).alias("node"), F.lit(IDENTITY).alias("rank"))
+    # a table's files are far smaller than its rows, so a side that looks small would be sent to every task
+    out = asked.select("question").distinct().join(unique_best(found, "question", "node", "rank", RESOLVES).hint("merge"), "question", "left")
     return out.select("question", F.coalesce("status", F.lit("unresolved")).alias("status"), "node", "rank")

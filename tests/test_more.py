@@ -423,3 +423,19 @@ def test_compatibility_form_looks_marks_up_once(spark):
     got = spark.createDataFrame([(t,) for t in texts], "x string").select(nfkc(F.col("x")).alias("y"))
     assert [r.y for r in got.collect()] == [t and unicodedata.normalize("NFKC", t) for t in texts]
     assert work_of(got, "try_element_at") == 1
+
+
+def test_objects_of_one_identity_meet_questions_by_key(spark):
+    import time
+
+    from lakeloom.operators import lookup
+
+    few = spark.createDataFrame([("a", "O", "T", "N m", None), ("b", "o", "T", "n  M", "x"), ("c", "O", "T", "other", "N m"), ("d", "O", "T", "alone", "Alone")], "node string, owner string, object_type string, name string, canonical string")
+    asked = spark.createDataFrame([(1, "O", "T", "n m"), (2, "o", "t", "N m"), (3, "O", "T", "ALONE"), (4, "o", "T", "N M"), (5, None, "T", "N m"), (6, "O", "T", None)], "question long, owner string, object_type string, name string")
+    got = {r.question: (r.status, r.node, r["rank"]) for r in lookup.resolved_objects(asked, few).collect()}
+    assert got == {1: ("resolved", "a", 3), 2: ("ambiguous", None, 3), 3: ("resolved", "d", 3), 4: ("resolved", "b", 3), 5: ("unresolved", None, None), 6: ("unresolved", None, None)}
+    many = spark.range(60_000).select(F.col("id").alias("node"), F.lit("o").alias("owner"), F.lit("t").alias("object_type"), F.lit("n").alias("name"), F.lit("n").alias("canonical"))
+    began = time.time()
+    all_ = lookup.resolved_objects(many.withColumnRenamed("node", "question"), many)
+    assert {(r.status, r["count"]) for r in all_.groupBy("status").count().collect()} == {("ambiguous", 60_000)}
+    assert time.time() - began < 120

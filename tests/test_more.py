@@ -439,3 +439,27 @@ def test_objects_of_one_identity_meet_questions_by_key(spark):
     all_ = lookup.resolved_objects(many.withColumnRenamed("node", "question"), many)
     assert {(r.status, r["count"]) for r in all_.groupBy("status").count().collect()} == {("ambiguous", 60_000)}
     assert time.time() - began < 120
+
+
+def test_telling_decisions_give_the_clusters_of_all(spark):
+    draw = random.Random(5)
+    some = lambda i: record(i, subject=draw.choice(["Okres urlopu", "Korekta", "", "Okres", "Limit"]), object=draw.choice(["1", "2"]), statement=draw.choice(["a b c d", "a b c e", "x"]), signature=draw.choice([f"g{i}", "g", None]), hints=draw.choice([[], ["h"], ["h", f"k{i % 7}"]]), kind=draw.choice(["rule", "rule", "term", "form", f"r{i % 9}"]), families=draw.choice([["hr"], ["hr"], ["edu"], []]), domains=draw.choice([["d"], []]), payload=draw.choice([{}, {"path": "a"}, {"value": "1"}]))
+    rows = linkage.representatives(linkage.normalised(spark.createDataFrame([some(i) for i in range(120)], SCHEMA))).localCheckpoint()
+    all_ = linkage.relations(rows).localCheckpoint()
+    by = {r.id: r for r in rows.collect()}
+    meets = {(a, b) for a, b in itertools.permutations(by, 2) if a < b and by[a].kind == by[b].kind and ((by[a].signature is not None and by[a].signature == by[b].signature) or (by[a].subject == by[b].subject and by[a].subject not in ("", "korekta")) or by[a].semantic_key == by[b].semantic_key or set(by[a].hints) & set(by[b].hints))}
+    got = [(r.left_id, r.right_id) for r in linkage.record_pairs(rows, block=5).collect()]
+    assert len(got) == len(meets) and set(got) == meets
+    few = linkage.telling(rows, block=5)
+    assert few.count() < all_.count()
+    same = lambda df: sorted(map(str, df.collect()))
+    whole = linkage.clusters(rows, all_)
+    assert same(linkage.clusters(rows, few, linkage.links(rows, few))) == same(whole)
+    assert same(linkage.proposed_records(rows, whole, few)) == same(linkage.proposed_records(rows, whole, all_))
+
+
+def test_pairs_are_not_shuffled(spark):
+    rows = linkage.normalised(spark.createDataFrame([record(i) for i in range(3)], SCHEMA))
+    plan = linkage.record_pairs(rows)._jdf.queryExecution().optimizedPlan().toString()
+    above = plan[: plan.index("Join")]
+    assert "Aggregate" not in above and plan.count("left_id") > 0

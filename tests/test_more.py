@@ -463,3 +463,14 @@ def test_pairs_are_not_shuffled(spark):
     plan = linkage.record_pairs(rows)._jdf.queryExecution().optimizedPlan().toString()
     above = plan[: plan.index("Join")]
     assert "Aggregate" not in above and plan.count("left_id") > 0
+
+
+def test_graph_rounds_send_no_table_through_the_driver(spark, monkeypatch):
+    plans, cut = [], traversal.cut
+    monkeypatch.setattr(traversal, "cut", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or cut(df))
+    e = spark.createDataFrame([(str(i), str(i), str((i + 1) % 5), "JOINS_TO", "a", "b") for i in range(5)], "edge_id string, src string, dst string, type string, left_column string, right_column string")
+    pairs = spark.createDataFrame([("0", "2")], "left_id string, right_id string")
+    found = [traversal.join_evidence(e, pairs, depth=2), traversal.strong_components(e)]
+    assert found[1].count() == 5
+    plans += [df._jdf.queryExecution().executedPlan().toString() for df in found]
+    assert any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)

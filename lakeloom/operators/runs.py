@@ -23,7 +23,8 @@ def significant(text: Column, least: int = 4, names: bool = False) -> Column:
 
 def _grams(rows: DataFrame, key: str, words: str, n: int, at: str) -> DataFrame:
     hashes = F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.xxhash64(F.slice(words, i, n)))
-    return rows.where(F.size(words) >= n).select(key, F.posexplode(hashes).alias(at, "gram"))
+    # a filter on words would be pushed to where they are made and make them twice
+    return rows.select(key, F.posexplode(F.when(F.size(words) >= n, hashes)).alias(at, "gram"))
 
 
 def shared_runs(left: DataFrame, right: DataFrame, left_key: str, right_key: str, least: int) -> DataFrame:

@@ -474,3 +474,9 @@ def test_graph_rounds_send_no_table_through_the_driver(spark, monkeypatch):
     assert found[1].count() == 5
     plans += [df._jdf.queryExecution().executedPlan().toString() for df in found]
     assert any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)
+
+
+def test_words_of_texts_are_made_once(spark):
+    texts = spark.createDataFrame([(1, "x")], "answer_id long, text string")
+    plan = runs.verbatim_runs(texts, texts.withColumnRenamed("answer_id", "claim_id"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(translate(lower(") == 2

@@ -172,6 +172,16 @@ def test_quotations_and_verbatim_runs(spark):
     assert runs.verbatim_runs(a, c.limit(0)).count() == 0
 
 
+def test_quotations_are_read_once_and_long_ones_take_one_pass(spark):
+    said = " ".join(f"wyraz{i}" for i in range(200_000))
+    a = spark.createDataFrame([(1, f"„{said}” oraz „wyraz17 wyraz18 wyraz19”")], "answer_id int, text string")
+    c = spark.createDataFrame([(7, f"osobno {said}"), (8, "wyraz18 wyraz19 wyraz20 wyraz21 wyraz22 wyraz23 obce")], "claim_id int, text string")
+    quoted, began = runs.quoted_claims(a, c), time.time()
+    assert {tuple(r) for r in quoted.collect()} == {(1, 7, 0, 1, 200_000), (1, 8, 0, 0, 6), (1, 7, 1, 18, 3)}
+    assert time.time() - began < 60
+    assert quoted._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all(") == 1
+
+
 def test_interval_join_against_brute_force(spark):
     rng = random.Random(1)
     make = lambda n: [(i, i % 3, float(a), float(a + rng.choice([0, 1, 3, 40]))) for i, a in enumerate(rng.randint(-20, 60) for _ in range(n))]

@@ -139,6 +139,17 @@ def test_cycles_and_strong_components(spark):
     assert graph.shortest_path(e, 6, 5).first().path == [6, 4, 3, 1, 5] and graph.shortest_path(e, 6, 999).count() == 0 and graph.shortest_path(e, 6, 6).first().depth == 0
 
 
+def test_components_of_long_rings_settle_in_few_rounds(spark, monkeypatch):
+    # nodes that rise along a ring once told each other one by one, and ends of ways were trimmed one by one
+    rounds, cut = [], traversal.cut
+    monkeypatch.setattr(traversal, "cut", lambda df: rounds.append(1) or cut(df))
+    links = [(i, (i + 1) % 60) for i in range(60)] + [(100 + i, 101 + i) for i in range(40)] + [(59, 100)]
+    e = spark.createDataFrame(links, "src long, dst long")
+    assert {tuple(r) for r in traversal.strong_components(e).collect()} == {(i, 0) for i in range(60)}
+    assert len(rounds) < 40
+    assert [r.length for r in traversal.cycles(e.where("src < 12").unionByName(spark.createDataFrame([(12, 3), (5, 4)], "src long, dst long")), 9).collect()] == [2, 10]
+
+
 def test_join_evidence_stays_within_a_pair(spark):
     edges = [("h1", "A", "a1", "HAS_COLUMN", None, None), ("h2", "B", "b1", "HAS_COLUMN", None, None), ("h3", "A", "a2", "HAS_COLUMN", None, None), ("k1", "b1", "a1", "FOREIGN_KEY_TO", None, None), ("k2", "a1", "b1", "REFERENCES", None, None), ("j1", "A", "J", "JOINS_TO", "a2", "b1"), ("m1", "J", "B", "READS_FROM", "a2", "b1"), ("n1", "A", "B", "MENTIONS", "a1", "b1"), ("k3", "a2", "c1", "FOREIGN_KEY_TO", None, None)]
     e = spark.createDataFrame(edges, "edge_id string, src string, dst string, type string, left_column string, right_column string")

@@ -126,6 +126,16 @@ def test_dependency_paths_of_the_least_depth(spark):
     assert traversal.dependency_paths(e, roots, 1).count() == 0
 
 
+def test_dependency_paths_are_sorted_once_in_tasks_of_bounded_rows(spark, monkeypatch):
+    e = spark.createDataFrame([(i, i + k) for i in range(40) for k in (1, 2, 3)], "src long, dst long")
+    want = {tuple(map(str, r)) for r in traversal.dependency_paths(e, spark.range(40).toDF("node"), 3, budget=20).collect()}
+    monkeypatch.setattr(traversal, "_ROWS_OF_A_TASK", 50)
+    found = traversal.dependency_paths(e, spark.range(40).toDF("node"), 3, budget=20)
+    assert {tuple(map(str, r)) for r in found.collect()} == want and any(r.truncated for r in found.collect())
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("Sort [") == 1 and found.rdd.getNumPartitions() > 8
+
+
 def test_cycles_and_strong_components(spark):
     # rings of 12 and 30 edges, one leading to the other through a long way, rings that share a node or an edge, a loop
     ring = lambda first, n: [(first + i, first + (i + 1) % n) for i in range(n)]

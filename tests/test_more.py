@@ -136,6 +136,15 @@ def test_dependency_paths_are_sorted_once_in_tasks_of_bounded_rows(spark, monkey
     assert plan.count("Sort [") == 1 and found.rdd.getNumPartitions() > 8
 
 
+def test_shortest_paths_leave_their_levels_as_they_are(spark, monkeypatch):
+    written, cut = [], traversal.cut
+    monkeypatch.setattr(traversal, "cut", lambda df: written.append(1) or cut(df))
+    e = spark.createDataFrame([(i, (i + k) % 9) for i in range(9) for k in (0, 1, 2)], "src long, dst long")
+    found = traversal.dependency_paths(e, spark.range(9).toDF("node"), 3, budget=None)
+    assert {(r.root, r.node, r.depth, tuple(r.path), r.truncated) for r in found.where("root = 0").collect()} == {(0, 3, 2, (0, 1, 3), False), (0, 3, 2, (0, 2, 3), False), (0, 4, 2, (0, 2, 4), False), *((0, 5, 3, w, False) for w in ((0, 1, 3, 5), (0, 2, 3, 5), (0, 2, 4, 5))), (0, 6, 3, (0, 2, 4, 6), False)}
+    assert len(written) == 2
+
+
 def test_cycles_and_strong_components(spark):
     # rings of 12 and 30 edges, one leading to the other through a long way, rings that share a node or an edge, a loop
     ring = lambda first, n: [(first + i, first + (i + 1) % n) for i in range(n)]

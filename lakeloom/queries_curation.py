@@ -160,9 +160,10 @@ def _observed(spark, d):
     strength = F.when(F.col("l_returnflag") == "A", "verified_exact").when(F.col("l_returnflag") == "R", "verified_composed")
     text = lambda name, m: F.concat(F.lit(name), (k % m).cast("string"))
     supports = F.array(F.when(F.col("l_linestatus") == "F", "identity").otherwise("relation"), text("s", 3))
-    payload = F.concat_ws("/", F.col("l_orderkey").cast("string"), n.cast("string"))
+    payload = F.concat(F.col("l_orderkey").cast("string"), F.lit("/"), n.cast("string"))
     # lines of equal numbers: the one that stands first in the table
-    seq = F.struct((F.col("l_orderkey") * 10 + n).alias("n"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    number = F.col("l_orderkey") * 10 + n
+    seq = F.when(number.isNotNull(), F.struct(number.alias("n"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")))
     return rows.select(F.col("l_partkey").alias("candidate"), seq.alias("seq"), F.when(n % 3 == 0, text("origin", 3)).alias("origin"), F.when(n % 3 == 1, text("node", 5)).alias("node"), family.alias("family"), strength.alias("strength"), supports.alias("supports"), payload.alias("payload"))
 
 

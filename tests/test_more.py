@@ -416,6 +416,22 @@ def test_lineages_with_equal_seqs_take_the_first_row(spark, tmp_path):
     assert got[(2, "origin0")] == ("oracle_metadata_ddl", "verified_exact") and got[(7, "origin0")] == ("sql_usage", "supported_by_single_authoritative_mapping")
 
 
+def test_lineages_of_lines_without_part_or_number(spark, tmp_path):
+    import duckdb
+    import pandas as pd
+
+    from lakeloom import registry
+    from tests.oracle import plain
+
+    line = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_returnflag string, l_linestatus string"
+    lines = [(1, 7, 4, None, "A", "F"), (2, 7, 5, None, "R", "O"), (3, 7, None, 3, "R", None), (5, None, 6, 3, "N", "F"), (4, None, 8, 3, "A", "O"), (None, 7, 4, 3, "A", "F"), (6, 8, 4, 4, None, "F"), (6, 8, 9, 4, "A", "O")]
+    spark.createDataFrame(lines, line).coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    want = con.execute(registry.ORACLE_SQL["evidence_lineages"]).df()
+    pd.testing.assert_frame_equal(plain(registry.QUERIES["evidence_lineages"](spark, str(tmp_path)).toPandas()), plain(want))
+
+
 def test_fragments_and_ends_of_many_alike_names(spark):
     from lakeloom.operators import lookup
 

@@ -41,10 +41,10 @@ def undirected_path(spark, d):
 
 
 @query(f"""WITH RECURSIVE {_E}, x AS (SELECT DISTINCT src, dst FROM e WHERE (src - 1) // 12 = (dst - 1) // 12), r(root, node, depth, path) AS (SELECT DISTINCT src, src, 0, [src] FROM x UNION ALL SELECT root, dst, depth + 1, list_append(path, dst) FROM r JOIN x ON src = node WHERE (depth = 0 OR node <> root) AND dst >= root AND (dst = root OR NOT list_contains(path, dst)))
-SELECT array_to_string(path, '>') AS cycle, depth::INT AS length FROM r WHERE depth > 0 AND node = root ORDER BY r.depth, r.path LIMIT 1000000""")
+SELECT array_to_string(path, '>') AS cycle, depth::INT AS length FROM r WHERE depth > 0 AND node = root ORDER BY r.depth, r.path""")
 def all_cycles(spark, d):
     """Simple cycles of any length, each once. (In the SQL, edges to later rings can't be on one.)"""
-    return traversal.cycles(_edges(spark, d), 1_000_000).select(F.array_join("cycle", ">").alias("cycle"), "length")
+    return traversal.cycles(_edges(spark, d)).select(F.array_join("cycle", ">").alias("cycle"), "length")
 
 
 @query(f"""WITH RECURSIVE {_E}, x AS (SELECT DISTINCT src, dst FROM e WHERE (src - 1) // 12 = (dst - 1) // 12), r(root, node) AS (SELECT src, dst FROM x UNION SELECT root, dst FROM r JOIN x ON src = node),

@@ -158,6 +158,14 @@ def test_cycles_and_strong_components(spark):
     assert graph.shortest_path(e, 6, 5).first().path == [6, 4, 3, 1, 5] and graph.shortest_path(e, 6, 999).count() == 0 and graph.shortest_path(e, 6, 6).first().depth == 0
 
 
+def test_cycles_are_all_given_out(spark):
+    # every node leads to every other: 15 + 40 + 90 + 144 + 120 cycles of 2 to 6 nodes, where only 50 came out before
+    e = spark.createDataFrame([(a, b) for a in range(6) for b in range(6) if a != b], "src long, dst long")
+    found = traversal.cycles(e).collect()
+    assert len({tuple(r.cycle) for r in found}) == len(found) == 409 and [r.length for r in found] == sorted(r.length for r in found)
+    assert [r.cycle for r in traversal.cycles(e, 60).collect()] == [r.cycle for r in found[:60]]
+
+
 def test_components_of_long_rings_settle_in_few_rounds(spark, monkeypatch):
     # nodes that rise along a ring once told each other one by one, and ends of ways were trimmed one by one
     rounds, cut = [], traversal.cut

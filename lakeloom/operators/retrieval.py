@@ -40,87 +40,152 @@ def search(vectors: DataFrame, query: list[float], k: int, where: Column | None
 
 
 def _unit(v: Column) -> Column:
-    """A vector over its length, in double precision; null for a null or zero one."""
+    """A vector over its length, in double precision; null for a null, zero or non-finite one."""
     d = F.transform(v, lambda x: x.cast("double"))
     norm = F.sqrt(F.aggregate(d, F.lit(0.0), lambda s, x: s + x * x))
-    return F.transform(F.array(norm), lambda n: F.when(n > 0, F.transform(d, lambda x: x / n)))[0]
+    return F.transform(F.array(norm), lambda n: F.when((n > 0) & (n < float("inf")), F.transform(d, lambda x: x / n)))[0]
 
 
 def _dot(x: Column, y: Column) -> Column:
     return F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
 
 
+def _rows(vectors):
+    """The vectors of an Arrow column over their lengths, in double precision, added up as _unit() does."""
+    import numpy as np
+
+    v = vectors.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(vectors), -1)
+    return v / np.sqrt(np.cumsum(v * v, axis=1)[:, -1])[:, None]
+
+
+def _allowed(points, filters: list[str], sets: tuple):
+    """Which points have an allowed value for every filter; None allows any, null and NaN are no values."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    good = np.ones(len(points), dtype=bool)
+    for f, values in zip(filters, sets):
+        if values is not None:
+            known = pa.array(sorted(values), type=points.schema.field(f).type)
+            good &= pc.is_in(points[f], value_set=known).combine_chunks().to_numpy(zero_copy_only=False)
+    return good
+
+
 def _best_pairs(asked, points, k: int, filters: list[str]):
-    """query_id, id, score: for each query of a block the k best points of a part, ties at the end with them. A product of matrices
-    says which may be; their scores are added up component by component, so that equal vectors score alike anywhere."""
+    """query_id, id, score: for each query of a block the k best points of a cell, among the lists that it asks for and what its
+    filters allow (ties: the smaller id). Products of matrices in single precision, with their error bound, say which may be; their
+    scores are added up component by component, so that equal vectors score alike anywhere. Tiles are of bounded size."""
     import numpy as np
     import pandas as pd
+    import pyarrow as pa
+    import pyarrow.compute as pc
 
-    none = pd.DataFrame({"query_id": asked["query_id"][:0], "id": points["id"][:0], "score": np.zeros(0)})
-    if asked.empty or points.empty:
+    none = pa.table({"query_id": asked["query_id"][:0], "id": points["id"][:0], "score": pa.array([], pa.float64())})
+    if not len(asked) or not len(points):
         return none
-    x, y = np.array(asked["q"].tolist(), dtype=float), np.array(points["v"].tolist(), dtype=float)
-    near = x @ y.T
-    for f in filters:
-        known, values = points[f].notna().to_numpy(), points[f].to_numpy()
-        for i, allowed in enumerate(asked[f"_{f}"]):
-            if allowed is not None:
-                near[i, ~(known & np.isin(values, [a for a in allowed if a is not None and a == a]))] = -np.inf
-    floor = np.full(len(x), -2.0) if len(y) <= k else np.maximum(np.partition(near, len(y) - k, axis=1)[:, len(y) - k], -2.0)
-    i, j = np.nonzero(near >= floor[:, None] - 1e-9)
-    score = np.concatenate([np.zeros(0)] + [np.cumsum(x[i[n : n + 65536]] * y[j[n : n + 65536]], axis=1)[:, -1] for n in range(0, len(i), 65536)])
-    out = pd.DataFrame({"query_id": asked["query_id"].to_numpy()[i], "id": points["id"].to_numpy()[j], "score": score})
-    return out.sort_values(["query_id", "score", "id"], ascending=[True, False, True]).groupby("query_id").head(k)
-
-
-def search_many(queries: DataFrame, points: DataFrame, k: int, filters: list[str], most_lists: int = 64, list_rows: int = 2048) -> DataFrame:
+    points = points.take(pc.sort_indices(points["id"]))  # from here on a place stands for an id
+    y = _rows(points["v"])
+    same = np.unique(y.view(np.dtype((np.void, y.strides[0]))).ravel(), return_inverse=True)[1]
+    if same.max() + 1 < len(y):  # copies score alike: of those that filters can't tell apart the k first are enough
+        codes = {f: points[f].combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False) for f in filters}
+        first = pd.DataFrame({"same": same, **codes}).groupby(["same", *filters]).cumcount().to_numpy() < k
+        points, y = points.filter(pa.array(first)), y[first]
+    x, lists = _rows(asked["q"]), points["list"].to_numpy()
+    x4, y4 = x.astype(np.float32), y.astype(np.float32)
+    slack = (x.shape[1] + 16) * 6e-8  # of a product of unit vectors in single precision
+    given = asked["floor"].to_numpy().astype(float)
+    given = np.where(np.isnan(given), -np.inf, given)
+    sets = zip(*([None if v is None else frozenset(a for a in v if a is not None and a == a) for v in asked[f"_{f}"].to_pylist()] for f in filters), asked["lists"].to_pylist())
+    alike: dict = {}
+    for i, (*allowed, held) in enumerate(sets):
+        alike.setdefault((tuple(allowed), tuple(sorted(held))), []).append(i)
+    found = []
+    for (allowed, held), members in alike.items():
+        cols = np.flatnonzero(_allowed(points, filters, allowed) & np.isin(lists, held))
+        for at in range(0, len(members), 1024):
+            rows = np.array(members[at : at + 1024])
+            floor, i, j, score = given[rows], np.zeros(0, int), np.zeros(0, int), np.zeros(0)
+            for to in range(0, len(cols), 4096):
+                tile = cols[to : to + 4096]
+                near, least = x4[rows] @ y4[tile].T, floor.copy()
+                open_ = np.flatnonzero(np.isneginf(floor))
+                if len(open_) and len(tile) > k:
+                    least[open_] = np.partition(near[open_], len(tile) - k, axis=1)[:, len(tile) - k] - slack
+                a, b = np.nonzero(near >= (least - slack).astype(np.float32)[:, None])
+                b = tile[b]
+                exact = [np.cumsum(x[rows[a[n : n + 65536]]] * y[b[n : n + 65536]], axis=1)[:, -1] for n in range(0, len(a), 65536)]
+                i, j, score = np.concatenate([i, a]), np.concatenate([j, b]), np.concatenate([score, *exact])
+                order = np.lexsort((j, -score, i))
+                i, j, score = i[order], j[order], score[order]
+                starts = np.searchsorted(i, i)
+                best = np.arange(len(i)) - starts < k
+                i, j, score = i[best], j[best], score[best]
+                last = np.flatnonzero(np.arange(len(i)) - np.searchsorted(i, i) == k - 1)
+                floor[i[last]] = np.maximum(floor[i[last]], score[last])
+            found.append((rows[i], j, score))
+    i, j, score = (np.concatenate(c) for c in zip(*found))
+    return pa.table({"query_id": asked["query_id"].take(pa.array(i)), "id": points["id"].take(pa.array(j)), "score": pa.array(score)})
+
+
+def search_many(queries: DataFrame, points: DataFrame, k: int, filters: list[str], most_lists: int = 64, list_rows: int = 65536) -> DataFrame:
     """query_id, rank, id, score: for each query (query_id, vector, and for each filter an array of allowed values or null for any)
     its k nearest points (id, vector, and the filters' columns) by cosine among those that its filters allow; ties: the smaller
-    id. Null, zero and differently long vectors take no part.
+    id. Null, zero, non-finite and differently long vectors take no part.
 
-    Points are filed under the nearest of at most most_lists centres, which are points of least hash; the lists are cut into parts of
-    bounded size. A query first reads its own centre's list; its k-th best there is a floor. By the angles between query, centre and
-    the list's farthest member, no member of a list can be nearer than a bound; only lists whose bound reaches the floor
-    are read. So results are exact, and how much is skipped depends on how the points cluster.
+    Points are filed under the nearest of at most most_lists centres, which are points of least hash; lists go to cells, and queries to
+    blocks, of at most list_rows rows. A query first reads its own centre's list; its k-th best there is a floor. By the angles
+    between query, centre and the list's farthest member, no member of a list can be nearer than a bound; only lists whose bound
+    reaches the floor are read. So results are exact, and how much is skipped depends on how the points cluster. A query goes
+    once to each cell with a list that it asks for, and a cell once to each block: a dozen times, until list_rows asks for more.
     """
     spark = points.sparkSession
-    p = points.select("id", _unit(F.col("vector")).alias("v"), *filters).where("v is not null")
+    p = points.select("id", F.col("vector").alias("v"), _unit(F.col("vector")).alias("unit"), *filters).where("unit is not null")
     shape = p.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").first()
     if shape is None:
         return queries.select("query_id", F.lit(0).alias("rank"), F.lit(None).cast(points.schema["id"].dataType).alias("id"), F.lit(0.0).alias("score")).limit(0)
     p = p.where(F.size("v") == shape["dim"])
     n_lists = max(1, min(most_lists, shape["n"] // 32))
-    centres = [r["v"] for r in p.orderBy(F.xxhash64("id", "v"), "id").limit(n_lists).select("v").collect()]  # most_lists vectors
+    centres = [r["unit"] for r in p.orderBy(F.xxhash64("id", "unit"), "id").limit(n_lists).select("unit").collect()]  # most_lists vectors
     known = F.array(*(F.struct(F.lit(i).alias("list"), F.array(*map(F.lit, c)).alias("c")) for i, c in enumerate(centres)))
     angle = lambda x: F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), x)))
     near = lambda v: F.transform(known, lambda c: F.struct(angle(_dot(v, c["c"])).alias("angle"), c["list"].alias("list")))
-    filed = cut(p.withColumn("near", F.array_min(near(F.col("v")))).select("id", "v", *filters, F.col("near.list").alias("list"), F.col("near.angle").alias("angle")))
-    lists = filed.groupBy("list").agg(F.max("angle").alias("radius"), F.ceil(F.count("*") / list_rows).cast("int").alias("parts"))  # most_lists rows
-    filed = filed.join(F.broadcast(lists.select("list", "parts")), "list").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    q = queries.select("query_id", _unit(F.col("vector")).alias("q"), *(F.col(f).alias(f"_{f}") for f in filters)).where(F.size("q") == shape["dim"])
-    q = cut(q.withColumn("far", near(F.col("q"))))
+    filed = cut(p.withColumn("near", F.array_min(near(F.col("unit")))).select("id", "v", *filters, F.col("near.list").alias("list"), F.col("near.angle").alias("angle")))
+    q = queries.select("query_id", F.col("vector").alias("q"), _unit(F.col("vector")).alias("unit"), *(F.col(f).alias(f"_{f}") for f in filters)).where(F.size("unit") == shape["dim"])
+    q = cut(q.withColumn("far", near(F.col("unit"))).withColumn("own", F.array_min("far")["list"]).drop("unit"))
+    block_rows = lambda n: min(list_rows, max(2048, -(-n // 12)))
+    radius, placed, held, room = [None] * n_lists, [], [], 0.0
+    for r in filed.groupBy("list").agg(F.max("angle").alias("radius"), F.count("*").alias("n")).orderBy("list").collect():  # most_lists rows
+        radius[r["list"]], parts = r["radius"], -(-r["n"] // block_rows(shape["n"]))
+        for part in range(parts):
+            if r["n"] / parts > room:
+                held.append((len(held), []))
+                room = block_rows(shape["n"])
+            room -= r["n"] / parts
+            held[-1][1].append(r["list"])
+            placed.append((r["list"], part, parts, len(held) - 1))
+    placed, held = spark.createDataFrame(placed, "list int, part long, parts long, cell int"), spark.createDataFrame([(c, sorted(set(ls))) for c, ls in held], "cell int, held array<int>")
+    filed = filed.drop("angle").join(F.broadcast(placed), "list").where(F.pmod(F.xxhash64("id"), F.col("parts")) == F.col("part")).drop("part", "parts")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    nearest = lambda df: df.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     pairs = StructType([StructField("query_id", q.schema["query_id"].dataType), StructField("id", filed.schema["id"].dataType), StructField("score", DoubleType())])
+    of_block = block_rows(q.count())
 
     def read(asked: DataFrame) -> DataFrame:
-        """asked: query_id, q, filters, list; the k best of the lists that each query asks for. Blocks of at most some list_rows
-        queries meet parts of lists of that size."""
-        blocks = asked.groupBy("list").agg(F.ceil(F.count("*") / list_rows).cast("int").alias("blocks"))  # most_lists rows
-        left = asked.join(F.broadcast(lists.select("list", "parts")), "list").join(F.broadcast(blocks), "list")
-        left = left.withColumns({"block": F.pmod(F.xxhash64("query_id"), "blocks").cast("int"), "part": F.explode(F.sequence(F.lit(0), F.col("parts") - 1))}).drop("parts", "blocks")
-        right = filed.drop("parts", "angle").join(F.broadcast(blocks), "list").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
-        key = ["list", "part", "block"]
-        scored = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(lambda x, y: _best_pairs(x, y, k, filters), pairs)
-        return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-
-    own = F.array_min("far")["list"]
-    first = cut(read(q.withColumn("list", own).drop("far")))
+        """asked: query_id, q, filters, floor, lists; of each cell the k best of the lists that a query asks for, not under its floor."""
+        left = asked.join(F.broadcast(held), F.arrays_overlap("lists", "held")).withColumn("lists", F.array_intersect("lists", "held")).drop("held")
+        blocks = left.groupBy("cell").agg(F.ceil(F.count("*") / of_block).cast("int").alias("blocks"))  # a row for each cell
+        left = left.join(F.broadcast(blocks), "cell").withColumn("block", F.pmod(F.xxhash64("query_id"), "blocks").cast("int")).drop("blocks")
+        right = filed.join(F.broadcast(blocks), "cell").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+        return left.groupBy("cell", "block").cogroup(right.groupBy("cell", "block")).applyInArrow(lambda x, y: _best_pairs(x, y, k, filters), pairs)
+
+    columns = ["query_id", "q", *(f"_{f}" for f in filters)]
+    first = cut(nearest(read(q.select(*columns, F.lit(None).cast("double").alias("floor"), F.array("own").alias("lists")))).drop("rank"))
     floor = first.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("floor"))
-    other = q.withColumn("own", own).select("query_id", "q", *(f"_{f}" for f in filters), "own", F.explode("far").alias("x")).where("x.list <> own").select("*", "x.list", "x.angle").drop("x", "own")
-    bound = F.cos(F.greatest(F.lit(0.0), F.col("angle") - F.col("radius"))) + 1e-9
-    wanted = other.join(F.broadcast(lists.select("list", "radius")), "list").join(floor, "query_id", "left").where(F.col("floor").isNull() | (bound >= F.col("floor")))
-    found = first.select("query_id", "id", "score").unionByName(read(wanted.drop("angle", "radius", "floor")).select("query_id", "id", "score"))
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
+    bound = lambda x: F.cos(F.greatest(F.lit(0.0), x["angle"] - F.array(*map(F.lit, radius))[x["list"]])) + 1e-9
+    wanted = F.filter("far", lambda x: (x["list"] != F.col("own")) & (F.col("floor").isNull() | (bound(x) >= F.col("floor"))))["list"]
+    other = cut(q.join(floor, "query_id", "left").select(*columns, "floor", wanted.alias("lists")).where(F.size("lists") > 0))
+    return nearest(first.unionByName(read(other))).select("query_id", "rank", "id", "score")
 
 
 def word_boost(text: Column, words: list[str], most: float = BOOST) -> Column:

@@ -478,6 +478,26 @@ def test_many_vectors_meet_as_blocks(spark):
         assert found[found.query_id == q].sort_values("rank").id.tolist() == np.argsort(-s)[:5].tolist()
 
 
+def test_many_vectors_go_to_few_cells(spark):
+    vector = F.transform(F.sequence(F.lit(1), F.lit(64)), lambda i: ((F.pmod(F.xxhash64("id", i), F.lit(2001)) - 1000) / 1000.0).cast("float"))
+    points = spark.range(8000).select("id", vector.alias("vector"), (F.col("id") % 5).alias("kind"))
+    shuffled = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(False).apply(0).totalShuffleWrite()
+    before = shuffled()  # when a vector goes to every list that it asks for on its own, 55 MB
+    assert retrieval.search_many(points.select(F.col("id").alias("query_id"), "vector", F.array("kind").alias("kind")), points, 5, ["kind"]).count() == 40_000
+    assert 1e6 < shuffled() - before < 35e6
+
+
+def test_copies_and_vectors_that_are_not_finite(spark):
+    vectors = [(i, [1.0, 2.0, float(i % 2)], i % 3) for i in range(3000)] + [(-1 - i, [float(i), 1.0, -1.0], 0) for i in range(20)] + [(5000, [float("nan"), 1.0, 0.0], 0), (5001, [float("inf"), 1.0, 0.0], 1)]
+    p = spark.createDataFrame(vectors, "id long, vector array<double>, kind int")
+    q = spark.createDataFrame([(0, [1.0, 2.0, 0.0], None), (1, [1.0, 2.0, 1.0], [2, None]), (2, [float("nan"), 1.0, 0.0], None)], "query_id long, vector array<double>, kind array<int>")
+    for options in ({}, {"list_rows": 100}, {"most_lists": 1, "list_rows": 700}):
+        got = {}
+        for r in retrieval.search_many(q, p, 4, ["kind"], **options).orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append(r.id)
+        assert got == {0: [0, 2, 4, 6], 1: [5, 11, 17, 23]}
+
+
 def test_compatibility_form_looks_marks_up_once(spark):
     import unicodedata
 
